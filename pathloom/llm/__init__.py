@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import ngram_join
+from pathloom.llm import ngram_join, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_ngram_jaccard_join": ngram_join.op6}
+    return {
+        "op2_quality_rules": quality_rules.op2,
+        "op6_ngram_jaccard_join": ngram_join.op6,
+        "op10_best_fit_packing": packing.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
