@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import ngram_join, packing, quality_rules
+from pathloom.llm import ngram_join, packing, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": quality_rules.op2,
+        "op4_toxicity": toxicity.op4,
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op10_best_fit_packing": packing.op10,
     }
