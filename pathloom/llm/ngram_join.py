@@ -175,7 +175,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     tiles = tiles.withColumn("own", F.pmod(F.xxhash64("node"), "n_tiles")).select(
         F.col("node").alias("doc_id"), "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_tiles") - 1), lambda t: F.struct(F.least(t, "own").alias("i"), F.greatest(t, "own").alias("j")))).alias("t"),
     ).select("doc_id", "component", "t.i", "t.j")
-    work = docs.join(tiles, "doc_id").select("component", "i", "j", "doc_id", "text")
+    tiles, _ = shared_table(tiles, "ngram-tiles")
+    # few texts are in a block: a Bloom filter of bounded size keeps the others out of the join's shuffle
+    for name, value in (("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "1g")):
+        docs.sparkSession.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{name}", value)
+    work = docs.join(tiles.where("i >= 0"), "doc_id").select("component", "i", "j", "doc_id", "text")
     links = work.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id").mapInArrow(multiply, "u long, v long")
 
     # copies hang on their representative; repeated rows with one doc_id may have several
