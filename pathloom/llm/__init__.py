@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import ngram_join, packing, quality_rules, toxicity
+from pathloom.llm import ngram_join, packing, pii, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.op1,
         "op2_quality_rules": quality_rules.op2,
         "op4_toxicity": toxicity.op4,
         "op6_ngram_jaccard_join": ngram_join.op6,
