@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import ngram_join, packing, pii, quality_rules, toxicity
+from pathloom.llm import ngram_join, packing, pii, quality_crf, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_rules.op2,
         "op4_toxicity": toxicity.op4,
         "op6_ngram_jaccard_join": ngram_join.op6,
+        "op7_quality_classifier": quality_crf.op7,
         "op10_best_fit_packing": packing.op10,
     }
 
