@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import ngram_join, packing, pii, quality_crf, quality_rules, toxicity
+from pathloom.llm import ngram_join, packing, pii, quality_crf, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1,
         "op2_quality_rules": quality_rules.op2,
+        "op3_url_filters": url_filter.op3,
         "op4_toxicity": toxicity.op4,
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_quality_classifier": quality_crf.op7,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": ngram_join.SQL}
+    return {"op3_url_filters": url_filter.SQL, "op6_ngram_jaccard_join": ngram_join.SQL}
