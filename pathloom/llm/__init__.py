@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import ngram_join, packing, pii, quality_crf, quality_rules, toxicity, url_filter
+from pathloom.llm import chat, ngram_join, packing, pii, quality_crf, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_rules.op2,
         "op3_url_filters": url_filter.op3,
         "op4_toxicity": toxicity.op4,
+        "op5_chat_formatting": chat.op5,
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_quality_classifier": quality_crf.op7,
         "op10_best_fit_packing": packing.op10,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_filter.SQL, "op6_ngram_jaccard_join": ngram_join.SQL}
+    return {"op3_url_filters": url_filter.SQL, "op5_chat_formatting": chat.SQL, "op6_ngram_jaccard_join": ngram_join.SQL}
