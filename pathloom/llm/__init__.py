@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import chat, media, ngram_join, packing, pii, quality_crf, quality_rules, toxicity, url_filter
+from pathloom.llm import chat, media, ngram_join, packing, pii, quality_crf, quality_rules, segmentation, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_jaccard_join": ngram_join.op6,
         "op7_quality_classifier": quality_crf.op7,
         "op8_media_columns": media.op8,
+        "op9_sentencepiece_nbest": segmentation.op9,
         "op10_best_fit_packing": packing.op10,
     }
 
