@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch handed to Python; texts are a few kB, so a batch stays at a few MB.
 ROWS_PER_BATCH = 1000
@@ -64,7 +65,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with small slices: ``fn`` takes at most ROWS_PER_BATCH rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +76,22 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def map_texts(docs: DataFrame, fn: Callable[[list[str | None]], tuple[list[str | None] | None, list[bool] | None]]) -> DataFrame:
+    """Rewrites or filters whole rows by their ``text``: ``fn`` returns new texts, and which rows stay (None: as they
+    were). All columns pass through, whatever their names."""
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, keep = fn(batch.column(at).to_pylist())
+        if texts is not None:
+            columns = batch.columns
+            columns[at] = pa.array(texts, pa.string())
+            batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        yield batch if keep is None else batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_rows(docs.withColumn("text", F.col("text").cast("string")), run, docs.withColumn("text", F.col("text").cast("string")).schema)
+
+
 def chunks(texts: list[str | None], most_chars: int = 400_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``most_chars`` characters, or one longer text alone."""
     at, total = 0, 0

@@ -188,6 +188,24 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     return known.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest doc_id, with all its columns.
+
+    Of rows with one doc_id, the smallest row stays. Rows without words or with a null doc_id stay. Only ids that lose a
+    row are written and joined, so the texts are shuffled only where those are too many to send to every task.
+    """
+    found = jaccard_components(docs, words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = found.where("component_id <> doc_id or n > 1").select(F.col("doc_id").alias("_id"), (F.col("component_id") != F.col("doc_id")).alias("_goes"))
+    loses, _ = shared_table(named, "duplicates")
+    key = docs["doc_id"].cast("long")
+    out = docs.join(loses, key == loses["_id"], "left_anti")
+    again = loses.where("not _goes")
+    if not again.isEmpty():
+        row = docs.join(again, key == again["_id"], "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        out = out.union(row.select("_row.*"))
+    return out
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import map_rows, table
+from pathloom.llm.common import map_rows, map_texts, table
 
 #: Kinds in the order of listing; the fixed patterns cover the first four.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -379,6 +379,28 @@ def surroundings(docs: DataFrame, bound: int = SAMPLE) -> list[str]:
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
 
 
+def all_spans(given: list[str | None], net: Tagger) -> tuple[list[list[Span]], list[list[Span]]]:
+    """The base spans of each text, and all its spans."""
+    texts = [t or "" for t in given]
+    base = [base_spans(t) for t in texts]
+    some = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
+    both = list(base)
+    for i, more in zip(some, net.spans([texts[i] for i in some])):
+        both[i] = join_spans(base[i], more)
+    return base, both
+
+
+def redact_all(docs: DataFrame, net: Tagger) -> DataFrame:
+    """All rows and columns, each span of ``text`` replaced by its kind. Null texts stay null."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(given: list[str | None]) -> tuple[list[str | None], None]:
+        _, both = all_spans(given, shared.value)
+        return [None if t is None else redact(t, own) for t, own in zip(given, both)], None
+
+    return map_texts(docs, run)
+
+
 def find(docs: DataFrame, net: Tagger) -> DataFrame:
     """``docs(doc_id, text)`` -> counts and digest of the base spans, all spans, and the redacted text, row by row.
 
@@ -390,12 +412,7 @@ def find(docs: DataFrame, net: Tagger) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         given = batch.column(1).to_pylist()
-        texts = [t or "" for t in given]
-        base = [base_spans(t) for t in texts]
-        some = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
-        both = list(base)
-        for i, more in zip(some, shared.value.spans([texts[i] for i in some])):
-            both[i] = join_spans(base[i], more)
+        base, both = all_spans(given, shared.value)
         show = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
         columns = [batch.column(0).cast(pa.int64())]
         columns += [pa.array([sum(s[0] == k for s in own) for own in base], pa.int64()) for k in range(4)]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.bytescan import Scan, U, mix, shingle_hashes
-from pathloom.llm.common import chunks, is_held_out, labelled_sample, map_rows, table
+from pathloom.llm.common import chunks, is_held_out, labelled_sample, map_rows, map_texts, table
 
 #: Bound on the labelled rows a model is fitted on.
 SAMPLE = 6000
@@ -192,6 +192,12 @@ def score(docs: DataFrame, net: Chain) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, net: Chain, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    return map_texts(docs, lambda texts: (None, [bool(s >= threshold) for s in shared.value.scores(texts)]))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", SAMPLE))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.bytescan import Scan, U, mix, shingle_hashes
-from pathloom.llm.common import chunks, map_rows, table
+from pathloom.llm.common import chunks, map_rows, map_texts, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A document is rejected when failing lines hold at least this share of its word characters.
@@ -73,7 +73,7 @@ def counts(scan: Scan) -> dict[str, np.ndarray]:
     }
 
 
-def lost_chars(scan: Scan, figures: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def failing_lines(scan: Scan, figures: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines that fail a rule, with each line's bounds and text: (start, end, text's index, failed)."""
     start, end, of = scan.lines()
     data, sums = scan.data, lambda mask: np.concatenate([[0], np.cumsum(mask)])
@@ -104,6 +104,33 @@ def lost_chars(scan: Scan, figures: dict[str, np.ndarray]) -> tuple[np.ndarray,
     return start, end, of, failed
 
 
+def clean_texts(texts: list[str | None], max_lost: float = MAX_LOST) -> Iterator[tuple[int, int, dict[str, np.ndarray], list[str | None]]]:
+    """Chunks of the texts as (from, to, figures, texts without their failing lines)."""
+    for lo, hi in chunks(texts):
+        scan = Scan(texts[lo:hi])
+        f = counts(scan)
+        start, end, of, failed = failing_lines(scan, f)
+        chars = (lambda s: s[end] - s[start])(np.concatenate([[0], np.cumsum(~scan.gap & ~_CONTINUED[scan.data])]))
+        f["lost"] = np.bincount(of, weights=chars * failed, minlength=len(scan)) / np.maximum(f["word_chars"], 1)
+        f["base"] = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
+        f["kept"] = ~f["base"] & (f["lost"] < max_lost)
+        raw, cleaned = scan.data.tobytes(), list(texts[lo:hi])
+        for d in np.unique(of[failed]).tolist():
+            i, j = np.searchsorted(of, [d, d + 1])
+            cleaned[d] = b"\n".join(raw[start[k] : end[k]] for k in range(i, j) if not failed[k]).decode("utf-8", "replace")
+        yield lo, hi, f, cleaned
+
+
+def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
+    """The rows that are kept, all their columns, ``text`` without its failing lines. Null texts are rejected."""
+
+    def run(texts: list[str | None]) -> tuple[list[str | None], list[bool]]:
+        parts = list(clean_texts(texts, max_lost))
+        return [t for p in parts for t in p[3]], [bool(k) for p in parts for k in p[2]["kept"]]
+
+    return map_texts(docs, run)
+
+
 def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """``docs(doc_id, text)`` -> a row for each input row with its figures, the base rule's and the method's verdict.
 
@@ -114,20 +141,10 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
-        for lo, hi in chunks(texts):
-            scan = Scan(texts[lo:hi])
-            f = counts(scan)
-            start, end, of, failed = lost_chars(scan, f)
-            chars = (lambda s: s[end] - s[start])(np.concatenate([[0], np.cumsum(~scan.gap & ~_CONTINUED[scan.data])]))
-            lost = np.bincount(of, weights=chars * failed, minlength=len(scan)) / np.maximum(f["word_chars"], 1)
-            base = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
-            raw, cleaned = scan.data.tobytes(), list(texts[lo:hi])
-            for d in np.unique(of[failed]).tolist():
-                i, j = np.searchsorted(of, [d, d + 1])
-                cleaned[d] = b"\n".join(raw[start[k] : end[k]] for k in range(i, j) if not failed[k]).decode("utf-8", "replace")
+        for lo, hi, f, cleaned in clean_texts(texts, max_lost):
             columns = [batch.column(0).slice(lo, hi - lo).cast(pa.int64())]
             columns += [pa.array(f[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            columns += [pa.array(base), pa.array(~base & (lost < max_lost)), pa.array(lost), pa.array(cleaned, pa.string())]
+            columns += [pa.array(f["base"]), pa.array(f["kept"]), pa.array(f["lost"]), pa.array(cleaned, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
