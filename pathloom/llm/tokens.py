@@ -13,6 +13,7 @@ import regex
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: The vocabulary's own split, as its file states it.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_TAIL = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@[-`{-~]+)")
 _LATIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
 
 
@@ -37,19 +38,27 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        if _LATIN.fullmatch(word):
-            ids = array("I")
-            for part in _PARTS.findall(unicodedata.normalize("NFC", word).lower()):
-                shown = part if part.isascii() else "".join(_LETTER[b] for b in part.encode())
-                ids.extend(t.id for t in self.model.tokenize(shown))
+        if word.isascii() and word.isalpha():
+            lower = word.lower()
+            out = self._letters(word) if lower == word else self[lower]
         else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self[word] = out = ids.tobytes()
+            tail = _TAIL.fullmatch(word)
+            if tail:  # letters, then a mark or a run of marks: two parts of the vocabulary's split
+                out = self[tail[1]] + self[tail[2]]
+            elif _LATIN.fullmatch(word):
+                out = b"".join([self._letters(part) for part in _PARTS.findall(unicodedata.normalize("NFC", word).lower())])
+            else:
+                out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = out
         return out
 
+    def _letters(self, part: str) -> bytes:
+        shown = part if part.isascii() else "".join([_LETTER[b] for b in part.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
 
 @lru_cache(maxsize=2)
-def word_ids(path: str, most: int = 300_000) -> WordIds:
+def word_ids(path: str, most: int = 600_000) -> WordIds:
     from tokenizers import Tokenizer
 
     return WordIds(Tokenizer.from_file(path), most)
