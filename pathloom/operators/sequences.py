@@ -113,14 +113,28 @@ def smooth(df: DataFrame, columns: list[str], sigma: float, keys=KEYS, order=ORD
                 return F.col(c)
             return F.coalesce(F.lag(c, -k).over(w), F.first(c).over(all_)) if k < 0 else F.coalesce(F.lead(c, k).over(w), F.last(c).over(all_))
         return df.withColumns({c: sum((at(c, k - r) * taps[k] for k in range(1, 2 * r + 1)), at(c, -r) * taps[0]) for c in columns})
-    # mirrored positions depend on the place in the sequence: the values are read from the frame's own array
-    full = F.collect_list(F.struct(*columns)).over(whole(keys, order))
-    df = df.withColumn("_all", full).withColumn("_n", F.size("_all")).withColumn("_at", F.row_number().over(w) - 1)
-    def mirrored(c: str, k: int) -> Column:
-        m = F.pmod(F.col("_at") + k, 2 * F.col("_n"))
-        return F.element_at("_all", (F.least(m, 2 * F.col("_n") - 1 - m) + 1).cast("int"))[c]
-    out = {c: sum((mirrored(c, k - r) * taps[k] for k in range(1, 2 * r + 1)), mirrored(c, -r) * taps[0]) for c in columns}
-    return df.withColumns(out).drop("_all", "_n", "_at")
+    return convolve(df, columns, taps, keys, order, edge)
+
+
+def convolve(df: DataFrame, columns: list[str], taps: list[float], keys=KEYS, order=ORDER, edge: str = "reflect") -> DataFrame:
+    """Weighted sums over neighbours, with mirrored ends: 'reflect' (d c b a | a b c d) or 'reflect_101' (d c b | a b c d).
+
+    The mirrored place depends on the position, so a sequence becomes one array, is transformed, and is taken apart again.
+    """
+    r = len(taps) // 2
+    rest = [c for c in df.columns if c not in (*keys, order, *columns)]
+    run = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns, *rest))).alias("_all"))
+    n = F.size("_all")
+    period = 2 * n if edge == "reflect" else F.greatest(2 * n - 2, F.lit(1))
+    back = period - 1 if edge == "reflect" else period
+    def one(row: Column, i: Column) -> Column:
+        def place(k: int) -> Column:
+            m = F.pmod(i + k, period)
+            return F.get("_all", F.least(m, back - m))
+        near = [place(k - r) for k in range(2 * r + 1)]
+        sums = [sum((near[k][c] * taps[k] for k in range(1, 2 * r + 1)), near[0][c] * taps[0]).alias(c) for c in columns]
+        return F.struct(row[order].alias(order), *sums, *[row[c].alias(c) for c in rest])
+    return run.select(*keys, F.inline(F.transform("_all", one)))
 
 
 def smooth_frames(df: DataFrame, columns: list[str], sigma: float = 1.5, node=("node_id",), frame: str = "frame_id") -> DataFrame:
