@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -38,7 +37,7 @@ class Pieces:
     """A vocabulary: scores, byte fallback, and the units of its lattice. A character that no piece holds is spelt in
     bytes, each at 10 below the lowest score."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -56,41 +55,57 @@ class Pieces:
                 if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                     self.score[piece] = (i, sp.get_score(i))
         self.byte_score = min(s for _, s in self.score.values() if s > -1e8) - 10
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p))}
+        self.tree: dict[str, list] = {}  # character -> [next characters, (ids, score) of the piece that ends here or None]
+        for piece, (i, s) in self.score.items():
+            below = self.tree
+            for c in piece:
+                node = below.setdefault(c, [{}, None])
+                below = node[0]
+            node[1] = ((i,), s)
         self.units = UNITS if all(UNITS.fullmatch(p) for p in self.score) else re.compile(".+", re.DOTALL)
         self.known: dict[str, tuple[float, float, bytes]] = {}
+        self.lists: dict[tuple[str, int], Best] = {}
         self.most = most
 
-    def ways(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end position, the (start, ids, score) of the pieces that end there."""
-        n, score, prefixes = len(unit), self.score, self.prefixes
-        out: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            one = score.get(unit[i])
-            if one:
-                out[i + 1].append((i, (one[0],), one[1]))
+    def ways(self, unit: str) -> list[list[tuple[int, tuple[tuple[int, ...], float]]]]:
+        """For each end position, the (start, (ids, score)) of the pieces that end there."""
+        out: list[list[tuple[int, tuple[tuple[int, ...], float]]]] = [[] for _ in range(len(unit) + 1)]
+        i = 0
+        for c in unit:
+            node, j = self.tree.get(c), i + 1
+            if node is None or node[1] is None:
+                raw = c.encode("utf-8", "surrogatepass")
+                out[j].append((i, (tuple([self.bytes[b] for b in raw]), self.byte_score * len(raw))))
             else:
-                raw = unit[i].encode("utf-8", "surrogatepass")
-                out[i + 1].append((i, tuple(self.bytes[b] for b in raw), self.byte_score * len(raw)))
-            j = i + 1
-            while j < n and unit[i:j] in prefixes:
-                j += 1
-                piece = score.get(unit[i:j])
-                if piece:
-                    out[j].append((i, (piece[0],), piece[1]))
+                out[j].append((i, node[1]))
+            if node is not None:
+                for d in unit[j:]:
+                    node = node[0].get(d)
+                    if node is None:
+                        break
+                    j += 1
+                    if node[1] is not None:
+                        out[j].append((i, node[1]))
+            i += 1
+        return out
+
+    @staticmethod
+    def forward(ways: list) -> list[float]:
+        """The Viterbi score of each position."""
+        out = [0.0]
+        for own in ways[1:]:
+            out.append(max([out[i] + p[1] for i, p in own]) if len(own) > 1 else out[own[0][0]] + own[0][1][1])
         return out
 
     def n_best(self, unit: str, n: int) -> Best:
-        """The n best segmentations of a unit, best first."""
-        ways, size = self.ways(unit), len(unit)
-        forward = [0.0] + [-_INFINITE] * size
-        for j in range(1, size + 1):
-            forward[j] = max(forward[i] + s for i, _, s in ways[j])
+        """The n best segmentations of a unit, best first: A* from the end, with the forward scores as heuristics."""
+        ways = self.ways(unit)
+        forward = self.forward(ways)
         found: Best = []
-        serial = itertools.count()
-        heap: list = [(-forward[size], 0, size, 0.0, None)]
+        push, pop, serial = heapq.heappush, heapq.heappop, 0
+        heap: list = [(-forward[-1], 0, len(unit), 0.0, None)]
         while heap and len(found) < n:
-            cost, _, at, own, tail = heapq.heappop(heap)
+            _, _, at, own, tail = pop(heap)
             if at == 0:
                 ids: list[int] = []
                 while tail is not None:
@@ -98,10 +113,73 @@ class Pieces:
                     tail = tail[1]
                 found.append((own, tuple(ids)))
                 continue
-            for i, piece, s in ways[at]:
-                heapq.heappush(heap, (-(forward[i] + own + s), next(serial) + 1, i, own + s, (piece, tail)))
+            for i, (piece, s) in reversed(ways[at]):
+                serial -= 1  # of equals, the first way of the latest position goes first, as in best()
+                push(heap, (-(forward[i] + own + s), serial, i, own + s, (piece, tail)))
         return found
 
+    def best(self, unit: str) -> tuple[float, float, bytes]:
+        """Score of the best, gap to the second best, and the best's ids as 32-bit values, by a forward pass that keeps the
+        two best scores of each position. The path is that which A* pops first."""
+        out = self.known.get(unit)
+        if out is not None:
+            return out
+        n, none, tree = len(unit), -_INFINITE, self.tree
+        first, second = [none] * (n + 1), [none] * (n + 1)
+        back: list = [None] * (n + 1)
+        first[0] = 0.0
+        i = 0
+        for c in unit:
+            f, g, j = first[i], second[i], i + 1
+            node = tree.get(c)
+            if node is None or node[1] is None:
+                raw = c.encode("utf-8", "surrogatepass")
+                piece = (tuple([self.bytes[x] for x in raw]), self.byte_score * len(raw))
+            else:
+                piece = node[1]
+            own = piece[1]
+            way = f + own
+            if way > first[j]:
+                second[j] = max(first[j], g + own)
+                first[j], back[j] = way, (i, piece[0])
+            elif way > second[j]:
+                second[j] = way
+            if node is not None:
+                below = node[0]
+                for d in unit[j:]:
+                    if d not in below:
+                        break
+                    below, piece = below[d]
+                    j += 1
+                    if piece is None:
+                        continue
+                    own = piece[1]
+                    way = f + own
+                    if way > first[j]:
+                        second[j] = max(first[j], g + own)
+                        first[j], back[j] = way, (i, piece[0])
+                    elif way > second[j]:
+                        second[j] = way
+            i += 1
+        ids, at = [], n
+        while at:
+            at, own = back[at]
+            ids.append(own)
+        out = (first[n], first[n] - second[n], array("I", [x for own in reversed(ids) for x in own]).tobytes())
+        if len(self.known) >= self.most:
+            self.known.clear()
+        self.known[unit] = out
+        return out
+
+    def several(self, unit: str, n: int) -> Best:
+        """``n_best``, kept: the units in which texts differ first are few."""
+        out = self.lists.get((unit, n))
+        if out is None:
+            if len(self.lists) >= self.most // 10:
+                self.lists.clear()
+            out = self.lists[unit, n] = self.n_best(unit, n)
+        return out
+
     def best(self, unit: str) -> tuple[float, float, bytes]:
         """Score of the best, gap to the second best, and the best's ids as 32-bit values."""
         out = self.known.get(unit)
@@ -135,8 +213,11 @@ class Pieces:
         if n == 1:
             return out
         # the n best differ from the best in the n - 1 units with the least gaps at most
-        loose = [k for k in heapq.nsmallest(n - 1, range(len(entries)), key=lambda k: (entries[k][1], k)) if entries[k][1] < _INFINITE]
-        lists = [self.n_best(units[k] or "", n) for k in loose]
+        gaps = [e[1] for e in entries]
+        least = sorted(gaps)[: n - 1]
+        loose = sorted([k for k, g in enumerate(gaps) if g <= least[-1]], key=gaps.__getitem__)[: n - 1] if least else []
+        loose = [k for k in loose if gaps[k] < _INFINITE]
+        lists = [self.several(units[k] or "", n) for k in loose]
         heap = [(0.0, (0,) * len(lists))]
         seen = {heap[0][1]}
         while heap and len(out) < n:

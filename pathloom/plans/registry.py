@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import q_pixels, q_sequences
+from pathloom.plans import q_pixels, q_sequences, q_trajectory
 
-_ALL = {**q_sequences.QUERIES, **q_pixels.QUERIES}
+_ALL = {**q_sequences.QUERIES, **q_pixels.QUERIES, **q_trajectory.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
