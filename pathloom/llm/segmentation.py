@@ -114,63 +114,10 @@ class Pieces:
                 found.append((own, tuple(ids)))
                 continue
             for i, (piece, s) in reversed(ways[at]):
-                serial -= 1  # of equals, the first way of the latest position goes first, as in best()
+                serial -= 1  # of equals, the last pushed goes first
                 push(heap, (-(forward[i] + own + s), serial, i, own + s, (piece, tail)))
         return found
 
-    def best(self, unit: str) -> tuple[float, float, bytes]:
-        """Score of the best, gap to the second best, and the best's ids as 32-bit values, by a forward pass that keeps the
-        two best scores of each position. The path is that which A* pops first."""
-        out = self.known.get(unit)
-        if out is not None:
-            return out
-        n, none, tree = len(unit), -_INFINITE, self.tree
-        first, second = [none] * (n + 1), [none] * (n + 1)
-        back: list = [None] * (n + 1)
-        first[0] = 0.0
-        i = 0
-        for c in unit:
-            f, g, j = first[i], second[i], i + 1
-            node = tree.get(c)
-            if node is None or node[1] is None:
-                raw = c.encode("utf-8", "surrogatepass")
-                piece = (tuple([self.bytes[x] for x in raw]), self.byte_score * len(raw))
-            else:
-                piece = node[1]
-            own = piece[1]
-            way = f + own
-            if way > first[j]:
-                second[j] = max(first[j], g + own)
-                first[j], back[j] = way, (i, piece[0])
-            elif way > second[j]:
-                second[j] = way
-            if node is not None:
-                below = node[0]
-                for d in unit[j:]:
-                    if d not in below:
-                        break
-                    below, piece = below[d]
-                    j += 1
-                    if piece is None:
-                        continue
-                    own = piece[1]
-                    way = f + own
-                    if way > first[j]:
-                        second[j] = max(first[j], g + own)
-                        first[j], back[j] = way, (i, piece[0])
-                    elif way > second[j]:
-                        second[j] = way
-            i += 1
-        ids, at = [], n
-        while at:
-            at, own = back[at]
-            ids.append(own)
-        out = (first[n], first[n] - second[n], array("I", [x for own in reversed(ids) for x in own]).tobytes())
-        if len(self.known) >= self.most:
-            self.known.clear()
-        self.known[unit] = out
-        return out
-
     def several(self, unit: str, n: int) -> Best:
         """``n_best``, kept: the units in which texts differ first are few."""
         out = self.lists.get((unit, n))
@@ -192,10 +139,8 @@ class Pieces:
         return out
 
     def split(self, text: str) -> list[str]:
-        """The units of a text; spaces are marks, and a mark of the text itself stands alone as a line separator does."""
-        if not text:
-            return []
-        return self.units.findall(MARK + text.replace(MARK, "").replace(" ", MARK)) if MARK in text else self.units.findall(MARK + text.replace(" ", MARK))
+        """The units of a text without a space mark of its own; its spaces become marks, and one is set before it."""
+        return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, text: str | None, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations (score, ids as 32-bit values) of a whole text; one empty one of an empty text."""
