@@ -20,7 +20,7 @@ from pathloom.llm.common import chunks, is_held_out, labelled_sample, map_rows,
 #: Bound on the labelled rows a model is fitted on.
 SAMPLE = 12_000
 THRESHOLD = 0.7
-_BITS, _DIM, _WIDTHS, _FILTERS, _STEM = 15, 12, (1, 2, 3), 12, 6
+_BITS, _DIM, _WIDTHS, _FILTERS, _STEM = 17, 12, (1, 2, 3), 12, 6
 
 #: Function words that tell a text's language.
 FUNCTION_WORDS = {
