@@ -66,7 +66,8 @@ def signatures(own: np.ndarray, p: int, q: int) -> np.ndarray:
     table_ = bands(p, q)
     i = next(j for j, b in enumerate(table_) if b[0] >= n)
     top, mixed, out = own >> U(32), mix(own ^ U(0x5851F42D4C957F2D)), []
-    for j in (i, i + 1) if n * q // p > table_[i][0] else (i,):
+    last = next(j for j, b in enumerate(table_) if b[0] >= n * q // p)  # the band of the largest size that can link
+    for j in range(i, last + 1):
         _, d, k = table_[j]
         part = (top * U(k)) >> U(32)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))

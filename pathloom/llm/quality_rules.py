@@ -85,7 +85,8 @@ def failing_lines(scan: Scan, figures: dict[str, np.ndarray]) -> tuple[np.ndarra
     last[n > 0] = data[scan.word_end[b[n > 0] - 1] - 1]
     repeated = (lambda s: s[b] - s[a])(sums(figures["_repeated"]))
     words = scan.words()
-    echo = (lambda s: s[np.maximum(b - 1, a)] - s[a])(sums(words[1:] == words[:-1])) if len(words) > 1 else np.zeros(len(start))
+    same = sums(words[1:] == words[:-1])  # a blank last line starts behind the last word
+    echo = same[np.minimum(np.maximum(b - 1, a), len(same) - 1)] - same[np.minimum(a, len(same) - 1)]
     failed = n > 0
     failed &= (
         (symbols * 10 > n * 5)  # symbols: more than one for two words
