@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.plans import q_conformal, q_files, q_pixels, q_sequences, q_shapes, q_trajectory
+from pathloom.plans import q_conformal, q_files, q_motion, q_pixels, q_sequences, q_shapes, q_trajectory
 
-_ALL = {**q_sequences.QUERIES, **q_pixels.QUERIES, **q_trajectory.QUERIES, **q_conformal.QUERIES, **q_files.QUERIES, **q_shapes.QUERIES}
+_ALL = {**q_sequences.QUERIES, **q_pixels.QUERIES, **q_trajectory.QUERIES, **q_conformal.QUERIES, **q_files.QUERIES, **q_shapes.QUERIES, **q_motion.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
