@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from pathloom.schemas import MODES
 
-#: Colours of new layers, in turn.
-PALETTE = ((255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255))
+#: The colours (red, green, blue) of new layers, in turn.
+PALETTE = ((0, 200, 80), (30, 120, 255), (255, 180, 0), (220, 60, 220), (0, 210, 230), (255, 90, 40))
 
 
 def layer_mode(strokes: DataFrame, default: str = "object", key: str = "layer_id") -> DataFrame:

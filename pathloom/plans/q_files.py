@@ -129,7 +129,7 @@ QUERIES = {
     ),
     "layer_colour": (
         lambda s, d: table(s, d, "nation").select("n_nationkey", F.get(K.colour_of(F.col("n_nationkey")), F.lit(0)).alias("red"), F.get(K.colour_of(F.col("n_nationkey")), F.lit(2)).alias("blue")),
-        "SELECT n_nationkey, CAST([255, 0, 0, 255, 255, 0][n_nationkey % 6 + 1] AS INT) AS red, CAST([0, 0, 255, 0, 255, 255][n_nationkey % 6 + 1] AS INT) AS blue FROM nation",
+        "SELECT n_nationkey, CAST([0, 30, 255, 220, 0, 255][n_nationkey % 6 + 1] AS INT) AS red, CAST([80, 255, 0, 220, 230, 40][n_nationkey % 6 + 1] AS INT) AS blue FROM nation",
     ),
     "undo_redo": (lambda s, d: K.versions(events(s, d)), FOLD),
     "guideline_paste": (
