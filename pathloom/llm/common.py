@@ -43,6 +43,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Shared tables of one operator, dropped together when what was made of them is written elsewhere."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        out, path = shared_table(df, tag)
+        self.paths.append(path)
+        return out
+
+    def drop(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            drop_path(spark, path)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """The fixed evaluation fold: crc32 of the id as text, modulo 3, is 1."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
@@ -58,11 +74,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    rows = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull())
-        .join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").collect()
-    )
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    rows = texts_of(docs, picked).collect()
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def texts_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """``picked(doc_id, ...)``, a small table of distinct ids, with one text of each: the least, where an id is repeated."""
+    own = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id", "left_semi")
+    return own.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(picked), "doc_id")
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

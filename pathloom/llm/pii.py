@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import map_rows, map_texts, table
+from pathloom.llm.common import map_rows, map_texts, table, texts_of
 
 #: Kinds in the order of listing; the fixed patterns cover the first four.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -371,9 +371,12 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def surroundings(docs: DataFrame, bound: int = SAMPLE) -> list[str]:
-    """At most ``bound`` texts, picked by a hash of their ids; the prose that training windows are cut from."""
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, 4000).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(bound).collect()
-    return [r["text"] for r in rows]
+    """At most ``bound`` texts, picked by a hash of their ids; the prose that training windows are cut from.
+
+    Ids are picked first, so a task sends the driver ids only; then the picked texts are read.
+    """
+    picked = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return [r["text"] for r in texts_of(docs, picked).select("doc_id", F.substring("text", 1, 4000).alias("text")).orderBy("doc_id").collect()]
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
