@@ -1,18 +1,23 @@
 """N-gram Jaccard self-join: documents whose sets of word n-grams overlap enough, as exact link components.
 
 The overlap counts are a sparse product of the document by n-gram incidence matrix with its own transpose. It
-is never formed as a whole. Three steps keep it blocked:
-
-1. *Blocks from size bounds.* For sizes a and b the bound p/q on the Jaccard similarity leaves at most
-   (a+b)(q-p)/(q+p) n-grams that only one of the two has. Sizes fall into bands; in a band with largest size r,
-   the n-gram hashes are cut into more ranges than r allows differences, so two linked documents agree on
-   at least one whole range that is not empty. A hash of each range is a signature; documents that share one are
-   put in the same block (component of the signature graph). This loses no pair.
-2. *Blocked product.* A block's rows are multiplied in one task, row by row through the column lists; pairs
+is never formed as a whole. Four steps keep it blocked:
+
+1. *Columns from size bounds.* A set of size a that links at p/q shares at least a p/q of its n-grams, so two linked sets
+   share one of the first a - ceil(a p/q) + 1 in any common order. The order takes rare n-grams first, by a table of
+   counts of fixed size over all documents; passages that many documents share so come last. These columns are the
+   only ones whose rows meet.
+2. *Discarding by size-derived bounds.* Rows that meet in a column of at most COLUMN rows are paired, once. A pair goes when the
+   sizes are too far apart, or when the sums of differences of both sets' counts in equal ranges of hashes already
+   exceed the differences that the bound allows. In a longer column every row is paired with its least only, unchecked.
+   The pairs' components are blocks; no link crosses them.
+3. *Blocked product.* A block's rows are multiplied in one task, row by row through the column lists; pairs
    that can't reach the bound by their sizes, or by the triangle inequality of the Jaccard distance to rows
    already multiplied, are discarded before any counting, and accumulated counts below the bound after it. A
-   block with more than TILE rows is cut into tiles, and each pair of tiles is a task of its own.
-3. *Components.* The tasks return spanning links only; their components are the result.
+   block of more than one tile (TILE rows or TILE_SHINGLES n-grams) is first multiplied with PIVOTS of its own rows:
+   rows that link to a pivot are in one tree and need no product among themselves. What is left is cut into tiles by
+   tree, and each pair of tiles of different trees, or of rows without one, is a task of its own.
+4. *Components.* The tasks return spanning links only; their components are the result.
 """
 
 from __future__ import annotations
@@ -22,61 +27,66 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.llm.bytescan import Scan, U, mix, shingle_sets
-from pathloom.llm.common import chunks, map_rows, shared_table, table
+from pathloom.llm.common import Scratch, chunks, map_rows, shared_table, table
 from pathloom.llm.components import components
 
-#: Rows of one side of a tile pair.
-TILE = 2048
-_BAND_RATIO = 1.5
-_ALL = (1 << 64) - 1
-
-
-@lru_cache(maxsize=8)
-def bands(p: int, q: int, largest: int = 1 << 40) -> list[tuple[int, int, int]]:
-    """(largest size, differences allowed at most, ranges) of each band of sizes, for a bound of p/q."""
-    differ = lambda r: 2 * r * (q - p) // (q + p)
-    r = 1
-    while differ(r + 1) == 0:
-        r += 1
-    out = [(r, 0, 1)]
-    while r < largest:
-        low = (r + 1) * p // q
-        r = max(r + 1, int(r * _BAND_RATIO))
-        d, spare = differ(r), 0
-        for _ in range(40):  # ranges that may be empty, with a margin
-            k = d + 1 + spare
-            mean = k * np.exp(-low / k)
-            spare, before = int(np.ceil(mean + 4 * np.sqrt(mean))), spare
-            if spare <= before:
-                break
-        out.append((r, d, d + 1 + spare))
-    return out
+#: Rows and n-grams of one side of a tile pair, and the rows that all of a larger block are multiplied with first.
+TILE, TILE_SHINGLES, PIVOTS = 2048, 2_000_000, 8
+#: Rows of a column that are paired with one another; least ranges of a histogram; and bits of the table of counts.
+COLUMN, HISTOGRAM, COUNT_BITS = 32, 64, 20
 
 
-def signatures(own: np.ndarray, p: int, q: int) -> np.ndarray:
-    """The signatures of one sorted set of n-gram hashes."""
+def rarest(own: np.ndarray, classes: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The n-grams of a sorted set by which it meets every set that it can link to: the first of them, rare ones first."""
     n = len(own)
-    if not n:
+    k = n - -(-n * p // q) + 1
+    if not 0 < k < n:
         return own
-    table_ = bands(p, q)
-    i = next(j for j, b in enumerate(table_) if b[0] >= n)
-    top, mixed, out = own >> U(32), mix(own ^ U(0x5851F42D4C957F2D)), []
-    last = next(j for j, b in enumerate(table_) if b[0] >= n * q // p)  # the band of the largest size that can link
-    for j in range(i, last + 1):
-        _, d, k = table_[j]
-        part = (top * U(k)) >> U(32)
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        key = part[at] * U(0xD6E8FEB86659FD93) + U((j * 2 + 1) * 0xA0761D6478BD642F & _ALL)
-        out.append(mix(np.add.reduceat(mixed, at) + mix(key)))
-        if k - len(at) >= k - d:  # so many empty ranges that only an empty one may be shared
-            empty = np.setdiff1d(np.arange(k, dtype=U), part[at])
-            out.append(mix(empty * U(0xD6E8FEB86659FD93) + U(j * 2 * 0xA0761D6478BD642F & _ALL)))
-    return np.concatenate(out)
+    key = (classes[(own >> U(64 - COUNT_BITS)).astype(np.int64)].astype(U) << U(58)) | (mix(own) >> U(6))
+    return own[np.argpartition(key, k - 1)[:k]]
+
+
+def histogram(own: np.ndarray) -> bytes:
+    """How many n-grams fall into each of equal ranges of hashes, at most 255; about eight to a range, HISTOGRAM ranges at least."""
+    ranges = max(HISTOGRAM, 1 << (max(len(own) - 1, 1) // 8).bit_length())
+    at = (own >> U(65 - ranges.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=ranges), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """For each two histograms a number that the two sets differ in at least: the sum of differences over the wider ranges."""
+    out, size = np.zeros(len(a), np.int64), np.array([[len(x), len(y)] for x, y in zip(a, b)]).reshape(-1, 2)
+    for m, n in np.unique(size, axis=0).tolist():
+        own = np.flatnonzero((size == (m, n)).all(1))
+        for part in np.array_split(own, len(own) * max(m, n) // 8_000_000 + 1):
+            x, y = (np.frombuffer(b"".join([h[i] for i in part.tolist()]), np.uint8).reshape(len(part), min(m, n), -1).sum(2, dtype=np.int64) for h in (a, b))
+            out[part] = np.abs(x - y).sum(1)
+    return out
+
+
+def rarity(docs: DataFrame, words: int) -> np.ndarray:
+    """The binary logarithm of the counts of all documents' n-grams, by the first COUNT_BITS bits of their hashes.
+
+    Partitions add up their own counts first; what reaches the driver has a row for each entry of the table at most.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for _, _, sets in _profile(batch.column(0).to_pylist(), words):
+                total += np.bincount((np.concatenate(sets) >> U(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["entry", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "entry int, n long").groupBy("entry").agg(F.floor(F.log2(F.sum("n") + 1)).cast("tinyint").alias("class"))
+    found, out = counts.toArrow(), np.zeros(1 << COUNT_BITS, np.uint8)
+    out[found.column("entry").to_numpy()] = found.column("class").to_numpy()
+    return out
 
 
 def product_links(ids: list[int], sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
@@ -121,6 +131,26 @@ def product_links(ids: list[int], sets: list[np.ndarray], p: int, q: int) -> lis
     return links
 
 
+def meets(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches p/q; sizes too far apart are told from the bound alone."""
+    m, n = len(a), len(b)
+    if not m or not n or min(m, n) * q < p * max(m, n):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * q >= p * (m + n - both)
+
+
+def pivot_trees(pivots: list[np.ndarray], p: int, q: int) -> list[int]:
+    """The least pivot that each pivot reaches by links among them."""
+    tree = list(range(len(pivots)))
+    for i in range(len(pivots)):
+        for j in range(i):
+            if tree[i] != tree[j] and meets(pivots[i], pivots[j], p, q):
+                low, high = sorted((tree[i], tree[j]))
+                tree = [low if t == high else t for t in tree]
+    return tree
+
+
 def _profile(texts: list[str | None], n: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     for a, b in chunks(texts):
         yield a, b, shingle_sets(Scan(texts[a:b], lower=True), n)
@@ -140,10 +170,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     def profile(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         for a, b, sets in _profile(texts, words):
-            marks = [signatures(s, p, q) for s in sets]
+            marks = [rarest(s, shared.value, p, q) for s in sets]
             same = [f"{int(mix(s).sum()):016x}{int(mix(s + U(1)).sum()):016x}{len(s)}" if len(s) else None for s in sets]
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in marks])]).astype(np.int32), np.concatenate(marks).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.string()), lists], ["doc_id", "n_shingles", "same", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.string()), lists, pa.array([histogram(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "same", "marks", "ranges"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.table(batch).select(["u", "v", "nu", "nv", "ru", "rv"]).combine_chunks()
+            size = pair["nu"].to_numpy() + pair["nv"].to_numpy()
+            keep = least_difference(pair["ru"].to_pylist(), pair["rv"].to_pylist()) <= size * (q - p) // (q + p)
+            yield from pair.select(["u", "v"]).filter(pa.array(keep)).to_batches() or [pa.RecordBatch.from_pylist([], schema=pair.select(["u", "v"]).schema)]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = ([], []), None
@@ -161,22 +198,38 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
         yield out(product_links(*held, p, q))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known, _ = shared_table(map_rows(docs, profile, "doc_id long, n_shingles long, same string, marks array<long>"), "ngram-profile")
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, words))  # fixed size: 2**COUNT_BITS bytes
+    scratch = Scratch()
+    known, _ = shared_table(map_rows(docs, profile, "doc_id long, n_shingles long, same string, marks array<long>, ranges binary"), "ngram-profile")
     full = known.where("doc_id is not null and n_shingles > 0")
-    first = full.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    member = full.select("doc_id", "same").join(first, "same").select("doc_id", "rep")
-
-    mark = full.select("doc_id", F.explode("marks").alias("mark")).withColumn("low", F.min("doc_id").over(Window.partitionBy("mark")))
-    star = mark.where("doc_id <> low").select("doc_id", "low").distinct()
-    to = member.select(F.col("doc_id").alias("low"), F.col("rep").alias("v"))
-    near = star.join(member, "doc_id").join(to, "low").select(F.col("rep").alias("u"), "v")
-    block = components(near)
+    # minima are added up map-side and written, so that the joins back to the rows have plain exchanges on both
+    # sides, which Spark splits where one text or one signature has many documents
+    first = scratch.table(full.groupBy("same").agg(F.min("doc_id").alias("rep")), "ngram-first")
+    member = scratch.table(full.select("doc_id", "same").join(first, "same").select("doc_id", "rep"), "ngram-member")
+
+    # one document stands for all of its text; rows that repeat its doc_id with other texts stay apart
+    texts = scratch.table(full.join(first, (full["same"] == first["same"]) & (full["doc_id"] == first["rep"])).select("doc_id", "n_shingles", "marks", "ranges"), "ngram-texts")
+    mark = texts.select("doc_id", F.explode("marks").alias("mark"))
+    column = scratch.table(mark.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high").drop("high"), "ngram-columns")
+    meet = scratch.table(mark.join(column, "mark"), "ngram-meet")
+    star = meet.where((F.col("c") > COLUMN) & (F.col("doc_id") != F.col("low"))).select(F.col("doc_id").alias("u"), F.col("low").alias("v")).distinct()
+    short = meet.where(F.col("c") <= COLUMN)
+    pairs = short.select("mark", F.col("doc_id").alias("u")).join(short.select("mark", F.col("doc_id").alias("v")), "mark").where("u > v").select("u", "v").distinct()
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("ranges").alias(f"r{c}"))
+    near = pairs.join(side("u"), "u").join(side("v"), "v").where((F.least("nu", "nv") * q >= F.greatest("nu", "nv") * p)).mapInArrow(close, "u long, v long")
+    block = components(near.union(star))
     block = block.union(block.select(F.col("component").alias("node"), "component").distinct())
-    tiles = block.join(block.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("n_tiles")), "component")
-    tiles = tiles.withColumn("own", F.pmod(F.xxhash64("node"), "n_tiles")).select(
-        F.col("node").alias("doc_id"), "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_tiles") - 1), lambda t: F.struct(F.least(t, "own").alias("i"), F.greatest(t, "own").alias("j")))).alias("t"),
-    ).select("doc_id", "component", "t.i", "t.j")
-    tiles, _ = shared_table(tiles, "ngram-tiles")
+    sizes = texts.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
+    block = scratch.table(block.join(sizes, F.col("node") == F.col("doc_id")).select("doc_id", "component", "n"), "ngram-blocks")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts")
+    whole = scratch.table(block.groupBy("component").agg(parts), "ngram-sizes")
+    tiles = block.join(whole.where("parts = 1"), "component").select("doc_id", "component", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    tied = None
+    if not whole.where("parts > 1").isEmpty():
+        several = whole.where("parts > 1")
+        more, tied = _tree_tiles(docs, block.join(several, "component", "left_semi"), several, parts, words, p, q, scratch)
+        tiles = tiles.unionByName(more)
+    tiles = scratch.table(tiles, "ngram-tiles")
     # few texts are in a block: a Bloom filter of bounded size keeps the others out of the join's shuffle
     for name, value in (("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "1g")):
         docs.sparkSession.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{name}", value)
@@ -185,10 +238,56 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
 
     # copies hang on their representative; repeated rows with one doc_id may have several
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = components(links.union(copies))
+    found = components(links.union(copies) if tied is None else links.union(copies).union(tied))
+    scratch.drop(docs.sparkSession)
     return known.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _tree_tiles(docs: DataFrame, large: DataFrame, whole: DataFrame, parts: Column, words: int, p: int, q: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Tile pairs ``(doc_id, component, i, j)`` of the blocks ``large(doc_id, component, n)`` of ``whole(component, parts)``, and the links to pivots ``(u, v)``.
+
+    Pivots are the least ids of PIVOTS hash classes. A block's documents are dealt into as many groups as it has tiles; each
+    group is streamed behind the pivots, so a task holds the pivots' sets and one chunk of documents.
+    """
+    large = scratch.table(large.join(whole, "component").withColumn("group", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")), "ngram-large")
+    pivot = large.groupBy("component", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))).agg(F.min("doc_id").alias("doc_id")).select("component", "doc_id")
+    texts = docs.join(pivot, "doc_id").groupBy("component", "doc_id").agg(F.min("text").alias("text")).join(whole, "component")
+    first = texts.select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("group"), F.lit(0).alias("turn"), "doc_id", F.lit(0).cast("long").alias("n"), "text")
+    rest = docs.join(large, "doc_id").select("component", "group", F.lit(1).alias("turn"), "doc_id", "n", "text")
+    rows = first.unionByName(rest).repartition("component", "group").sortWithinPartitions("component", "group", "turn", "doc_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, own, tree = None, [], [], None
+        for batch in batches:
+            component, group, turn, doc, n = (batch.column(c).to_pylist() for c in range(5))
+            for a, b, sets in _profile(batch.column(5).to_pylist(), words):
+                out = []
+                for at, s in zip(range(a, b), sets):
+                    if (component[at], group[at]) != key:
+                        key, ids, own, tree = (component[at], group[at]), [], [], None
+                    if turn[at] == 0:
+                        ids.append(doc[at])
+                        own.append(s)
+                    else:
+                        tree = tree or pivot_trees(own, p, q)
+                        k = next((k for k, other in enumerate(own) if meets(s, other, p, q)), None)
+                        out.append((component[at], doc[at], n[at], None if k is None else ids[k], -1 if k is None else tree[k]))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], ["component", "doc_id", "n", "pivot", "tree"])
+
+    treed = rows.mapInArrow(compare, "component long, doc_id long, n long, pivot long, tree int").groupBy("component", "doc_id").agg(F.max("n").alias("n"), F.max_by("pivot", "tree").alias("pivot"), F.max("tree").alias("tree"))
+    treed = scratch.table(treed, "ngram-trees")
+    own = treed.groupBy("component", "tree").agg(parts)  # PIVOTS + 1 rows a block at most
+    w = Window.partitionBy("component").orderBy("tree")
+    own = own.withColumn("at", F.coalesce(F.sum("parts").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    every = F.collect_list(F.struct("tree", "parts", "at")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    own = scratch.table(own.withColumn("every", every), "ngram-tree-sizes")
+    placed = treed.join(own, ["component", "tree"]).withColumn("own", (F.col("at") + F.pmod(F.xxhash64("doc_id"), "parts")).cast("int"))
+    others = F.flatten(F.transform(F.filter("every", lambda e: (e["tree"] != F.col("tree")) | (F.col("tree") == -1)), lambda e: F.sequence(e["at"], e["at"] + e["parts"] - 1)))
+    tiles = placed.select("doc_id", "component", "own", F.explode(others).alias("t")).select("doc_id", "component", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"))
+    return tiles, treed.where("pivot <> doc_id").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
+
+
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id, with all its columns.
 

@@ -43,39 +43,72 @@ def test_components_equal_those_of_all_pairs(spark, words, percent, seed):
     assert got == jaccard_components(docs, words, percent)
 
 
-def test_tiles_of_a_large_block_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("seed,edits,pivots", [(8, 4, 8), (9, 14, 2), (10, 8, 1)])
+def test_tiles_of_a_large_block_lose_no_link(spark, monkeypatch, seed, edits, pivots):
+    """A block of several tiles: copies near its pivots, copies near those only, and repeated ids with other texts."""
     monkeypatch.setattr(ngram_join, "TILE", 8)
-    rng = random.Random(8)
-    base = [f"w{i}" for i in range(200)]
-    docs = []
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+    monkeypatch.setattr(ngram_join, "COLUMN", 16)
+    rng = random.Random(seed)
+    docs, texts = [], [" ".join(f"w{i}" for i in range(200))]
     for i in range(90):
-        w = list(base)
-        for _ in range(rng.randrange(4)):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randrange(edits)):
             w[rng.randrange(200)] = f"n{rng.randrange(10**6)}"
-        docs.append((i, " ".join(w)))
+        texts.append(" ".join(w))
+        docs.append((i, texts[-1]))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == jaccard_components(docs, 3, 90)
 
 
+def test_pivot_trees_are_closed_under_links():
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
+    step = lambda s, k: np.unique(np.concatenate([s[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)]))
+    chain = [base]
+    for _ in range(3):
+        chain.append(step(chain[-1], 4))
+    far = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
+    assert ngram_join.pivot_trees([chain[0], far, chain[1], chain[2]], 90, 100) == [0, 1, 0, 0]
+    assert ngram_join.meets(chain[3], chain[2], 90, 100) and not ngram_join.meets(chain[3], chain[0], 90, 100)
+    assert not ngram_join.meets(base, base[:0], 90, 100)
+
+
 def test_the_query_matches_its_sql(same_as_sql):
     same_as_sql(ngram_join.op6, ngram_join.SQL)
 
 
-@pytest.mark.parametrize("p,q", [(90, 100), (80, 100), (50, 100)])
-def test_sets_at_the_bound_share_a_signature(p, q):
-    """Any two sets that meet the bound agree on a signature, wherever their sizes fall in the bands."""
+@pytest.mark.parametrize("p,q", [(90, 100), (80, 100), (50, 100), (100, 100)])
+def test_linked_sets_meet_and_are_not_discarded(p, q):
+    """Any two sets that reach the bound share a column, and their histograms differ no more than it allows."""
     rng = np.random.default_rng(p)
+    classes = rng.integers(0, 20, 1 << ngram_join.COUNT_BITS).astype(np.uint8)
     for size in [1, 2, 3, 5, 9, 10, 11, 17, 19, 20, 33, 64, 100, 101, 150, 333, 700, 2000]:
         for _ in range(25):
-            own = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
-            # take and add as many as the bound allows
-            most = 2 * size * (q - p) // (q + p)
+            own = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            most = 2 * size * (q - p) // (q + p)  # take and add as many as the bound allows
             take = int(rng.integers(0, most + 1))
-            add = most - take
-            other = np.unique(np.concatenate([rng.choice(own, len(own) - min(take, len(own)), replace=False), rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
+            other = np.unique(np.concatenate([rng.choice(own, len(own) - min(take, len(own)), replace=False), rng.integers(0, 1 << 63, most - take, dtype=np.uint64)]))
             both = len(np.intersect1d(own, other))
             if len(other) and both * q >= p * (len(own) + len(other) - both):
-                assert set(ngram_join.signatures(own, p, q).tolist()) & set(ngram_join.signatures(other, p, q).tolist()), (size, take, add)
+                assert set(ngram_join.rarest(own, classes, p, q).tolist()) & set(ngram_join.rarest(other, classes, p, q).tolist()), (size, take)
+                least = ngram_join.least_difference([ngram_join.histogram(own)], [ngram_join.histogram(other)])[0]
+                assert least <= len(own) + len(other) - 2 * both <= (len(own) + len(other)) * (q - p) // (q + p)
+
+
+def test_histograms_discard_sets_that_share_little():
+    rng = np.random.default_rng(1)
+    for n in (100, 400, 3000, 20_000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
+        assert ngram_join.least_difference([ngram_join.histogram(a)], [ngram_join.histogram(b)])[0] > 2 * n * 20 // 180
+
+
+def test_rare_columns_come_first(spark):
+    docs = spark.createDataFrame([(i, f"a b c d{i} e{i} f{i}") for i in range(50)], "doc_id long, text string")
+    classes = ngram_join.rarity(docs, 3)
+    own = ngram_join.shingle_sets(ngram_join.Scan(["a b c d1 e1 f1"], lower=True), 3)[0]
+    common = ngram_join.shingle_sets(ngram_join.Scan(["a b c"], lower=True), 3)[0]
+    assert common[0] not in ngram_join.rarest(own, classes, 60, 100) and len(ngram_join.rarest(own, classes, 60, 100)) == 2
 
 
 def test_product_gives_a_spanning_forest():
