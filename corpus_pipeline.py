@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import ngram_join, packing, pii, quality_crf, quality_rules
-from pathloom.llm.common import labelled_sample, shared_table, table
+from pathloom.llm.common import drop_path, labelled_sample, shared_table, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -54,9 +54,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = shared_table(stage(spark, docs, sf_dir), name)
+        docs, path = shared_table(stage(spark, docs, sf_dir), name)
+        if before:  # nothing reads the stage before any more
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -3,14 +3,15 @@
 The overlap counts are a sparse product of the document by n-gram incidence matrix with its own transpose. It
 is never formed as a whole. Four steps keep it blocked:
 
-1. *Columns from size bounds.* A set of size a that links at p/q shares at least a p/q of its n-grams, so two linked sets
-   share one of the first a - ceil(a p/q) + 1 in any common order. The order takes rare n-grams first, by a table of
-   counts of fixed size over all documents; passages that many documents share so come last. These columns are the
-   only ones whose rows meet.
-2. *Discarding by size-derived bounds.* Rows that meet in a column of at most COLUMN rows are paired, once. A pair goes when the
-   sizes are too far apart, or when the sums of differences of both sets' counts in equal ranges of hashes already
-   exceed the differences that the bound allows. In a longer column every row is paired with its least only, unchecked.
-   The pairs' components are blocks; no link crosses them.
+1. *Where rows meet, from size bounds.* At 90 % or more, sizes fall into bands; in a band with largest size r, two linked sets differ in at
+   most 2 r (q-p)/(q+p) n-grams, so where hashes are cut into more ranges than that, they agree on a whole range that is not empty.
+   A hash of each range is a mark, and holds six n-grams or more, which few other documents share. Under 90 % ranges would
+   hold too few. A set of size a that links at p/q shares at least a p/q of its n-grams, so two linked sets share one of the
+   first a - ceil(a p/q) + 1 in any common order; these are the marks. The order takes rare n-grams first, by a table of counts of
+   fixed size over all documents, so passages that many documents share come last.
+2. *Blocks.* Each row hangs on the least of those that share a mark with it. Under 90 % rows of a mark of at most COLUMN rows are paired
+   instead, once, and a pair goes when the sizes are too far apart, or when the sums of differences of both sets' counts in equal ranges of
+   hashes already exceed the differences that the bound allows. Components are blocks; no link crosses them.
 3. *Blocked product.* A block's rows are multiplied in one task, row by row through the column lists; pairs
    that can't reach the bound by their sizes, or by the triangle inequality of the Jaccard distance to rows
    already multiplied, are discarded before any counting, and accumulated counts below the bound after it. A
@@ -39,6 +40,51 @@ from pathloom.llm.components import components
 TILE, TILE_SHINGLES, PIVOTS = 2048, 2_000_000, 8
 #: Rows of a column that are paired with one another; least ranges of a histogram; and bits of the table of counts.
 COLUMN, HISTOGRAM, COUNT_BITS = 32, 64, 20
+_BAND_RATIO = 1.5
+_ALL = (1 << 64) - 1
+
+
+@lru_cache(maxsize=8)
+def bands(p: int, q: int, largest: int = 1 << 40) -> list[tuple[int, int, int]]:
+    """(largest size, differences allowed at most, ranges) of each band of sizes, for a bound of p/q."""
+    differ = lambda r: 2 * r * (q - p) // (q + p)
+    r = 1
+    while differ(r + 1) == 0:
+        r += 1
+    out = [(r, 0, 1)]
+    while r < largest:
+        low = (r + 1) * p // q
+        r = max(r + 1, int(r * _BAND_RATIO))
+        d, spare = differ(r), 0
+        for _ in range(40):  # ranges that may be empty, with a margin
+            k = d + 1 + spare
+            mean = k * np.exp(-low / k)
+            spare, before = int(np.ceil(mean + 4 * np.sqrt(mean))), spare
+            if spare <= before:
+                break
+        out.append((r, d, d + 1 + spare))
+    return out
+
+
+def signatures(own: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The signatures of one sorted set of n-gram hashes."""
+    n = len(own)
+    if not n:
+        return own
+    table_ = bands(p, q)
+    i = next(j for j, b in enumerate(table_) if b[0] >= n)
+    top, mixed, out = own >> U(32), mix(own ^ U(0x5851F42D4C957F2D)), []
+    last = next(j for j, b in enumerate(table_) if b[0] >= n * q // p)  # the band of the largest size that can link
+    for j in range(i, last + 1):
+        _, d, k = table_[j]
+        part = (top * U(k)) >> U(32)
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        key = part[at] * U(0xD6E8FEB86659FD93) + U((j * 2 + 1) * 0xA0761D6478BD642F & _ALL)
+        out.append(mix(np.add.reduceat(mixed, at) + mix(key)))
+        if k - len(at) >= k - d:  # so many empty ranges that only an empty one may be shared
+            empty = np.setdiff1d(np.arange(k, dtype=U), part[at])
+            out.append(mix(empty * U(0xD6E8FEB86659FD93) + U(j * 2 * 0xA0761D6478BD642F & _ALL)))
+    return np.concatenate(out)
 
 
 def rarest(own: np.ndarray, classes: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -170,7 +216,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     def profile(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         for a, b, sets in _profile(texts, words):
-            marks = [rarest(s, shared.value, p, q) for s in sets]
+            marks = [signatures(s, p, q) if whole_ranges else rarest(s, shared.value, p, q) for s in sets]
             same = [f"{int(mix(s).sum()):016x}{int(mix(s + U(1)).sum()):016x}{len(s)}" if len(s) else None for s in sets]
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in marks])]).astype(np.int32), np.concatenate(marks).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.string()), lists, pa.array([histogram(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "same", "marks", "ranges"])
@@ -198,9 +244,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
         yield out(product_links(*held, p, q))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, words))  # fixed size: 2**COUNT_BITS bytes
+    whole_ranges = p * 10 >= q * 9
+    shared = None if whole_ranges else docs.sparkSession.sparkContext.broadcast(rarity(docs, words))  # fixed size: 2**COUNT_BITS bytes
     scratch = Scratch()
-    known, _ = shared_table(map_rows(docs, profile, "doc_id long, n_shingles long, same string, marks array<long>, ranges binary"), "ngram-profile")
+    known = scratch.table(map_rows(docs, profile, "doc_id long, n_shingles long, same string, marks array<long>, ranges binary"), "ngram-profile")
     full = known.where("doc_id is not null and n_shingles > 0")
     # minima are added up map-side and written, so that the joins back to the rows have plain exchanges on both
     # sides, which Spark splits where one text or one signature has many documents
@@ -212,12 +259,14 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     mark = texts.select("doc_id", F.explode("marks").alias("mark"))
     column = scratch.table(mark.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high").drop("high"), "ngram-columns")
     meet = scratch.table(mark.join(column, "mark"), "ngram-meet")
-    star = meet.where((F.col("c") > COLUMN) & (F.col("doc_id") != F.col("low"))).select(F.col("doc_id").alias("u"), F.col("low").alias("v")).distinct()
-    short = meet.where(F.col("c") <= COLUMN)
-    pairs = short.select("mark", F.col("doc_id").alias("u")).join(short.select("mark", F.col("doc_id").alias("v")), "mark").where("u > v").select("u", "v").distinct()
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("ranges").alias(f"r{c}"))
-    near = pairs.join(side("u"), "u").join(side("v"), "v").where((F.least("nu", "nv") * q >= F.greatest("nu", "nv") * p)).mapInArrow(close, "u long, v long")
-    block = components(near.union(star))
+    checked = F.lit(False) if whole_ranges else F.col("c") <= COLUMN
+    star = meet.where(~checked & (F.col("doc_id") != F.col("low"))).select(F.col("doc_id").alias("u"), F.col("low").alias("v")).distinct()
+    if not whole_ranges:
+        short = meet.where(checked)
+        pairs = short.select("mark", F.col("doc_id").alias("u")).join(short.select("mark", F.col("doc_id").alias("v")), "mark").where("u > v").select("u", "v").distinct()
+        side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("ranges").alias(f"r{c}"))
+        star = star.union(pairs.join(side("u"), "u").join(side("v"), "v").where((F.least("nu", "nv") * q >= F.greatest("nu", "nv") * p)).mapInArrow(close, "u long, v long"))
+    block = components(star)
     block = block.union(block.select(F.col("component").alias("node"), "component").distinct())
     sizes = texts.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
     block = scratch.table(block.join(sizes, F.col("node") == F.col("doc_id")).select("doc_id", "component", "n"), "ngram-blocks")
@@ -239,8 +288,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     # copies hang on their representative; repeated rows with one doc_id may have several
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = components(links.union(copies) if tied is None else links.union(copies).union(tied))
+    out, _ = shared_table(known.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "ngram-components")
     scratch.drop(docs.sparkSession)
-    return known.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out
 
 
 def _tree_tiles(docs: DataFrame, large: DataFrame, whole: DataFrame, parts: Column, words: int, p: int, q: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -96,6 +96,19 @@ def test_linked_sets_meet_and_are_not_discarded(p, q):
                 assert least <= len(own) + len(other) - 2 * both <= (len(own) + len(other)) * (q - p) // (q + p)
 
 
+def test_sets_at_the_bound_share_a_whole_range():
+    rng = np.random.default_rng(90)
+    for size in [1, 2, 3, 5, 9, 10, 11, 17, 19, 20, 33, 64, 100, 101, 150, 333, 700, 2000]:
+        for _ in range(25):
+            own = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            most = 2 * size * 10 // 190
+            take = int(rng.integers(0, most + 1))
+            other = np.unique(np.concatenate([rng.choice(own, len(own) - take, replace=False), rng.integers(0, 1 << 63, most - take, dtype=np.uint64)]))
+            both = len(np.intersect1d(own, other))
+            if len(other) and both * 100 >= 90 * (len(own) + len(other) - both):
+                assert set(ngram_join.signatures(own, 90, 100).tolist()) & set(ngram_join.signatures(other, 90, 100).tolist()), (size, take)
+
+
 def test_histograms_discard_sets_that_share_little():
     rng = np.random.default_rng(1)
     for n in (100, 400, 3000, 20_000):
