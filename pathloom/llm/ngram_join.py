@@ -186,15 +186,21 @@ def meets(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
     return both * q >= p * (m + n - both)
 
 
-def pivot_trees(pivots: list[np.ndarray], p: int, q: int) -> list[int]:
-    """The least pivot that each pivot reaches by links among them."""
-    tree = list(range(len(pivots)))
+def pivot_forest(pivots: list[np.ndarray], p: int, q: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """The least pivot that each pivot reaches by links among them, and the spanning links (later, earlier) by which it does."""
+    tree, links = list(range(len(pivots))), []
     for i in range(len(pivots)):
         for j in range(i):
             if tree[i] != tree[j] and meets(pivots[i], pivots[j], p, q):
                 low, high = sorted((tree[i], tree[j]))
                 tree = [low if t == high else t for t in tree]
-    return tree
+                links.append((i, j))
+    return tree, links
+
+
+def pivot_trees(pivots: list[np.ndarray], p: int, q: int) -> list[int]:
+    """The least pivot that each pivot reaches by links among them."""
+    return pivot_forest(pivots, p, q)[0]
 
 
 def _profile(texts: list[str | None], n: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -294,10 +300,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
 
 
 def _tree_tiles(docs: DataFrame, large: DataFrame, whole: DataFrame, parts: Column, words: int, p: int, q: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Tile pairs ``(doc_id, component, i, j)`` of the blocks ``large(doc_id, component, n)`` of ``whole(component, parts)``, and the links to pivots ``(u, v)``.
+    """Tile pairs ``(doc_id, component, i, j)`` of the blocks ``large(doc_id, component, n)`` of ``whole(component, parts)``, and the links to pivots and among them ``(u, v)``.
 
     Pivots are the least ids of PIVOTS hash classes. A block's documents are dealt into as many groups as it has tiles; each
-    group is streamed behind the pivots, so a task holds the pivots' sets and one chunk of documents.
+    group is streamed behind the pivots, so a task holds the pivots' sets and one chunk of documents. A pivot's own row brings
+    the spanning links that joined it to earlier pivots, as rows of one tree are not multiplied with one another.
     """
     large = scratch.table(large.join(whole, "component").withColumn("group", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")), "ngram-large")
     pivot = large.groupBy("component", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))).agg(F.min("doc_id").alias("doc_id")).select("component", "doc_id")
@@ -307,25 +314,28 @@ def _tree_tiles(docs: DataFrame, large: DataFrame, whole: DataFrame, parts: Colu
     rows = first.unionByName(rest).repartition("component", "group").sortWithinPartitions("component", "group", "turn", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, own, tree = None, [], [], None
+        key, ids, own, tree, links = None, [], [], None, []
         for batch in batches:
             component, group, turn, doc, n = (batch.column(c).to_pylist() for c in range(5))
             for a, b, sets in _profile(batch.column(5).to_pylist(), words):
                 out = []
                 for at, s in zip(range(a, b), sets):
                     if (component[at], group[at]) != key:
-                        key, ids, own, tree = (component[at], group[at]), [], [], None
+                        key, ids, own, tree, links = (component[at], group[at]), [], [], None, []
                     if turn[at] == 0:
                         ids.append(doc[at])
                         own.append(s)
                     else:
-                        tree = tree or pivot_trees(own, p, q)
+                        if tree is None:
+                            tree, links = pivot_forest(own, p, q)
                         k = next((k for k, other in enumerate(own) if meets(s, other, p, q)), None)
-                        out.append((component[at], doc[at], n[at], None if k is None else ids[k], -1 if k is None else tree[k]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], ["component", "doc_id", "n", "pivot", "tree"])
+                        out.append((component[at], doc[at], n[at], None if k is None else ids[k], -1 if k is None else tree[k], [ids[j] for i, j in links if ids[i] == doc[at]]))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], ["component", "doc_id", "n", "pivot", "tree", "earlier"])
 
-    treed = rows.mapInArrow(compare, "component long, doc_id long, n long, pivot long, tree int").groupBy("component", "doc_id").agg(F.max("n").alias("n"), F.max_by("pivot", "tree").alias("pivot"), F.max("tree").alias("tree"))
+    # rows with one doc_id have equal links to earlier pivots
+    kept = (F.max("n").alias("n"), F.max_by("pivot", "tree").alias("pivot"), F.max("tree").alias("tree"), F.max("earlier").alias("earlier"))
+    treed = rows.mapInArrow(compare, "component long, doc_id long, n long, pivot long, tree int, earlier array<long>").groupBy("component", "doc_id").agg(*kept)
     treed = scratch.table(treed, "ngram-trees")
     own = treed.groupBy("component", "tree").agg(parts)  # PIVOTS + 1 rows a block at most
     w = Window.partitionBy("component").orderBy("tree")
@@ -335,7 +345,8 @@ def _tree_tiles(docs: DataFrame, large: DataFrame, whole: DataFrame, parts: Colu
     placed = treed.join(own, ["component", "tree"]).withColumn("own", (F.col("at") + F.pmod(F.xxhash64("doc_id"), "parts")).cast("int"))
     others = F.flatten(F.transform(F.filter("every", lambda e: (e["tree"] != F.col("tree")) | (F.col("tree") == -1)), lambda e: F.sequence(e["at"], e["at"] + e["parts"] - 1)))
     tiles = placed.select("doc_id", "component", "own", F.explode(others).alias("t")).select("doc_id", "component", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"))
-    return tiles, treed.where("pivot <> doc_id").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
+    tied = treed.where("pivot <> doc_id").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
+    return tiles, tied.union(treed.select(F.col("doc_id").alias("u"), F.explode("earlier").alias("v")))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -61,6 +61,24 @@ def test_tiles_of_a_large_block_lose_no_link(spark, monkeypatch, seed, edits, pi
     assert got == jaccard_components(docs, 3, 90)
 
 
+def test_pivots_of_one_tree_stay_linked(spark, monkeypatch):
+    """Pivots P1 ~ P3 ~ P2 with P1 and P2 too far apart, in a block whose rows are all in their tree, so that no tiles are multiplied."""
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 3)
+    class_of = {r["id"]: r["c"] for r in spark.range(200).selectExpr("id", "pmod(xxhash64(id), 3) c").collect()}
+    pivots = sorted(min(i for i in class_of if class_of[i] == c) for c in range(3))
+    edit = lambda w, at: [f"n{k}" if k in at else x for k, x in enumerate(w)]
+    base = [f"w{i}" for i in range(200)]
+    p1, p2 = edit(base, (5, 25, 45)), edit(base, (155, 175, 195))
+    docs = list(zip(pivots, [" ".join(p1), " ".join(p2), " ".join(base)]))
+    for k, i in enumerate(range(pivots[2] + 1, pivots[2] + 21)):
+        docs.append((i, " ".join(edit((p1, p2)[k % 2], (60 + 4 * k,)))))
+    want = jaccard_components(docs, 3, 90)
+    assert {c for _, c in want.values()} == {pivots[0]}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_pivot_trees_are_closed_under_links():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
