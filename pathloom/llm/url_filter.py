@@ -1,6 +1,7 @@
 """URL filters by a bit-parallel wildcard automaton.
 
-Rules are globs over the canonical URL: lower-cased host and then the path. All globs' positions are packed into multiword
+Rules are globs over the canonical URL: lower-cased host and then the path, with HOST_END between them, which neither holds. A
+glob with HOST_END sees it, and no star or ? runs over it; other globs pass it by. All globs' positions are packed into multiword
 Shift-And masks, one bit a position; each byte of a URL moves every glob at once. A batch of URLs is advanced
 together, position by position.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import map_rows, table
 
 _U = np.uint64
+#: Where the host ends in the canonical URL; hosts and paths stop before it.
+HOST_END = "#"
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,8 @@ class Rule:
 
 def host_rule(text: str, verdict: str) -> list[Rule]:
     """``host/path``: the host and all its subdomains, where the path starts with the rule's. A longer text outranks a shorter one."""
-    return [Rule(glob + "*", verdict, 1_000_000 + len(text), text) for glob in (text, "*." + text)]
+    host, slash, path = text.partition("/")
+    return [Rule(f"{own}{HOST_END}{slash}{path}*", verdict, 1_000_000 + len(text), text) for own in (host, "*." + host)]
 
 
 #: The listed hosts.
@@ -51,7 +55,7 @@ class Automaton:
     def __init__(self, rules: list[Rule]):
         self.rules = rules
         symbols: list[tuple[int | None, bool]] = []  # of each bit: byte to reach it (None: any), and whether a star holds it
-        start, final = [], []
+        start, final, blind = [], [], []  # blind: bits of rules that pass the host's end by
         for rule in rules:
             start.append(len(symbols))
             symbols.append((-1, False))
@@ -61,9 +65,11 @@ class Automaton:
                 else:
                     symbols.append((None if c == ord("?") else c, False))
             final.append(len(symbols) - 1)
+            blind += range(start[-1], len(symbols)) if HOST_END not in rule.glob else ()
         self.words = (len(symbols) + 63) // 64
         self.step = np.zeros((256, self.words), _U)
-        self.stay, self.start = np.zeros(self.words, _U), np.zeros(self.words, _U)
+        self.start = np.zeros(self.words, _U)
+        self.stay = np.zeros((256, self.words), _U)
         for i, (byte, star) in enumerate(symbols):
             w, bit = i // 64, _U(1 << (i % 64))
             if byte is None:
@@ -71,7 +77,14 @@ class Automaton:
             elif byte >= 0:
                 self.step[byte, w] |= bit
             if star:
-                self.stay[w] |= bit
+                self.stay[:, w] |= bit
+        end = ord(HOST_END)
+        self.step[end], self.stay[end] = 0, 0
+        for i, (byte, _) in enumerate(symbols):
+            if byte == end:
+                self.step[end, i // 64] |= _U(1 << (i % 64))
+        for i in blind:
+            self.stay[end, i // 64] |= _U(1 << (i % 64))
         for i in start:
             self.start[i // 64] |= _U(1 << (i % 64))
         self.final = [(i // 64, _U(1 << (i % 64))) for i in final]
@@ -89,7 +102,8 @@ class Automaton:
             now = state[own]
             moved = now << _U(1)
             moved[:, 1:] |= now[:, :-1] >> _U(63)
-            state[own] = (moved & self.step[data[at[own] + t]]) | (now & self.stay)
+            byte = data[at[own] + t]
+            state[own] = (moved & self.step[byte]) | (now & self.stay[byte])
         return np.stack([(state[:, w] & bit) != 0 for w, bit in self.final], 1) if self.final else np.zeros((len(raw), 0), bool)
 
     def best(self, urls: list[str]) -> np.ndarray:
@@ -124,7 +138,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a = shared.value
-        best = a.best([h + p for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())])
+        best = a.best([h + HOST_END + p for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())])
         own = [a.rules[i] if i >= 0 else None for i in best.tolist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.name if r else None for r in own], pa.string()), pa.array([r.verdict if r else "allow" for r in own], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 

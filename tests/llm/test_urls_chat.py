@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -30,6 +31,27 @@ def test_without_rules_all_is_allowed(spark):
     assert url_filter.filter_urls(pages, []).first()["verdict"] == "allow"
 
 
+def test_host_rules_stop_at_the_host(spark):
+    """Urls that hold other urls, and hosts and paths that only together read like a rule's host, against the query's SQL."""
+    hosts = ["web.archive.org", "foo.net", "www.example.net", "example.net.evil.io", "notexample.com", "example.com", "a.b.org", "net", "org", "", "xcasino", "click"]
+    paths = ["", "/", "/x", "/en/", "/fr/a", "/de/", "/web/2015/http://www.foo.net/x", "/a/b.example.com/de/1", "/to.org/fr/", "/www.example.net/en/", ".net/", "/x.net/casino", "/wp-login.php", "/clickXid=1"]
+    urls = [f"http://{h}{p}{q}" for h in hosts for p in paths for q in ("", "?u=http://b.net/", "#/c.net/")] + [None, "", "b.net/x", "/en/://foo.net/en/"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    want = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.SQL})").fetchall())
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.default_rules()).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got)) == want
+    by = {urls[r["page_id"]]: (r["rule"], r["verdict"]) for r in got}
+    assert by["http://web.archive.org/web/2015/http://www.foo.net/x"] == (None, "allow")
+
+
+def test_globs_without_a_host_end_pass_it_by():
+    rules = [url_filter.Rule(g, "block", i) for i, g in enumerate(["*a?b*", "xa/b", "x?/b", "", "*a/*", "*a#*", "?a#?b", "x*b#*", "/b"])]
+    got = url_filter.Automaton(rules).accept(["xa#/b", "#", "#/b", "xab#b"])
+    assert got.astype(int).tolist() == [[1, 1, 1, 0, 1, 1, 1, 0, 0], [0, 0, 0, 1, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0, 0, 1], [1, 0, 0, 0, 0, 0, 0, 1, 0]]
+
+
 def test_queries_match_their_sql(same_as_sql):
     same_as_sql(url_filter.op3, url_filter.SQL)
     same_as_sql(chat.op5, chat.SQL)
