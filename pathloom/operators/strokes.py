@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.schemas import MODES
+from pathloom.shared import gathered, streamed
 
 #: The colours (red, green, blue) of new layers, in turn.
 PALETTE = ((0, 200, 80), (30, 120, 255), (255, 180, 0), (220, 60, 220), (0, 210, 230), (255, 90, 40))
@@ -57,24 +61,34 @@ def versions(events: DataFrame, keys: tuple[str, ...] = ("layer_id",), seq: str
     """Undo and redo: ``events(keys, seq, op, version)`` with op edit, undo or redo -> (keys, current, undo_depth, redo_depth).
 
     An edit pushes the current version on the undo stack and clears the redo stack; undo and redo move it between the stacks,
-    and do nothing on an empty one. Before the first edit the current version is null. A layer's file has few events: its
-    history is one small array, folded in order.
+    and do nothing on an empty one. Before the first edit the current version is null. Sorted events are streamed; a task holds
+    one layer's two stacks.
     """
-    run = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(seq, "op", F.col("version").cast("long").alias("version")))).alias("_e"))
-    none = F.lit(None).cast("long")
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(none.alias("now"), empty.alias("undo"), empty.alias("redo"))
-    top = lambda a: F.element_at(a, -1)
-    rest = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-
-    def step(s: Column, e: Column) -> Column:
-        edit = F.struct(e["version"].alias("now"), F.array_append(s["undo"], s["now"]).alias("undo"), empty.alias("redo"))
-        undo = F.struct(top(s["undo"]).alias("now"), rest(s["undo"]).alias("undo"), F.array_append(s["redo"], s["now"]).alias("redo"))
-        redo = F.struct(top(s["redo"]).alias("now"), F.array_append(s["undo"], s["now"]).alias("undo"), rest(s["redo"]).alias("redo"))
-        return F.when(e["op"] == "edit", edit).when((e["op"] == "undo") & (F.size(s["undo"]) > 0), undo).when((e["op"] == "redo") & (F.size(s["redo"]) > 0), redo).otherwise(s)
-
-    folded = run.withColumn("_s", F.aggregate("_e", start, step))
-    return folded.select(*keys, F.col("_s.now").alias("current"), F.size("_s.undo").alias("undo_depth"), F.size("_s.redo").alias("redo_depth"))
+    own = events.select(*keys, seq, "op", F.col("version").cast("long").alias("version"))
+    dealt = own.repartition(*keys).sortWithinPartitions(*keys, seq, "op", "version")
+    n = len(keys)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+        for name, rows in streamed(batches, n):
+            now, undo, redo = None, [], []
+            for b in rows:
+                for op, version in zip(b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist()):
+                    if op == "edit":
+                        undo.append(now)
+                        now, redo = version, []
+                    elif op == "undo" and undo:
+                        redo.append(now)
+                        now = undo.pop()
+                    elif op == "redo" and redo:
+                        undo.append(now)
+                        now = redo.pop()
+            yield name, (now, len(undo), len(redo))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(folded(batches), n, {"current": pa.int64(), "undo_depth": pa.int32(), "redo_depth": pa.int32()})
+
+    kinds = dict(events.dtypes)
+    return dealt.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", current long, undo_depth int, redo_depth int")
 
 
 def last_guideline(timeline: DataFrame, key: str = "layer_id", frame: str = "frame_id", value: str = "strokes") -> DataFrame:

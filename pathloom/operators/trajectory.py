@@ -5,13 +5,17 @@ All steps are keyed by frame. Targets are one row a frame; nodes are joined to t
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.operators.sequences import length, mean_spacing
+from pathloom.shared import gathered, streamed
 
 KEYS = ("frame_id",)
 FPS, MICRONS = 249.2, 0.04
@@ -130,19 +134,80 @@ def prominent(values: np.ndarray, least: float = 0.1) -> list[tuple[int, float]]
     return out
 
 
+class PeakScan:
+    """The peaks that ``prominent`` finds, of a series that is read once, sample by sample; a missing value starts a new series.
+
+    Held are falls, the falling samples so far, each with the least one since the next strictly higher one before it; and open, the
+    peaks without a fall of ``least`` and without a higher sample after them yet. Open peaks of one value share their fate.
+    """
+
+    def __init__(self, least: float):
+        self.least, self.all, self.high = least, [None, None, 0], [None, None, 0]
+        self.restart()
+
+    def restart(self) -> None:
+        self.falls: list[tuple[float, float]] = []
+        self.open: deque[list] = deque()  # [value, first frame, last frame, how many], falling
+        self.before: float | None = None
+        self.top: list[tuple[int, int | None]] = []  # of a flat top after a rise: places at which frames do not go on by one
+        self.size = 0
+
+    def add(self, frame: int | None, value: float | None) -> None:
+        if value is None or value != value:
+            self.restart()
+            return
+        if value == self.before:
+            if self.top:
+                at, start = self.top[-1]
+                if frame is None or start is None or frame != start + self.size - at:
+                    self.top.append((self.size, frame))
+                self.size += 1
+            return
+        if self.top and value < self.before and self.before - self.falls[-1][1] >= self.least:
+            middle = (self.size - 1) // 2
+            at, start = next(t for t in reversed(self.top) if t[0] <= middle)
+            own = None if start is None else start + middle - at
+            if self.open and self.open[-1][0] == self.before:
+                self.open[-1][2:] = [own, self.open[-1][3] + 1]
+            else:
+                self.open.append([self.before, own, own, 1])
+        rises = self.before is not None and value > self.before
+        self.top, self.size = ([(0, frame)], 1) if rises else ([], 0)
+        low = value
+        while self.falls and self.falls[-1][0] <= value:
+            low = min(low, self.falls.pop()[1])
+        self.falls.append((value, low))
+        while self.open and self.open[-1][0] < value:
+            self.open.pop()
+        while self.open and self.open[0][0] - value >= self.least:
+            top, first, last, n = self.open.popleft()
+            for tally in (self.all, self.high) if top > 0 else (self.all,):
+                tally[:] = [first if tally[2] == 0 else tally[0], last, tally[2] + n]
+        self.before = value
+
+    def result(self) -> tuple[int | None, int | None, int]:
+        first, last, _ = self.high if self.high[2] else self.all
+        return first, last, self.all[2]
+
+
 def peaks(df: DataFrame, key: str = "track", value: str = "Longitudinal", least: float = 0.1) -> DataFrame:
     """Frames of the first and the last peak above zero of each trajectory, else of the first and last peak; null without any.
 
-    A trajectory is one group; a series is read once, in order.
+    Sorted trajectories are streamed; a task holds one trajectory's PeakScan.
     """
-    kind = dict(df.dtypes)[key]
+    own = df.select(key, F.col("Frame").cast("long").alias("Frame"), F.col(value).cast("double").alias("_value"))
+    dealt = own.repartition(key).sortWithinPartitions(key, F.col("Frame").asc_nulls_last())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Frame", kind="stable")
-        v = pdf[value].to_numpy(float)
-        found = [p for p, _ in prominent(v, least)]
-        high = [p for p in found if v[p] > 0] or found
-        frames = pdf["Frame"].to_numpy()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "first_peak": [frames[high[0]] if high else None], "last_peak": [frames[high[-1]] if high else None], "n_peaks": [len(found)]}).astype({"first_peak": "Int64", "last_peak": "Int64"})
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+        for name, rows in streamed(batches, 1):
+            scan = PeakScan(least)
+            for b in rows:
+                for frame, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    scan.add(frame, v)
+            yield name, scan.result()
 
-    return df.select(key, "Frame", value).groupBy(key).applyInPandas(run, f"{key} {kind}, first_peak long, last_peak long, n_peaks long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(scanned(batches), 1, dict.fromkeys(("first_peak", "last_peak", "n_peaks"), pa.int64()))
+
+    kind = dict(df.dtypes)[key]
+    return dealt.mapInArrow(run, f"`{key}` {kind}, first_peak long, last_peak long, n_peaks long")

@@ -219,6 +219,40 @@ def test_random_batches_cover_the_frames_in_order():
     assert plan == files.random_batches(list(range(50)), 4)
 
 
+def test_versions_and_peaks_stream_their_keys(spark):
+    """No key's rows are gathered into one array or frame, and a long history of undos folds as a plain loop does."""
+    ops = [("edit", "undo", "redo", "edit", "undo", "undo")[(i * 7 + i // 5) % 6] for i in range(6000)]
+    df = spark.createDataFrame([(1, i, op, i) for i, op in enumerate(ops)] + [(2, 0, "edit", 9)], "layer_id long, seq long, op string, version long")
+    now, undo, redo = None, [], []
+    for i, op in enumerate(ops):
+        if op == "edit":
+            undo, now, redo = [*undo, now], i, []
+        elif op == "undo" and undo:
+            redo, now, undo = [*redo, now], undo[-1], undo[:-1]
+        elif op == "redo" and redo:
+            undo, now, redo = [*undo, now], redo[-1], redo[:-1]
+    got = strokes.versions(df)
+    assert {tuple(r) for r in got.collect()} == {(1, now, len(undo), len(redo)), (2, 9, 1, 0)}
+    high = trajectory.peaks(df.selectExpr("layer_id track", "seq Frame", "double(version % 9) Longitudinal"))
+    assert high.where("track = 1").first()["n_peaks"] == 666
+    for plan in (d._jdf.queryExecution().executedPlan().toString() for d in (got, high)):
+        assert "MapInArrow" in plan and "collect_list" not in plan and "InPandas" not in plan
+
+
+def test_a_scan_finds_the_peaks_of_the_whole_series():
+    rng = np.random.default_rng(6)
+    for k in range(1500):
+        n = int(rng.integers(0, 40))
+        v = [rng.integers(-3, 4, n) / 10, np.cumsum(rng.normal(0, 0.07, n)), np.round(np.cumsum(rng.normal(0, 0.1, n)), 1), np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 3, n))][k % 4]
+        frames = np.cumsum(rng.integers(1, 3, n)).tolist()
+        found = [p for p, _ in trajectory.prominent(v, 0.1)]
+        high = [p for p in found if v[p] > 0] or found
+        scan = trajectory.PeakScan(0.1)
+        for f, x in zip(frames, v.tolist()):
+            scan.add(f, x)
+        assert scan.result() == (frames[high[0]] if high else None, frames[high[-1]] if high else None, len(found)), v
+
+
 def test_versions_of_an_untouched_stack(spark):
     df = spark.createDataFrame([(1, 0, "undo", None), (1, 1, "redo", None), (2, 0, "edit", 5), (2, 1, "edit", 6), (2, 2, "undo", None), (2, 3, "edit", 7), (2, 4, "redo", None)], "layer_id long, seq long, op string, version long")
     got = {r["layer_id"]: (r["current"], r["undo_depth"], r["redo_depth"]) for r in strokes.versions(df).collect()}
