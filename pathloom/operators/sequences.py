@@ -6,13 +6,16 @@ Everything is a window over one frame (or one node), so the only shuffle is by t
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from pathloom.shared import streamed
+
 KEYS, ORDER = ("frame_id",), "node_id"
 
 
@@ -241,22 +244,27 @@ def tips(df: DataFrame, width: int, height: int, keys=KEYS, order=ORDER) -> Data
 def ema(df: DataFrame, base: float = 0.55, scale: float = 30.0, low: float = 0.40, high: float = 0.65, keys=("layer_id",), frame: str = "frame_id", node: str = "node_id") -> DataFrame:
     """Temporal smoothing of whole lines: out = a * line + (1 - a) * previous out, a = clip(base - mean shift / scale, low, high).
 
-    The recurrence runs over a layer's frames in order, so a layer is one group; layers run in parallel. Lines of one
-    layer have equally many nodes; a frame of another size starts anew.
+    The recurrence runs over a layer's frames in order; layers run in parallel. Sorted frames are streamed, so a task holds one line
+    and the line before it. Lines of one layer have equally many nodes; a frame of another size starts anew.
     """
-    schema = df.select(*keys, frame, node, F.col("x").cast("double"), F.col("y").cast("double")).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([frame, node], kind="stable")
-        before, out = None, []
-        for _, own in pdf.groupby(frame, sort=True):
-            now = own[["x", "y"]].to_numpy(float)
+    own = df.where(F.col(frame).isNotNull()).select(*keys, frame, node, F.col("x").cast("double"), F.col("y").cast("double"))
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layer, before = None, None
+        for name, rows in streamed(batches, n + 1):
+            key = [name.column(i)[0].as_py() for i in range(n)]
+            if key != layer:
+                layer, before = key, None
+            line = pa.Table.from_batches(list(rows)).combine_chunks()
+            now = np.stack([line.column(c).to_numpy() for c in (n + 2, n + 3)], 1)
             if before is not None and len(before) == len(now):
                 shift = np.sqrt(((now - before) ** 2).sum(1)).mean()
                 a = min(high, max(low, base - shift / scale))
                 now = a * now + (1 - a) * before
             before = now
-            out.append(own.assign(x=now[:, 0], y=now[:, 1]))
-        return pd.concat(out)
+            for c in (n + 2, n + 3):
+                line = line.set_column(c, line.schema.field(c).name, pa.array(now[:, c - n - 2], from_pandas=True))
+            yield from line.to_batches()
 
-    return df.select(*schema.names).groupBy(*keys).applyInPandas(run, schema)
+    return own.repartition(*keys).sortWithinPartitions(*keys, frame, node).mapInArrow(run, own.schema)

@@ -219,6 +219,24 @@ def test_random_batches_cover_the_frames_in_order():
     assert plan == files.random_batches(list(range(50)), 4)
 
 
+def test_smoothed_lines_stream_their_layers(spark):
+    """A layer is never one frame of one task; lines of another size start anew, and a layer starts without the one before it."""
+    rng = np.random.default_rng(3)
+    lines = {(layer, f): rng.normal(0, 9, (5 if f % 6 else 4, 2)) for layer in (1, 2) for f in range(20)}
+    rows = [(layer, f, k, float(x), float(y)) for (layer, f), own in lines.items() for k, (x, y) in enumerate(own)]
+    got = sequences.ema(spark.createDataFrame(rows, "layer_id long, frame_id long, node_id long, x double, y double"))
+    want, before = {}, None
+    for (layer, f), now in lines.items():
+        if f and len(before) == len(now):
+            a = min(0.65, max(0.40, 0.55 - np.sqrt(((now - before) ** 2).sum(1)).mean() / 30.0))
+            now = a * now + (1 - a) * before
+        before = now
+        want.update({(layer, f, k): pytest.approx(p) for k, p in enumerate(now.tolist())})
+    assert {(r["layer_id"], r["frame_id"], r["node_id"]): [r["x"], r["y"]] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
+
+
 def test_versions_and_peaks_stream_their_keys(spark):
     """No key's rows are gathered into one array or frame, and a long history of undos folds as a plain loop does."""
     ops = [("edit", "undo", "redo", "edit", "undo", "undo")[(i * 7 + i // 5) % 6] for i in range(6000)]
