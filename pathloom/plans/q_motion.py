@@ -15,22 +15,26 @@ from pathloom.plans.adapters import samples, table, tiles
 from pathloom.plans.q_sequences import r6, s6
 from pathloom.streaming import follow
 
+#: Side of a frame, and the frames of a recording in propagate_status, whose SQL counts no more; the other queries take all.
 SIDE, FRAMES = 64, 8
 
 
-def recordings(s, d):
-    """One recording for each label of the embeddings: FRAMES noisy frames with a dark band that sinks by a pixel a frame."""
+def recordings(s, d, frames: int | None = None):
+    """One recording for each label of the embeddings: noisy frames, all or the first ``frames``, with a dark band that moves by a pixel a frame, 32 down and 32 up."""
     w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(s, d, "embeddings").select(F.col("label").cast("string").alias("video_id"), (F.row_number().over(w) - 1).alias("frame_id"), "embedding").where(F.col("frame_id") < FRAMES)
+    e = table(s, d, "embeddings").select(F.col("label").cast("string").alias("video_id"), (F.row_number().over(w) - 1).alias("frame_id"), "embedding")
+    if frames is not None:
+        e = e.where(F.col("frame_id") < frames)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
                 ys, xs = np.mgrid[:SIDE, :SIDE]
+                sunk = abs((r["frame_id"] + 32) % 64 - 32)
                 noise = np.kron(np.array(r["embedding"]).reshape(8, 8), np.ones((8, 8)))
-                band = np.exp(-((ys - 24 - r["frame_id"] - 4 * np.sin(xs / 9)) ** 2) / 8)
-                texture = 20 * np.sin(xs / 2.0) * np.cos((ys - r["frame_id"]) / 3.0)
+                band = np.exp(-((ys - 24 - sunk - 4 * np.sin(xs / 9)) ** 2) / 8)
+                texture = 20 * np.sin(xs / 2.0) * np.cos((ys - sunk) / 3.0)
                 rows.append(np.clip(190 + texture + 10 * noise - 130 * band, 0, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array([SIDE] * b.num_rows, pa.int32()), pa.array([SIDE] * b.num_rows, pa.int32()), pa.array(rows, pa.binary())], ["video_id", "frame_id", "height", "width", "data"])
 
@@ -46,14 +50,15 @@ def seeds(s, d):
     return videos.select("video_id", F.lit(0).alias("frame_id"), F.inline(rows))
 
 
-def _propagate(s, d):
-    return propagation.propagate(recordings(s, d), seeds(s, d), 24, 6)
+def _propagate(s, d, frames: int | None = None):
+    return propagation.propagate(recordings(s, d, frames), seeds(s, d), 24, 6)
 
 
 def regions(s, d):
+    """A region of each frame of each recording, with the frame before it; its id has the recording in the upper 32 bits."""
     w = Window.partitionBy("video_id").orderBy("frame_id")
-    r = recordings(s, d).withColumn("before", F.lag("data").over(w)).where("frame_id = 1")
-    return r.select(F.col("video_id").cast("long").alias("region_id"), "height", "width", "data", "before", F.lit(10).alias("ymin"), F.lit(42).alias("ymax"), F.lit(8).alias("xmin"), F.lit(40).alias("xmax"))
+    r = recordings(s, d).withColumn("before", F.lag("data").over(w))
+    return r.select((F.shiftleft(F.col("video_id").cast("long"), 32) + F.col("frame_id")).alias("region_id"), "height", "width", "data", "before", F.lit(10).alias("ymin"), F.lit(42).alias("ymax"), F.lit(8).alias("xmin"), F.lit(40).alias("xmax"))
 
 
 def labelled(s, d):
@@ -94,7 +99,7 @@ def _folder(s, d):
 QUERIES = {
     "features_48": (lambda s, d: features.extract(regions(s, d)).select("region_id", "x", "y", "v", F.size("features").alias("n_features")), None),
     "propagate_lines": (lambda s, d: _propagate(s, d).select("video_id", "layer_id", "frame_id", "status", F.size(F.col("strokes")[0]["pts"]).alias("n_points")), None),
-    "propagate_status": (lambda s, d: propagation.run_status(_propagate(s, d)), "SELECT label::VARCHAR AS video_id, layer_id, least(count(*), 8) AS frames, 0::BIGINT AS errors, CAST(least(count(*), 8) - 1 AS INT) AS last_frame, 'complete' AS outcome FROM embeddings, (VALUES ('edge'), ('body')) l(layer_id) GROUP BY label, layer_id"),
+    "propagate_status": (lambda s, d: propagation.run_status(_propagate(s, d, FRAMES)), "SELECT label::VARCHAR AS video_id, layer_id, least(count(*), 8) AS frames, 0::BIGINT AS errors, CAST(least(count(*), 8) - 1 AS INT) AS last_frame, 'complete' AS outcome FROM embeddings, (VALUES ('edge'), ('body')) l(layer_id) GROUP BY label, layer_id"),
     "cascade_field": (_cascade, None),
     "balanced_weights": (lambda s, d: r6(_labelled_counts(s, d), "weight"), f"SELECT quality AS label, {s6('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 'weight')} FROM labels JOIN documents USING (doc_id) GROUP BY quality"),
     "stream_bounds": (_stream, "SELECT label AS video_id, CAST(min(v) AS BIGINT) AS lo, CAST(max(v) AS BIGINT) AS hi FROM (SELECT label, floor((CAST(unnest(embedding) AS DOUBLE) + 1) * 127.5) AS v FROM embeddings) GROUP BY label"),

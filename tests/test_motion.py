@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import cascade, features, propagation
+from pathloom.plans import q_motion
 from pathloom.streaming import follow
 
 
@@ -55,6 +56,21 @@ def test_features_have_forty_eight_columns_and_no_flow_without_a_frame_before():
     assert features.region_features(g, g, (0, 5, 0, 5)).shape == (25, 48)
 
 
+def embeddings(spark, path, n, labels):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.uniform(-1, 1, 64)], i % labels) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_queries_take_all_frames_of_each_recording(spark, tmp_path):
+    d = embeddings(spark, tmp_path, 24, 2)
+    lines = q_motion.QUERIES["propagate_lines"][0](spark, d).groupBy("video_id", "layer_id").agg(F.count(F.lit(1)).alias("n"), F.max("frame_id").alias("last")).collect()
+    assert sorted(map(tuple, lines)) == [(v, k, 12, 11) for v in "01" for k in ("body", "edge")]
+    found = q_motion.QUERIES["features_48"][0](spark, d).groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.min("n_features").alias("f")).collect()
+    assert sorted(map(tuple, found)) == [((v << 32) + k, 1024, 48) for v in (0, 1) for k in range(12)]
+
+
 def test_a_small_region_gives_no_rows(spark):
     g = bytearray(texture(size=16).astype(np.uint8).tobytes())
     rows = [(1, 16, 16, g, None, 0, 3, 0, 10), (2, 16, 16, g, g, -5, 10, 2, 99)]
