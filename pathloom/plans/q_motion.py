@@ -17,6 +17,8 @@ from pathloom.streaming import follow
 
 #: Side of a frame, and the frames of a recording in propagate_status, whose SQL counts no more; the other queries take all.
 SIDE, FRAMES = 64, 8
+#: Frames on which cascade_field fits its forests, at any size of the table.
+FIT_FRAMES = 40
 
 
 def recordings(s, d, frames: int | None = None):
@@ -63,15 +65,17 @@ def regions(s, d):
 
 def labelled(s, d):
     """Pixels with their value, its neighbours' blur and gradient as features, and whether they are dark as label."""
-    t = pixels.sobel(pixels.blur(tiles(s, d).where("frame_id < 60"), 1.0).withColumn("v", F.col("v")))
+    t = pixels.sobel(pixels.blur(tiles(s, d), 1.0).withColumn("v", F.col("v")))
     dark = tiles(s, d).select("frame_id", "x", "y", (F.col("v") < 120).cast("int").alias("label"))
     return t.join(dark, ["frame_id", "x", "y"]).select((F.col("frame_id") * 64 + F.col("y") * 8 + F.col("x")).alias("sample_id"), "frame_id", "x", "y", F.array("v", "gx", "gy", "mag").alias("features"), "label")
 
 
 def _cascade(s, d):
+    """Fields of every tile; the forests are fitted on FIT_FRAMES frames picked by a hash of their ids."""
     df = labelled(s, d)
-    layers = cascade.fit(df.where("frame_id < 40"), trees=10, more_trees=5, layers=2, depth=5)
-    return cascade.predict(df.where("frame_id >= 40"), layers, ["frame_id"])
+    picked = table(s, d, "embeddings").select(F.col("vec_id").alias("frame_id")).distinct().orderBy(F.xxhash64("frame_id"), "frame_id").limit(FIT_FRAMES)
+    layers = cascade.fit(df.join(F.broadcast(picked), "frame_id", "left_semi"), trees=10, more_trees=5, layers=2, depth=5)
+    return cascade.predict(df, layers, ["frame_id"])
 
 
 def _labelled_counts(s, d):

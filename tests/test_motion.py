@@ -71,6 +71,12 @@ def test_queries_take_all_frames_of_each_recording(spark, tmp_path):
     assert sorted(map(tuple, found)) == [((v << 32) + k, 1024, 48) for v in (0, 1) for k in range(12)]
 
 
+def test_the_cascade_predicts_every_tile(spark, tmp_path):
+    d = embeddings(spark, tmp_path, 64, 2)
+    found = q_motion.QUERIES["cascade_field"][0](spark, d).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.count("field").alias("f")).collect()
+    assert sorted(map(tuple, found)) == [(i, 64, 64) for i in range(64)]
+
+
 def test_a_small_region_gives_no_rows(spark):
     g = bytearray(texture(size=16).astype(np.uint8).tobytes())
     rows = [(1, 16, 16, g, None, 0, 3, 0, 10), (2, 16, 16, g, g, -5, 10, 2, 99)]
