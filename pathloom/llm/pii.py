@@ -1,8 +1,10 @@
 """Personal data in texts: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The network reads overlapping windows; the scores of characters that several windows hold are averaged with weights
-that fall towards a window's ends, and one Viterbi pass over each run of windows decides globally. A span of any kind must
-hold a digit, an @ or a written-out at-sign, so a window without one of them can have no span and needs no pass.
+that fall towards a window's ends, and one Viterbi search over each run of windows decides globally. A span of any kind must
+hold a digit, an @ or a written-out at-sign (``plausible``), so only windows with one of them, and those that overlap these, are
+run. Long runs are decoded in pieces whose max-plus products are chained, so the result is that of one search over the
+whole run, and memory is bounded by READY characters and not by the text.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,11 @@ from pathloom.llm.common import map_rows, map_texts, table, texts_of
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Texts from which the training windows' surroundings are cut, at most.
 SAMPLE = 300
+#: Characters of each of them that are used.
+SAMPLE_CHARS = 4000
 WINDOW, STRIDE = 96, 64
+#: Characters of a piece that is decoded by itself, and characters whose emissions are held before they are decoded.
+PIECE, READY = 256, 100_000
 
 _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -167,48 +174,95 @@ class Tagger:
             g["chars"] += flat @ p[f"{d}_x"].T
         return float((z - gold).mean()), g
 
-    def viterbi(self, runs: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tags of each run of emissions, runs of like length side by side."""
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(runs)
-        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
-        step = self.p["step"] + self.forbid
-        for a in range(0, len(order), 256):
-            own = order[a : a + 256]
-            longest = len(runs[own[-1]])
-            e = np.zeros((longest, len(own), _TAGS), np.float32)
-            for k, i in enumerate(own):
-                e[: len(runs[i]), k] = runs[i]
-            size = np.array([len(runs[i]) for i in own])
+    def transfers(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """The best score from each tag before a piece (the last row: from a run's start) to each tag at its end."""
+        step, out = self.steps()[:-1], np.empty((len(pieces), _TAGS + 1, _TAGS), np.float32)
+        for own, e, size in _side_by_side(pieces, most=200_000):
+            score = np.broadcast_to(self.steps(), (len(own), _TAGS + 1, _TAGS)) + e[0][:, None]
+            for t in range(1, len(e)):
+                now = (score[:, :, :, None] + step).max(2) + e[t][:, None]
+                score = np.where((t < size)[:, None, None], now, score)
+            out[own] = score
+        return out
+
+    def steps(self) -> np.ndarray:
+        """Scores of the steps between tags; the last row is the step into a run's first tag."""
+        return np.concatenate([self.p["step"] + self.forbid, [self.p["start"] + self.forbid[0]]])
+
+    def viterbi(self, pieces: list[np.ndarray], before: list[int] | None = None, last: list[int] | None = None) -> list[np.ndarray]:
+        """The best tags of each piece, coming from the tag ``before`` (default: a run's start) and ending at ``last`` (-1: at any)."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(pieces)
+        step, before, last = self.steps(), np.array(before or [_TAGS] * len(pieces)), np.array(last or [-1] * len(pieces))
+        for own, e, size in _side_by_side(pieces, most=400_000):
             back = np.zeros(e.shape, np.int8)
-            score = self.p["start"] + self.forbid[0] + e[0]
-            for t in range(1, longest):
-                way = score[:, :, None] + step
+            score = step[before[own]] + e[0]
+            for t in range(1, len(e)):
+                way = score[:, :, None] + step[:-1]
                 back[t] = way.argmax(1)
                 score = np.where((t < size)[:, None], np.take_along_axis(way, back[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t], score)
-            tag = score.argmax(1)
-            tags = np.zeros((longest, len(own)), np.int8)
-            rows = np.arange(len(own))
-            for t in range(longest - 1, -1, -1):
+            tag = np.where(last[own] < 0, score.argmax(1), last[own])
+            tags, rows = np.zeros(e.shape[:2], np.int8), np.arange(len(own))
+            for t in range(len(e) - 1, -1, -1):
                 tags[t] = tag
                 tag = np.where((t < size) & (t > 0), back[t, rows, tag], tag)
-            for k, i in enumerate(own):
-                out[i] = tags[: len(runs[i]), k]
+            for k, i in enumerate(own.tolist()):
+                out[i] = tags[: len(pieces[i]), k]
         return out
 
+    def decode(self, runs: list[Run]) -> list[np.ndarray]:
+        """The best tags of each run, as far as they are certain; an open run keeps the rest of its emissions.
+
+        Runs are cut into pieces of at most PIECE characters. All pieces' transfers are found side by side, a chain over them
+        gives the tags at their ends, and then all pieces are decoded side by side. In an open run, what comes after the last
+        piece's end on which the ways to all tags agree is kept for the next call.
+        """
+        cut = [[r.e[a : a + PIECE] for a in range(0, len(r.e), PIECE)] for r in runs]
+        long = [i for i, r in enumerate(runs) if r.open or r.entry is not None or len(cut[i]) > 1]
+        moved = iter(self.transfers([e for i in long for e in cut[i]]))
+        ends: list[list[int]] = [[-1] for _ in runs]
+        froms = [[_TAGS] for _ in runs]
+        for i in long:
+            r = runs[i]
+            score = np.append(np.full(_TAGS, -np.inf), 0.0) if r.entry is None else r.entry
+            backs, scores = [], [score]
+            for m in [next(moved) for _ in cut[i]]:
+                way = scores[-1][:, None] + m
+                backs.append(way.argmax(0))
+                top = way.max(0)
+                scores.append(np.append(top - top.max(), -np.inf))
+            tag = np.arange(_TAGS) if r.open else np.array([scores[-1].argmax()])
+            at = []  # the tags at the pieces' ends, on the ways to each tag at the last one's
+            for back in reversed(backs):
+                at.append(tag)
+                tag = back[tag]
+            at.append(tag)
+            at = at[::-1]
+            sure = [k for k, tags in enumerate(at) if (tags == tags[0]).all()]
+            n = sure[-1] if sure else 0
+            ends[i], froms[i] = [int(t[0]) for t in at[1 : n + 1]], [int(t[0]) for t in at[:n]]
+            if r.open:
+                r.e, r.entry = r.e[n * PIECE :], scores[n]
+                cut[i] = cut[i][:n]
+        tags = iter(self.viterbi([e for c in cut for e in c], [t for f in froms for t in f], [t for f in ends for t in f]))
+        return [np.concatenate([*(next(tags) for _ in c), np.zeros(0, np.int8)]) for c in cut]
+
     def spans(self, texts: list[str]) -> list[list[Span]]:
-        """The network's spans of each text."""
-        where: list[tuple[int, int]] = []
-        for d, text in enumerate(texts):
-            last = -1
-            for m in TRIGGER.finditer(text):
-                for w in range(max(last + 1, (m.start() - WINDOW) // STRIDE + 1, 0), m.end() // STRIDE + 1):
-                    where.append((d, w * STRIDE))
-                    last = w
+        """The network's spans of each text. Windows stream through; besides the texts and their tags, at most READY characters'
+        emissions are held, and those of the one run whose end isn't reached, as far as its tags are open."""
         found: list[list[Span]] = [[] for _ in texts]
-        runs: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # text, start, summed emissions, weights
         weight = (0.02 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) / WINDOW).astype(np.float32)
-        for a in range(0, len(where), 512):
-            part = where[a : a + 512]
+        done: list[Run] = []
+        now: Run | None = None
+
+        def settle(runs: list[Run]) -> None:
+            for r, tags in zip(runs, self.decode(runs)):
+                r.tags.append(tags)
+                if not r.open:
+                    for kind, a, b in tagged(np.concatenate(r.tags)):
+                        if plausible(kind, texts[r.text][r.start + a : r.start + b]):
+                            found[r.text].append((kind, r.start + a, r.start + b))
+
+        for part in batched(windows(texts), 512):
             ids = np.zeros((WINDOW, len(part)), np.int32)
             for k, (d, s) in enumerate(part):
                 own = char_ids(texts[d][s : s + WINDOW])
@@ -216,31 +270,88 @@ class Tagger:
             e = self.emissions(ids)
             for k, (d, s) in enumerate(part):
                 n = min(WINDOW, len(texts[d]) - s)
-                if n <= 0:
-                    continue
-                if runs and runs[-1][0] == d and s < runs[-1][1] + len(runs[-1][3]):
-                    d0, s0, total, w0 = runs[-1]
-                    end = max(len(w0), s - s0 + n)
-                    if end > len(w0):
-                        total = np.concatenate([total, np.zeros((end - len(w0), _TAGS), np.float32)])
-                        w0 = np.concatenate([w0, np.zeros(end - len(w0), np.float32)])
-                    runs[-1] = (d0, s0, total, w0)
-                else:
-                    runs.append((d, s, np.zeros((n, _TAGS), np.float32), np.zeros(n, np.float32)))
-                d0, s0, total, w0 = runs[-1]
-                total[s - s0 : s - s0 + n] += e[:n, k] * weight[:n, None]
-                w0[s - s0 : s - s0 + n] += weight[:n]
-        for (d, s, *_), tags in zip(runs, self.viterbi([t / w[:, None] for _, _, t, w in runs])):
-            for at in np.flatnonzero((tags > 0) & (tags % 2 == 1)).tolist():
-                end = at + 1
-                while end < len(tags) and tags[end] == tags[at] + 1:
-                    end += 1
-                kind, piece = int(tags[at]) // 2, texts[d][s + at : s + end]
-                if plausible(kind, piece):
-                    found[d].append((kind, s + at, s + end))
+                if now is None or now.text != d or s >= now.reach:
+                    if now is not None:
+                        now.close()
+                        done.append(now)
+                    now = Run(d, s)
+                now.add(s, e[:n, k] * weight[:n, None], weight[:n])
+            if sum(len(r.e) for r in done) + now.ready() > READY:
+                now.flush()
+                settle([*done, now])
+                done = []
+        if now is not None:
+            now.close()
+            settle([*done, now])
         return found
 
 
+class Run:
+    """Emissions of a stretch of overlapping windows, summed with weights. What no later window reaches is averaged into ``e``."""
+
+    def __init__(self, text: int, start: int):
+        self.text, self.start, self.reach, self.open = text, start, start, True
+        self.e, self.entry, self.tags = np.zeros((0, _TAGS), np.float32), None, []
+        self.sums: list[np.ndarray] = []  # averaged, not yet in e
+        self.tail, self.weight = np.zeros((0, _TAGS), np.float32), np.zeros(0, np.float32)
+
+    def add(self, at: int, e: np.ndarray, weight: np.ndarray) -> None:
+        """A window that starts at ``at``, not before any that was added."""
+        fixed = at - (self.reach - len(self.tail))
+        if fixed:
+            self.sums.append(self.tail[:fixed] / self.weight[:fixed, None])
+        total, own = np.zeros_like(e), np.zeros_like(weight)  # never shorter than what is held: both end at the text's end at most
+        held = len(self.tail) - fixed
+        total[:held], own[:held] = self.tail[fixed:], self.weight[fixed:]
+        total += e
+        own += weight
+        self.tail, self.weight, self.reach = total, own, at + len(own)
+
+    def ready(self) -> int:
+        return len(self.e) + sum(map(len, self.sums))
+
+    def flush(self) -> None:
+        self.e, self.sums = np.concatenate([self.e, *self.sums]), []
+
+    def close(self) -> None:
+        self.sums.append(self.tail / self.weight[:, None])
+        self.flush()
+        self.open = False
+
+
+def windows(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(text, start) of each window that overlaps one with a trigger, in order."""
+    for d, text in enumerate(texts):
+        last, most = -1, max(len(text) - 1, 0) // STRIDE
+        for m in TRIGGER.finditer(text):
+            for w in range(max(last + 1, (m.start() - WINDOW) // STRIDE, 0), min(m.end() // STRIDE + 1, most) + 1):
+                yield d, w * STRIDE
+                last = w
+
+
+def tagged(tags: np.ndarray) -> Iterator[Span]:
+    """(kind, start, end) of each span that begins in a row of tags."""
+    begins = np.flatnonzero((tags > 0) & (tags % 2 == 1))
+    follows = np.append((tags[1:] > 0) & (tags[1:] % 2 == 0), False)  # an inside tag can only go on with the span before it
+    stops = np.flatnonzero(~follows)
+    for a, b in zip(begins.tolist(), stops[np.searchsorted(stops, begins)].tolist()):
+        yield int(tags[a]) // 2, a, b + 1
+
+
+def _side_by_side(pieces: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of like length, padded: (their places, emissions by character and piece, lengths); at most ``most`` tags' scores each."""
+    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+    while order:
+        n = 1
+        while n < len(order) and n < 4096 and len(pieces[order[n]]) * (n + 1) * _TAGS <= most:
+            n += 1
+        own, order = order[:n], order[n:]
+        e = np.zeros((len(pieces[own[-1]]), n, _TAGS), np.float32)
+        for k, i in enumerate(own):
+            e[: len(pieces[i]), k] = pieces[i]
+        yield np.array(own), e, np.array([len(pieces[i]) for i in own])
+
+
 def plausible(kind: int, piece: str) -> bool:
     """What a span of each kind must hold, whatever the network says."""
     digits = "".join(_DIGIT.findall(piece))
@@ -370,20 +481,22 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-def surroundings(docs: DataFrame, bound: int = SAMPLE) -> list[str]:
-    """At most ``bound`` texts, picked by a hash of their ids; the prose that training windows are cut from.
+def surroundings(docs: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Pieces of at most ``bound`` texts, picked by a hash of their ids; the prose that training windows are cut from.
 
-    Ids are picked first, so a task sends the driver ids only; then the picked texts are read.
+    Of each text, ``chars`` characters in a row from a place given by the hash are taken, or all of a shorter one. Ids are picked
+    first, so a task sends the driver ids only; then the picked texts are read. Only training sees these pieces.
     """
     picked = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return [r["text"] for r in texts_of(docs, picked).select("doc_id", F.substring("text", 1, 4000).alias("text")).orderBy("doc_id").collect()]
+    place = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1).cast("int")
+    return [r["text"] for r in texts_of(docs, picked).select("doc_id", F.substr("text", place, F.lit(chars)).alias("text")).orderBy("doc_id").collect()]
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
 
 
 def all_spans(given: list[str | None], net: Tagger) -> tuple[list[list[Span]], list[list[Span]]]:
-    """The base spans of each text, and all its spans."""
+    """The base spans of each text, and all its spans. A null text has none."""
     texts = [t or "" for t in given]
     base = [base_spans(t) for t in texts]
     some = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
@@ -394,7 +507,8 @@ def all_spans(given: list[str | None], net: Tagger) -> tuple[list[list[Span]], l
 
 
 def redact_all(docs: DataFrame, net: Tagger) -> DataFrame:
-    """All rows and columns, each span of ``text`` replaced by its kind. Null texts stay null."""
+    """All rows and columns, each span of ``text`` replaced by its kind. Null and empty texts stay; ids aren't read; repeated
+    rows get equal texts; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(given: list[str | None]) -> tuple[list[str | None], None]:

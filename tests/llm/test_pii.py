@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -72,6 +73,57 @@ def test_viterbi_equals_the_best_of_all_paths():
     assert tuple(net.viterbi([e])[0]) == path
 
 
+def plain_viterbi(net, e):
+    """The best path of a whole run in one pass, in double precision."""
+    step = (net.p["step"] + net.forbid).astype(float)
+    score, backs = net.p["start"] + net.forbid[0] + e[0].astype(float), []
+    for row in e[1:].astype(float):
+        way = score[:, None] + step
+        backs.append(way.argmax(0))
+        score = way.max(0) + row
+    tags = [int(score.argmax())]
+    for back in reversed(backs):
+        tags.append(int(back[tags[-1]]))
+    return tags[::-1]
+
+
+def test_long_runs_are_decoded_as_a_whole(monkeypatch):
+    """Runs of any length, closed or handed over bit by bit, against one pass over the whole run."""
+    monkeypatch.setattr(pii, "PIECE", 16)
+    rng = np.random.default_rng(4)
+    net = pii.Tagger(dim=3, hidden=2)
+    net.p["step"] = rng.normal(size=net.p["step"].shape).astype(np.float32)
+    for scale in (0.05, 0.5, 3):  # ways to different tags agree late, soon, at once
+        whole = [(rng.normal(size=(n, net.forbid.shape[0])) * scale).astype(np.float32) for n in (1, 15, 16, 17, 40, 400, 1000)]
+        runs = []
+        for e in whole:
+            run = pii.Run(0, 0)
+            run.e, run.open = e, False
+            runs.append(run)
+        assert [t.tolist() for t in net.decode(runs)] == [plain_viterbi(net, e) for e in whole]
+        run, got = pii.Run(0, 0), []
+        for a in range(0, 1000, 37):
+            run.e = np.concatenate([run.e, whole[-1][a : a + 37]])
+            run.open = a + 37 < 1000
+            got += net.decode([run])[0].tolist()
+        assert got == plain_viterbi(net, whole[-1])
+
+
+def test_memory_does_not_grow_with_a_text_of_digits():
+    net = pii.fit([], windows=64, epochs=1)
+    rng = random.Random(2)
+    small = ["call 555-123-4567 or mail x@y.org, from 10.0.0.1; " * 3] * 200
+    peaks = []
+    for n in (20_000, 200_000):
+        text = "".join(rng.choice("0123456789 ,.") for _ in range(n))
+        tracemalloc.start()
+        found = net.spans([*small[:100], text, *small[100:]])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found[0] == net.spans(small[:1])[0] and found[-1] == found[0]
+    assert peaks[1] < 60e6
+
+
 def test_trained_tagger_finds_unseen_spans_and_leaves_decoys():
     net = pii.fit([], windows=1600, epochs=7)
     ids, tags = pii.training_windows([], 300, seed=99)
