@@ -1,15 +1,17 @@
 """Packing of tokenised documents into sequences of bounded length, by bin completion branch-and-bound.
 
 Pieces are dealt by a hash of their row into groups of about GROUP rows, whatever their lengths or ids, so no group is
-hot and each is packed in one task with bounded memory. A group costs at most about one sequence more
-than packing all pieces at once would.
+hot and each is packed by itself with bounded memory. A group whose search reaches its lower bound costs at most one
+sequence more than packing all pieces at once would.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,9 +23,11 @@ from pathloom.llm.common import map_rows, shared_table, table
 from pathloom.llm.tokens import text_ids, word_ids
 
 CAPACITY = 2048
-GROUP = 8192
-#: Fillings listed for one largest document, and fillings listed in one group at most (as a multiple of its rows).
-FILLINGS, EFFORT = 24, 2
+GROUP, GROUPS_PER_TASK = 8192, 64
+#: Steps of the search in one group, as a multiple of its rows: the one bound on the effort (None: search to the end).
+EFFORT = 60
+#: Fillings that are listed and put in order of waste at a time.
+SLICE = 24
 
 
 class Stock:
@@ -45,8 +49,19 @@ class Stock:
         self.left[x] += 1
 
 
+class Meter:
+    """Steps that a search may still take; None: as many as it needs."""
+
+    def __init__(self, steps: int | None):
+        self.left = float("inf") if steps is None else steps
+
+    def step(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
 def covers(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether filling ``a`` dominates ``b``: the pieces of b fit into places of the sizes of a's pieces."""
+    """Whether filling ``a`` dominates ``b``: the pieces of b fit into places of the sizes of a's pieces, largest first."""
     room = list(a)
     for x in b:
         fit = min((r for r in room if r >= x), default=None)
@@ -57,42 +72,47 @@ def covers(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(stock: Stock, room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the stock, least waste first. The search goes from large pieces to small
-    ones, ends at a filling without waste, and lists at most ``most`` maximal fillings."""
-    found: list[tuple[int, tuple[int, ...]]] = []
+def fillings(stock: Stock, room: int, waste: int, meter: Meter) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """All maximal fillings of ``room`` from the stock that leave at most ``waste``: (left over, pieces), large pieces first.
+
+    Nothing that still fits may be left in the stock, so a kind that is passed over bounds what may be left over, and a branch whose
+    smaller pieces all together leave more ends. Depth is the number of distinct lengths in a bin.
+    """
     kinds, left = stock.kinds, stock.left
-    steps = 0
-
-    def go(room: int, upto: int, own: tuple[int, ...]) -> bool:
-        nonlocal steps
-        at = bisect_right(kinds, min(room, upto)) - 1
-        if at < 0 or room < kinds[0]:
-            # maximal only if no larger unused piece fits either
-            found.append((room, own))
-            return room == 0 or len(found) >= most
-        tried = 0
-        while at >= 0 and tried < 6:
-            x = kinds[at]
-            at -= 1
-            if own.count(x) >= left[x]:
-                continue
-            tried += 1
-            steps += 1
-            if go(room - x, x, own + (x,)) or steps > 8 * most:
-                return True
-        if not tried:
-            found.append((room, own))
-            return room == 0 or len(found) >= most
-        return False
-
-    go(room, room, ())
-    found.sort(key=lambda f: (f[0], len(f[1]), f[1]))
-    out: list[tuple[int, ...]] = []
-    for _, f in found[:most]:
-        if not any(covers(g, f) for g in out):
-            out.append(f)
-    return out or [()]
+    below = [0]
+    for x in kinds[: bisect_right(kinds, room)]:
+        below.append(below[-1] + x * left[x])
+
+    def go(room: int, upto: int, most: int, own: tuple[int, ...]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """Fillings by kinds of index under ``upto``, leaving ``most`` at most."""
+        at = min(upto, bisect_right(kinds, room))
+        if room - below[at] > most or not meter.step():
+            return
+        if not at:
+            yield room, own
+            return
+        for i in range(at - 1, -1, -1):
+            x = kinds[i]
+            for n in range(min(left[x], room // x), 0, -1):
+                # copies that stay behind may not fit any more
+                yield from go(room - n * x, i, min(most, x - 1) if n < left[x] else most, own + (x,) * n)
+            most = min(most, x - 1)  # all of this kind stay behind
+            if room - below[i] > most or meter.left < 0:
+                return
+
+    return go(room, len(below) - 1, min(waste, room), ())
+
+
+def undominated(stock: Stock, room: int, waste: int, meter: Meter) -> Iterator[tuple[int, ...]]:
+    """The fillings, SLICE by SLICE, of each slice those with the least waste first, without those that one of the last ones
+    dominates (only of these: a dominated filling that stays costs work, not the best result)."""
+    found, listed = fillings(stock, room, waste, meter), deque(maxlen=4 * SLICE)
+    while own := list(islice(found, SLICE)):
+        for _, f in sorted(own, key=lambda f: (f[0], len(f[1]), f[1])):
+            if not any(covers(g, f) for g in listed):
+                listed.append(f)
+                yield f
+    return
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -124,56 +144,53 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return int(best)
 
 
-def complete(lengths: np.ndarray, capacity: int = CAPACITY, effort: int = EFFORT) -> list[list[int]]:
+def complete(lengths: np.ndarray, capacity: int = CAPACITY, effort: int | None = EFFORT) -> list[list[int]]:
     """Bins of lengths: depth-first branch-and-bound over fillings around the largest piece left.
 
     A branch ends when its waste exceeds what one bin less than the incumbent's allows. The search stops at the
-    lower bound, when no branch is left, or after ``effort`` fillings per piece; the incumbent stands then.
+    lower bound, when no branch is left (the incumbent is then a best one), or after ``effort`` steps per piece (None: never).
     """
     best = best_fit(lengths, capacity)
     bound, total = least_bins(lengths, capacity), int(lengths.sum())
-    stock, path, budget = Stock(lengths), [], effort * len(lengths) + 1000
+    stock, meter = Stock(lengths), Meter(None if effort is None else effort * len(lengths) + 10_000)
+    path: list[tuple[int, Iterator[tuple[int, ...]], tuple[int, ...] | None]] = []  # largest piece, its fillings, the one in use
     waste = 0
-    while len(best) > bound and budget > 0:
-        if stock.kinds and waste <= (len(best) - 1) * capacity - total:
+    while len(best) > bound:
+        spare = (len(best) - 1) * capacity - total - waste
+        if stock.kinds and spare >= 0:
             largest = stock.kinds[-1]
             stock.take(largest)
-            budget -= 1
-            options = fillings(stock, capacity - largest)[::-1]
-            path.append((largest, None, options))
-        else:
-            if not stock.kinds and len(path) < len(best):
-                best = [[p[0], *p[1]] for p in path]
-        # next option of the deepest bin that has one
-        while path:
-            largest, now, options = path[-1]
+            path.append((largest, undominated(stock, capacity - largest, spare, meter), None))
+        elif not stock.kinds and len(path) < len(best):
+            best = [[x, *own] for x, _, own in path]
+        while path:  # the next filling of the deepest bin that has one
+            largest, options, now = path.pop()
             if now is not None:
                 waste -= capacity - largest - sum(now)
                 for x in now:
                     stock.put(x)
-            if options:
-                pick = options.pop()
+            pick = next(options, None) if meter.left >= 0 else None
+            if pick is not None:
                 for x in pick:
                     stock.take(x)
                 waste += capacity - largest - sum(pick)
-                path[-1] = (largest, pick, options)
+                path.append((largest, options, pick))
                 break
             stock.put(largest)
-            path.pop()
         else:
             break
     return best
 
 
-def pack_group(pdf: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
+def pack_group(pdf: pd.DataFrame, capacity: int = CAPACITY, effort: int | None = EFFORT) -> pd.DataFrame:
     """Adds ``bin`` and ``offset`` to the rows of one group."""
     pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-    length = pdf["length"].to_numpy()
+    length = pdf["length"].to_numpy(np.int64)
     waiting: dict[int, list[int]] = {}
     for i in range(len(length) - 1, -1, -1):
         waiting.setdefault(int(length[i]), []).append(i)
     bin_, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-    for b, own in enumerate(complete(length, capacity)):
+    for b, own in enumerate(complete(length, capacity, effort)):
         at = 0
         for x in own:
             i = waiting[x].pop()
@@ -200,18 +217,39 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CA
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group: int = GROUP, effort: int | None = EFFORT) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``.
 
     Every row of the input is packed: repeated rows and rows with a null doc_id as well; an empty table gives an
-    empty result. Other columns are ignored.
+    empty result. Other columns are ignored. A task takes whole groups one by one; their number follows the session's
+    shuffle partitions, and on large inputs GROUPS_PER_TASK, not the bytes, as the search and not the reading takes the time.
     """
     cut, _ = shared_table(pieces(docs, vocabulary, capacity=capacity), "pieces")
     groups = max(1, -(-cut.count() // group))
+    tasks = min(groups, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_PER_TASK)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            own = batch.column("own_group").to_numpy()
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for a, b in zip(edges, edges[1:]):
+                if held and a < b and held[0].column("own_group")[0].as_py() != own[a]:
+                    yield from packed(held)
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        pdf = pack_group(pa.Table.from_batches(held).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), capacity, effort)
+        return pa.Table.from_pandas(pdf, held[0].schema.append(pa.field("bin", pa.int64())).append(pa.field("offset", pa.int64())), preserve_index=False).to_batches()
+
     dealt = cut.withColumn("own_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, own_group long, bin long, offset long"
-    packed = dealt.groupBy("own_group").applyInPandas(lambda pdf: pack_group(pdf, capacity), schema)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own_group") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
+    dealt = dealt.repartitionById(tasks, (F.col("own_group") % tasks).cast("int")).sortWithinPartitions("own_group")
+    placed = dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, own_group long, bin long, offset long")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own_group") * (1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
 
 
 def default_vocabulary() -> str:

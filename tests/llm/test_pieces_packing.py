@@ -115,13 +115,39 @@ def test_branch_and_bound_finds_the_least_number_of_bins():
         assert len(bins) == least_by_search(own.tolist(), 20)
 
 
-def test_fillings_are_undominated():
-    stock = packing.Stock(np.array([3, 3, 4, 5, 7, 8]))
-    found = packing.fillings(stock, 12)
-    assert all(sum(f) <= 12 for f in found)
-    for k, f in enumerate(found):
-        assert not any(packing.covers(g, f) for g in found[:k]), (f, found[:k])
-    assert found[0] and sum(found[0]) == 12
+def test_unbounded_search_finds_the_least_number_of_bins():
+    rng = random.Random(16)
+    for k in range(400):
+        capacity = rng.randrange(5, 40)
+        low, high = (1, capacity) if k % 2 else (max(1, capacity // 5), capacity // 2 + 1)
+        own = np.array([rng.randrange(low, high + 1) for _ in range(rng.randrange(1, 10))])
+        bins = packing.complete(own, capacity, effort=None)
+        assert sorted(itertools.chain(*bins)) == sorted(own.tolist()) and all(sum(b) <= capacity for b in bins)
+        assert len(bins) == least_by_search(own.tolist(), capacity)
+
+
+def test_fillings_are_all_maximal_ones_within_the_waste():
+    rng = random.Random(4)
+    for _ in range(300):
+        own, room, waste = [rng.randrange(1, 9) for _ in range(rng.randrange(1, 8))], rng.randrange(0, 20), rng.randrange(0, 20)
+        every = {tuple(sorted((own[i] for i in pick), reverse=True)) for n in range(len(own) + 1) for pick in itertools.combinations(range(len(own)), n)}
+        def rest(f):
+            left = list(own)
+            for x in f:
+                left.remove(x)
+            return left
+        want = {f for f in every if sum(f) <= room and room - sum(f) <= waste and all(sum(f) + x > room for x in rest(f))}
+        stock = packing.Stock(np.array(own))
+        found = list(packing.fillings(stock, room, waste, packing.Meter(None)))
+        assert sorted(f for _, f in found) == sorted(want) and all(w == room - sum(f) for w, f in found)
+        kept = list(packing.undominated(stock, room, waste, packing.Meter(None)))
+        assert set(kept) <= want and all(any(packing.covers(g, f) for g in kept) for f in want)
+        assert not any(packing.covers(g, f) for k, f in enumerate(kept) for g in kept[:k])
+
+
+def test_many_empty_documents_share_a_sequence():
+    bins = packing.complete(np.array([1] * 5000 + [2048, 2000]))
+    assert len(bins) == packing.least_bins(np.array([1] * 5000 + [2048, 2000]), 2048)
 
 
 def check_packing(rows, docs, capacity=2048):
