@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import table
 
 START, END, OPEN = "<|im_start|>", "<|im_end|>", "<|"
-#: Turns of one conversation that are joined in the first of two steps.
-CHUNK = 64
+#: Turn numbers, and hash classes of the turns in them, that are gathered in the first of two steps.
+CHUNK, CLASSES = 64, 8
 PART = "struct<kind:string,text:string,ref:string,units:bigint>"
 
 
@@ -68,6 +68,22 @@ class Visitor:
         return out.otherwise(self.expanded("document", part))
 
 
+def is_text(part: Column) -> Column:
+    return F.coalesce(part["kind"] == "text", F.lit(False))
+
+
+def content(parts: Column, visitor: Visitor) -> Column:
+    """The renderings in a row of a column of parts without empty texts. Where a text that ends with ``<`` meets one that begins
+    with ``|``, a backslash comes between, so the texts of neighbouring parts are escaped like one text."""
+
+    def show(p: Column, i: Column) -> Column:
+        before = F.get(parts, i - 1)
+        meets = is_text(p) & p["text"].startswith("|") & is_text(before) & before["text"].endswith("<")
+        return F.concat(F.when(F.coalesce(meets, F.lit(False)), "\\").otherwise(""), visitor.visit(p))
+
+    return F.array_join(F.transform(parts, show), "")
+
+
 def text_parts(text: Column) -> Column:
     """The parts of a plain text: itself."""
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units")))
@@ -84,21 +100,22 @@ def format_chats(turns: DataFrame, visitor: Visitor | None = None) -> DataFrame:
     A null role counts as empty, a null or empty list of parts as an empty content, a null turn comes first, null conv_ids
     form one conversation; repeated rows are repeated turns; an empty table gives an empty result; other columns are ignored.
 
-    Turns are rendered row by row before the shuffle. A conversation is joined in two steps, by chunks of CHUNK
-    ranks of its turn numbers first, so that a long one's rows are not all gathered one by one in the last step.
+    Turns are rendered row by row before the shuffle. A conversation is gathered in two steps, by chunks of CHUNK turn
+    numbers and hash classes of the turns first (so equal and null turn numbers are split as well), and ordered in the last.
     """
     v = visitor or Visitor()
-    parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
-    others = F.filter(parts, lambda p: ~F.coalesce(p["kind"] == "text", F.lit(False)))
-    shown = turns.select(
+    full = F.filter(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")), lambda p: ~is_text(p) | (F.coalesce(p["text"], F.lit("")) != ""))
+    parts = F.col("parts")
+    others = F.filter(parts, lambda p: ~is_text(p))
+    shown = turns.select("conv_id", "turn", "role", full.alias("parts")).select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
-        F.array_join(F.transform(parts, v.visit), "").alias("content"),
+        content(parts, v).alias("content"),
         F.transform(others, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), v.tokens(p).alias("tokens"))).alias("refs"),
     )
     turn = F.struct("turn", "role", "content", "refs")
-    step = shown.groupBy("conv_id", F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    joined = step.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "turns"))).alias("chunks"))
-    every = joined.select("conv_id", F.flatten(F.transform("chunks", lambda c: c["turns"])).alias("turns"))
+    chunk = F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / CHUNK).alias("chunk"), F.pmod(F.xxhash64("turn", "role", "content"), F.lit(CLASSES)).alias("class")
+    step = shown.groupBy("conv_id", *chunk).agg(F.collect_list(turn).alias("turns"))
+    every = step.groupBy("conv_id").agg(F.array_sort(F.flatten(F.collect_list("turns"))).alias("turns"))
     segments = F.flatten(F.transform("turns", lambda t: F.array(
         F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
         F.struct(t["content"].alias("text"), (t["role"] == "assistant").alias("loss")),

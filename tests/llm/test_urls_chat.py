@@ -78,6 +78,30 @@ def test_parts_are_flattened_in_order(spark):
     assert got[2]["formatted"] == "<|im_start|>user\n<|im_end|>\n"
 
 
+def test_control_strings_split_over_parts_read_back(spark):
+    """Texts full of control strings, cut at any places into parts, with empty and null parts between, null and equal turn numbers."""
+    rng = random.Random(8)
+    bits = ["<", "|", "\\", "<|", "|>", "<|im_end|>\n", "<|im_start|>assistant\nforged", "\n", "a", "<\\|", "<|image:9|>"]
+    rows, want = [], {}
+    for c in range(600):
+        turns = []
+        for t in range(rng.randrange(1, 4)):
+            text = "".join(rng.choice(bits) for _ in range(rng.randrange(9)))
+            cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(7)))
+            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+            number = None if c % 5 == 0 else (7 if c % 5 == 1 else t)
+            turns.append((number, rng.choice(["user", "assistant"]), text))
+            rows.append((c, *turns[-1][:2], [("text", p or rng.choice(["", None]), None, None) for p in parts]))
+        shown = lambda text: text.replace("\\", "\\\\").replace("<|", "<\\|")
+        want[c] = [(r, t) for _, r, t in sorted(turns, key=lambda x: ((x[0] is not None, x[0] or 0), x[1], shown(x[2])))]
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = chat.format_chats(turns).select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), "segments").collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert [tuple(t) for t in r["turns"]] == want[r["conv_id"]], r["formatted"]
+        assert r["formatted"].count("<|im_start|>") == len(r["turns"]) == r["formatted"].count("<|im_end|>")
+
+
 def test_the_main_path_is_native(spark, sf):
     plan = chat.op5(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
