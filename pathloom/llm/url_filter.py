@@ -42,7 +42,7 @@ def host_rule(text: str, verdict: str) -> list[Rule]:
 #: The listed hosts.
 HOST_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 #: Globs for URLs that no listed host covers.
-GLOBS = ["*cheap-pills*", "*spam-farm*", "*casino*", "*payday-loan*", "*free-download*", "*adult-??deo*", "*/wp-login*", "*click?id=*"]
+GLOBS = ["*cheap-pills*", "*spam-farm*", "*casino*", "*payday-loan*", "*free-download*", "*adult-??deo*", "*/wp-login*"]
 
 
 def default_rules() -> list[Rule]:
