@@ -25,6 +25,8 @@ from pathloom.llm.common import map_rows, table
 
 N_BEST = 4
 MARK = "▁"
+#: Characters of the longest unit whose segmentations are kept.
+LONGEST = 64
 #: Units: space marks and then a run of letters or of other characters; single digits and line feeds; marks alone.
 UNITS = re.compile("▁*[A-Za-z\xc0-\u1fff\u2c00-\U0010ffff]+|▁*[!-/:-@\\[-`{-~\x00-\x09\x0b-\x20\x7f-\xbf\u2000-\u2580\u2582-\u2bff]+|▁*[0-9]|\n|▁+")
 _INFINITE = float("inf")
@@ -37,7 +39,7 @@ class Pieces:
     """A vocabulary: scores, byte fallback, and the units of its lattice. A character that no piece holds is spelt in
     bytes, each at 10 below the lowest score."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -64,6 +66,7 @@ class Pieces:
             node[1] = ((i,), s)
         self.units = UNITS if all(UNITS.fullmatch(p) for p in self.score) else re.compile(".+", re.DOTALL)
         self.known: dict[str, tuple[float, float, bytes]] = {}
+        self.old: dict[str, tuple[float, float, bytes]] = {}  # what was known before; units in use return from it
         self.lists: dict[tuple[str, int], Best] = {}
         self.most = most
 
@@ -122,19 +125,22 @@ class Pieces:
         """``n_best``, kept: the units in which texts differ first are few."""
         out = self.lists.get((unit, n))
         if out is None:
-            if len(self.lists) >= self.most // 10:
-                self.lists.clear()
-            out = self.lists[unit, n] = self.n_best(unit, n)
+            out = self.n_best(unit, n)
+            if len(unit) <= LONGEST:
+                if len(self.lists) >= self.most // 4:
+                    self.lists.clear()
+                self.lists[unit, n] = out
         return out
 
     def best(self, unit: str) -> tuple[float, float, bytes]:
         """Score of the best, gap to the second best, and the best's ids as 32-bit values."""
-        out = self.known.get(unit)
+        out = self.known.get(unit) or self.old.get(unit)
         if out is None:
             two = self.n_best(unit, 2)
             out = (two[0][0], two[0][0] - two[1][0] if len(two) > 1 else _INFINITE, array("I", two[0][1]).tobytes())
+        if len(unit) <= LONGEST:
             if len(self.known) >= self.most:
-                self.known.clear()
+                self.known, self.old = {}, self.known
             self.known[unit] = out
         return out
 

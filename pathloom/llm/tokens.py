@@ -9,6 +9,8 @@ from functools import lru_cache
 
 import regex
 
+#: Characters of the longest word that is kept.
+LONGEST = 64
 #: Characters that str.split() takes for white space and the vocabulary's own rule does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: The vocabulary's own split, as its file states it.
@@ -30,27 +32,33 @@ _LETTER = _byte_letters()
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit bytes. Emptied at ``most`` words, so its memory is bounded."""
+    """Word -> its ids as little-endian 32-bit bytes. Memory is bounded: at ``most`` words they become the old ones, from
+    which words in use return, and the old ones before them go; words of more than LONGEST characters are not kept."""
 
     def __init__(self, tokenizer, most: int):
-        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        self.tokenizer, self.model, self.most, self.old = tokenizer, tokenizer.model, most, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
+        out = self.old.get(word)
+        if out is None:
+            out = self._ids(word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+    def _ids(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             lower = word.lower()
-            out = self._letters(word) if lower == word else self[lower]
-        else:
-            tail = _TAIL.fullmatch(word)
-            if tail:  # letters, then a mark or a run of marks: two parts of the vocabulary's split
-                out = self[tail[1]] + self[tail[2]]
-            elif _LATIN.fullmatch(word):
-                out = b"".join([self._letters(part) for part in _PARTS.findall(unicodedata.normalize("NFC", word).lower())])
-            else:
-                out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = out
-        return out
+            return self._letters(word) if lower == word else self[lower]
+        tail = _TAIL.fullmatch(word)
+        if tail:  # letters, then a mark or a run of marks: two parts of the vocabulary's split
+            return self[tail[1]] + self[tail[2]]
+        if _LATIN.fullmatch(word):
+            return b"".join([self._letters(part) for part in _PARTS.findall(unicodedata.normalize("NFC", word).lower())])
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, part: str) -> bytes:
         shown = part if part.isascii() else "".join([_LETTER[b] for b in part.encode()])
@@ -58,7 +66,7 @@ class WordIds(dict):
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str, most: int = 600_000) -> WordIds:
+def word_ids(path: str, most: int = 200_000) -> WordIds:
     from tokenizers import Tokenizer
 
     return WordIds(Tokenizer.from_file(path), most)
