@@ -15,6 +15,10 @@ from pyspark.sql.types import StructType
 ROWS_PER_BATCH = 1000
 
 
+#: Characters of the labelled texts that a model is fitted on, at most.
+SAMPLE_CHARS = 100_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pathloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -64,17 +70,23 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, most_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """At most ``bound`` labelled texts outside the evaluation fold, picked by a hash of the id.
 
-    Only the bounded list of ids is broadcast; rows with a null label, id or text are left out.
+    Only the bounded list of ids is broadcast; rows with a null label, id or text are left out. Texts reach the driver
+    partition by partition, until they hold ``most_chars`` characters.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    rows = texts_of(docs, picked).collect()
+    rows, chars = [], 0
+    for r in texts_of(docs, picked).orderBy(F.xxhash64("doc_id"), "doc_id").coalesce(8).toLocalIterator():
+        chars += len(r["text"])
+        if rows and chars > most_chars:
+            break
+        rows.append(r)
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
@@ -84,13 +96,41 @@ def texts_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
     return own.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(picked), "doc_id")
 
 
+#: 64-bit words of a bit table: what a broadcast of one holds at most, whatever the input.
+BIT_WORDS = 1 << 19
+
+
+def bit_place(key: Column, words: int = BIT_WORDS) -> tuple[Column, Column]:
+    """Word and bit of a hash of ``key`` in a table of ``words`` 64-bit words."""
+    h = F.xxhash64(key)
+    return F.pmod(h, F.lit(words)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+
+
+def perhaps_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``ids``'s column of that name: all that are, and few others.
+
+    A bit table of the ids' hashes is broadcast: BIT_WORDS rows at most, filled map-side first. It keeps most other rows out of a join's
+    shuffle until the ids outnumber its bits; beyond that it passes all.
+    """
+    word, bit = bit_place(F.col(key))
+    table_ = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = df.join(F.broadcast(table_), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
+    return found
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that few of their texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with small slices: ``fn`` takes at most ROWS_PER_BATCH rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_PER_BATCH):
-                yield from fn(batch.slice(at, ROWS_PER_BATCH))
+        for batch in sliced(batches):
+            yield from fn(batch)
 
     return df.mapInArrow(run, schema)
 

@@ -1,40 +1,59 @@
-"""Connected components of an edge table by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components of an edge table by alternating large-star and small-star steps (Kiveris et al., 2014).
+
+A step moves only nodes that it changes: the large-star those with neighbours on both sides, the small-star those with several smaller
+ones. These are few, are written as tables of their own, and are joined to the edges by plain exchanges, which Spark splits (or by
+a broadcast where the table's files are small), so a hub's edges are not one task; minima are added up before they are shuffled.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import drop_path, shared_table
+from pathloom.llm.common import Scratch, drop_path, shared_table
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Every node's larger neighbours are linked to the least of it and its neighbours; and whether anything moved."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(low.select("u", F.col("m").alias("v"))).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
+    between = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")).where("m < u and u < top").select(F.col("u").alias("w"), "m")
+    between = scratch.table(between, "components-between")
+    if between.isEmpty():
+        return e, False
+    # edges are (u, v) with u > v: those of v's larger neighbours
+    moved = e.join(between, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"))
+    return scratch.table(moved.distinct(), "components-large"), True
+
+
+def _small(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Every node and its smaller neighbours are linked to the least of these; and whether anything moved."""
+    forked = scratch.table(e.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")).where("m < top").select(F.col("u").alias("w"), "m"), "components-forked")
+    if forked.isEmpty():
+        return e, False
+    joined = e.join(forked, F.col("u") == F.col("w"), "left")
+    stay = joined.select("u", F.coalesce("m", "v").alias("v"))
+    return stay.union(joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), True
+
+
+def components(edges: DataFrame, owner: Scratch | None = None) -> DataFrame:
     """``edges(u, v)`` (longs, no nulls) -> ``(node, component)`` for every node that is not its component's smallest.
 
     Each round is written to the shared folder, so lineage stays short and a lost executor costs one round at
-    most. The number of rounds grows with the logarithm of the longest path. An empty table gives an empty one.
+    most; the last round's table goes with ``owner``'s. The number of rounds grows with the logarithm of the longest path. An
+    empty table gives an empty one.
     """
     spark = edges.sparkSession
-    now, path = shared_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    now, path = shared_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or tuple(mark) == seen:
+        scratch = Scratch()
+        large, one = _large(now, scratch)
+        then, two = _small(large, scratch)
+        if one or two:
+            new = shared_table(then, "components")
+            drop_path(spark, path)
+            now, path = new
+        scratch.drop(spark)
+        if not one and not two:
+            if owner:
+                owner.paths.append(path)
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = tuple(mark)
-        then, new_path = shared_table(_small(_large(now)), "edges")
-        drop_path(spark, path)
-        now, path = then, new_path

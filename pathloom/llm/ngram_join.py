@@ -7,15 +7,16 @@ is never formed as a whole. Four steps keep it blocked:
    most 2 r (q-p)/(q+p) n-grams, so where hashes are cut into more ranges than that, they agree on a whole range that is not empty.
    A hash of each range is a mark, and holds six n-grams or more, which few other documents share. Under 90 % ranges would
    hold too few. A set of size a that links at p/q shares at least a p/q of its n-grams, so two linked sets share one of the
-   first a - ceil(a p/q) + 1 in any common order; these are the marks. The order takes rare n-grams first, by a table of counts of
-   fixed size over all documents, so passages that many documents share come last.
+   first a - ceil(a p/q) + 1 in any common order; these are the marks. The order is by a hash, over half of the n-grams whose exact counts
+   over all documents are at most COLUMN first, then over the other half, which isn't counted, then over the frequent ones of
+   the first, so passages that many documents share come last.
 2. *Blocks.* Each row hangs on the least of those that share a mark with it. Under 90 % rows of a mark of at most COLUMN rows are paired
-   instead, once, and a pair goes when the sizes are too far apart, or when the sums of differences of both sets' counts in equal ranges of
+   instead, once, where their sizes allow a link, and a pair goes when the sums of differences of both sets' counts in equal ranges of
    hashes already exceed the differences that the bound allows. Components are blocks; no link crosses them.
 3. *Blocked product.* A block's rows are multiplied in one task, row by row through the column lists; pairs
    that can't reach the bound by their sizes, or by the triangle inequality of the Jaccard distance to rows
    already multiplied, are discarded before any counting, and accumulated counts below the bound after it. A
-   block of more than one tile (TILE rows or TILE_SHINGLES n-grams) is first multiplied with PIVOTS of its own rows:
+   block of more than one tile (TILE rows or TILE_SHINGLES n-grams) is first multiplied with the columns of PIVOTS of its own rows:
    rows that link to a pivot are in one tree and need no product among themselves. What is left is cut into tiles by
    tree, and each pair of tiles of different trees, or of rows without one, is a task of its own.
 4. *Components.* The tasks return spanning links only; their components are the result.
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.llm.bytescan import Scan, U, mix, shingle_sets
-from pathloom.llm.common import Scratch, chunks, map_rows, shared_table, table
+from pathloom.llm.common import Scratch, chunks, map_rows, perhaps_in, shared_table, sliced, table
 from pathloom.llm.components import components
 
 #: Rows and n-grams of one side of a tile pair, and the rows that all of a larger block are multiplied with first.
-TILE, TILE_SHINGLES, PIVOTS = 2048, 2_000_000, 8
-#: Rows of a column that are paired with one another; least ranges of a histogram; and bits of the table of counts.
-COLUMN, HISTOGRAM, COUNT_BITS = 32, 64, 20
+TILE, TILE_SHINGLES, PIVOTS = 512, 400_000, 8
+#: Rows of a column that are paired with one another; least ranges of a histogram; and bits of an entry in the table of frequent n-grams.
+COLUMN, HISTOGRAM, ENTRY_BITS = 32, 64, 27
+#: N-grams whose counts a task adds up before it hands them on.
+COUNTED = 2_000_000
 _BAND_RATIO = 1.5
 _ALL = (1 << 64) - 1
 
@@ -87,13 +90,16 @@ def signatures(own: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def rarest(own: np.ndarray, classes: np.ndarray, p: int, q: int) -> np.ndarray:
-    """The n-grams of a sorted set by which it meets every set that it can link to: the first of them, rare ones first."""
+def rarest(own: np.ndarray, frequent: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The n-grams of a sorted set by which it meets every set that it can link to: the first in the order that the module states."""
     n = len(own)
     k = n - -(-n * p // q) + 1
     if not 0 < k < n:
         return own
-    key = (classes[(own >> U(64 - COUNT_BITS)).astype(np.int64)].astype(U) << U(58)) | (mix(own) >> U(6))
+    order = mix(own)
+    entry = (own >> U(64 - ENTRY_BITS)).astype(np.int64)
+    listed = (frequent[entry >> 3] >> (entry & 7).astype(np.uint8)) & 1
+    key = (np.where(order >> U(63), 1, 2 * listed).astype(U) << U(62)) | (order >> U(2))
     return own[np.argpartition(key, k - 1)[:k]]
 
 
@@ -115,24 +121,36 @@ def least_difference(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def rarity(docs: DataFrame, words: int) -> np.ndarray:
-    """The binary logarithm of the counts of all documents' n-grams, by the first COUNT_BITS bits of their hashes.
+def frequent_grams(docs: DataFrame, words: int) -> np.ndarray:
+    """A bit for each entry (ENTRY_BITS first bits of a hash): whether it has an n-gram, of the counted half, of more than COLUMN documents.
 
-    Partitions add up their own counts first; what reaches the driver has a row for each entry of the table at most.
+    Counts are exact and over all documents; tasks add up their own first. The bits are gathered in 64-bit words, so what reaches the
+    driver and every executor is of a fixed size, 2**ENTRY_BITS bits at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
-        for batch in batches:
+        held, n = [], 0
+        for batch in sliced(batches):
             for _, _, sets in _profile(batch.column(0).to_pylist(), words):
-                total += np.bincount((np.concatenate(sets) >> U(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["entry", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "entry int, n long").groupBy("entry").agg(F.floor(F.log2(F.sum("n") + 1)).cast("tinyint").alias("class"))
-    found, out = counts.toArrow(), np.zeros(1 << COUNT_BITS, np.uint8)
-    out[found.column("entry").to_numpy()] = found.column("class").to_numpy()
-    return out
+                own = np.concatenate(sets)
+                held.append(own[mix(own) >> U(63) == 0])
+                n += len(held[-1])
+                if n > COUNTED:
+                    yield added(held)
+                    held, n = [], 0
+        yield added(held)
+
+    def added(held: list[np.ndarray]) -> pa.RecordBatch:
+        gram, n = np.unique(np.concatenate([*held, np.zeros(0, U)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
+
+    entry = F.shiftrightunsigned("gram", 64 - ENTRY_BITS)
+    counts = docs.select("text").mapInArrow(count, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > COLUMN)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(entry, F.lit(64)).cast("int"))
+    found = counts.select(F.shiftright(entry, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (ENTRY_BITS - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def product_links(ids: list[int], sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
@@ -177,32 +195,36 @@ def product_links(ids: list[int], sets: list[np.ndarray], p: int, q: int) -> lis
     return links
 
 
-def meets(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches p/q; sizes too far apart are told from the bound alone."""
-    m, n = len(a), len(b)
-    if not m or not n or min(m, n) * q < p * max(m, n):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * q >= p * (m + n - both)
+def overlaps(sets: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """The product of the incidence matrix of ``sets`` with that of ``columns``: n-grams in common, sets by columns."""
+    every, row = np.concatenate([*sets, np.zeros(0, U)]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    out = np.zeros((len(sets), len(columns)), np.int64)
+    for k, own in enumerate(columns):
+        if len(own):
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            out[:, k] = np.bincount(row[hit], minlength=len(sets))
+    return out
+
+
+def links_of(sets: list[np.ndarray], columns: list[np.ndarray], p: int, q: int) -> np.ndarray:
+    """Which of ``sets`` reach the bound with which of ``columns``."""
+    both, m, n = overlaps(sets, columns), np.array([len(s) for s in sets], np.int64)[:, None], np.array([len(s) for s in columns], np.int64)[None]
+    return (both > 0) & (both * q >= p * (m + n - both))
 
 
 def pivot_forest(pivots: list[np.ndarray], p: int, q: int) -> tuple[list[int], list[tuple[int, int]]]:
     """The least pivot that each pivot reaches by links among them, and the spanning links (later, earlier) by which it does."""
     tree, links = list(range(len(pivots))), []
+    linked = links_of(pivots, pivots, p, q)
     for i in range(len(pivots)):
         for j in range(i):
-            if tree[i] != tree[j] and meets(pivots[i], pivots[j], p, q):
+            if tree[i] != tree[j] and linked[i, j]:
                 low, high = sorted((tree[i], tree[j]))
                 tree = [low if t == high else t for t in tree]
                 links.append((i, j))
     return tree, links
 
 
-def pivot_trees(pivots: list[np.ndarray], p: int, q: int) -> list[int]:
-    """The least pivot that each pivot reaches by links among them."""
-    return pivot_forest(pivots, p, q)[0]
-
-
 def _profile(texts: list[str | None], n: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     for a, b in chunks(texts):
         yield a, b, shingle_sets(Scan(texts[a:b], lower=True), n)
@@ -218,26 +240,20 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     as one document. A null doc_id links with nothing and has a null component_id. Other columns are ignored.
     """
     p, q = percent, 100
+    spark, scratch = docs.sparkSession, Scratch()
 
     def profile(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         for a, b, sets in _profile(texts, words):
             marks = [signatures(s, p, q) if whole_ranges else rarest(s, shared.value, p, q) for s in sets]
-            same = [f"{int(mix(s).sum()):016x}{int(mix(s + U(1)).sum()):016x}{len(s)}" if len(s) else None for s in sets]
+            same = [int(mix(s).sum()).to_bytes(8) + int(mix(s + U(1)).sum()).to_bytes(8) + len(s).to_bytes(5) if len(s) else None for s in sets]
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in marks])]).astype(np.int32), np.concatenate(marks).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.string()), lists, pa.array([histogram(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "same", "marks", "ranges"])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair = pa.table(batch).select(["u", "v", "nu", "nv", "ru", "rv"]).combine_chunks()
-            size = pair["nu"].to_numpy() + pair["nv"].to_numpy()
-            keep = least_difference(pair["ru"].to_pylist(), pair["rv"].to_pylist()) <= size * (q - p) // (q + p)
-            yield from pair.select(["u", "v"]).filter(pa.array(keep)).to_batches() or [pa.RecordBatch.from_pylist([], schema=pair.select(["u", "v"]).schema)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), lists, pa.array([histogram(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "same", "marks", "ranges"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = ([], []), None
         out = lambda links: pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
-        for batch in batches:
+        for batch in sliced(batches, 200):
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
             ids, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for a, b, sets in _profile(texts, words):
@@ -251,54 +267,71 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole_ranges = p * 10 >= q * 9
-    shared = None if whole_ranges else docs.sparkSession.sparkContext.broadcast(rarity(docs, words))  # fixed size: 2**COUNT_BITS bytes
-    scratch = Scratch()
-    known = scratch.table(map_rows(docs, profile, "doc_id long, n_shingles long, same string, marks array<long>, ranges binary"), "ngram-profile")
+    shared = None if whole_ranges else spark.sparkContext.broadcast(frequent_grams(docs, words))  # fixed size: 2**ENTRY_BITS bits
+    known = scratch.table(map_rows(docs, profile, "doc_id long, n_shingles long, same binary, marks array<long>, ranges binary"), "ngram-profile")
     full = known.where("doc_id is not null and n_shingles > 0")
     # minima are added up map-side and written, so that the joins back to the rows have plain exchanges on both
-    # sides, which Spark splits where one text or one signature has many documents
+    # sides, which Spark splits where one text or one mark has many documents
     first = scratch.table(full.groupBy("same").agg(F.min("doc_id").alias("rep")), "ngram-first")
-    member = scratch.table(full.select("doc_id", "same").join(first, "same").select("doc_id", "rep"), "ngram-member")
+    member = scratch.table(known.select("doc_id", "n_shingles", "same").join(first, "same", "left").select("doc_id", "n_shingles", "rep"), "ngram-member")
 
     # one document stands for all of its text; rows that repeat its doc_id with other texts stay apart
     texts = scratch.table(full.join(first, (full["same"] == first["same"]) & (full["doc_id"] == first["rep"])).select("doc_id", "n_shingles", "marks", "ranges"), "ngram-texts")
-    mark = texts.select("doc_id", F.explode("marks").alias("mark"))
-    column = scratch.table(mark.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high").drop("high"), "ngram-columns")
-    meet = scratch.table(mark.join(column, "mark"), "ngram-meet")
-    checked = F.lit(False) if whole_ranges else F.col("c") <= COLUMN
-    star = meet.where(~checked & (F.col("doc_id") != F.col("low"))).select(F.col("doc_id").alias("u"), F.col("low").alias("v")).distinct()
-    if not whole_ranges:
-        short = meet.where(checked)
-        pairs = short.select("mark", F.col("doc_id").alias("u")).join(short.select("mark", F.col("doc_id").alias("v")), "mark").where("u > v").select("u", "v").distinct()
-        side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("ranges").alias(f"r{c}"))
-        star = star.union(pairs.join(side("u"), "u").join(side("v"), "v").where((F.least("nu", "nv") * q >= F.greatest("nu", "nv") * p)).mapInArrow(close, "u long, v long"))
-    block = components(star)
+    mark = texts.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("marks").alias("mark"))
+    column = scratch.table(mark.groupBy("mark").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).cast("int").alias("c")).where("c > 1"), "ngram-columns")
+    meet = mark.join(column, "mark")
+    if whole_ranges:
+        edges = meet.where("doc_id <> low").select(F.col("doc_id").alias("u"), F.col("low").alias("v"))
+    else:
+        meet = scratch.table(meet, "ngram-meet")
+        star = meet.where((F.col("c") > COLUMN) & (F.col("doc_id") != F.col("low"))).select(F.col("doc_id").alias("u"), F.col("low").alias("v"))
+        edges = star.union(_close_pairs(meet.where(F.col("c") <= COLUMN), texts, p, q, scratch))
+    block = components(edges, scratch)
     block = block.union(block.select(F.col("component").alias("node"), "component").distinct())
     sizes = texts.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
     block = scratch.table(block.join(sizes, F.col("node") == F.col("doc_id")).select("doc_id", "component", "n"), "ngram-blocks")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts")
     whole = scratch.table(block.groupBy("component").agg(parts), "ngram-sizes")
     tiles = block.join(whole.where("parts = 1"), "component").select("doc_id", "component", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    tied = None
-    if not whole.where("parts > 1").isEmpty():
-        several = whole.where("parts > 1")
+    several, tied = whole.where("parts > 1"), None
+    if not several.isEmpty():
         more, tied = _tree_tiles(docs, block.join(several, "component", "left_semi"), several, parts, words, p, q, scratch)
         tiles = tiles.unionByName(more)
     tiles = scratch.table(tiles, "ngram-tiles")
-    # few texts are in a block: a Bloom filter of bounded size keeps the others out of the join's shuffle
-    for name, value in (("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "1g")):
-        docs.sparkSession.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{name}", value)
-    work = docs.join(tiles.where("i >= 0"), "doc_id").select("component", "i", "j", "doc_id", "text")
+    # few texts are in a block
+    work = perhaps_in(docs, "doc_id", tiles.select("doc_id")).join(tiles, "doc_id").select("component", "i", "j", "doc_id", "text")
     links = work.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id").mapInArrow(multiply, "u long, v long")
 
-    # copies hang on their representative; repeated rows with one doc_id may have several
-    copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = components(links.union(copies) if tied is None else links.union(copies).union(tied))
-    out, _ = shared_table(known.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "ngram-components")
-    scratch.drop(docs.sparkSession)
+    # a doc_id with several texts links them
+    twins = member.where("rep is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")
+    links = links.union(member.join(twins, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    found = components(links if tied is None else links.union(tied), scratch)
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    out, _ = shared_table(member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", own.alias("component_id")), "ngram-components")
+    scratch.drop(spark)
     return out
 
 
+def _close_pairs(short: DataFrame, texts: DataFrame, p: int, q: int, scratch: Scratch) -> DataFrame:
+    """Pairs ``(u, v)`` of the rows ``short(mark, doc_id, n)``, COLUMN of a mark at most, whose sizes and histograms allow a link."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 20_000):
+            pair = pa.table(batch)
+            size = pair["nu"].to_numpy() + pair["nv"].to_numpy()
+            keep = least_difference(pair["ru"].to_pylist(), pair["rv"].to_pylist()) <= size * (q - p) // (q + p)
+            yield from pair.select(["u", "v"]).filter(pa.array(keep)).to_batches() or [pa.RecordBatch.from_pylist([], schema=pair.select(["u", "v"]).schema)]
+
+    # each mark's rows by size, so that a pair's larger set comes later
+    rows = short.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("n", "doc_id"))).alias("rows")).select("rows")
+    fits = lambda a, b: (a["doc_id"] != b["doc_id"]) & (a["n"].cast("long") * q >= b["n"].cast("long") * p)
+    later = lambda a, i: F.filter(F.slice(F.col("rows"), i + 2, COLUMN), lambda b: fits(a, b))
+    pair = F.flatten(F.transform("rows", lambda a, i: F.transform(later(a, i), lambda b: F.struct(F.greatest(a["doc_id"], b["doc_id"]).alias("u"), F.least(a["doc_id"], b["doc_id"]).alias("v")))))
+    pairs = scratch.table(rows.select(F.explode(pair).alias("p")).select("p.*").distinct(), "ngram-pairs")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("ranges").alias(f"r{c}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(close, "u long, v long")
+
+
 def _tree_tiles(docs: DataFrame, large: DataFrame, whole: DataFrame, parts: Column, words: int, p: int, q: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Tile pairs ``(doc_id, component, i, j)`` of the blocks ``large(doc_id, component, n)`` of ``whole(component, parts)``, and the links to pivots and among them ``(u, v)``.
 
@@ -308,28 +341,32 @@ def _tree_tiles(docs: DataFrame, large: DataFrame, whole: DataFrame, parts: Colu
     """
     large = scratch.table(large.join(whole, "component").withColumn("group", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")), "ngram-large")
     pivot = large.groupBy("component", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))).agg(F.min("doc_id").alias("doc_id")).select("component", "doc_id")
-    texts = docs.join(pivot, "doc_id").groupBy("component", "doc_id").agg(F.min("text").alias("text")).join(whole, "component")
+    pivot = scratch.table(pivot, "ngram-pivots")
+    texts = perhaps_in(docs, "doc_id", pivot).join(pivot, "doc_id").groupBy("component", "doc_id").agg(F.min("text").alias("text")).join(whole, "component")
     first = texts.select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("group"), F.lit(0).alias("turn"), "doc_id", F.lit(0).cast("long").alias("n"), "text")
-    rest = docs.join(large, "doc_id").select("component", "group", F.lit(1).alias("turn"), "doc_id", "n", "text")
+    rest = perhaps_in(docs, "doc_id", large).join(large, "doc_id").select("component", "group", F.lit(1).alias("turn"), "doc_id", "n", "text")
     rows = first.unionByName(rest).repartition("component", "group").sortWithinPartitions("component", "group", "turn", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, own, tree, links = None, [], [], None, []
-        for batch in batches:
+        for batch in sliced(batches, 200):
             component, group, turn, doc, n = (batch.column(c).to_pylist() for c in range(5))
             for a, b, sets in _profile(batch.column(5).to_pylist(), words):
-                out = []
-                for at, s in zip(range(a, b), sets):
+                out, at = [], a
+                while at < b:
                     if (component[at], group[at]) != key:
                         key, ids, own, tree, links = (component[at], group[at]), [], [], None, []
+                    end = next((k for k in range(at, b) if (component[k], group[k], turn[k]) != (*key, turn[at])), b)
                     if turn[at] == 0:
-                        ids.append(doc[at])
-                        own.append(s)
+                        ids += doc[at:end]
+                        own += sets[at - a : end - a]
                     else:
                         if tree is None:
                             tree, links = pivot_forest(own, p, q)
-                        k = next((k for k, other in enumerate(own) if meets(s, other, p, q)), None)
-                        out.append((component[at], doc[at], n[at], None if k is None else ids[k], -1 if k is None else tree[k], [ids[j] for i, j in links if ids[i] == doc[at]]))
+                        met = links_of(sets[at - a : end - a], own, p, q)
+                        for r, k in zip(range(at, end), np.where(met.any(1), met.argmax(1), -1).tolist()):
+                            out.append((component[r], doc[r], n[r], None if k < 0 else ids[k], -1 if k < 0 else tree[k], [ids[j] for i, j in links if ids[i] == doc[r]]))
+                    at = end
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], ["component", "doc_id", "n", "pivot", "tree", "earlier"])
 

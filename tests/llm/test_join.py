@@ -79,6 +79,17 @@ def test_pivots_of_one_tree_stay_linked(spark, monkeypatch):
     assert got == want
 
 
+def test_sparse_product_counts_what_sets_share():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40), dtype=np.uint64)) for _ in range(50)]
+    columns = [np.unique(rng.integers(0, 60, rng.integers(0, 40), dtype=np.uint64)) for _ in range(9)]
+    want = np.array([[len(np.intersect1d(s, c)) for c in columns] for s in sets])
+    assert (ngram_join.overlaps(sets, columns) == want).all()
+    assert ngram_join.overlaps([], columns).shape == (0, 9) and ngram_join.overlaps(sets, []).shape == (50, 0)
+    linked = ngram_join.links_of(sets, columns, 40, 100)
+    assert all(linked[i, j] == (want[i, j] > 0 and want[i, j] >= 0.4 * (len(sets[i]) + len(columns[j]) - want[i, j])) for i in range(50) for j in range(9))
+
+
 def test_pivot_trees_are_closed_under_links():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
@@ -87,9 +98,8 @@ def test_pivot_trees_are_closed_under_links():
     for _ in range(3):
         chain.append(step(chain[-1], 4))
     far = np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
-    assert ngram_join.pivot_trees([chain[0], far, chain[1], chain[2]], 90, 100) == [0, 1, 0, 0]
-    assert ngram_join.meets(chain[3], chain[2], 90, 100) and not ngram_join.meets(chain[3], chain[0], 90, 100)
-    assert not ngram_join.meets(base, base[:0], 90, 100)
+    assert ngram_join.pivot_forest([chain[0], far, chain[1], chain[2]], 90, 100)[0] == [0, 1, 0, 0]
+    assert ngram_join.links_of([chain[3]], [chain[2], chain[0], base[:0]], 90, 100).tolist() == [[True, False, False]]
 
 
 def test_the_query_matches_its_sql(same_as_sql):
@@ -100,7 +110,7 @@ def test_the_query_matches_its_sql(same_as_sql):
 def test_linked_sets_meet_and_are_not_discarded(p, q):
     """Any two sets that reach the bound share a column, and their histograms differ no more than it allows."""
     rng = np.random.default_rng(p)
-    classes = rng.integers(0, 20, 1 << ngram_join.COUNT_BITS).astype(np.uint8)
+    classes = rng.integers(0, 256, 1 << (ngram_join.ENTRY_BITS - 3)).astype(np.uint8)
     for size in [1, 2, 3, 5, 9, 10, 11, 17, 19, 20, 33, 64, 100, 101, 150, 333, 700, 2000]:
         for _ in range(25):
             own = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
@@ -134,12 +144,19 @@ def test_histograms_discard_sets_that_share_little():
         assert ngram_join.least_difference([ngram_join.histogram(a)], [ngram_join.histogram(b)])[0] > 2 * n * 20 // 180
 
 
-def test_rare_columns_come_first(spark):
-    docs = spark.createDataFrame([(i, f"a b c d{i} e{i} f{i}") for i in range(50)], "doc_id long, text string")
-    classes = ngram_join.rarity(docs, 3)
-    own = ngram_join.shingle_sets(ngram_join.Scan(["a b c d1 e1 f1"], lower=True), 3)[0]
-    common = ngram_join.shingle_sets(ngram_join.Scan(["a b c"], lower=True), 3)[0]
-    assert common[0] not in ngram_join.rarest(own, classes, 60, 100) and len(ngram_join.rarest(own, classes, 60, 100)) == 2
+def test_frequent_columns_come_last(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNTED", 20)
+    docs = spark.createDataFrame([(i, f"a b c d e f g{i} h{i} i{i}") for i in range(60)] + [(100 + i, f"x y z w{i % 3}") for i in range(33)], "doc_id long, text string").repartition(5)
+    bits = ngram_join.frequent_grams(docs, 3)
+    sets = lambda t: ngram_join.shingle_sets(ngram_join.Scan([t], lower=True), 3)[0]
+    listed = lambda g: bool(bits[int(g) >> (64 - ngram_join.ENTRY_BITS) >> 3] >> (int(g) >> (64 - ngram_join.ENTRY_BITS) & 7) & 1)
+    counted = lambda g: int(ngram_join.mix(np.array([g]))[0]) >> 63 == 0
+    common, rare = [*sets("a b c d e f"), *sets("x y z")], [*sets("e f g1 h1 i1"), *sets("y z w1")]
+    assert [listed(g) for g in common] == [counted(g) for g in common] and not any(listed(g) for g in rare)
+    assert int(np.unpackbits(bits).sum()) == sum(map(counted, common))
+    own = sets("a b c d e f g1 h1 i1")
+    last = {g for g in own.tolist() if listed(g)}
+    assert not last & set(ngram_join.rarest(own, bits, 60, 100).tolist())
 
 
 def test_product_gives_a_spanning_forest():
@@ -160,6 +177,14 @@ def test_components_of_chains_stars_and_loops(spark):
     rng.shuffle(edges)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 160)}, 201: 200}
+    for n, m in ((30, 20), (60, 50), (80, 120)):  # graphs of small and of large components
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        root = list(range(n))
+        for u, v in edges:
+            a, b = root[u], root[v]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {i: r for i, r in enumerate(root) if i != r}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
