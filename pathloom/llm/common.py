@@ -151,7 +151,7 @@ def map_texts(docs: DataFrame, fn: Callable[[list[str | None]], tuple[list[str |
     return map_rows(docs.withColumn("text", F.col("text").cast("string")), run, docs.withColumn("text", F.col("text").cast("string")).schema)
 
 
-def chunks(texts: list[str | None], most_chars: int = 400_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], most_chars: int = 150_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``most_chars`` characters, or one longer text alone."""
     at, total = 0, 0
     for i, t in enumerate(texts):

@@ -193,7 +193,8 @@ def score(docs: DataFrame, net: Chain) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, net: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
+    """The rows whose score reaches the threshold, with all their columns. Null and empty texts are scored like texts without lines;
+    ids aren't read; repeated rows stay or go alike; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     return map_texts(docs, lambda texts: (None, [bool(s >= threshold) for s in shared.value.scores(texts)]))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.bytescan import Scan, U, mix, shingle_hashes
+from pathloom.llm.bytescan import LOWER, Scan, U, mix, shingle_hashes
 from pathloom.llm.common import chunks, map_rows, map_texts, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -28,13 +28,27 @@ _CONTINUED[0x80:0xC0] = True
 _END = np.zeros(256, bool)
 _END[list(b".!?:;\"')]")] = True
 
-#: Fixed phrases of licence, cookie and policy lines.
-BOILERPLATE = re.compile(
-    rb"all rights reserved|licen[cs]ed under|public license|terms of (?:use|service)|privacy policy|cookie policy|"
-    rb"we use cookies|powered by|lorem ipsum|enable javascript|javascript is disabled|copyright \(?c\)?|spdx-license",
-    re.IGNORECASE,
-)
-NAVIGATION = re.compile(rb"(?:home|menu|login|log in|sign in|sign up|subscribe|share this|read more|next page|previous page|skip to content|back to top)[ .:>\xbb|]*", re.IGNORECASE)
+#: Phrases of licence, cookie and policy lines, lower-case. Fixed values.
+BOILERPLATE = [
+    "all rights reserved", "licensed under", "licenced under", "public license", "terms of use", "terms of service", "privacy policy",
+    "cookie policy", "we use cookies", "powered by", "lorem ipsum", "enable javascript", "javascript is disabled", "copyright (c)", "copyright \u00a9", "spdx-license",
+    "alle rechte vorbehalten", "lizenziert unter", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "wir verwenden cookies", "impressum",
+    "tous droits réservés", "sous licence", "politique de confidentialité", "conditions d'utilisation", "nous utilisons des cookies", "mentions légales",
+    "todos los derechos reservados", "bajo licencia", "política de privacidad", "términos de uso", "condiciones de uso", "utilizamos cookies", "aviso legal",
+]
+#: A line is boilerplate when words of these phrases are at least one in so many of its words.
+BOILERPLATE_SHARE = 12
+#: Entries of menus, lower-case; a line of nothing else is navigation. Fixed values.
+NAVIGATION = [
+    "home", "menu", "login", "log in", "sign in", "sign up", "subscribe", "share this", "read more", "next page", "previous page", "skip to content", "back to top",
+    "startseite", "menü", "anmelden", "registrieren", "abonnieren", "weiterlesen", "nächste seite", "vorherige seite", "zum inhalt springen", "nach oben",
+    "accueil", "connexion", "se connecter", "s'inscrire", "s'abonner", "lire la suite", "page suivante", "page précédente", "aller au contenu", "haut de page",
+    "inicio", "menú", "iniciar sesión", "registrarse", "suscribirse", "leer más", "página siguiente", "página anterior", "saltar al contenido", "volver arriba",
+]
+_PHRASES = [(x.encode(), len(x.split())) for x in BOILERPLATE]
+_GAP = rb"(?:[\t-\r .:>|/*-]|\xc2[\xb7\xbb])"
+_ENTRY = b"(?:" + b"|".join(re.escape(x.encode()) for x in sorted(NAVIGATION, key=len, reverse=True)) + b")"
+MENU = re.compile(_GAP + b"*" + _ENTRY + b"(?:" + _GAP + b"+" + _ENTRY + b")*" + _GAP + b"*")
 
 
 def counts(scan: Scan) -> dict[str, np.ndarray]:
@@ -74,7 +88,10 @@ def counts(scan: Scan) -> dict[str, np.ndarray]:
 
 
 def failing_lines(scan: Scan, figures: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines that fail a rule, with each line's bounds and text: (start, end, text's index, failed)."""
+    """Lines that fail a rule, with each line's bounds and text: (start, end, text's index, failed). Lines without a word don't fail.
+
+    The rules are those listed below; letter case counts for A-Z only. An ending beyond ASCII passes the punctuation rule.
+    """
     start, end, of = scan.lines()
     data, sums = scan.data, lambda mask: np.concatenate([[0], np.cumsum(mask)])
     inside = lambda mask: (lambda s: s[end] - s[start])(sums(mask))
@@ -94,14 +111,18 @@ def failing_lines(scan: Scan, figures: dict[str, np.ndarray]) -> tuple[np.ndarra
         | ((upper * 2 > letters) & (n > 3))  # shouting
         | (echo * 2 > n)  # one word again and again
         | ((repeated * 2 > n) & (n > 3))  # windows that the text repeats
-        | ((n >= 8) & ~_END[last] & (last < 0x80) & (letters == 0))  # punctuation: no sentence in it
+        | ((n >= 8) & ~_END[last] & (last < 0x80))  # punctuation: eight words or more that end no sentence
     )
-    short = np.flatnonzero(~failed & (n > 0) & (n <= 25))
-    raw = data.tobytes()
-    for i in short.tolist():
-        line = raw[start[i] : end[i]]
-        if BOILERPLATE.search(line) or (n[i] <= 4 and NAVIGATION.fullmatch(line.strip())):
-            failed[i] = True
+    raw = LOWER[data].tobytes()
+    known = np.zeros(len(start), np.int64)  # boilerplate: words of listed phrases
+    for phrase, words_in in _PHRASES:
+        at = raw.find(phrase)
+        while at >= 0:
+            known[np.searchsorted(end, at)] += words_in
+            at = raw.find(phrase, at + len(phrase))
+    failed |= (n > 0) & (known * BOILERPLATE_SHARE >= n)
+    for i in np.flatnonzero(~failed & (n > 0)).tolist():  # navigation: menu entries and nothing else
+        failed[i] = MENU.fullmatch(raw, start[i], end[i]) is not None
     return start, end, of, failed
 
 
@@ -123,7 +144,8 @@ def clean_texts(texts: list[str | None], max_lost: float = MAX_LOST) -> Iterator
 
 
 def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
-    """The rows that are kept, all their columns, ``text`` without its failing lines. Null texts are rejected."""
+    """The rows that are kept, all their columns, ``text`` without its failing lines. Null and empty texts are rejected; ids aren't
+    read; repeated rows stay or go alike; an empty table gives an empty result."""
 
     def run(texts: list[str | None]) -> tuple[list[str | None], list[bool]]:
         parts = list(clean_texts(texts, max_lost))

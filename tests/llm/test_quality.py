@@ -53,6 +53,101 @@ def test_failing_lines_go_and_too_much_loss_rejects():
     assert not f["kept"][0]
 
 
+def plain_clean(text):
+    """The text without its failing lines, and the share of word characters in these, line by line and word by word."""
+    text = text or ""
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    places, repeated, at = {}, set(), 0
+    every = words(text)
+    for i in range(len(every) - 2):
+        places.setdefault(tuple(every[i : i + 3]), []).append(i)
+    for own in places.values():
+        if len(own) > 1:
+            repeated |= {i + k for i in own for k in range(3)}
+    kept, lost = [], 0
+    for line, low in zip(text.split("\n"), lower.split("\n")):
+        w = words(line)
+        n, raw = len(w), line.encode()
+        mine = range(at, at + n)
+        at += n
+        failed = n > 0 and (
+            10 * sum(c in "#*$%&|<>" for c in line) > 5 * n
+            or (line.count("|") > 1 and 4 * line.count("|") > n)
+            or (n > 3 and 2 * sum(65 <= b <= 90 for b in raw) > sum(chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in raw))
+            or 2 * sum(x == y for x, y in zip(w, w[1:])) > n
+            or (n > 3 and 2 * sum(i in repeated for i in mine) > n)
+            or (n >= 8 and w[-1][-1].isascii() and w[-1][-1] not in ".!?:;\"')]")
+            or 12 * sum(low.count(x) * len(x.split()) for x in quality_rules.BOILERPLATE) >= n
+            or is_menu(low)
+        )
+        if failed:
+            lost += sum(map(len, w))
+        else:
+            kept.append(line)
+    return "\n".join(kept), lost / max(1, sum(map(len, every)))
+
+
+def is_menu(line):
+    """Whether a line falls into menu entries with gaps between, tried from the left entry by entry."""
+    gaps = "\t\n\x0b\x0c\r .:>|/*-\xb7\xbb"
+    line = line.strip(gaps)
+    ends = {0}
+    for a in range(len(line)):
+        if a in ends:
+            for x in quality_rules.NAVIGATION:
+                if line.startswith(x, a):
+                    b = a + len(x)
+                    if b == len(line):
+                        return True
+                    c = b
+                    while c < len(line) and line[c] in gaps:
+                        c += 1
+                        ends.add(c)
+    return False
+
+
+def rule_texts():
+    rng = random.Random(12)
+    vocabulary = ["word", "other", "Ünder", "x", "SHOUT", "LOUD", "end.", "so,", "#", "|", "***", "Home", "menü", "log", "in", "Login", "página", "siguiente", "nächste", "Seite", "»", "·"] + [f"w{i}" for i in range(60)]
+    phrases = [*quality_rules.BOILERPLATE, *quality_rules.NAVIGATION, "ALL RIGHTS RESERVED", "home | menu | log in", "- Accueil » Connexion", "same words again and again", "…", ""]
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.randrange(1, 12)):
+            n = rng.choice([0, 1, 3, 7, 8, 12, 24, 30, 40])
+            line = [rng.choice(phrases) if rng.random() < 0.06 else rng.choice(vocabulary if rng.random() < 0.4 else vocabulary[22:]) for _ in range(n)]
+            if rng.random() < 0.2:
+                line = [rng.choice(phrases)]
+            lines.append(" ".join(line) + rng.choice(["", ".", "!", "…", " ", "\r"]))
+        yield "\n".join(lines + rng.choice([[], lines[:1]]))
+
+
+def test_verdicts_equal_plain_rules(spark, sf):
+    """Each rule restated: on made-up lines, and on all documents through the query."""
+    texts = [*rule_texts(), "", None, "\n \n", "x"]
+    got = [(c, bool(f["kept"][i]), f["lost"][i]) for _, _, f, cleaned in quality_rules.clean_texts(texts) for i, c in enumerate(cleaned)]
+    menus = 0
+    for t, (cleaned, kept, lost) in zip(texts, got):
+        want, share = plain_clean(t)
+        assert (cleaned or "") == want and lost == pytest.approx(share), t
+        p = plain_counts(t)
+        assert kept == (p["n_words"] >= 50 and 2 * p["n_repeat_words"] <= p["n_words"] and share < 0.5)
+        menus += any(is_menu(x.lower()) for x in (t or "").split("\n"))
+    assert menus > 20 and 20 < sum(k for _, k, _ in got) < len(got) - 20
+    rows = {r["doc_id"]: r["kept"] for r in quality_rules.op2(spark, sf).collect()}
+    for d in table(spark, sf, "documents").collect():
+        p = plain_counts(d["text"])
+        assert rows[d["doc_id"]] == (p["n_words"] >= 50 and 2 * p["n_repeat_words"] <= p["n_words"] and plain_clean(d["text"])[1] < 0.5)
+
+
+def test_lines_without_a_sentence_s_end_and_long_boilerplate():
+    body = "\n".join(" ".join(f"word{i}{j}" for i in range(12)) + "." for j in range(9))
+    long = "All rights reserved " + " ".join(f"by{i}" for i in range(27)) + "."
+    longer = "All rights reserved " + " ".join(f"to{i}" for i in range(60)) + "."
+    text = "\n".join([body, "eight words or more that end no sentence at all", "short heading", long, longer, "Startseite » Anmelden » Menü", "Inicio · Iniciar sesión", "日本語 の 行 は 句読点 なし で 続く"])
+    (_, _, _, cleaned), = quality_rules.clean_texts([text])
+    assert cleaned[0] == "\n".join([body, "short heading", longer, "日本語 の 行 は 句読点 なし で 続く"])
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     net = quality_crf.Chain()
