@@ -139,19 +139,21 @@ def class_counts(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(keys or []), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def capped_sample(df: DataFrame, unique: list[str], most: int | None = None, ratio: int = 2, seed: int = 0, keys: list[str] | None = None) -> DataFrame:
-    """At most ``most`` rows of label 1, and at most ``ratio`` times as many of label 0, picked by hashed ranks without replacement."""
+def capped_sample(df: DataFrame, unique: list[str], most: int | None = None, ratio: int = 2, seed: int = 0, keys: list[str] | None = None, drawn: Column | None = None) -> DataFrame:
+    """At most ``most`` rows of label 1, and at most ``ratio`` times as many of label 0, picked by hashed ranks without replacement.
+
+    ``drawn``: another hash to rank by than that of ``unique`` with the seed."""
     keys = keys or []
-    ranked = hashed_rank(df, [*keys, "label"], unique, seed)
+    ranked = hashed_rank(df, [*keys, "label"], unique, seed, drawn=drawn)
     fg = df.where("label = 1").groupBy(*keys).agg(F.count(F.lit(1)).alias("_fg"))
-    ranked = ranked.join(F.broadcast(fg), keys, "left") if keys else ranked.crossJoin(F.broadcast(fg))  # one row
+    ranked = ranked.join(fg, keys, "left") if keys else ranked.crossJoin(F.broadcast(fg))  # one row
     cap = F.least(F.coalesce("_fg", F.lit(0)), F.lit(most)) if most else F.coalesce("_fg", F.lit(0))
     return ranked.where(F.col("_rank") <= F.when(F.col("label") == 1, cap).otherwise(cap * ratio)).drop("_rank", "_count", "_fg")
 
 
-def stratified_split(df: DataFrame, unique: list[str], shares: list[tuple[str, float]], seed: int = 42, keys: list[str] | None = None) -> DataFrame:
-    """Adds ``split``: each label's rows in a hashed order are cut at the cumulative shares of their number."""
-    ranked = hashed_rank(df, [*(keys or []), "label"], unique, seed)
+def stratified_split(df: DataFrame, unique: list[str], shares: list[tuple[str, float]], seed: int = 42, keys: list[str] | None = None, drawn: Column | None = None) -> DataFrame:
+    """Adds ``split``: each label's rows in a hashed order (``drawn`` where it is given) are cut at the cumulative shares of their number."""
+    ranked = hashed_rank(df, [*(keys or []), "label"], unique, seed, drawn=drawn)
     out, at = F.lit(shares[-1][0]), sum(s for _, s in shares[:-1])
     for name, share in reversed(shares[:-1]):
         out = F.when(F.col("_rank") <= F.floor(F.col("_count") * F.lit(at) + 1e-9), F.lit(name)).otherwise(out)

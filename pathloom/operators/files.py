@@ -120,5 +120,5 @@ def previous_frame(frames: DataFrame, anchor: Column | None = None, frame: str =
 
 
 def work_plan(batches: DataFrame, layers: DataFrame) -> DataFrame:
-    """A row for each layer and batch frame. The layers are a small table of their own, sent to every task."""
-    return batches.crossJoin(F.broadcast(layers))
+    """A row for each layer and batch frame; every layer works on every frame, so the product is the result."""
+    return batches.crossJoin(layers)

@@ -173,21 +173,44 @@ def erode_plus(df: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def close_open(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Closing and then opening by the plus shape."""
-    return dilate_plus(erode_plus(erode_plus(dilate_plus(df, keys), keys), keys), keys)
+    """Closing and then opening by the plus shape. Dealt by frame once, which serves the windows along rows and columns alike."""
+    return dilate_plus(erode_plus(erode_plus(dilate_plus(df.repartition(*keys), keys), keys), keys), keys)
+
+
+def runs(df: DataFrame, keys=KEYS) -> DataFrame:
+    """Runs of neighbouring pixels of one kind in each row: (keys, y, fg, a, b), from column a to column b."""
+    own = df.select(*keys, "y", F.col("x").cast("long").alias("x"), (F.coalesce("v", F.lit(0)) > 0).alias("fg"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "y", "fg").orderBy("x"))
+    return own.withColumn("_run", F.col("x") - rank).groupBy(*keys, "y", "fg", "_run").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_run")
+
+
+def grown_runs(own: DataFrame, radii: dict[str, tuple[bool, int]], width: int, height: int, keys=KEYS) -> DataFrame:
+    """For each name the pixels within its radius of foreground (True) or background (False) runs: (keys, name, y, a, b), merged runs.
+
+    A run yields 2 r + 1 rows, its own widened by the disc's width at each distance, and not each pixel's disc.
+    """
+    rows = [(name, fg, dy, int((r * r - dy * dy) ** 0.5)) for name, (fg, r) in radii.items() for dy in range(-r, r + 1)]
+    steps = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("fg"), F.lit(d).alias("dy"), F.lit(w).alias("wide")) for n, f, d, w in rows])
+    spread = own.select(*keys, "y", "a", "b", F.explode(F.filter(steps, lambda s: s["fg"] == F.col("fg"))).alias("s"))
+    spread = spread.select(*keys, "s.name", (F.col("y") + F.col("s.dy")).cast("long").alias("y"), F.greatest(F.col("a") - F.col("s.wide"), F.lit(0)).alias("a"), F.least(F.col("b") + F.col("s.wide"), F.lit(width - 1)).alias("b"))
+    spread = spread.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("a") <= F.col("b")))
+    w = Window.partitionBy(*keys, "name", "y").orderBy("a", "b")
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("a") > reach + 1), 1).otherwise(0)
+    part = spread.withColumn("_new", opens).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.groupBy(*keys, "name", "y", "_part").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_part")
 
 
 def dilate_disc(df: DataFrame, radius: int, width: int, height: int, keys=KEYS) -> DataFrame:
-    """Foreground pixels (sparse) within ``radius`` of foreground: each yields its disc; equal ones are merged before the shuffle."""
-    disc = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
-    offsets = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in disc])
-    out = df.where("v > 0").select(*keys, "x", "y", F.explode(offsets).alias("o")).select(*keys, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    return out.where(in_bounds(F.col("x"), F.col("y"), width, height)).distinct()
+    """Foreground pixels (sparse) within ``radius`` of foreground, by runs of rows."""
+    out = grown_runs(runs(df.where("v > 0"), keys), {"near": (True, radius)}, width, height, keys)
+    return out.select(*keys, F.explode(F.sequence("a", "b")).alias("x"), "y")
 
 
 def erode_disc(df: DataFrame, radius: int, width: int, height: int, keys=KEYS) -> DataFrame:
     """Foreground pixels (sparse) whose disc, as far as it is in the frame, is all foreground. The frame is dense."""
-    away = dilate_disc(df.withColumn("v", F.when(F.col("v") > 0, 0).otherwise(255)), radius, width, height, keys)
+    away = grown_runs(runs(df, keys).where("not fg"), {"away": (False, radius)}, width, height, keys)
+    away = away.select(*keys, F.explode(F.sequence("a", "b")).alias("x"), "y")
     return df.where("v > 0").select(*keys, "x", "y").join(away, [*keys, "x", "y"], "left_anti")
 
 
@@ -198,7 +221,11 @@ def _reflected(c: str, w) -> tuple[Column, Column]:
 
 
 def sobel(df: DataFrame, keys=KEYS) -> DataFrame:
-    """3 x 3 Sobel derivatives gx, gy and their magnitude."""
+    """3 x 3 Sobel derivatives gx, gy and their magnitude. Dealt by frame once, as ``close_open``."""
+    return _sobel(df.repartition(*keys), keys)
+
+
+def _sobel(df: DataFrame, keys) -> DataFrame:
     for axis in "xy":
         before, after = _reflected("v", _along(axis, keys))
         df = df.withColumn(f"_d{axis}", after - before)
@@ -218,16 +245,18 @@ def gradient(df: DataFrame, column: str = "v", keys=KEYS) -> DataFrame:
 
 
 def blur(df: DataFrame, sigma: float, radius: int | None = None, column: str = "v", keys=KEYS) -> DataFrame:
-    """Separable Gaussian blur with mirrored edges (the edge itself not repeated)."""
+    """Separable Gaussian blur with mirrored edges (the edge itself not repeated), dealt by frame once."""
     taps = gauss(sigma, radius)
-    df = df.withColumn(column, F.col(column).cast("double"))
+    df = df.repartition(*keys).withColumn(column, F.col(column).cast("double"))
     df = convolve(df, [column], taps, (*keys, "y"), "x", "reflect_101")
     return convolve(df, [column], taps, (*keys, "x"), "y", "reflect_101")
 
 
 def structure_tensor(df: DataFrame, sigma: float = 1.0, radius: int | None = None, keys=KEYS) -> DataFrame:
-    """Eigenvalues l1 >= l2 of the blurred products of the Sobel derivatives: tr/2 +- sqrt(max(0, tr^2/4 - det))."""
-    g = sobel(df, keys).withColumns({"jxx": (F.col("gx") * F.col("gx")).cast("double"), "jyy": (F.col("gy") * F.col("gy")).cast("double"), "jxy": (F.col("gx") * F.col("gy")).cast("double")})
+    """Eigenvalues l1 >= l2 of the blurred products of the Sobel derivatives: tr/2 +- sqrt(max(0, tr^2/4 - det)).
+
+    One exchange: rows dealt by frame serve the windows and groups of its rows and of its columns alike."""
+    g = _sobel(df.repartition(*keys), keys).withColumns({"jxx": (F.col("gx") * F.col("gx")).cast("double"), "jyy": (F.col("gy") * F.col("gy")).cast("double"), "jxy": (F.col("gx") * F.col("gy")).cast("double")})
     taps = gauss(sigma, radius)
     three = ["jxx", "jyy", "jxy"]
     g = convolve(g.select(*keys, "x", "y", *three), three, taps, (*keys, "y"), "x", "reflect_101")

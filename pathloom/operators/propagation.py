@@ -1,4 +1,7 @@
-"""Guide lines and contours carried through recordings: sparse tracking both ways in batches, blended and refined.
+"""Guide lines and contours carried through recordings: sparse tracking both ways in batches, blended and refined in a field.
+
+The field is the inverse gray value, or that of conformal forests fitted at every step on the pixels around the line of the step
+before, with those of the steps before it in falling numbers (``Classifier``).
 
 Frame n + 1 needs the line of frame n, so a layer is worked off in frame order; layers and recordings run in parallel. Rows are
 dealt by layer and sorted by frame, and a task streams them: it holds one batch of frames and the layer's state, whatever the
@@ -8,19 +11,23 @@ recording's length.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.features import blur, correlate
+from pathloom.operators import forests
+from pathloom.operators.features import blur, correlate, region_features
 from pathloom.operators.sequences import gauss
 from pathloom.schemas import TIMELINE
 
 LOG = logging.getLogger(__name__)
 SHRINK, WINDOW, LEVELS, ROUNDS, STILL, RETURN = 4, 21, 2, 35, 0.01, 2.5
+#: How far a contour's points are moved in the field after tracking.
+NUDGE = 3
 
 
 def resample(points: np.ndarray, n: int, closed: bool = False) -> np.ndarray:
@@ -157,62 +164,277 @@ def extend_tips(points: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.concatenate([[border(points[0], -axis)], points, [border(points[-1], axis)]])
 
 
+# --- fields of fitted classifiers ---
+
+
+def columns_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of a rasterised polyline and its mean row in each, truncated."""
+    p = points.astype(int)
+    steps = [np.maximum(1, np.abs(b - a).max()) for a, b in zip(p, p[1:])]
+    at = np.concatenate([np.floor((2 * np.arange(n + 1)[:, None] * (b - a) + n) / (2 * n)).astype(int) + a for a, b, n in zip(p, p[1:], steps)])
+    at = np.unique(at, axis=0)
+    x, where, count = np.unique(at[:, 0], return_inverse=True, return_counts=True)
+    return x, np.floor(np.bincount(where, at[:, 1]) / count).astype(int)
+
+
+def line_labels(points: np.ndarray, gray: np.ndarray, margin: int = 3, band: int = 10) -> np.ndarray:
+    """Labels of a region's pixels as ``pixels.line_bands``: 1 on the darker side of the line, 0 on the other, -1 elsewhere."""
+    out = np.full(gray.shape, -1)
+    x, y = columns_of(points)
+    own = (x >= 0) & (x < gray.shape[1])
+    if not own.any():
+        return out
+    away = np.arange(gray.shape[0])[:, None] - y[own]
+    sides = []
+    for near in ((away >= -(margin + band)) & (away < -margin), (away >= margin) & (away < margin + band)):
+        side = np.zeros(gray.shape, bool)
+        side[:, x[own]] = near
+        sides.append(side)
+    above, below = sides
+    if above.any() and below.any():
+        dark = gray[above].mean() <= gray[below].mean()
+        out[above], out[below] = int(dark), int(not dark)
+    return out
+
+
+def inside(points: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Pixels inside a closed polygon, even-odd, half-open in y."""
+    ys, xs = np.mgrid[:height, :width]
+    out = np.zeros((height, width), bool)
+    p = points.astype(int)
+    for a, b in zip(p, np.roll(p, -1, 0)):
+        if a[1] != b[1]:
+            spans = (ys >= min(a[1], b[1])) & (ys < max(a[1], b[1]))
+            out ^= spans & (a[0] + (ys - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) <= xs)
+    return out
+
+
+def grown(mask: np.ndarray, radius: int) -> np.ndarray:
+    """Pixels within ``radius`` of the mask: every row's runs, widened by the disc's width at each row's distance."""
+    h, w = mask.shape
+    out = np.zeros_like(mask)
+    sums = np.concatenate([np.zeros((h, 1), int), np.cumsum(mask, 1)], 1)
+    at = np.arange(w)
+    for dy in range(-radius, radius + 1):
+        r = int((radius * radius - dy * dy) ** 0.5)
+        wide = sums[:, np.minimum(at + r + 1, w)] > sums[:, np.maximum(at - r, 0)]
+        to, of = slice(max(0, dy), min(h, h + dy)), slice(max(0, -dy), min(h, h - dy))
+        out[to] |= wide[of]
+    return out
+
+
+def ring_labels(points: np.ndarray, gray: np.ndarray, band: int = 4) -> np.ndarray:
+    """Labels of a region's pixels as ``shapes.boundary_bands``: 1 on the contour's ring, 0 deep inside and far outside, -1 elsewhere."""
+    filled = inside(points, *gray.shape)
+    outer = grown(filled, band)
+    ring = outer & ~(filled & ~grown(~filled, band))
+    if ring.sum() < 8:
+        ring = outer & ~filled
+    out = np.full(gray.shape, -1)
+    out[(filled & ~grown(~filled, band + 3)) | ~grown(filled, band + 6)] = 0
+    out[ring] = 1
+    return out
+
+
+Box = tuple[int, int, int, int]
+
+
+def padded(points: np.ndarray, height: int, width: int, pad: int) -> Box:
+    """Half-open bounding box (ymin, ymax, xmin, xmax), ``pad`` wider, within the frame."""
+    (x0, y0), (x1, y1) = points.min(0).astype(int), points.max(0).astype(int)
+    return max(0, y0 - pad), min(height, y1 + pad), max(0, x0 - pad), min(width, x1 + pad)
+
+
+def band_box(points: np.ndarray, height: int, width: int, band: int = 20) -> Box:
+    """The region of tracked points: their columns, and ``band`` rows beyond the line through them."""
+    (x0, y0), (x1, y1) = points.min(0), points.max(0)
+    return max(0, int(np.floor(y0)) - band), min(height, int(np.ceil(y1)) + band), max(0, int(np.floor(x0))), min(width, int(np.ceil(x1)) + 1)
+
+
+def centred(points: np.ndarray, box: Box, reach: int = 20) -> Box:
+    """The box cut to +-reach around the points' centre; an axis that would get under 4 pixels stays."""
+    cx, cy = points.mean(0)
+    y0, y1, x0, x1 = max(box[0], int(cy - reach)), min(box[1], int(cy + reach)), max(box[2], int(cx - reach)), min(box[3], int(cx + reach))
+    y0, y1 = (y0, y1) if y1 - y0 >= 4 else box[:2]
+    return (y0, y1, *((x0, x1) if x1 - x0 >= 4 else box[2:]))
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """How a step's field is fitted: forests as in ``forests.fit``, and the steps that are remembered with their falling share."""
+
+    trees: int = 50
+    more_trees: int = 20
+    layers: int = 5
+    depth: int = 7
+    most: int = 5
+    decay: float = 0.6
+    seed: int = 7
+
+
+class Samples:
+    """Labelled pixels of one frame's region: features of label 1 and of label 0, from which a number is drawn when they are used."""
+
+    def __init__(self, gray: np.ndarray, before: np.ndarray | None, points: np.ndarray, box: Box, closed: bool):
+        y0, y1, x0, x1 = box
+        self.ones = self.noughts = np.zeros((0, 48), np.float32)
+        if y1 - y0 >= 4 and x1 - x0 >= 4:
+            label = (ring_labels if closed else line_labels)(points - [x0, y0], gray[y0:y1, x0:x1]).ravel()
+            if (label == 1).any() and (label == 0).any():
+                f = region_features(gray, before, box)
+                self.ones, self.noughts = f[label == 1], f[label == 0]
+
+    def draw(self, most: int | None, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """At most ``most`` rows of label 1 and twice as many of label 0, without replacement: features and labels."""
+        n = len(self.ones) if most is None else min(most, len(self.ones))
+        m = min(len(self.noughts), 2 * n)
+        x = np.concatenate([rng.permutation(self.ones)[:n], rng.permutation(self.noughts)[:m]])
+        return x, np.repeat([1, 0], [n, m])
+
+
+class Memory:
+    """One direction's samples: the frames gone through, newest last, and the seed's, which is kept with a full share."""
+
+    def __init__(self, how: Classifier, closed: bool, pinned: Samples | None):
+        self.how, self.closed, self.pinned = how, closed, pinned
+        self.past: list[Samples] = []
+        self.rng = np.random.default_rng(how.seed)
+
+    def field(self, source: tuple[np.ndarray, np.ndarray | None, np.ndarray, Box], target: tuple[np.ndarray, np.ndarray | None], box: Box) -> np.ndarray | None:
+        """The target's field in the box, 0 outside; None where nothing can be fitted."""
+        now = Samples(*source, self.closed)
+        if not len(now.ones):
+            return None
+        parts = [now.draw(None, self.rng)]
+        if self.pinned is not None:
+            parts.append(self.pinned.draw(max(len(now.ones), 4), self.rng))
+        parts += [s.draw(max(4, int(len(now.ones) * self.how.decay ** (k + 1))), self.rng) for k, s in enumerate(reversed(self.past))]
+        x, y = np.concatenate([p[0] for p in parts]).astype(float), np.concatenate([p[1] for p in parts])
+        layers = forests.fit(x, y, self.how.trees, self.how.more_trees, self.how.layers, self.how.depth, self.how.seed)
+        if not layers or box[1] - box[0] < 4 or box[3] - box[2] < 4:
+            return None
+        out = np.zeros(target[0].shape)
+        out[box[0] : box[1], box[2] : box[3]] = forests.field(layers, region_features(*target, box).astype(float)).reshape(box[1] - box[0], -1)
+        return out
+
+    def keep(self, gray: np.ndarray, before: np.ndarray | None, points: np.ndarray, box: Box) -> None:
+        self.past = [*self.past, Samples(gray, before, points, centred(points, box), self.closed)][-self.how.most :]
+
+
+Resample = Callable[[np.ndarray, int, bool], np.ndarray]
+
+
 class Follower:
-    """One layer's state: its anchor frame and points, and the line of the frame before."""
+    """One layer's state: its anchor frame and points, the line of the frame before, and the seed's samples.
 
-    def __init__(self, mode: str, n: int, reach: int):
+    ``how`` gives the classifier of the fields (None: the inverse gray value); ``again`` is how a line is resampled after a step.
+    """
+
+    def __init__(self, mode: str, n: int, reach: int, how: Classifier | None = None, again: Resample = resample):
         self.closed = mode not in ("upper_left", "lower_right")
-        self.mode, self.n, self.reach = mode, n, reach
+        self.mode, self.n, self.reach, self.how, self.again = mode, n, reach, how, again
         self.anchor: np.ndarray | None = None
         self.points = self.before = None
+        self.pinned: Samples | None = None
 
     def start(self, gray: np.ndarray, seed: np.ndarray) -> np.ndarray:
-        points = resample(seed, self.n, self.closed)
+        points = self.again(seed, self.n, self.closed)
         if not self.closed:
-            points = self.refined(points, gray, np.ones(self.n, bool))
+            points = self.refined(points, gray, np.ones(self.n, bool), self.seed_field(gray, points))
+        elif self.how:
+            self.pinned = Samples(gray, None, points, centred(points, padded(points, *gray.shape, 25)), True)
         self.anchor, self.points, self.before = gray, points, points
         return points
 
-    def refined(self, points: np.ndarray, gray: np.ndarray, moving: np.ndarray) -> np.ndarray:
+    def seed_field(self, gray: np.ndarray, points: np.ndarray) -> np.ndarray | None:
+        """The seed line's own field under a prior that falls with the distance from its centre."""
+        if self.how is None:
+            return None
+        try:
+            box = padded(points, *gray.shape, 20)
+            p = Memory(self.how, False, None).field((gray, None, points, box), (gray, None), box)
+        except Exception:
+            LOG.warning("the seed's field failed", exc_info=True)
+            return None
+        if p is None:
+            return None
+        c = points.mean(0)
+        radius = np.sqrt(((points - c) ** 2).sum(1)).max() + 1
+        ys, xs = np.mgrid[: gray.shape[0], : gray.shape[1]]
+        p = p * np.exp(-((xs - c[0]) ** 2 + (ys - c[1]) ** 2) / (2 * (0.85 * radius) ** 2))
+        return p if p.max() > 0 else None
+
+    def refined(self, points: np.ndarray, gray: np.ndarray, moving: np.ndarray, p: np.ndarray | None = None, reach: int | None = None) -> np.ndarray:
         h, w = gray.shape
-        found = search(points, (255.0 - gray) / 255.0, gray, self.reach, None if self.closed else self.mode)
-        found = _smooth(np.where(moving[:, None], found, points)) if not self.closed else found + 0.35 * ((np.roll(found, 1, 0) + np.roll(found, -1, 0)) / 2 - found)
+        p = (255.0 - gray) / 255.0 if p is None else p
+        found = search(points, p, gray, self.reach if reach is None else reach, None if self.closed else self.mode)
+        if self.closed:
+            return found + 0.35 * ((np.roll(found, 1, 0) + np.roll(found, -1, 0)) / 2 - found)
+        found = _smooth(np.where(moving[:, None], found, points))
         return np.where(moving[:, None], np.rint(np.clip(found, 0, [w - 1, h - 1])), points)
 
+    def one_way(self, every: list[np.ndarray], points: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+        """The line and the field of each frame in turn, the first frame's line given. A step that fails carries the line on, with
+        a field of zeros."""
+        memory = Memory(self.how, self.closed, self.pinned) if self.how else None
+        lines, fields = [points], [None]
+        box = padded(points, *every[0].shape, 25 if self.closed else 20)
+        if memory:
+            memory.keep(every[0], None, points, box)
+        for k, (a, b) in enumerate(zip(every, every[1:])):
+            before, p = every[k - 1] if k else every[0], None
+            try:
+                moved, _ = track(a, b, lines[-1])
+                if memory:
+                    own = band_box(moved, *a.shape)
+                    p = memory.field((a, before, lines[-1], own), (b, a), own)
+                    if p is None:
+                        p = np.zeros(b.shape)
+                        p[own[0] : own[1], own[2] : own[3]] = (255.0 - b[own[0] : own[1], own[2] : own[3]]) / 255.0
+                    memory.keep(a, before, lines[-1], padded(lines[-1] if self.closed else moved, *a.shape, 25 if self.closed else 20))
+            except Exception:
+                LOG.warning("a step failed", exc_info=True)
+                moved, p = lines[-1], np.zeros(b.shape) if memory else None
+            lines.append(self.again(moved, self.n, self.closed))
+            fields.append(p)
+        return lines, fields
+
     def batch(self, grays: list[np.ndarray]) -> list[np.ndarray]:
         """The lines of a batch: forward from the anchor, backward from the forward result, their mean, smoothed and refined."""
         every = [self.anchor, *grays]
-        forward = [self.points]
-        for a, b in zip(every, every[1:]):
-            forward.append(resample(track(a, b, forward[-1])[0], self.n, self.closed))
-        backward = {len(grays): forward[-1]}
-        for k in range(len(grays), 0, -1):
-            backward[k - 1] = resample(track(every[k], every[k - 1], backward[k])[0], self.n, self.closed)
+        forward, ahead = self.one_way(every, self.points)
+        backward, behind = (x[::-1] for x in self.one_way(every[::-1], forward[-1]))
         out = []
         for k, gray in enumerate(grays, 1):
             h, w = gray.shape
+            both = [p for p in (ahead[k], behind[k]) if p is not None]
+            p = np.maximum.reduce(both) if both else (255.0 - gray) / 255.0
             mean = 0.5 * (forward[k] + backward[k])
             if self.closed:
                 smooth = mean + 0.15 * ((np.roll(mean, 1, 0) + np.roll(mean, -1, 0)) / 2 - mean)
                 line = mean if np.sqrt(((smooth - mean) ** 2).sum(1)).max() > 3 * self.reach else smooth
-                line = resample(line, self.n, True)
+                if p.max() > 0:
+                    line = self.refined(line, gray, np.ones(len(line), bool), p, NUDGE)
+                line = self.again(line, self.n, True)
             else:
-                line = resample(mean, self.n)
+                line = self.again(mean, self.n, False)
                 shift = np.sqrt(((line - self.before) ** 2).sum(1))
                 a = float(np.clip(0.55 - shift.mean() / 30.0, 0.40, 0.65))
                 self.before = line = a * line + (1 - a) * self.before
-                line = resample(extend_tips(self.refined(line, gray, shift > 0.1), h, w), self.n)
+                line = self.again(extend_tips(self.refined(line, gray, shift > 0.1, p), h, w), self.n, False)
             out.append(line)
         self.anchor, self.points = grays[-1], out[-1]
         return out
 
 
-def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int = 12, batch: int = 5) -> DataFrame:
+def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int = 12, batch: int = 5, how: Classifier | None = None, again: Resample = resample) -> DataFrame:
     """Lines of every frame after a layer's seed: (video_id, layer_id, frame_id, status, strokes).
 
     ``frames(video_id, frame_id, height, width, data)`` are 8-bit gray; ``seeds(video_id, layer_id, frame_id, edge_mode, pts)`` are the
     guide at a layer's first frame. A frame that can't be read, or a step that fails, carries the last line forward with its error as
-    status; other layers go on. The search field is the inverse gray value; a classifier's field is made by ``cascade`` where wanted.
+    status; other layers go on. Lines are refined in the inverse gray value, or, with ``how``, in fields of forests that each step fits on
+    the frame before it and up to ``how.most`` earlier ones; where nothing can be fitted it is the inverse gray value around the line.
+    ``again(points, n, closed)`` resamples a line after each step.
     """
     own = frames.select("video_id", "frame_id", "height", "width", "data").join(
         seeds.select("video_id", "layer_id", F.col("frame_id").alias("seed_frame"), "edge_mode", "pts"), "video_id",
@@ -255,7 +477,7 @@ def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int
                 gray = np.frombuffer(data, np.uint8).reshape(r["height"], r["width"]).astype(float) if readable else None
                 if follower is None:
                     if gray is not None and r["pts"]:
-                        follower = Follower(r["edge_mode"], points, reach)
+                        follower = Follower(r["edge_mode"], points, reach, how, again)
                         out.append(emit(r, follower.start(gray, np.array([(p["x"], p["y"]) for p in r["pts"]], float)), "seed"))
                 elif gray is None:
                     out += flush()
@@ -273,8 +495,21 @@ def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int
     return dealt.mapInArrow(run, schema)
 
 
-def run_status(timeline: DataFrame) -> DataFrame:
-    """Each layer's outcome: frames, failures, and complete or the number of errors."""
-    bad = F.col("status").startswith("failed")
-    own = timeline.groupBy("video_id", "layer_id").agg(F.count(F.lit(1)).alias("frames"), F.count_if(bad).alias("errors"), F.max("frame_id").alias("last_frame"))
-    return own.withColumn("outcome", F.when(F.col("errors") == 0, "complete").otherwise(F.concat(F.col("errors").cast("string"), F.lit(" errors"))))
+def run_status(timeline: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """Each layer's outcome: frames, failures, and stopped (short of ``planned(video_id, layer_id, last_planned)``), the number of errors,
+    or complete. A planned layer without rows is stopped with no frames."""
+    bad, keys = F.col("status").startswith("failed"), ["video_id", "layer_id"]
+    own = timeline.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.count_if(bad).alias("errors"), F.max("frame_id").alias("last_frame"))
+    done = F.when(F.col("errors") == 0, "complete").otherwise(F.concat(F.col("errors").cast("string"), F.lit(" errors")))
+    if planned is None:
+        return own.withColumn("outcome", done)
+    own = planned.select(*keys, "last_planned").join(own, keys, "left").fillna(0, ["frames", "errors"])
+    short = F.col("last_frame").isNull() | (F.col("last_frame") < F.col("last_planned"))
+    return own.select(*keys, "frames", "errors", "last_frame", F.when(short, "stopped").otherwise(done).alias("outcome"))
+
+
+def merge_guidelines(guidelines: DataFrame, timeline: DataFrame) -> DataFrame:
+    """The guide lines ``(video_id, layer_id, frame_id, strokes)`` after a run: its line where it has one, else the one before."""
+    keys = ["video_id", "layer_id", "frame_id"]
+    new = timeline.select(*keys, "strokes")
+    return guidelines.select(*keys, "strokes").join(new.select(*keys), keys, "left_anti").unionByName(new)

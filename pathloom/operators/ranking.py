@@ -15,17 +15,18 @@ from pyspark.sql.window import Window
 
 from pathloom.shared import written
 
-#: Buckets of one key.
-BUCKETS = 256
+#: Buckets of one key; one has a few million rows where a key has 10**10.
+BUCKETS = 4096
 
 
 def global_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     """Each row's place (from 0) in the order of the whole table; rows that are equal in it keep some order.
 
-    The rows are range-partitioned, written once, and numbered by partition.
+    The rows are range-partitioned, equal ones by a hash and their place in the input, written once, and numbered by partition.
     """
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
+    tie = df.withColumn("_tie", F.xxhash64(*df.columns)).withColumn("_place", F.monotonically_increasing_id())
+    dealt = tie.repartitionByRange(int(parts), *order, "_tie", "_place").sortWithinPartitions(*order, "_tie", "_place").drop("_tie", "_place")
     kept = written(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_id", 33)
     counts = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
@@ -34,12 +35,14 @@ def global_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     return kept.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
 
 
-def hashed_rank(df: DataFrame, keys: list[str], unique: list[str], seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+def hashed_rank(df: DataFrame, keys: list[str], unique: list[str], seed: int = 0, buckets: int = BUCKETS, drawn: Column | None = None) -> DataFrame:
     """A rank (``_rank``, from 1) of each row among its key's rows in a pseudo-random, repeatable order, and their number (``_count``).
 
-    ``unique`` are the columns that tell a key's rows apart; the order is that of their hash with the seed.
+    ``unique`` are the columns that tell a key's rows apart; the order is that of 40 bits of their hash with the seed, or of ``drawn``, a number
+    in 0..2**40 - 1, whatever the number of buckets.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), *unique)).withColumn("_bucket", F.floor(F.pmod(F.shiftrightunsigned("_hash", 16), F.lit(1 << 40)) * buckets / (1 << 40)).cast("int"))
+    drawn = F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit(seed), *unique), 16), F.lit(1 << 40)) if drawn is None else drawn
+    hashed = df.withColumn("_hash", drawn).withColumn("_bucket", F.floor(F.col("_hash") * buckets / (1 << 40)).cast("int"))
     counts = hashed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_bucket")
     named = [F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "_bucket"))]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathloom.operators.pixels import boundary, close_open, column_line, gradient
+from pathloom.operators.pixels import boundary, close_open, column_line, gradient, grown_runs, runs
 from pathloom.operators.sequences import convolve, gauss, moving_average, normals
 
 KEYS = ("frame_id",)
@@ -103,24 +103,19 @@ def boundary_bands(filled: DataFrame, width: int, height: int, band: int = 4, ke
     """Training labels around an object (dense mask): 1 on its ring of +-band, 0 deep inside (band + 3) and far outside (band + 6).
 
     A frame whose ring has fewer than ``least`` pixels takes the outer half of the ring. Other pixels drop out.
-    """
-    from pathloom.operators.pixels import dilate_disc, erode_disc
 
-    on = [*keys, "x", "y"]
-    grown = dilate_disc(filled, band, width, height, keys).withColumn("outer", F.lit(True))
-    inner = erode_disc(filled, band, width, height, keys).withColumn("inner", F.lit(True))
-    deep = erode_disc(filled, band + 3, width, height, keys).withColumn("deep", F.lit(True))
-    near = dilate_disc(filled, band + 6, width, height, keys).withColumn("near", F.lit(True))
-    df = filled
-    for part in (grown, inner, deep, near):
-        df = df.join(part, on, "left")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    ring = flag("outer") & ~flag("inner")
-    df = df.withColumn("_ring", ring)
-    size = df.groupBy(*keys).agg(F.count_if("_ring").alias("_size"))
-    df = df.join(size, list(keys))
-    fg = F.when(F.col("_size") >= least, F.col("_ring")).otherwise(flag("outer") & (F.col("v") == 0))
-    label = F.when(fg, 1).when(flag("deep") | ~flag("near"), 0)
+    Runs of rows are widened to the four discs, all at once, and each row's runs are laid over its pixels in one pass.
+    """
+    on, own = [*keys, "x", "y"], filled.select(*keys, "x", "y", F.coalesce("v", F.lit(0)).alias("v"))
+    radii = {"outer": (True, band), "edge": (False, band), "shallow": (False, band + 3), "near": (True, band + 6)}
+    spread = grown_runs(runs(own, keys), radii, width, height, keys).select(*keys, F.explode(F.sequence("a", "b")).alias("x"), "y", F.lit(None).cast("int").alias("v"), "name")
+    laid = own.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("v").cast("int").alias("v"), F.lit(None).cast("string").alias("name")).unionByName(spread)
+    df = laid.groupBy(*on).agg(F.max("v").alias("v"), *[F.coalesce(F.max(F.col("name") == n), F.lit(False)).alias(f"_{n}") for n in radii]).where("v is not null")
+    fg = F.col("v") > 0
+    df = df.withColumn("_ring", F.col("_outer") & ~(fg & ~F.col("_edge")))
+    size = F.count_if("_ring").over(Window.partitionBy(*keys))
+    ring = F.when(size >= least, F.col("_ring")).otherwise(F.col("_outer") & (F.col("v") == 0))
+    label = F.when(ring, 1).when((fg & ~F.col("_shallow")) | ~F.col("_near"), 0)
     return df.withColumn("label", label).where("label is not null").select(*on, "label")
 
 
@@ -128,8 +123,8 @@ def grow_area(mask: DataFrame, field: DataFrame, target: DataFrame, width: int,
     """Grows each frame's foreground by the plus shape until its area reaches ``share`` of target(keys, area).
 
     Growth goes to pixels with p >= least_p; a round in which it gains nothing grows freely. A frame stops at its target or
-    after ``rounds``. Each round is a join of the frontier only, and is written out, so the plan stays flat; the driver sees one
-    count a round.
+    after ``rounds``. A round writes only the pixels that it adds, so the plan stays a union of written tables; the driver sees
+    whether there are any.
     """
     from pathloom.shared import written
 
@@ -140,18 +135,16 @@ def grow_area(mask: DataFrame, field: DataFrame, target: DataFrame, width: int,
     for _ in range(rounds):
         area = now.groupBy(*keys).agg(F.count(F.lit(1)).alias("_a"))
         open_ = area.join(target, list(keys)).where((F.col("area") > 0) & (F.col("_a") < F.col("area") * share)).select(*keys)
-        if open_.isEmpty():
-            break
         own = now.join(open_, list(keys), "left_semi")
         near = own.select(*on, F.explode(offsets).alias("o")).select(*keys, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
         fresh = near.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).distinct().join(now, on, "left_anti")
-        good = fresh.join(allowed, on, "left_semi")
-        stuck = open_.join(good.select(*keys).distinct(), list(keys), "left_anti")
-        step = good.union(fresh.join(stuck, list(keys), "left_semi"))
-        after = written(now.union(step), "grow")
-        if after.count() == now.count():
+        # a frame with an allowed neighbour takes those, another one takes all
+        marked = fresh.join(allowed.withColumn("_good", F.lit(1)), on, "left")
+        some = F.max("_good").over(Window.partitionBy(*keys))
+        step = written(marked.withColumn("_some", some).where("_good is not null or _some is null").select(*on), "grow")
+        if step.isEmpty():
             break
-        now = after
+        now = now.union(step)
     return mask.select(*on).join(now.withColumn("v", F.lit(255)), on, "left").select(*on, F.coalesce("v", F.lit(0)).alias("v"))
 
 

@@ -91,6 +91,16 @@ def versions(events: DataFrame, keys: tuple[str, ...] = ("layer_id",), seq: str
     return dealt.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", current long, undo_depth int, redo_depth int")
 
 
+def snapshot(versions_: DataFrame, frames: DataFrame, keys: tuple[str, ...] = ("layer_id",), frame: str = "frame_id") -> DataFrame:
+    """Stacks of mask versions before a run overwrites them: ``versions_(keys, frame, version, undo, redo)``, version null where a
+    frame has no readable mask. In ``frames(keys, frame)`` that have one, it goes on the undo stack and the redo stack is cleared."""
+    on = versions_.join(frames.select(*keys, frame).distinct().withColumn("_own", F.lit(True)), [*keys, frame], "left")
+    hit = F.col("_own").isNotNull() & F.col("version").isNotNull()
+    undo = F.coalesce("undo", F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    return on.withColumns({"undo": F.when(hit, F.array_append(undo, F.col("version").cast("long"))).otherwise(undo), "redo": F.when(hit, none).otherwise(F.coalesce("redo", none))}).select(*versions_.columns)
+
+
 def last_guideline(timeline: DataFrame, key: str = "layer_id", frame: str = "frame_id", value: str = "strokes") -> DataFrame:
     """Adds pasted: the latest non-null value at or before each frame of the layer."""
     w = Window.partitionBy(key).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)

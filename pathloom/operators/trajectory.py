@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathloom.operators.sequences import length, mean_spacing
-from pathloom.shared import gathered, streamed
+from pathloom.operators.sequences import length
+from pathloom.shared import gathered, streamed, written
 
 KEYS = ("frame_id",)
 FPS, MICRONS = 249.2, 0.04
@@ -28,27 +28,46 @@ def nearest_node(nodes: DataFrame, target: DataFrame, keys=KEYS) -> DataFrame:
     return nodes.join(target, list(keys)).groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("d2"), F.col("b.x").alias("x"), F.col("b.y").alias("y"))
 
 
+def anchors(nodes: DataFrame, targets: DataFrame, names: tuple[str, ...], keys=KEYS) -> DataFrame:
+    """Each frame's polyline seen from several targets at once: ``targets(keys, {name}x, {name}y, ...)`` -> a row a frame with
+    {name}_ax, {name}_ay, {name}_frac (see ``anchor``), {name}_d2 and {name}_y of the nearest node, last (node) and spacing.
+
+    The nodes are dealt by frame once; all windows and sums are of that key. A null target has null results.
+    """
+    w, all_ = Window.partitionBy(*keys).orderBy("node_id"), Window.partitionBy(*keys)
+    seg = nodes.select(*keys, "node_id", "x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))
+    on = seg.join(targets, list(keys))
+    ex, ey = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
+    on = on.withColumn("l2", ex * ex + ey * ey)
+    at = lambda n: (F.col(f"{n}x") - F.col("x"), F.col(f"{n}y") - F.col("y"))
+    near = {}
+    for n in names:
+        dx, dy = at(n)
+        near[f"{n}_near"] = F.min(F.when(dx.isNotNull() & dy.isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), "node_id", "x", "y"))).over(all_)
+    on = on.withColumns(near)
+    found, out = [F.max("node_id").alias("last"), F.avg(length(ex, ey)).alias("spacing")], []
+    for n in names:
+        dx, dy = at(n)
+        close = F.col("node_id").between(F.col(f"{n}_near.node_id") - 1, F.col(f"{n}_near.node_id"))
+        t = F.when(F.col("l2") > 0, F.least(F.greatest((dx * ex + dy * ey) / F.col("l2"), F.lit(0.0)), F.lit(1.0)))
+        px, py = F.col("x") + t * ex, F.col("y") + t * ey
+        gx, gy = F.col(f"{n}x") - px, F.col(f"{n}y") - py
+        dd = gx * gx + gy * gy
+        best = F.min(F.when(close & (dd < F.col(f"{n}_near.d2")), F.struct(dd.alias("dd"), "node_id", px.alias("px"), py.alias("py"), t.alias("t"))))
+        found += [best.alias(f"{n}_s"), F.first(f"{n}_near").alias(f"{n}_n")]
+        s, m = f"{n}_s", f"{n}_n"
+        out += [F.coalesce(f"{s}.px", f"{m}.x").alias(f"{n}_ax"), F.coalesce(f"{s}.py", f"{m}.y").alias(f"{n}_ay"), F.coalesce(F.col(f"{s}.node_id") + F.col(f"{s}.t"), F.col(f"{m}.node_id").cast("double")).alias(f"{n}_frac"), F.col(f"{m}.d2").alias(f"{n}_d2"), F.col(f"{m}.y").alias(f"{n}_y")]
+    return on.groupBy(*keys).agg(*found).select(*keys, "last", "spacing", *out)
+
+
 def anchor(nodes: DataFrame, target: DataFrame, keys=KEYS) -> DataFrame:
     """The point of the polyline at each frame's target: ax, ay, and its fractional node index.
 
     Only the segments at the nearest node are tried; one replaces the node when it is strictly closer, the earlier at a tie;
     segments without length are skipped.
     """
-    w = Window.partitionBy(*keys).orderBy("node_id")
-    seg = nodes.select(*keys, "node_id", "x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))
-    on = seg.join(target.select(*keys, "tx", "ty"), list(keys))
-    dx, dy, ex, ey = F.col("tx") - F.col("x"), F.col("ty") - F.col("y"), F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
-    on = on.withColumn("d2", dx * dx + dy * dy).withColumn("l2", ex * ex + ey * ey)
-    on = on.withColumn("near", F.min(F.struct("d2", "node_id", "x", "y")).over(Window.partitionBy(*keys)))
-    on = on.where(F.col("node_id").between(F.col("near.node_id") - 1, F.col("near.node_id")))
-    t = F.least(F.greatest((dx * ex + dy * ey) / F.col("l2"), F.lit(0.0)), F.lit(1.0))
-    on = on.withColumn("t", F.when(F.col("l2") > 0, t)).withColumn("px", F.col("x") + F.col("t") * ex).withColumn("py", F.col("y") + F.col("t") * ey)
-    gx, gy = F.col("tx") - F.col("px"), F.col("ty") - F.col("py")
-    on = on.withColumn("dd", gx * gx + gy * gy)
-    closer = F.col("dd") < F.col("near.d2")
-    best = F.min(F.when(closer, F.struct("dd", "node_id", "px", "py", "t"))).alias("s")
-    out = on.groupBy(*keys).agg(best, F.first("near").alias("n"))
-    return out.select(*keys, F.coalesce("s.px", "n.x").alias("ax"), F.coalesce("s.py", "n.y").alias("ay"), F.coalesce(F.col("s.node_id") + F.col("s.t"), F.col("n.node_id").cast("double")).alias("frac"))
+    found = anchors(nodes, target.select(*keys, "tx", "ty"), ("t",), keys)
+    return found.where("t_ax is not null").select(*keys, F.col("t_ax").alias("ax"), F.col("t_ay").alias("ay"), F.col("t_frac").alias("frac"))
 
 
 def unit_basis(fx: Column, fy: Column, ax: Column, ay: Column) -> tuple[Column, Column]:
@@ -62,25 +81,27 @@ def trajectory(nodes: DataFrame, particle: DataFrame, landmark: DataFrame, frame
 
     nodes(frame_id, node_id, x, y); particle and landmark(frame_id, tx, ty) are centres of mass. The special point
     is given in the calibration frame and is carried to the others in the landmark's local basis. Frames without all
-    three inputs drop out; a calibration frame without them raises ValueError. The calibration is one row, sent to every task.
+    three inputs drop out; a calibration frame without a centreline or a landmark raises ValueError.
+
+    Two passes over the nodes: the first finds the anchors of landmark and particle and is written, a row a frame; the calibration is
+    read from it, one row; the second finds the special point's place.
     """
-    a = anchor(nodes, landmark).join(landmark, "frame_id")
-    ux, uy = unit_basis(F.col("tx"), F.col("ty"), F.col("ax"), F.col("ay"))
+    both = landmark.select("frame_id", F.col("tx").alias("fx"), F.col("ty").alias("fy")).join(particle.select("frame_id", F.col("tx").alias("px"), F.col("ty").alias("py")), "frame_id", "left")
+    a = written(anchors(nodes, both, ("f", "p")).join(both, "frame_id"), "anchors")
+    ux, uy = unit_basis(F.col("fx"), F.col("fy"), F.col("f_ax"), F.col("f_ay"))
     a = a.withColumn("ux", ux).withColumn("uy", uy)
-    at = a.where(F.col("frame_id") == frame).select("ax", "ay", "ux", "uy").first()
+    at = a.where(F.col("frame_id") == frame).select("f_ax", "f_ay", "ux", "uy").first()
     if at is None:
         raise ValueError(f"frame {frame} lacks a centreline or a landmark")
-    sx, sy = special[0] - at["ax"], special[1] - at["ay"]
+    sx, sy = special[0] - at["f_ax"], special[1] - at["f_ay"]
     cx, cy = sx * at["ux"] + sy * at["uy"], -sx * at["uy"] + sy * at["ux"]
-    point = a.select("frame_id", (F.col("ax") + cx * F.col("ux") - cy * F.col("uy")).alias("tx"), (F.col("ay") + cx * F.col("uy") + cy * F.col("ux")).alias("ty"))
-    count = nodes.groupBy("frame_id").agg(F.max("node_id").alias("last"))
-    k = anchor(nodes, point).join(count, "frame_id").select("frame_id", F.least(F.greatest(F.bround("frac"), F.lit(0.0)), F.col("last").cast("double")).alias("k"))
-    own = anchor(nodes, particle).select("frame_id", "frac")
-    near = nearest_node(nodes, particle).join(particle, "frame_id").select("frame_id", F.when(F.col("ty") <= F.col("y"), F.sqrt("d2")).otherwise(-F.sqrt("d2")).alias("Transverse_Dist"))
-    out = own.join(k, "frame_id").join(near, "frame_id").join(mean_spacing(nodes), "frame_id").join(point, "frame_id")
-    return out.select(
-        F.col("frame_id").alias("Frame"), ((F.col("frac") - F.col("k")) * F.col("spacing")).alias("Longitudinal_From_Special"), "Transverse_Dist",
-        F.col("tx").alias("Special_Node_X"), F.col("ty").alias("Special_Node_Y"),
+    a = a.where("px is not null and py is not null")
+    a = a.withColumn("sx", F.col("f_ax") + cx * F.col("ux") - cy * F.col("uy")).withColumn("sy", F.col("f_ay") + cx * F.col("uy") + cy * F.col("ux"))
+    k = anchors(nodes, a.select("frame_id", "sx", "sy"), ("s",)).select("frame_id", F.least(F.greatest(F.bround("s_frac"), F.lit(0.0)), F.col("last").cast("double")).alias("k"))
+    return a.join(k, "frame_id").select(
+        F.col("frame_id").alias("Frame"), ((F.col("p_frac") - F.col("k")) * F.col("spacing")).alias("Longitudinal_From_Special"),
+        F.when(F.col("py") <= F.col("p_y"), F.sqrt("p_d2")).otherwise(-F.sqrt("p_d2")).alias("Transverse_Dist"),
+        F.col("sx").alias("Special_Node_X"), F.col("sy").alias("Special_Node_Y"),
     )
 
 

@@ -12,6 +12,12 @@ TAU = 0.5
 FORESTS = 4
 
 
+def drawn():
+    """A hash that both engines have, as 40 bits, to draw samples by."""
+    text = F.concat(F.lit("draw "), F.col("sample_id").cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("long")
+
+
 def scores(s, d):
     """Four forests' scores of each labelled sample: linear forms of one score."""
     f = F.explode(F.sequence(F.lit(0), F.lit(FORESTS - 1))).alias("forest")
@@ -52,6 +58,8 @@ WEIGHTS = f"""{CDUM},
 rw AS (SELECT *, greatest((1.0 - u) / (1.0 + u + 1e-8::DOUBLE), 0.0) AS w FROM cu),
 wt AS (SELECT forest, y, u, CASE WHEN sum(w) OVER (PARTITION BY y) > 0 THEN w / sum(w) OVER (PARTITION BY y) ELSE 1.0 / count(*) OVER (PARTITION BY y) END AS weight FROM rw)"""
 
+RANKED = f"{with_('smp')}, rk AS (SELECT label, sample_id, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5('draw ' || sample_id), 1, 10) AS BIGINT), sample_id) AS k, count(*) OVER (PARTITION BY label) AS c FROM smp)"
+
 QUERIES = {
     "conf_score": (lambda s, d: r6(_long(s, d), "score").select("forest", "sample_id", F.col("y").cast("long").alias("y"), "score"), f"{LONG} SELECT forest, sample_id, y, {s6('score', 'score')} FROM lg"),
     "conf_pvalue": (lambda s, d: r6(_p(s, d, 2), "p").select("forest", "sample_id", F.col("y").cast("long").alias("y"), "p"), f"{LONG} SELECT forest, sample_id, y, {s6('p', 'p')} FROM pv WHERE part = 2"),
@@ -86,13 +94,13 @@ SELECT g, {s6('CASE WHEN p > 0 AND q > 0 THEN t / (p * q) ELSE 0.5 END', 'auc')}
     ),
     "class_counts": (lambda s, d: C.class_counts(samples(s, d), ["part"]), f"{with_('smp')} SELECT part, label, count(*) AS n FROM smp GROUP BY part, label"),
     "sample_cap": (
-        lambda s, d: C.capped_sample(samples(s, d), ["sample_id"], 40).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("n_ids")),
-        f"{with_('smp')}, n AS (SELECT least(40, count(*) FILTER (WHERE label = 1)) AS f, count(*) FILTER (WHERE label = 0) AS b FROM smp) SELECT CAST(1 AS INT) AS label, f AS n, f AS n_ids FROM n UNION ALL SELECT 0, least(b, 2 * f), least(b, 2 * f) FROM n",
+        lambda s, d: C.capped_sample(samples(s, d), ["sample_id"], 40, drawn=drawn()).select("label", "sample_id"),
+        f"""{RANKED}, n AS (SELECT least(40, count(*)) AS f FROM smp WHERE label = 1)
+SELECT label, sample_id FROM rk, n WHERE k <= CASE WHEN label = 1 THEN f ELSE 2 * f END""",
     ),
     "strat_split": (
-        lambda s, d: C.stratified_split(samples(s, d), ["sample_id"], [("train", 0.8), ("calibrate", 0.1), ("validate", 0.1)]).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n")),
-        f"""{with_('smp')}, n AS (SELECT label, count(*) AS c FROM smp GROUP BY label), k AS (SELECT label, c, CAST(floor(c * 0.8::DOUBLE + 1e-9) AS BIGINT) AS a, CAST(floor(c * 0.9::DOUBLE + 1e-9) AS BIGINT) AS b FROM n)
-SELECT label, 'train' AS split, a AS n FROM k WHERE a > 0 UNION ALL SELECT label, 'calibrate', b - a FROM k WHERE b > a UNION ALL SELECT label, 'validate', c - b FROM k WHERE c > b""",
+        lambda s, d: C.stratified_split(samples(s, d), ["sample_id"], [("train", 0.8), ("calibrate", 0.1), ("validate", 0.1)], drawn=drawn()).select("label", "sample_id", "split"),
+        f"{RANKED} SELECT label, sample_id, CASE WHEN k <= floor(c * 0.8::DOUBLE + 1e-9) THEN 'train' WHEN k <= floor(c * 0.9::DOUBLE + 1e-9) THEN 'calibrate' ELSE 'validate' END AS split FROM rk",
     ),
     "upsample": (
         lambda s, d: C.upsample_minority(table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") < 3, 1).otherwise(0).alias("label")), ["id"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids")),

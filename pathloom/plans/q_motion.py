@@ -15,18 +15,16 @@ from pathloom.plans.adapters import samples, table, tiles
 from pathloom.plans.q_sequences import r6, s6
 from pathloom.streaming import follow
 
-#: Side of a frame, and the frames of a recording in propagate_status, whose SQL counts no more; the other queries take all.
-SIDE, FRAMES = 64, 8
+#: Side of a frame.
+SIDE = 64
 #: Frames on which cascade_field fits its forests, at any size of the table.
 FIT_FRAMES = 40
 
 
-def recordings(s, d, frames: int | None = None):
-    """One recording for each label of the embeddings: noisy frames, all or the first ``frames``, with a dark band that moves by a pixel a frame, 32 down and 32 up."""
+def recordings(s, d):
+    """One recording for each label of the embeddings: noisy frames with a dark band that moves by a pixel a frame, 32 down and 32 up."""
     w = Window.partitionBy("label").orderBy("vec_id")
     e = table(s, d, "embeddings").select(F.col("label").cast("string").alias("video_id"), (F.row_number().over(w) - 1).alias("frame_id"), "embedding")
-    if frames is not None:
-        e = e.where(F.col("frame_id") < frames)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,8 +50,29 @@ def seeds(s, d):
     return videos.select("video_id", F.lit(0).alias("frame_id"), F.inline(rows))
 
 
-def _propagate(s, d, frames: int | None = None):
-    return propagation.propagate(recordings(s, d, frames), seeds(s, d), 24, 6)
+def _propagate(s, d):
+    return propagation.propagate(recordings(s, d), seeds(s, d), 24, 6)
+
+
+def _fitted(s, d):
+    """The edge in fields of forests that are fitted at every step; small ones, as the table has many frames."""
+    small = propagation.Classifier(trees=6, more_trees=4, layers=2, depth=4)
+    return propagation.propagate(recordings(s, d), seeds(s, d).where("layer_id = 'edge'"), 24, 6, how=small)
+
+
+def points(timeline):
+    own = timeline.select("video_id", "layer_id", "frame_id", "status", F.posexplode(F.col("strokes")[0]["pts"]).alias("k", "p"))
+    return own.select("video_id", "layer_id", "frame_id", "status", "k", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
+def on_band(timeline):
+    """Whether the middle distance of an edge's points to the band that they follow is at most 4 pixels, frame by frame."""
+    true = 24 + F.abs((F.col("frame_id") + 32) % 64 - 32) + 4 * F.sin(F.col("x") / 9)
+    own = points(timeline.where("layer_id = 'edge'")).withColumn("off", F.abs(F.col("y") - true))
+    return own.groupBy("video_id", "frame_id").agg((F.median("off") <= 4).alias("on_band"), F.count(F.lit(1)).alias("n_points"))
+
+
+ON_BAND = "SELECT label::VARCHAR AS video_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame_id, true AS on_band, 24::BIGINT AS n_points FROM embeddings"
 
 
 def regions(s, d):
@@ -101,9 +120,11 @@ def _folder(s, d):
 
 
 QUERIES = {
-    "features_48": (lambda s, d: features.extract(regions(s, d)).select("region_id", "x", "y", "v", F.size("features").alias("n_features")), None),
-    "propagate_lines": (lambda s, d: _propagate(s, d).select("video_id", "layer_id", "frame_id", "status", F.size(F.col("strokes")[0]["pts"]).alias("n_points")), None),
-    "propagate_status": (lambda s, d: propagation.run_status(_propagate(s, d, FRAMES)), "SELECT label::VARCHAR AS video_id, layer_id, least(count(*), 8) AS frames, 0::BIGINT AS errors, CAST(least(count(*), 8) - 1 AS INT) AS last_frame, 'complete' AS outcome FROM embeddings, (VALUES ('edge'), ('body')) l(layer_id) GROUP BY label, layer_id"),
+    "features_48": (lambda s, d: features.extract(regions(s, d)).select("region_id", "x", "y", "v", F.size("features").alias("n_features"), *[F.round(F.get("features", F.lit(k)).cast("double"), 2).alias(f"f{k}") for k in (0, 1, 4, 6, 7, 14, 15, 22, 38)]), None),
+    "propagate_lines": (lambda s, d: points(_propagate(s, d)), None),
+    "propagate_track": (lambda s, d: on_band(_propagate(s, d)), ON_BAND),
+    "propagate_fitted": (lambda s, d: on_band(_fitted(s, d)), ON_BAND),
+    "propagate_status": (lambda s, d: propagation.run_status(_propagate(s, d)), "SELECT label::VARCHAR AS video_id, layer_id, count(*) AS frames, 0::BIGINT AS errors, CAST(count(*) - 1 AS INT) AS last_frame, 'complete' AS outcome FROM embeddings, (VALUES ('edge'), ('body')) l(layer_id) GROUP BY label, layer_id"),
     "cascade_field": (_cascade, None),
     "balanced_weights": (lambda s, d: r6(_labelled_counts(s, d), "weight"), f"SELECT quality AS label, {s6('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 'weight')} FROM labels JOIN documents USING (doc_id) GROUP BY quality"),
     "stream_bounds": (_stream, "SELECT label AS video_id, CAST(min(v) AS BIGINT) AS lo, CAST(max(v) AS BIGINT) AS hi FROM (SELECT label, floor((CAST(unnest(embedding) AS DOUBLE) + 1) * 127.5) AS v FROM embeddings) GROUP BY label"),

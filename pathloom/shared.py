@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; a folder of our own only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` as the cluster names it; on one machine without it, as in tests, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pathloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found

@@ -12,13 +12,25 @@ from pyspark.sql import functions as F
 
 from pathloom.operators.pixels import in_bounds
 from pathloom.operators.sequences import ordered
-from pathloom.schemas import POI, SKELETON, TRAJECTORY
+from pathloom.schemas import POI, SKELETON, TRAJECTORY, require_columns
 from pathloom.sources.images import write_png
 from pathloom.sources.video import as_array
 
 
+def read_csv(spark: SparkSession, path: str, schema: str, optional: tuple[str, ...] = ()) -> DataFrame:
+    """A CSV file, or a folder of files with one header, by its column names: those of ``schema`` first, with their types, then the
+    others as text. ValueError where one is missing that isn't ``optional`` (such a one is null); rows without a value in any of
+    them, or with one that isn't of its type, are left out."""
+    raw = spark.read.csv(path, header=True)
+    fields = [f.split() for f in schema.split(", ")]
+    needed = [n for n, _ in fields if n not in optional]
+    own = [F.col(f"`{n}`").try_cast(t).alias(n) if n in raw.columns else F.lit(None).cast(t).alias(n) for n, t in fields]
+    more = [F.col(f"`{c}`") for c in raw.columns if c not in {n for n, _ in fields}]
+    return require_columns(require_columns(raw, needed).select(*own, *more), needed)
+
+
 def read_skeleton(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SKELETON).csv(path, header=True)
+    return read_csv(spark, path, SKELETON, ("node_spacing",))
 
 
 def skeleton_arrays(skeleton: DataFrame, keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
@@ -38,9 +50,15 @@ def write_skeleton(skeleton: DataFrame, path: str, width: int | None = None, hei
     stored_skeleton(skeleton, width, height).orderBy("frame_id", "node_id").write.csv(path, header=True)
 
 
-def read_trajectories(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several files as one table, each row with its file's name; a path listed twice is read once."""
-    return spark.read.schema(TRAJECTORY).csv(list(dict.fromkeys(paths)), header=True).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+def read_trajectories(spark: SparkSession, paths: list[str], track: str | None = None) -> DataFrame:
+    """Several files as one table, each by its own header, with Trajectory_ID (the column ``track``, or 0 where none is named) and
+    source_file, the row's file name; a path listed twice is read once."""
+    out = None
+    for path in dict.fromkeys(paths):
+        own = read_csv(spark, path, TRAJECTORY if track is None else f"{TRAJECTORY}, {track} int")
+        own = own.withColumn("Trajectory_ID", F.lit(0) if track is None else F.col(track)).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
 
 
 def write_trajectory(trajectory: DataFrame, path: str) -> None:

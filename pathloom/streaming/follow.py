@@ -5,10 +5,11 @@ The state of a layer is its last line and gray frame, so it stays small however
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -58,6 +59,35 @@ def follow(frames: DataFrame, points: int = 60, reach: int = 12, mode: str = "up
     return frames.groupBy("video_id", "layer_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def run(stream: DataFrame, guidelines: str, checkpoint: str, on_batch_done: Callable[[int, DataFrame], None] | None = None, stop: Callable[[], bool] | None = None) -> str:
+    """Works off what a stream of ``follow`` holds now, adding its lines to the table ``guidelines``; returns how it ended.
+
+    After each micro-batch ``on_batch_done(batch_id, lines)`` is called, and where ``stop()`` then holds, the query ends: 'stopped'. A
+    later run with the same checkpoint goes on from there. Else it ends with 'complete', or 'n errors' of failed lines. A batch that is
+    repeated after a failure replaces its own rows.
+    """
+    seen = {"errors": 0, "stopped": False}
+
+    def done(lines: DataFrame, batch_id: int) -> None:
+        if seen["stopped"]:
+            raise RuntimeError("stopped")
+        own = f"{guidelines}/batch={batch_id}"
+        lines.write.mode("overwrite").parquet(own)
+        kept = lines.sparkSession.read.schema(lines.schema).parquet(own)
+        seen["errors"] += kept.where(F.col("status").startswith("failed")).count()
+        if on_batch_done:
+            on_batch_done(batch_id, kept)
+        seen["stopped"] = bool(stop and stop())
+
+    query = stream.writeStream.foreachBatch(done).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not seen["stopped"]:
+            raise
+    return "stopped" if seen["stopped"] else f"{seen['errors']} errors" if seen["errors"] else "complete"
+
+
 def running_bounds(pixels: DataFrame, key: str = "video_id") -> DataFrame:
     """Least and greatest value of each recording so far (update or complete mode)."""
     return pixels.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))

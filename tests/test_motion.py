@@ -1,5 +1,7 @@
 """Features, motion, forests and streams on cases with known answers."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,8 +67,8 @@ def embeddings(spark, path, n, labels):
 
 def test_queries_take_all_frames_of_each_recording(spark, tmp_path):
     d = embeddings(spark, tmp_path, 24, 2)
-    lines = q_motion.QUERIES["propagate_lines"][0](spark, d).groupBy("video_id", "layer_id").agg(F.count(F.lit(1)).alias("n"), F.max("frame_id").alias("last")).collect()
-    assert sorted(map(tuple, lines)) == [(v, k, 12, 11) for v in "01" for k in ("body", "edge")]
+    lines = q_motion.QUERIES["propagate_lines"][0](spark, d).groupBy("video_id", "layer_id").agg(F.count_distinct("frame_id").alias("n"), F.max("frame_id").alias("last"), F.count(F.lit(1)).alias("points")).collect()
+    assert sorted(map(tuple, lines)) == [(v, k, 12, 11, 12 * 24) for v in "01" for k in ("body", "edge")]
     found = q_motion.QUERIES["features_48"][0](spark, d).groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.min("n_features").alias("f")).collect()
     assert sorted(map(tuple, found)) == [((v << 32) + k, 1024, 48) for v in (0, 1) for k in range(12)]
 
@@ -129,6 +131,92 @@ def test_a_line_follows_a_sinking_band(spark):
     assert (s["frames"], s["errors"], s["outcome"]) == (8, 1, "1 errors")
 
 
+FITTED = propagation.Classifier(trees=6, more_trees=4, layers=2, depth=4)
+
+
+def test_a_line_follows_a_band_in_fitted_fields(spark):
+    kind = "video_id string, layer_id string, frame_id int, edge_mode string, pts array<struct<x:double,y:double>>"
+    seeds = spark.createDataFrame([("v", "edge", 0, "upper_left", [(2.0, 24.0), (60.0, 24.0)])], kind)
+    got = {r["frame_id"]: r for r in propagation.propagate(frames(spark, 12), seeds, 20, 6, how=FITTED).collect()}
+    assert len(got) == 12 and not any(r["status"].startswith("failed") for r in got.values())
+    for f in (1, 6, 11):
+        ys = [p["y"] for p in got[f]["strokes"][0]["pts"]]
+        assert abs(np.median(ys) - (24 + f)) < 3.5, (f, np.median(ys))
+
+
+def test_a_ring_follows_a_disc_in_fitted_fields(spark):
+    ground = features.blur(np.random.default_rng(6).normal(size=(80, 80)) * 60, 2.0) + 190
+    ys, xs = np.mgrid[:80, :80]
+    spots = 20 * np.cos(xs * 0.9) * np.cos(ys * 0.7)
+    def disc(f):
+        inside = (xs - 34 - f) ** 2 + (ys - 40) ** 2 <= 14**2
+        return np.clip(np.where(inside, 70 + np.roll(spots, f, 1), ground), 0, 255).astype(np.uint8)
+    rows = [("v", f, 80, 80, bytearray(disc(f).tobytes())) for f in range(8)]
+    own = spark.createDataFrame(rows, "video_id string, frame_id int, height int, width int, data binary")
+    ring = [(34 + 14 * math.cos(a), 40 + 14 * math.sin(a)) for a in np.arange(16) * np.pi / 8]
+    seeds = spark.createDataFrame([("v", "ring", 0, "object", ring)], "video_id string, layer_id string, frame_id int, edge_mode string, pts array<struct<x:double,y:double>>")
+    got = {r["frame_id"]: np.array([(p["x"], p["y"]) for p in r["strokes"][0]["pts"]]) for r in propagation.propagate(own, seeds, 24, 6, how=FITTED).collect()}
+    for f in range(8):
+        assert np.abs(got[f].mean(0) - [34 + f, 40]).max() < 4, (f, got[f].mean(0))
+
+
+def test_a_resampler_is_used_at_every_step_and_a_failing_step_carries_on(spark):
+    seen = []
+    def again(points, n, closed):
+        seen.append(closed)
+        return propagation.resample(points, n, closed)
+    f = propagation.Follower("upper_left", 12, 4, None, again)
+    f.start(band(0).astype(float), np.array([(2.0, 24.0), (60.0, 24.0)]))
+    f.batch([band(1).astype(float), band(2).astype(float)])
+    assert len(seen) == 1 + 4 + 4 and not any(seen)
+    lines, fields = propagation.Follower("upper_left", 12, 4, FITTED).one_way([band(0).astype(float), np.full((64, 64), np.nan)[:, :3]], f.points)
+    assert np.allclose(lines[1], propagation.resample(lines[0], 12)) and not fields[1].any()
+
+
+def test_forests_learn_and_labels_match_the_rows_form(spark):
+    from pathloom.operators import forests, pixels, shapes
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 6))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.2 * rng.normal(size=900) > 0.3).astype(int)
+    layers = forests.fit(x[:600], y[:600], 10, 6, 3, 5)
+    p = forests.field(layers, x[600:])
+    assert forests.auc(p, y[600:]) > 0.85 and 0 <= p.min() and p.max() == 1
+    assert forests.fit(x, np.ones(900, int), 4) == []
+    assert forests.auc(np.array([1, 2, 3, 3.0]), np.array([0, 1, 0, 1])) == 0.625
+    extra = forests.grow(x, y, np.ones(900), 5, 4, 1, False, 1)
+    assert ((extra.p1(x) > 0.5) == y).mean() > 0.7
+    # labels of bands and of rings as in the operators on rows
+    gray = rng.integers(0, 256, (40, 30))
+    pts = np.array([[2.0, 18.0], [11.0, 21.0], [27.0, 15.0]])
+    rows = [(0, i, float(a), float(b)) for i, (a, b) in enumerate(pts)]
+    df = spark.createDataFrame([(0, x, y, int(gray[y, x])) for x in range(30) for y in range(40)], "frame_id long, x long, y long, v int")
+    line = pixels.column_line(shapes.raster_line(spark.createDataFrame(rows, "frame_id long, seq long, x double, y double"), 30, 40))
+    want = np.full((40, 30), -1)
+    for r in pixels.line_bands(df, line).collect():
+        want[r["y"], r["x"]] = r["label"]
+    assert (propagation.line_labels(pts, gray) == want).all()
+    ring = np.array([[8.0, 10.0], [22.0, 12.0], [20.0, 30.0], [7.0, 28.0]])
+    filled = propagation.inside(ring, 40, 30)
+    mask = spark.createDataFrame([(0, x, y, 255 * int(filled[y, x])) for x in range(30) for y in range(40)], "frame_id long, x long, y long, v int")
+    want = np.full((40, 30), -1)
+    for r in shapes.boundary_bands(mask, 30, 40).collect():
+        want[r["y"], r["x"]] = r["label"]
+    assert (propagation.ring_labels(ring, gray) == want).all()
+
+
+def test_runs_are_told_by_status_and_merge_into_guidelines(spark):
+    line = lambda y: [("point", "upper_left", [(0.0, y)])]
+    kind = "video_id string, layer_id string, frame_id int, status string, strokes array<struct<type:string,edge_mode:string,pts:array<struct<x:double,y:double>>>>"
+    run = spark.createDataFrame([("v", "a", 0, "seed", line(1.0)), ("v", "a", 1, "ok", line(2.0)), ("v", "b", 0, "failed: x", line(3.0)), ("v", "b", 1, "ok", line(4.0))], kind)
+    planned = spark.createDataFrame([("v", "a", 3), ("v", "b", 1), ("v", "c", 1)], "video_id string, layer_id string, last_planned int")
+    got = {r["layer_id"]: (r["frames"], r["errors"], r["outcome"]) for r in propagation.run_status(run, planned).collect()}
+    assert got == {"a": (2, 0, "stopped"), "b": (2, 1, "1 errors"), "c": (0, 0, "stopped")}
+    old = spark.createDataFrame([("v", "a", 1, "", line(9.0)), ("v", "a", 5, "", line(8.0))], kind).drop("status")
+    merged = {(r["layer_id"], r["frame_id"]): r["strokes"][0]["pts"][0]["y"] for r in propagation.merge_guidelines(old, run).collect()}
+    assert merged == {("a", 0): 1.0, ("a", 1): 2.0, ("a", 5): 8.0, ("b", 0): 3.0, ("b", 1): 4.0}
+
+
 def test_propagation_does_not_depend_on_the_partitioning(spark):
     seeds = spark.createDataFrame([("v", m, 0, m, [(10.0, 20.0), (40.0, 20.0), (40.0, 40.0), (10.0, 40.0)]) for m in ("object", "lower_right")], "video_id string, layer_id string, frame_id int, edge_mode string, pts array<struct<x:double,y:double>>")
     one = propagation.propagate(frames(spark, 6).coalesce(1), seeds, 16, 5).orderBy("layer_id", "frame_id").collect()
@@ -164,6 +252,21 @@ def test_stream_of_frames_is_followed_over_micro_batches(spark, tmp_path):
     assert abs(np.median(got[-1]["ys"]) - 28) < 3
 
 
+def test_a_run_calls_back_stops_between_batches_and_goes_on(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "video_id string, layer_id string, frame_id int, height int, width int, data binary, xs array<double>, ys array<double>"
+    for part in ([0, 1], [2, 3], [4]):
+        rows = [("v", "edge", f, 64, 64, bytearray(band(f).tobytes()), [2.0, 60.0] if f == 0 else None, [24.0, 24.0] if f == 0 else None) for f in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: follow.follow(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), 16, 5)
+    seen, out, ck = [], str(tmp_path / "lines"), str(tmp_path / "ck")
+    done = lambda k, lines: seen.append((k, sorted(r["frame_id"] for r in lines.collect())))
+    assert follow.run(stream(), out, ck, done, lambda: len(seen) == 1) == "stopped"
+    assert len(seen) == 1 and len(seen[0][1]) >= 1
+    assert follow.run(stream(), out, ck, done) == "complete"
+    assert sorted(f for _, own in seen for f in own) == [0, 1, 2, 3, 4]
+    assert sorted(r["frame_id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_windows_over_positions(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(1, t, float(t)) for t in range(0, 3000, 100)], "track long, t long, Longitudinal double").write.parquet(src)

@@ -311,3 +311,38 @@ def test_auc_needs_both_labels(spark):
     assert conformal.auc(one).first()["auc"] == 0.5
     both = spark.createDataFrame([(1, 0.9), (0, 0.1), (0, 0.9)], "label int, score double")
     assert conformal.auc(both).first()["auc"] == pytest.approx(0.75)
+
+
+def test_a_snapshot_goes_on_the_undo_stack(spark):
+    kind = "layer_id string, frame_id int, version long, undo array<bigint>, redo array<bigint>"
+    rows = spark.createDataFrame([("a", 1, 10, [1, 2], [3]), ("a", 2, None, [4], [5]), ("a", 3, 30, None, None), ("b", 1, 11, [], [6])], kind)
+    frames = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", 9)], "layer_id string, frame_id int")
+    got = {(r["layer_id"], r["frame_id"]): (r["version"], r["undo"], r["redo"]) for r in strokes.snapshot(rows, frames).collect()}
+    assert got == {("a", 1): (10, [1, 2, 10], []), ("a", 2): (None, [4], [5]), ("a", 3): (30, [], []), ("b", 1): (11, [], [6])}
+
+
+def test_discs_by_runs_equal_discs_of_pixels(spark):
+    rng = np.random.default_rng(9)
+    masks = (rng.random((3, 17, 23)) > 0.8).astype(int) * 255
+    df = spark.createDataFrame([(f, x, y, int(masks[f, y, x])) for f in range(3) for y in range(17) for x in range(23)], "frame_id long, x long, y long, v int")
+    ys, xs = np.mgrid[:17, :23]
+    for radius in (0, 1, 3, 6):
+        for f in range(3):
+            fg, bg = np.argwhere(masks[f] > 0), np.argwhere(masks[f] == 0)
+            near = lambda pts: ((ys[..., None] - pts[:, 0]) ** 2 + (xs[..., None] - pts[:, 1]) ** 2).min(-1) <= radius**2
+            if f == 0:
+                grown = {(r["frame_id"], r["x"], r["y"]) for r in pixels.dilate_disc(df, radius, 23, 17).collect()}
+                eroded = {(r["frame_id"], r["x"], r["y"]) for r in pixels.erode_disc(df, radius, 23, 17).collect()}
+            assert {(x, y) for g, x, y in grown if g == f} == {(x, y) for y, x in np.argwhere(near(fg)).tolist()}
+            assert {(x, y) for g, x, y in eroded if g == f} == {(x, y) for y, x in np.argwhere((masks[f] > 0) & ~near(bg)).tolist()}
+    spread = pixels.grown_runs(pixels.runs(df), {"near": (True, 6)}, 23, 17)
+    assert spread.count() <= 3 * 17 * 3  # merged: a few runs a row, whatever the radius
+
+
+def test_equal_names_are_spread_and_samples_do_not_depend_on_buckets(spark):
+    df = spark.createDataFrame([("same", i % 3) for i in range(600)], "k string, v int").repartition(3)
+    parts = ranking.global_index(df, "k").select(F.spark_partition_id().alias("p"), "index").collect()
+    assert sorted(r["index"] for r in parts) == list(range(600)) and len({r["p"] for r in parts}) > 1
+    one = {r["v"]: r["_rank"] for r in ranking.hashed_rank(spark.range(50).select(F.lit(1).alias("g"), F.col("id").alias("v")), ["g"], ["v"], 3, 4).collect()}
+    two = {r["v"]: r["_rank"] for r in ranking.hashed_rank(spark.range(50).select(F.lit(1).alias("g"), F.col("id").alias("v")), ["g"], ["v"], 3, 64).collect()}
+    assert one == two

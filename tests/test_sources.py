@@ -97,6 +97,20 @@ def test_masks_are_written_in_the_layer_colour_and_read_back(spark, tmp_path):
     assert back == {(x, y): int(mask[y, x]) for y in range(7) for x in range(5)}
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Special_Node_Y,Transverse_Dist,note,Frame,Longitudinal_From_Special,Special_Node_X,id\n4,1.5,n,7,22.0,3,5\n4,,n,8,1,3,5\n4,1.5,n,x,1,3,5\n")
+    (tmp_path / "b.csv").write_text("Frame,Longitudinal_From_Special,Transverse_Dist,Special_Node_X,Special_Node_Y\n1,2,3,4,5\n")
+    rows = tables.read_trajectories(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv", "a.csv")]).orderBy("Frame").collect()
+    assert [(r["Frame"], r["Longitudinal_From_Special"], r["Transverse_Dist"], r["Special_Node_X"], r["Special_Node_Y"], r["note"], r["Trajectory_ID"], r["source_file"]) for r in rows] == [(1, 2.0, 3.0, 4.0, 5.0, None, 0, "b.csv"), (7, 22.0, 1.5, 3.0, 4.0, "n", 0, "a.csv")]
+    assert tables.read_trajectories(spark, [str(tmp_path / "a.csv")], "id").first()["Trajectory_ID"] == 5
+    with pytest.raises(ValueError, match="'id'"):
+        tables.read_trajectories(spark, [str(tmp_path / "b.csv")], "id")
+    with pytest.raises(ValueError, match="frame_id.*available"):
+        tables.read_skeleton(spark, str(tmp_path / "b.csv"))
+    (tmp_path / "s.csv").write_text("y_pixel,x_pixel,node_id,frame_id\n1,2,3,4\n")
+    assert tuple(tables.read_skeleton(spark, str(tmp_path / "s.csv")).first()) == (4, 3, 2.0, 1.0, None)
+
+
 def test_tables_round_trip(spark, tmp_path):
     sk = spark.createDataFrame([(f, n, n * 1.234567, -0.5 + f, 1.23456789) for f in (1, 0) for n in (1, 0, 2)], "frame_id int, node_id int, x_pixel double, y_pixel double, node_spacing double")
     tables.write_skeleton(sk, str(tmp_path / "sk"), 100, 100)
