@@ -25,7 +25,7 @@ from pathloom.llm.tokens import text_ids, word_ids
 CAPACITY = 2048
 GROUP, GROUPS_PER_TASK = 8192, 64
 #: Steps of the search in one group, as a multiple of its rows: the one bound on the effort (None: search to the end).
-EFFORT = 60
+EFFORT = 10
 #: Fillings that are listed and put in order of waste at a time.
 SLICE = 24
 
