@@ -72,14 +72,15 @@ def sparse_flow(one: np.ndarray, two: np.ndarray, points: np.ndarray) -> tuple[n
         least = ((xx + yy) - np.sqrt((xx - yy) ** 2 + 4 * xy * xy)) / 2 / len(ox)
         solid = (least > 1e-4) & (det > 1e-9)
         fine &= solid
-        det = np.where(solid, det, 1)
+        on = np.flatnonzero(solid)  # points that still move
         for _ in range(ROUNDS):
-            e = ia - _bilinear(b, x + move[:, :1], y + move[:, 1:])
-            ex, ey = (ix * e).sum(1), (iy * e).sum(1)
-            step = np.stack([(yy * ex - xy * ey) / det, (xx * ey - xy * ex) / det], 1) * solid[:, None]
-            move = move + step
-            if np.abs(step).max(initial=0) < STILL:
+            if not len(on):
                 break
+            e = ia[on] - _bilinear(b, x[on] + move[on, :1], y[on] + move[on, 1:])
+            ex, ey = (ix[on] * e).sum(1), (iy[on] * e).sum(1)
+            step = np.stack([yy[on] * ex - xy[on] * ey, xx[on] * ey - xy[on] * ex], 1) / det[on, None]
+            move[on] += step
+            on = on[np.abs(step).max(1) >= STILL]
         if level:
             move = move * 2
     new = points + move
