@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": media.op8,
         "op9_sentencepiece_nbest": segmentation.op9,
         "op10_best_fit_packing": packing.op10,
+        # the parts of op1 and op2 that SQL can say, by themselves
+        "pii_base": pii.base,
+        "rules_base": quality_rules.base,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_filter.SQL, "op5_chat_formatting": chat.SQL, "op6_ngram_jaccard_join": ngram_join.SQL}
+    return {"op3_url_filters": url_filter.SQL, "op5_chat_formatting": chat.SQL, "op6_ngram_jaccard_join": ngram_join.SQL, "pii_base": pii.BASE_SQL, "rules_base": quality_rules.BASE_SQL}

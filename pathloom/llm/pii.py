@@ -495,10 +495,12 @@ def surroundings(docs: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
 
 
-def all_spans(given: list[str | None], net: Tagger) -> tuple[list[list[Span]], list[list[Span]]]:
-    """The base spans of each text, and all its spans. A null text has none."""
+def all_spans(given: list[str | None], net: Tagger | None) -> tuple[list[list[Span]], list[list[Span]]]:
+    """The base spans of each text, and all its spans (without a tagger: the same). A null text has none."""
     texts = [t or "" for t in given]
     base = [base_spans(t) for t in texts]
+    if net is None:
+        return base, base
     some = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
     both = list(base)
     for i, more in zip(some, net.spans([texts[i] for i in some])):
@@ -518,7 +520,7 @@ def redact_all(docs: DataFrame, net: Tagger) -> DataFrame:
     return map_texts(docs, run)
 
 
-def find(docs: DataFrame, net: Tagger) -> DataFrame:
+def find(docs: DataFrame, net: Tagger | None) -> DataFrame:
     """``docs(doc_id, text)`` -> counts and digest of the base spans, all spans, and the redacted text, row by row.
 
     Spans are kind:start:end in code points, end exclusive, over the whole text. Counts are of base spans. A null text
@@ -543,3 +545,30 @@ def find(docs: DataFrame, net: Tagger) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return find(docs, fit(surroundings(docs))).drop("redacted")
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op1`` that SQL can say, those of the fixed patterns; the tagger isn't run for them."""
+    return find(table(spark, sf_dir, "documents"), None).drop("spans", "redacted")
+
+
+def _base_sql() -> str:
+    """Each pattern's matches and the gaps between them give the places; failing matches are left out."""
+    digits = "regexp_replace(p.m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 1 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(substr({digits}, length({digits}) - i, 1) AS INT) + 1] ELSE CAST(substr({digits}, length({digits}) - i, 1) AS INT) END)) % 10 = 0"
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(p.m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND {luhn}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15"),
+    ]
+    views = ", ".join(f"""{k}_m AS (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM t),
+{k}_p AS (SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': length(coalesce(array_to_string(g[1:i], ''), '')) + CASE WHEN i > 1 THEN length(array_to_string(m[1:i - 1], '')) ELSE 0 END, 'm': m[i]}})) AS p FROM {k}_m WHERE len(m) > 0),
+{k}_s AS (SELECT doc_id, count(*) AS n, string_agg('{k}:' || p.s || ':' || (p.s + length(p.m)), ',' ORDER BY p.s) AS shown FROM {k}_p WHERE {ok} GROUP BY doc_id)""" for k, p, ok in rules)
+    joins = " ".join(f"LEFT JOIN {k}_s USING (doc_id)" for k, _, _ in rules)
+    counts = ", ".join(f"coalesce({k}_s.n, 0) AS n_{k}" for k, _, _ in rules)
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {views}
+SELECT doc_id, {counts}, sha256(concat_ws(',', {", ".join(f"{k}_s.shown" for k, _, _ in rules)})) AS base_sha256 FROM t {joins}"""
+
+
+BASE_SQL = _base_sql()

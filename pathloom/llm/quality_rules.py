@@ -178,3 +178,23 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("lost_share", "cleaned")
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op2`` that SQL can say: all but the method's verdict."""
+    return op2(spark, sf_dir).drop("kept")
+
+
+BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+i AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS pos, words FROM w WHERE len(words) > 2),
+k AS (SELECT doc_id, pos, words[pos] || ' ' || words[pos + 1] || ' ' || words[pos + 2] AS win FROM i),
+r AS (SELECT doc_id, pos FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+p AS (SELECT doc_id, count(DISTINCT pos + o) AS n_repeat_words FROM r, range(3) s(o) GROUP BY doc_id),
+f AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN d USING (doc_id) LEFT JOIN p USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+"""

@@ -9,7 +9,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, wo
 
 def odd_documents(spark, more=()):
     """Null, empty, blank and very long texts, repeated rows, a null id, and columns with names that operators use themselves."""
-    texts = [None, "", "   \t\n ", "word", "\n\n", "x" * 300_000, "lorem ipsum dolor " * 20_000, "same text here", "same text here", "naïve café — ünïcode \U0001f600 text", "a\u2028b\u00a0c \x1c d", "<|endoftext|> <|im_start|>", "line one\r\nline two\r\n"]
+    texts = [None, "", "   \t\n ", "word", "\n\n", "x" * 300_000, "lorem ipsum dolor " * 20_000, "same text here", "same text here", "naïve café — ünïcode \U0001f600 text", "a\u2028b\u00a0c \x1c d", "<|endoftext|> <|im_start|>", "line one\r\nline two\r\n", "0123456789 4111, " * 4000, "a@b.co " * 3000]
     rows = [(i, t) for i, t in enumerate(texts)] + [(7, "same text here"), (None, "an id that is null"), (None, None), *more]
     return spark.createDataFrame([(i, t, "en", "src0", None if t is None else len(t), "w", "g", "m", "s", "d") for i, t in rows], SCHEMA)
 

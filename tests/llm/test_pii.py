@@ -5,6 +5,7 @@ import random
 import re
 import tracemalloc
 
+import duckdb
 import numpy as np
 
 from pathloom.llm import pii
@@ -21,6 +22,18 @@ def plain_spans(text):
     return [(k, m.start(), m.end()) for k, (p, ok) in enumerate(PLAIN) for m in p.finditer(text) if ok(m[0])]
 
 
+def test_base_columns_equal_their_sql(same_as_sql, spark):
+    same_as_sql(pii.base, pii.BASE_SQL)
+    rng = random.Random(15)
+    texts = [random_text(rng) for _ in range(3000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), None).drop("spans", "redacted")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({pii.BASE_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def random_text(rng):
     parts = ["a", "b.c", "@", ".", "-", "+", "1", "22", "255", "256", "0007", " ", "\n", "(", ")", "4111 1111 1111 1111", "4111-1111-1111-1111", "+49 (0)30 123456", "x@y.z", "1.2.3.4", "%", "_", "é", "\u0663"]
     return "".join(rng.choice(parts) for _ in range(rng.randrange(30)))

@@ -37,6 +37,10 @@ def test_counts_equal_plain_ones(spark, sf):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_base_columns_equal_their_sql(same_as_sql):
+    same_as_sql(quality_rules.base, quality_rules.BASE_SQL)
+
+
 def test_good_documents_are_kept(spark, sf):
     rows = quality_rules.op2(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("quality = 1 and not base_failed")
     assert rows.count() > 10 and rows.where("not kept").count() == 0
