@@ -191,7 +191,7 @@ def audio(docs: DataFrame, keep: bool = True) -> DataFrame:
             back = stored_samples(media)[1]
             found = features(media)
             tensors = tensor_column(found)
-            rows.append((doc, media if keep else None, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary(found) + f";mel_crc32={zlib.crc32(np.rint(found['mel'] * 256).astype('<i4').tobytes())}", tensors if keep else None, [{"start_s": a, "end_s": b} for a, b in found["segments"]] if keep else None))
+            rows.append((doc, media if keep else None, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary(found) + f";mel_crc32={zlib.crc32(np.rint(found['mel'] * 16384).astype('<i4').tobytes())}", tensors if keep else None, [{"start_s": a, "end_s": b} for a, b in found["segments"]] if keep else None))
             if len(rows) == 64:
                 yield _batch(rows)
                 rows = []
