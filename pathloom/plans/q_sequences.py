@@ -167,9 +167,11 @@ t AS (SELECT *, {_ray('ax', 'ay', '-ux', '-uy')} AS ta, {_ray('bx', 'by_', 'ux',
 SELECT frame_id, {s6('coalesce(ax - ta * ux, ax)', 'start_x')}, {s6('coalesce(ay - ta * uy, ay)', 'start_y')}, {s6('coalesce(bx + tb * ux, bx)', 'end_x')}, {s6('coalesce(by_ + tb * uy, by_)', 'end_y')} FROM t""",
     ),
     "sk_ema": (
-        lambda s, d: r6(S.ema(nodes(s, d).where("node_id < 40").withColumn("layer_id", F.col("frame_id") % 10), base=0.55).select("layer_id", "frame_id", "node_id", "x", "y"), "x", "y"),
-        f"""WITH RECURSIVE {with_('sk')[5:]},
-l AS (SELECT frame_id, frame_id % 10 AS layer_id, list(x ORDER BY node_id) AS xs, list(y ORDER BY node_id) AS ys, row_number() OVER (PARTITION BY frame_id % 10 ORDER BY frame_id) AS k FROM sk WHERE node_id < 40 GROUP BY frame_id),
+        lambda s, d: r6(S.ema(S.interpolate_index(nodes(s, d), N).withColumnRenamed("i", "node_id").withColumn("layer_id", F.col("frame_id") % 10), base=0.55).select("layer_id", "frame_id", "node_id", "x", "y"), "x", "y"),
+        f"""WITH RECURSIVE {with_('sk')[5:]}, c AS (SELECT *, count(*) OVER (PARTITION BY frame_id) AS m, lead(x) OVER {W} AS x2, lead(y) OVER {W} AS y2 FROM sk),
+p AS (SELECT c.*, i, i * (m - 1) / {N - 1}::DOUBLE AS pos FROM c, range({N}) t(i)),
+e AS (SELECT frame_id, i AS node_id, x + coalesce((pos - node_id) * (x2 - x), 0) AS x, y + coalesce((pos - node_id) * (y2 - y), 0) AS y FROM p WHERE floor(pos) = node_id),
+l AS (SELECT frame_id, frame_id % 10 AS layer_id, list(x ORDER BY node_id) AS xs, list(y ORDER BY node_id) AS ys, row_number() OVER (PARTITION BY frame_id % 10 ORDER BY frame_id) AS k FROM e GROUP BY frame_id),
 run AS (
   SELECT layer_id, k, frame_id, xs, ys FROM l WHERE k = 1
   UNION ALL
