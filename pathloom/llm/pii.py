@@ -30,7 +30,7 @@ SAMPLE = 300
 SAMPLE_CHARS = 4000
 WINDOW, STRIDE = 96, 64
 #: Characters of a piece that is decoded by itself, and characters whose emissions are held before they are decoded.
-PIECE, READY = 256, 100_000
+PIECE, READY = 1024, 100_000
 
 _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
