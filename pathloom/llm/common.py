@@ -35,10 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage is cut, lost executors lose nothing."""
+    """Write ``df`` as a table in the shared folder and read it back: the lineage is cut, lost executors lose nothing.
+
+    The table goes when the application ends, if it isn't dropped before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 

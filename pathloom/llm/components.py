@@ -7,6 +7,8 @@ a broadcast where the table's files are small), so a hub's edges are not one tas
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +59,28 @@ def components(edges: DataFrame, owner: Scratch | None = None) -> DataFrame:
             if owner:
                 owner.paths.append(path)
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def keep_first(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest doc_id, with all its columns.
+
+    ``find`` gives ``(doc_id, component_id)`` for ``(doc_id, text)``. Where a doc_id has several texts, the one with the least hash bears it and
+    the others get ids of their own, above all below 2**62, so each is kept or goes by its own links. Of rows that agree in doc_id and
+    text one stays, the least in JSON form. Rows with a null doc_id stay. Only ids that lose a row are written and joined.
+    """
+    key = docs["doc_id"].cast("long")
+    repeated, _ = shared_table(docs.where(key.isNotNull()).groupBy(key.alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-ids")
+    several = not repeated.isEmpty()
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    if several:
+        own = F.xxhash64("row.text")
+        low, _ = shared_table(rows.join(repeated, F.col("key") == F.col("id"), "left_semi").groupBy(F.col("key").alias("id")).agg(F.min(own).alias("low")), "repeated-least")
+        other = F.shiftrightunsigned(F.xxhash64("key", own), 2).bitwiseOR(F.lit(1 << 62))
+        rows = rows.join(low, F.col("key") == F.col("id"), "left").select(F.when(own > F.col("low"), other).otherwise(F.col("key")).alias("key"), "row", F.col("low").isNotNull().alias("again"))
+    found = find(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    loses, _ = shared_table(found.where("component_id <> doc_id").select(F.col("doc_id").alias("lost")).distinct(), "duplicates")
+    out = rows.join(loses, F.col("key") == F.col("lost"), "left_anti")
+    if several:
+        once = out.where("again").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.where("not again").select("row").union(once.select("row"))
+    return out.select("row.*")

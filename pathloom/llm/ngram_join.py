@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from pathloom.llm.bytescan import Scan, U, mix, shingle_sets
 from pathloom.llm.common import Scratch, chunks, map_rows, perhaps_in, shared_table, sliced, table
-from pathloom.llm.components import components
+from pathloom.llm.components import components, keep_first
 
 #: Rows and n-grams of one side of a tile pair, and the rows that all of a larger block are multiplied with first.
 TILE, TILE_SHINGLES, PIVOTS = 512, 400_000, 8
@@ -387,21 +387,11 @@ def _tree_tiles(docs: DataFrame, large: DataFrame, whole: DataFrame, parts: Colu
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id, with all its columns.
+    """``docs`` with one document of each component: that of the smallest doc_id, with all its columns, as ``components.keep_first`` says.
 
-    Of rows with one doc_id, the smallest row stays. Rows without words or with a null doc_id stay. Only ids that lose a
-    row are written and joined, so the texts are shuffled only where those are too many to send to every task.
+    Rows without words link with nothing and stay.
     """
-    found = jaccard_components(docs, words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = found.where("component_id <> doc_id or n > 1").select(F.col("doc_id").alias("_id"), (F.col("component_id") != F.col("doc_id")).alias("_goes"))
-    loses, _ = shared_table(named, "duplicates")
-    key = docs["doc_id"].cast("long")
-    out = docs.join(loses, key == loses["_id"], "left_anti")
-    again = loses.where("not _goes")
-    if not again.isEmpty():
-        row = docs.join(again, key == again["_id"], "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-        out = out.union(row.select("_row.*"))
-    return out
+    return keep_first(docs, lambda d: jaccard_components(d, words, percent))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

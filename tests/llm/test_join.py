@@ -193,3 +193,17 @@ def test_deduplication_keeps_the_smallest_of_each_group(spark):
     want = {c for _, c in jaccard_components(docs, 5, 80).values()}
     got = [r["doc_id"] for r in ngram_join.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_deduplication_keeps_every_text_of_a_repeated_id(spark):
+    """One doc_id with unlinked texts loses none; rows that repeat id and text are one; maps and clashing names pass through."""
+    rng = random.Random(5)
+    a, b, c, d = (prose(rng, 60, 9000) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, c), (2, a), (3, d), (3, ""), (3, None), (4, b + " end"), (None, a)]
+    docs = spark.createDataFrame([(i, t, {"k": 1}, 7, 8) for i, t in rows], "doc_id long, text string, tags map<string,int>, key int, row int")
+    out = ngram_join.deduplicate(docs)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(got) == len(set(got))
+    kept = {t for i, t in got if i is not None}
+    assert {c, d, "", None} <= kept and sum(t == a for i, t in got if i) == 1 and sum(t in (b, b + " end") for t in kept) == 1 and (None, a) in got
