@@ -7,6 +7,10 @@ bytes are the same, and otherwise with a probability of about 2**-64.
 
 from __future__ import annotations
 
+import re
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
@@ -111,6 +115,22 @@ class Scan:
         return start, end, np.searchsorted(self.doc_end, end)
 
 
+def pieces(text: str, size: int, gaps: str, words: str, keep: int) -> Iterator[tuple[str, int]]:
+    """A text in pieces of about ``size`` characters, cut at ``gaps`` only, each behind the last ``keep`` words of what came before; and their number."""
+    if len(text) <= size:
+        yield text, 0
+        return
+    at, gap, word = 0, re.compile(gaps), re.compile(words)
+    before: deque[str] = deque(maxlen=keep)
+    while at < len(text):
+        cut = gap.search(text, min(at + size, len(text)))
+        end = cut.start() if cut else len(text)
+        yield " ".join([*before, text[at:end]]), len(before)
+        if keep:
+            before.extend(m.group() for m in word.finditer(text, at, end))
+        at = end
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` words, in order."""
     n = len(words) - size + 1
