@@ -32,7 +32,7 @@ WINDOW, STRIDE = 96, 64
 #: Characters of a piece that is decoded by itself, and characters whose emissions are held before they are decoded.
 PIECE, READY = 1024, 100_000
 
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _PART = re.compile("[0-9]"), re.compile("[0-9]+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -359,7 +359,7 @@ def plausible(kind: int, piece: str) -> bool:
         return len(piece) >= 6 and ("@" in piece or "at" in piece) and bool(TRIGGER.search(piece))
     if kind == 1:
         parts = piece.split(".")
-        return len(parts) == 4 and all(p.isdigit() and int(p[:4]) <= 255 for p in parts) or piece.count(":") >= 4 and len(digits) >= 4
+        return len(parts) == 4 and all(_PART.fullmatch(p) and int(p[:4]) <= 255 for p in parts) or piece.count(":") >= 4 and len(digits) >= 4
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == 3:

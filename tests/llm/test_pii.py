@@ -7,6 +7,8 @@ import tracemalloc
 
 import duckdb
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pathloom.llm import pii
 
@@ -170,3 +172,23 @@ def test_base_spans_stay_and_redaction_covers_every_span(spark):
         assert secret not in r["redacted"]
     assert got[2]["redacted"] is None and got[3]["spans"] == ""
     assert got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+DIGITS = "0123\u00b2\u00b9\u2070\u2460\u2074\u0663\u0967\uff11\U0001d7d9"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 4), st.text(alphabet=DIGITS + ".:@at -", min_size=1, max_size=24))
+def test_any_digits_are_judged(kind, piece):
+    """Only ASCII digits make a span; superscripts, circled and other scripts' digits never raise."""
+    assert pii.plausible(kind, piece) in (True, False)
+    if kind == 1 and pii.plausible(kind, piece) and ":" not in piece:
+        assert all(p.isascii() and int(p[:4]) <= 255 for p in piece.split("."))
+
+
+def test_texts_with_digits_beyond_ascii(spark):
+    net = pii.fit([], windows=512, epochs=2)
+    texts = ["IP 84.12.130.77\u00b9 was banned.", "IP 10.0.0.\u00b2 was banned.", "call +\u0661\u0662\u0663 45 67 89", "\u2460.\u2461.\u2462.\u2463 at 10.1.2.3", "plain 84.12.130.77 was banned."]
+    _, spans = pii.all_spans(texts, net)
+    assert all(0 <= a < b <= len(t) for t, own in zip(texts, spans) for _, a, b in own)
+    assert pii.find(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), net).count() == len(texts)
