@@ -25,7 +25,9 @@ from pathloom.llm.tokens import text_ids, word_ids
 CAPACITY = 2048
 GROUP, GROUPS_PER_TASK = 8192, 64
 #: Steps of the search in one group, as a multiple of its rows: the one bound on the effort (None: search to the end).
-EFFORT = 10
+EFFORT = 60
+#: What a descent's choice of pieces by pairs, and the comparison with one listed filling, count as.
+PAIR_STEPS, COVER_STEPS = 8, 0.3
 #: Fillings that are listed and put in order of waste at a time.
 SLICE = 24
 
@@ -55,8 +57,8 @@ class Meter:
     def __init__(self, steps: int | None):
         self.left = float("inf") if steps is None else steps
 
-    def step(self) -> bool:
-        self.left -= 1
+    def step(self, n: float = 1) -> bool:
+        self.left -= n
         return self.left >= 0
 
 
@@ -109,6 +111,7 @@ def undominated(stock: Stock, room: int, waste: int, meter: Meter) -> Iterator[t
     found, listed = fillings(stock, room, waste, meter), deque(maxlen=4 * SLICE)
     while own := list(islice(found, SLICE)):
         for _, f in sorted(own, key=lambda f: (f[0], len(f[1]), f[1])):
+            meter.step(COVER_STEPS * len(listed))
             if not any(covers(g, f) for g in listed):
                 listed.append(f)
                 yield f
@@ -144,15 +147,76 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return int(best)
 
 
+def least_waste(kinds: np.ndarray, left: np.ndarray, room: int, meter: Meter, most: int = 3) -> tuple[int, tuple[int, ...]]:
+    """Up to ``most`` (three) pieces that fill ``room`` best, as (left over, pieces): the fewest of those, large ones first. The third is tried at 12 kinds only."""
+    meter.step(PAIR_STEPS)
+    n = int(np.searchsorted(kinds, room, "right"))
+    best = (room - int(kinds[n - 1]), (int(kinds[n - 1]),))
+    if most == 1 or not best[0]:
+        return best
+    other = np.searchsorted(kinds, room - kinds[:n], "right") - 1
+    other = np.where((other == np.arange(n)) & (left[:n] < 2), other - 1, other)
+    waste = np.where(other >= 0, room - kinds[:n] - kinds[other], room)
+    i = n - 1 - int(waste[::-1].argmin())
+    if waste[i] < best[0]:
+        best = (int(waste[i]), (int(kinds[i]), int(kinds[other[i]])))
+    for i in np.unique(np.linspace(0, n - 1, 12).astype(int))[::-1].tolist() if most > 2 and best[0] else []:
+        x, some = int(kinds[i]), left - (np.arange(len(left)) == i) > 0
+        if some.any() and kinds[some][0] <= room - x:
+            waste_, own = least_waste(kinds[some], (left - (np.arange(len(left)) == i))[some], room - x, meter, 2)
+            best = min(best, (waste_, (x, *own)), key=lambda f: f[0])
+    return best
+
+
+def descend(lengths: np.ndarray, capacity: int, above: int, meter: Meter) -> list[list[int]] | None:
+    """One branch followed to its end: around a piece longer than ``above`` the filling of fewest pieces, around a shorter one that of least
+    waste. None where the steps run out."""
+    kinds, left = np.unique(lengths, return_counts=True)
+    bins = []
+    while len(kinds):
+        if not meter.step():
+            return None
+        own, room = [int(kinds[-1])], capacity - int(kinds[-1])
+        left[-1] -= 1
+        kinds, left = kinds[left > 0], left[left > 0]
+        while len(kinds) and kinds[0] <= room:
+            room, more = least_waste(kinds, left, room, meter, 1 if own[0] > above else 3)
+            np.subtract.at(left, np.searchsorted(kinds, more), 1)
+            kinds, left = kinds[left > 0], left[left > 0]
+            own += more
+        bins.append(own)
+    return bins
+
+
+def turning_lengths(lengths: np.ndarray, capacity: int) -> list[int]:
+    """Where descents turn from few pieces to least waste: for each k up to 8 the longest piece of the largest set of small pieces that fill
+    bins by k of them on average, then the capacity."""
+    x = np.sort(lengths)
+    mean = np.cumsum(x) / np.arange(1, len(x) + 1)
+    ends = [int(np.searchsorted(mean, capacity / k, "right")) for k in range(2, 9)]
+    return list(dict.fromkeys([int(x[n - 1]) for n in ends if 0 < n < len(x)] + [capacity]))
+
+
 def complete(lengths: np.ndarray, capacity: int = CAPACITY, effort: int | None = EFFORT) -> list[list[int]]:
     """Bins of lengths: depth-first branch-and-bound over fillings around the largest piece left.
 
-    A branch ends when its waste exceeds what one bin less than the incumbent's allows. The search stops at the
-    lower bound, when no branch is left (the incumbent is then a best one), or after ``effort`` steps per piece (None: never).
+    The first incumbent is that of best fit; a few branches are followed to their ends first, as they give better ones where sizes
+    are such that pieces of middle length should be paired and small ones kept for fuller bins. A branch ends when its waste exceeds what
+    one bin less than the incumbent's allows. The search stops at the lower bound, when no branch is left (the incumbent is then a best
+    one), or after ``effort`` steps per piece (None: never).
     """
     best = best_fit(lengths, capacity)
     bound, total = least_bins(lengths, capacity), int(lengths.sum())
     stock, meter = Stock(lengths), Meter(None if effort is None else effort * len(lengths) + 10_000)
+    ahead, turned, at = turning_lengths(lengths, capacity), 0, 0
+    while ahead and len(best) > bound and meter.left > 0:
+        above = ahead.pop(0)
+        own = descend(lengths, capacity, above, meter)
+        if own and len(own) < len(best):
+            best, turned, at = own, 0, above
+        if not ahead and at and turned < 4:  # a little to both sides of the best turn
+            off, turned = max(1, at >> 8) << turned // 2, turned + 1
+            ahead.append(at + off if turned % 2 else at - off)
     path: list[tuple[int, Iterator[tuple[int, ...]], tuple[int, ...] | None]] = []  # largest piece, its fillings, the one in use
     waste = 0
     while len(best) > bound:

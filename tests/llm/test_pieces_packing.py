@@ -150,6 +150,23 @@ def test_many_empty_documents_share_a_sequence():
     assert len(bins) == packing.least_bins(np.array([1] * 5000 + [2048, 2000]), 2048)
 
 
+def test_descents_beat_best_fit_where_pieces_of_middle_length_should_pair():
+    """Between 650 and 1,099 small pieces go in threes; a thin search gave 3,941 as best fit does, one of 60 steps a piece without descents 3,908."""
+    x = np.random.default_rng(0).integers(650, 1100, 8192)
+    bins = packing.complete(x)
+    assert sorted(itertools.chain(*bins)) == sorted(x.tolist()) and max(map(sum, bins)) <= 2048
+    assert len(packing.best_fit(x, 2048)) == 3941 and len(bins) <= 3902
+
+
+@pytest.mark.parametrize("draw", ["lognormal", "uniform"])
+def test_no_more_bins_than_best_fit(draw):
+    rng = np.random.default_rng(1)
+    x = np.clip(rng.lognormal(6.2, 0.8, 3000), 1, 2048).astype(int) if draw == "lognormal" else rng.integers(1, 2049, 3000)
+    bins = packing.complete(x)
+    assert sorted(itertools.chain(*bins)) == sorted(x.tolist()) and max(map(sum, bins)) <= 2048
+    assert packing.least_bins(x, 2048) <= len(bins) <= len(packing.best_fit(x, 2048))
+
+
 def check_packing(rows, docs, capacity=2048):
     words = word_ids(packing.default_vocabulary())
     pieces, bins = {}, {}
