@@ -1,7 +1,12 @@
-"""Line-first cleaning: rules judge each line, failing lines go, and a document that loses too much goes as a whole."""
+"""Line-first cleaning: rules judge each line, failing lines go, and a document that loses too much goes as a whole.
+
+Lines wrapped at a fixed width are judged with the paragraph that they belong to. A line with a few words of a listed phrase is boilerplate where it also
+recurs over the corpus, between different lines each time, so that copies of a document don't make its lines boilerplate.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -36,8 +41,11 @@ BOILERPLATE = [
     "tous droits réservés", "sous licence", "politique de confidentialité", "conditions d'utilisation", "nous utilisons des cookies", "mentions légales",
     "todos los derechos reservados", "bajo licencia", "política de privacidad", "términos de uso", "condiciones de uso", "utilizamos cookies", "aviso legal",
 ]
-#: A line is boilerplate when words of these phrases are at least one in so many of its words.
-BOILERPLATE_SHARE = 12
+#: A line is boilerplate when words of these phrases are at least one in so many of its words: anywhere, in a line that starts with one, and
+#: in a line that recurs between RECURS different pairs of lines, or more, one for each so many documents.
+SHARE, LEADING_SHARE, RECURRING_SHARE, RECURS, RECURS_IN = 3, 4, 12, 10, 50_000
+#: Bits of the table of recurring lines, which every task gets.
+LINE_BITS = 1 << 23
 #: Entries of menus, lower-case; a line of nothing else is navigation. Fixed values.
 NAVIGATION = [
     "home", "menu", "login", "log in", "sign in", "sign up", "subscribe", "share this", "read more", "next page", "previous page", "skip to content", "back to top",
@@ -45,7 +53,8 @@ NAVIGATION = [
     "accueil", "connexion", "se connecter", "s'inscrire", "s'abonner", "lire la suite", "page suivante", "page précédente", "aller au contenu", "haut de page",
     "inicio", "menú", "iniciar sesión", "registrarse", "suscribirse", "leer más", "página siguiente", "página anterior", "saltar al contenido", "volver arriba",
 ]
-_PHRASES = [(x.encode(), len(x.split())) for x in BOILERPLATE]
+_BOUND = rb"[0-9a-z\x80-\xff]"
+_PHRASES = [(re.compile(b"(?<!" + _BOUND + b")" + re.escape(x.encode()) + (b"(?!" + _BOUND + b")" if x[-1].isalpha() else b"")), len(x.split())) for x in BOILERPLATE]
 _GAP = rb"(?:[\t-\r .:>|/*-]|\xc2[\xb7\xbb])"
 _ENTRY = b"(?:" + b"|".join(re.escape(x.encode()) for x in sorted(NAVIGATION, key=len, reverse=True)) + b")"
 MENU = re.compile(_GAP + b"*" + _ENTRY + b"(?:" + _GAP + b"+" + _ENTRY + b")*" + _GAP + b"*")
@@ -87,8 +96,78 @@ def counts(scan: Scan) -> dict[str, np.ndarray]:
     }
 
 
-def failing_lines(scan: Scan, figures: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines that fail a rule, with each line's bounds and text: (start, end, text's index, failed). Lines without a word don't fail.
+def phrase_words(scan: Scan, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the words of listed phrases in it, whole words only, and whether it starts with one."""
+    known, leads = np.zeros(len(start), np.int64), np.zeros(len(start), bool)
+    for phrase, words_in in _PHRASES:
+        for m in phrase.finditer(raw):
+            i = np.searchsorted(end, m.start())
+            known[i] += words_in
+            leads[i] |= scan.gap[start[i] : m.start()].all()
+    return known, leads
+
+
+def line_hash(line: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(line.strip(b"\x20\t\r\v\f"), digest_size=8).digest(), "little")
+
+
+def recurring_lines(docs: DataFrame) -> np.ndarray:
+    """A bit table of the hashes of lines that hold a few words of listed phrases and stand between many different pairs of lines.
+
+    Only such lines are counted, so the shuffle is small; what is sent to every task is LINE_BITS bits, whatever the input.
+    """
+
+    def find(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, out = batch.column(0).to_pylist(), []
+        for lo, hi in chunks(texts):
+            scan = Scan(texts[lo:hi])
+            start, end, of = scan.lines()
+            n = np.searchsorted(scan.word_start, end) - np.searchsorted(scan.word_start, start)
+            raw, shown = LOWER[scan.data].tobytes(), scan.data.tobytes()
+            known, _ = phrase_words(scan, raw, start, end)
+            for i in np.flatnonzero((known > 0) & (known * RECURRING_SHARE >= n)).tolist():
+                around = [shown[start[k] : end[k]] if 0 <= k < len(of) and of[k] == of[i] else b"" for k in (i - 1, i + 1)]
+                out.append((line_hash(shown[start[i] : end[i]]), line_hash(around[0] + b"\n" + around[1])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([o[k] for o in out], U).view(np.int64)) for k in (0, 1)], ["line", "around"])
+
+    found = map_rows(docs.select(F.col("text").cast("string")), find, "line long, around long").distinct()
+    least = F.greatest(F.lit(RECURS), F.ceil(F.lit(docs.count()) / RECURS_IN))
+    often = found.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    place = F.pmod("line", F.lit(LINE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    rows = often.select(F.shiftright(place, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(LINE_BITS // 64, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+def recurs(table_: np.ndarray | None, line: bytes) -> bool:
+    if table_ is None:
+        return False
+    place = line_hash(line) % LINE_BITS
+    return bool(int(table_[place >> 6]) >> (place & 63) & 1)
+
+
+def wrapped_lines(scan: Scan, start: np.ndarray, end: np.ndarray, of: np.ndarray, ends_well: np.ndarray) -> np.ndarray:
+    """Lines that go on in the next one: neither could have taken its first word within the longest line of their block (lines without a
+    blank one between), and the last line that they go on to ends a sentence."""
+    a, b = np.searchsorted(scan.word_start, start), np.searchsorted(scan.word_start, end)
+    n, m = b - a, len(start)
+    size = (lambda s: s[end] - s[start])(np.concatenate([[0], np.cumsum(~_CONTINUED[scan.data])]))
+    first = np.zeros(m, np.int64)
+    at = a[n > 0]
+    first[n > 0] = scan.word_end[at] - scan.word_start[at]
+    goes_on = np.zeros(m, bool)
+    goes_on[:-1] = (n[:-1] > 0) & (n[1:] > 0) & (of[:-1] == of[1:])
+    block = np.cumsum(np.concatenate([[True], ~goes_on[:-1]])) - 1
+    longest = np.maximum.reduceat(size, np.flatnonzero(np.concatenate([[True], ~goes_on[:-1]]))) if m else size
+    goes_on[:-1] &= size[:-1] + 1 + first[1:] > longest[block[:-1]]
+    last = np.flatnonzero(~goes_on)  # of each paragraph
+    return goes_on & ends_well[last[np.searchsorted(last, np.arange(m))]]
+
+
+def failing_lines(scan: Scan, figures: dict[str, np.ndarray], recurring: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Lines that fail a rule, with each line's bounds and text: (start, end, text's index, which fail by rule). Lines without a word don't fail.
 
     The rules are those listed below; letter case counts for A-Z only. An ending beyond ASCII passes the punctuation rule.
     """
@@ -98,42 +177,44 @@ def failing_lines(scan: Scan, figures: dict[str, np.ndarray]) -> tuple[np.ndarra
     letters, upper, symbols, pipes = (inside(m) for m in (_LETTER[data], _UPPER[data], _SYMBOLS[data], data == ord("|")))
     a, b = np.searchsorted(scan.word_start, start), np.searchsorted(scan.word_start, end)
     n = b - a
+    some = n > 0
     last = np.zeros(len(start), np.uint8)
-    last[n > 0] = data[scan.word_end[b[n > 0] - 1] - 1]
+    last[some] = data[scan.word_end[b[some] - 1] - 1]
+    ends_well = _END[last] | (last >= 0x80)
     repeated = (lambda s: s[b] - s[a])(sums(figures["_repeated"]))
     words = scan.words()
     same = sums(words[1:] == words[:-1])  # a blank last line starts behind the last word
     echo = same[np.minimum(np.maximum(b - 1, a), len(same) - 1)] - same[np.minimum(a, len(same) - 1)]
-    failed = n > 0
-    failed &= (
-        (symbols * 10 > n * 5)  # symbols: more than one for two words
-        | ((pipes * 4 > n) & (pipes > 1))  # navigation: a list cut up by bars
-        | ((upper * 2 > letters) & (n > 3))  # shouting
-        | (echo * 2 > n)  # one word again and again
-        | ((repeated * 2 > n) & (n > 3))  # windows that the text repeats
-        | ((n >= 8) & ~_END[last] & (last < 0x80))  # punctuation: eight words or more that end no sentence
-    )
-    raw = LOWER[data].tobytes()
-    known = np.zeros(len(start), np.int64)  # boilerplate: words of listed phrases
-    for phrase, words_in in _PHRASES:
-        at = raw.find(phrase)
-        while at >= 0:
-            known[np.searchsorted(end, at)] += words_in
-            at = raw.find(phrase, at + len(phrase))
-    failed |= (n > 0) & (known * BOILERPLATE_SHARE >= n)
-    for i in np.flatnonzero(~failed & (n > 0)).tolist():  # navigation: menu entries and nothing else
-        failed[i] = MENU.fullmatch(raw, start[i], end[i]) is not None
+    raw, shown = LOWER[data].tobytes(), data.tobytes()
+    known, leads = phrase_words(scan, raw, start, end)
+    boilerplate = some & ((known * SHARE >= n) | (leads & (known * LEADING_SHARE >= n)))
+    for i in np.flatnonzero(some & ~boilerplate & (known * RECURRING_SHARE >= n)).tolist():
+        boilerplate[i] = recurs(recurring, shown[start[i] : end[i]])
+    failed = {
+        "symbols": some & (symbols * 10 > n * 5),  # more than one for two words
+        "navigation": some & (pipes * 4 > n) & (pipes > 1),  # a list cut up by bars, or a menu
+        "shouting": (upper * 2 > letters) & (n > 3),
+        "echo": some & (echo * 2 > n),  # one word again and again
+        "repetition": (repeated * 2 > n) & (n > 3),  # windows that the text repeats
+        "punctuation": (n >= 8) & ~ends_well & ~wrapped_lines(scan, start, end, of, ends_well),  # eight words or more that end no sentence
+        "boilerplate": boilerplate,
+    }
+    for i in np.flatnonzero(some & ~np.logical_or.reduce(list(failed.values()))).tolist():
+        failed["navigation"][i] = MENU.fullmatch(raw, start[i], end[i]) is not None
     return start, end, of, failed
 
 
-def clean_texts(texts: list[str | None], max_lost: float = MAX_LOST) -> Iterator[tuple[int, int, dict[str, np.ndarray], list[str | None]]]:
-    """Chunks of the texts as (from, to, figures, texts without their failing lines)."""
+def clean_texts(texts: list[str | None], max_lost: float = MAX_LOST, recurring: np.ndarray | None = None) -> Iterator[tuple[int, int, dict[str, np.ndarray], list[str | None]]]:
+    """Chunks of the texts as (from, to, figures, texts without their failing lines). ``lost`` is the share of word characters in failing lines,
+    ``lost_to`` that by each rule."""
     for lo, hi in chunks(texts):
         scan = Scan(texts[lo:hi])
         f = counts(scan)
-        start, end, of, failed = failing_lines(scan, f)
+        start, end, of, by_rule = failing_lines(scan, f, recurring)
+        failed = np.logical_or.reduce(list(by_rule.values()))
         chars = (lambda s: s[end] - s[start])(np.concatenate([[0], np.cumsum(~scan.gap & ~_CONTINUED[scan.data])]))
-        f["lost"] = np.bincount(of, weights=chars * failed, minlength=len(scan)) / np.maximum(f["word_chars"], 1)
+        share = lambda lines: np.bincount(of, weights=chars * lines, minlength=len(scan)) / np.maximum(f["word_chars"], 1)
+        f["lost"], f["lost_to"] = share(failed), {rule: share(lines) for rule, lines in by_rule.items()}
         f["base"] = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
         f["kept"] = ~f["base"] & (f["lost"] < max_lost)
         raw, cleaned = scan.data.tobytes(), list(texts[lo:hi])
@@ -147,8 +228,10 @@ def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """The rows that are kept, all their columns, ``text`` without its failing lines. Null and empty texts are rejected; ids aren't
     read; repeated rows stay or go alike; an empty table gives an empty result."""
 
+    recurring = docs.sparkSession.sparkContext.broadcast(recurring_lines(docs))  # LINE_BITS bits
+
     def run(texts: list[str | None]) -> tuple[list[str | None], list[bool]]:
-        parts = list(clean_texts(texts, max_lost))
+        parts = list(clean_texts(texts, max_lost, recurring.value))
         return [t for p in parts for t in p[3]], [bool(k) for p in parts for k in p[2]["kept"]]
 
     return map_texts(docs, run)
@@ -159,25 +242,29 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
 
     A null, empty or blank text has no words and fails the base rule. Repeated rows get equal results; a null doc_id is
     passed through; an empty table gives an empty result; other columns are ignored. ``lost_share`` is the share of
-    word characters in failing lines, ``cleaned`` the text without them (null for a null text).
+    word characters in failing lines, ``lost_to`` that by rule, ``cleaned`` the text without them (null for a null text).
     """
+    recurring = docs.sparkSession.sparkContext.broadcast(recurring_lines(docs))  # LINE_BITS bits
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
-        for lo, hi, f, cleaned in clean_texts(texts, max_lost):
+        for lo, hi, f, cleaned in clean_texts(texts, max_lost, recurring.value):
             columns = [batch.column(0).slice(lo, hi - lo).cast(pa.int64())]
             columns += [pa.array(f[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            columns += [pa.array(f["base"]), pa.array(f["kept"]), pa.array(f["lost"]), pa.array(cleaned, pa.string())]
+            columns += [pa.array(f["base"]), pa.array(f["kept"]), pa.array(f["lost"])]
+            shares = np.stack([f["lost_to"][r] for r in RULES], 1)
+            columns += [pa.MapArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * len(RULES), pa.array(RULES * (hi - lo)), pa.array(shares.ravel())), pa.array(cleaned, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_share double, cleaned string"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_share double, lost_to map<string,double>, cleaned string"
+RULES = ["symbols", "navigation", "shouting", "echo", "repetition", "punctuation", "boilerplate"]
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("lost_share", "cleaned")
+    return judge(table(spark, sf_dir, "documents")).drop("lost_share", "lost_to", "cleaned")
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
