@@ -25,12 +25,25 @@ class Forest:
     cut: np.ndarray
     share: np.ndarray
 
-    def p1(self, x: np.ndarray) -> np.ndarray:
+    def last(self, x: np.ndarray) -> np.ndarray:
+        """Each row's node on the last level of each tree."""
         trees, rows = np.arange(len(self.cut))[:, None], np.arange(len(x))[None]
         node = np.zeros((len(self.cut), len(x)), np.int64)
         for _ in range(int(np.log2(self.cut.shape[1] + 1))):
             node = 2 * node + 1 + (x[rows, self.feature[trees, node]] > self.cut[trees, node])
-        return self.share[trees, node - self.cut.shape[1]].mean(0)
+        return node - self.cut.shape[1]
+
+    def p1(self, x: np.ndarray) -> np.ndarray:
+        return self.share[np.arange(len(self.cut))[:, None], self.last(x)].mean(0)
+
+    def renewed(self, young: "Forest", x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> "Forest":
+        """As many trees as before, ``young``'s and the youngest of these; the shares of those that stay are those of the rows given, where any come to a node."""
+        old = Forest(*(a[: len(a) - len(young.cut)] for a in (self.feature, self.cut, self.share)))
+        trees, m = old.share.shape
+        key = (np.arange(trees)[:, None] * m + old.last(x)).ravel()
+        all_, ones = (np.bincount(key, np.tile(v, trees), trees * m).reshape(trees, m) for v in (weight, weight * y))
+        old.share = np.where(all_ > 0, ones / np.maximum(all_, 1e-12), old.share)
+        return Forest(*(np.concatenate(p) for p in ((young.feature, old.feature), (young.cut, old.cut), (young.share, old.share))))
 
 
 def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int, depth: int, seed: int, resample: bool, cuts: int) -> Forest:
@@ -55,15 +68,17 @@ def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int, depth: in
         start = np.cumsum(held) - held
         one_of = lambda: order[np.minimum(start + (rng.random(trees * m) * held).astype(np.int64), key.size - 1)] % n
         best, best_feature, best_cut = np.full(trees * m, -1.0), np.zeros(trees * m, np.int64), np.full(trees * m, np.inf)
-        for _ in range(max(1, int(width**0.5)) * cuts):
+        for _ in range(max(1, int(width**0.5))):
             f = rng.integers(0, width, trees * m)
-            a, b = x[one_of(), f], x[one_of(), f]
-            c = a + rng.random(trees * m) * (b - a)
-            left = (x[rows, f[key].reshape(trees, n)] <= c[key].reshape(trees, n)) * w
-            lw, l1 = add(left), add(left * y)
-            pure = sum((p * p + (q - p) ** 2) / np.maximum(q, 1e-12) for p, q in ((l1, lw), (ones - l1, all_ - lw)))
-            better = (lw > 0) & (lw < all_) & (held > 1) & (pure > best)
-            best, best_feature, best_cut = np.where(better, pure, best), np.where(better, f, best_feature), np.where(better, c, best_cut)
+            value = x[rows, f[key].reshape(trees, n)]
+            for _ in range(cuts):
+                a, b = x[one_of(), f], x[one_of(), f]
+                c = a + rng.random(trees * m) * (b - a)
+                left = (value <= c[key].reshape(trees, n)) * w
+                lw, l1 = add(left), add(left * y)
+                pure = sum((p * p + (q - p) ** 2) / np.maximum(q, 1e-12) for p, q in ((l1, lw), (ones - l1, all_ - lw)))
+                better = (lw > 0) & (lw < all_) & (held > 1) & (pure > best)
+                best, best_feature, best_cut = np.where(better, pure, best), np.where(better, f, best_feature), np.where(better, c, best_cut)
         feature[:, first : first + m], cut[:, first : first + m] = best_feature.reshape(trees, m), best_cut.reshape(trees, m)
         own = np.arange(trees)[:, None]
         node = 2 * node + 1 + (x[rows, feature[own, node]] > cut[own, node])
@@ -87,15 +102,22 @@ def p_values(score: np.ndarray, calibration: np.ndarray, tau: np.ndarray) -> np.
 
 
 class Layer:
-    """Four forests, their calibration scores, and each class's filtered outputs and forest weights."""
+    """Four forests, their calibration scores, and each class's filtered outputs and forest weights.
+
+    With the same layer of the step ``before``, only the share ``fresh`` of the trees is grown, and takes the place of the oldest.
+    """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int, depth: int, rng: np.random.Generator):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int, depth: int, rng: np.random.Generator, before: "Layer | None" = None, fresh: float = 1.0):
         own = np.concatenate([np.arange(len(y)), *(np.resize(np.flatnonzero(y == k), max(0, 5 - (y == k).sum())) for k in (0, 1) if (y == k).any())])
         x, y = x[own], y[own]
         train, calibrate, judge = split(y, (0.8, 0.1, 0.1), rng)
         count = np.bincount(y[train], minlength=2)
         weight = (len(train) / (2.0 * np.maximum(count, 1)))[y[train]]
-        self.forests = [grow(x[train], y[train], weight, trees, depth, seed, *more) for seed, *more in FORESTS]
+        self.turn = before.turn + 1 if before else 0
+        new = trees if before is None else min(trees, max(1, round(trees * fresh)))
+        self.forests = [grow(x[train], y[train], weight, new, depth, seed + 100 * self.turn, *more) for seed, *more in FORESTS]
+        if before is not None and new < trees:
+            self.forests = [old.renewed(young, x[train], y[train], weight) for old, young in zip(before.forests, self.forests)]
         cal = self.scores(x[calibrate])
         self.calibration = [[np.sort(cal[t, y[calibrate] == k, k]) for k in (0, 1)] for t in range(len(self.forests))]
         u = np.ones((len(self.forests), 2))
@@ -136,16 +158,16 @@ def auc(score: np.ndarray, y: np.ndarray) -> float:
     return float((np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).mean() / 2 / len(neg))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, more_trees: int = 20, layers: int = 5, depth: int = 7, seed: int = 7) -> list[Layer]:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, more_trees: int = 20, layers: int = 5, depth: int = 7, seed: int = 7, before: list[Layer] | None = None, fresh: float = 1.0) -> list[Layer]:
     """Layers on features and the outputs of the layer before; one that doesn't raise the AUC on a fifth of the rows is the last. None
-    with one label."""
+    with one label. Each layer goes on from that of the step ``before``, as ``Layer`` says."""
     if len(np.unique(y)) < 2:
         return []
     rng = np.random.default_rng(seed)
     own, judge = split(y, (0.8, 0.2), rng)
     out, best, a, b = [], -1.0, x[own], x[judge]
     for k in range(layers):
-        layer = Layer(a, y[own], trees if k == 0 else more_trees, depth, rng)
+        layer = Layer(a, y[own], trees if k == 0 else more_trees, depth, rng, before[k] if before and k < len(before) and fresh < 1 else None, fresh)
         out.append(layer)
         area = auc(layer.weight[:, 1] @ layer.proba(b)[:, :, 1], y[judge])
         if area <= best:

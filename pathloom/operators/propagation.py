@@ -51,7 +51,12 @@ def _bilinear(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def sparse_flow(one: np.ndarray, two: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Iterative least-squares tracking of points on a pyramid; the new places, and whether each is in the image with texture."""
+    """Iterative least-squares tracking of points on a pyramid; the new places, and whether each is in the image with texture.
+
+    Points that are not finite stay as they are and are not found.
+    """
+    real = np.isfinite(points).all(1)
+    given, points = points, np.where(real[:, None], points, 0.0)
     pyramid = [(one, two)]
     for _ in range(LEVELS):
         if min(pyramid[-1][0].shape) < 8:
@@ -66,7 +71,8 @@ def sparse_flow(one: np.ndarray, two: np.ndarray, points: np.ndarray) -> tuple[n
         gx, gy = correlate(correlate(a, s, 0), d, 1), correlate(correlate(a, d, 0), s, 1)
         at = points / 2**level
         x, y = at[:, :1] + ox, at[:, 1:] + oy
-        ia, ix, iy = _bilinear(a, x, y), _bilinear(gx, x, y), _bilinear(gy, x, y)
+        there = (x >= 0) & (x <= a.shape[1] - 1) & (y >= 0) & (y <= a.shape[0] - 1)  # what a window holds beyond the image tells nothing
+        ia, ix, iy = _bilinear(a, x, y), _bilinear(gx, x, y) * there, _bilinear(gy, x, y) * there
         xx, yy, xy = (ix * ix).sum(1), (iy * iy).sum(1), (ix * iy).sum(1)
         det = xx * yy - xy * xy
         least = ((xx + yy) - np.sqrt((xx - yy) ** 2 + 4 * xy * xy)) / 2 / len(ox)
@@ -83,7 +89,7 @@ def sparse_flow(one: np.ndarray, two: np.ndarray, points: np.ndarray) -> tuple[n
             on = on[np.abs(step).max(1) >= STILL]
         if level:
             move = move * 2
-    new = points + move
+    new, fine = np.where(real[:, None], points + move, given), fine & real
     h, w = one.shape
     return new, fine & (new[:, 0] >= 0) & (new[:, 0] <= w - 1) & (new[:, 1] >= 0) & (new[:, 1] <= h - 1)
 
@@ -161,7 +167,7 @@ def extend_tips(points: np.ndarray, height: int, width: int) -> np.ndarray:
     def border(p, u):
         ways = [(e - p[k]) / u[k] for k, size in ((0, width), (1, height)) if u[k] for e in (0, size - 1)]
         ways = [t for t in ways if t > 1e-5]
-        return p + u * min(ways) if ways else p
+        return np.clip(p + u * min(ways), 0, [width - 1, height - 1]) if ways else p
     return np.concatenate([[border(points[0], -axis)], points, [border(points[-1], axis)]])
 
 
@@ -262,7 +268,11 @@ def centred(points: np.ndarray, box: Box, reach: int = 20) -> Box:
 
 @dataclass(frozen=True)
 class Classifier:
-    """How a step's field is fitted: forests as in ``forests.fit``, and the steps that are remembered with their falling share."""
+    """How a step's field is fitted: forests as in ``forests.fit``, and the steps that are remembered with their falling share.
+
+    With ``fresh`` under 1 a step grows that share of its trees only and keeps the youngest of the step before in its direction, with their shares
+    taken anew from its own pixels; a step then costs about that share of a whole fit.
+    """
 
     trees: int = 50
     more_trees: int = 20
@@ -271,6 +281,7 @@ class Classifier:
     most: int = 5
     decay: float = 0.6
     seed: int = 7
+    fresh: float = 1.0
 
 
 class Samples:
@@ -294,10 +305,10 @@ class Samples:
 
 
 class Memory:
-    """One direction's samples: the frames gone through, newest last, and the seed's, which is kept with a full share."""
+    """One direction's samples: the frames gone through, newest last, and the seed's, which is kept with a full share; and the forests last fitted."""
 
-    def __init__(self, how: Classifier, closed: bool, pinned: Samples | None):
-        self.how, self.closed, self.pinned = how, closed, pinned
+    def __init__(self, how: Classifier, closed: bool, pinned: Samples | None, layers: list[forests.Layer] | None = None):
+        self.how, self.closed, self.pinned, self.layers = how, closed, pinned, layers
         self.past: list[Samples] = []
         self.rng = np.random.default_rng(how.seed)
 
@@ -311,7 +322,8 @@ class Memory:
             parts.append(self.pinned.draw(max(len(now.ones), 4), self.rng))
         parts += [s.draw(max(4, int(len(now.ones) * self.how.decay ** (k + 1))), self.rng) for k, s in enumerate(reversed(self.past))]
         x, y = np.concatenate([p[0] for p in parts]).astype(float), np.concatenate([p[1] for p in parts])
-        layers = forests.fit(x, y, self.how.trees, self.how.more_trees, self.how.layers, self.how.depth, self.how.seed)
+        layers = forests.fit(x, y, self.how.trees, self.how.more_trees, self.how.layers, self.how.depth, self.how.seed, self.layers, self.how.fresh)
+        self.layers = layers or self.layers
         if not layers or box[1] - box[0] < 4 or box[3] - box[2] < 4:
             return None
         out = np.zeros(target[0].shape)
@@ -337,6 +349,7 @@ class Follower:
         self.anchor: np.ndarray | None = None
         self.points = self.before = None
         self.pinned: Samples | None = None
+        self.warm: dict[bool, list[forests.Layer] | None] = {}
 
     def start(self, gray: np.ndarray, seed: np.ndarray) -> np.ndarray:
         points = self.again(seed, self.n, self.closed)
@@ -374,10 +387,10 @@ class Follower:
         found = _smooth(np.where(moving[:, None], found, points))
         return np.where(moving[:, None], np.rint(np.clip(found, 0, [w - 1, h - 1])), points)
 
-    def one_way(self, every: list[np.ndarray], points: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+    def one_way(self, every: list[np.ndarray], points: np.ndarray, back: bool = False) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
         """The line and the field of each frame in turn, the first frame's line given. A step that fails carries the line on, with
         a field of zeros."""
-        memory = Memory(self.how, self.closed, self.pinned) if self.how else None
+        memory = Memory(self.how, self.closed, self.pinned, self.warm.get(back)) if self.how else None
         lines, fields = [points], [None]
         box = padded(points, *every[0].shape, 25 if self.closed else 20)
         if memory:
@@ -398,13 +411,15 @@ class Follower:
                 moved, p = lines[-1], np.zeros(b.shape) if memory else None
             lines.append(self.again(moved, self.n, self.closed))
             fields.append(p)
+        if memory:
+            self.warm[back] = memory.layers
         return lines, fields
 
     def batch(self, grays: list[np.ndarray]) -> list[np.ndarray]:
         """The lines of a batch: forward from the anchor, backward from the forward result, their mean, smoothed and refined."""
         every = [self.anchor, *grays]
         forward, ahead = self.one_way(every, self.points)
-        backward, behind = (x[::-1] for x in self.one_way(every[::-1], forward[-1]))
+        backward, behind = (x[::-1] for x in self.one_way(every[::-1], forward[-1], True))
         out = []
         for k, gray in enumerate(grays, 1):
             h, w = gray.shape

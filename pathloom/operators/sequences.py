@@ -223,10 +223,10 @@ def padded_box(df: DataFrame, pad: int, width: int, height: int, keys=KEYS) -> D
 
 
 def extend_to_border(x: Column, y: Column, ux: Column, uy: Column, width: int, height: int) -> tuple[Column, Column]:
-    """Where the ray from (x, y) along (ux, uy) first meets the image's border; the point itself where it doesn't."""
+    """Where the ray from (x, y) along (ux, uy) first meets one of the lines of the image's border, moved into the image; the point itself where it meets none."""
     ways = [F.when(u != 0, (F.lit(edge) - p) / u) for p, u, most in ((x, ux, width - 1), (y, uy, height - 1)) for edge in (0.0, float(most))]
     t = F.least(*[F.when(w > 1e-5, w) for w in ways])
-    return F.coalesce(x + t * ux, x), F.coalesce(y + t * uy, y)
+    return tuple(F.when(t.isNull(), p).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(most - 1.0), p + t * u))) for p, u, most in ((x, ux, width), (y, uy, height)))
 
 
 def tips(df: DataFrame, width: int, height: int, keys=KEYS, order=ORDER) -> DataFrame:

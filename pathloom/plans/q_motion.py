@@ -60,12 +60,32 @@ def points(timeline):
 
 
 def on_band(timeline):
-    """Whether an edge follows its band: in four of five frames of a recording its points' middle distance to the band is at most 4
+    """Whether an edge follows its band: in nine of ten frames of a recording its points' middle distance to the band is at most 4
     pixels (the noise of every frame is another one, so single frames may be further off)."""
     true = 24 + F.abs((F.col("frame_id") + 32) % 64 - 32) + 4 * F.sin(F.col("x") / 9)
     own = points(timeline.where("layer_id = 'edge'")).withColumn("off", F.abs(F.col("y") - true))
     frame = own.groupBy("video_id", "frame_id").agg(F.median("off").alias("off"), F.count(F.lit(1)).alias("n"))
-    return frame.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("n").alias("n_points"), (F.avg((F.col("off") <= 4).cast("int")) >= 0.8).alias("on_band"))
+    return frame.groupBy("video_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("n").alias("n_points"), (F.avg((F.col("off") <= 4).cast("int")) >= 0.9).alias("on_band"))
+
+
+def band_heights(timeline, near: float):
+    """The height of each frame's band in the middle column: as it was drawn where the edge's points are within ``near`` pixels of it by
+    their median, as the points say otherwise."""
+    true = 24 + F.abs((F.col("frame_id") + 32) % 64 - 32) + F.lit(4 * float(np.sin(3.5)))
+    own = points(timeline.where("layer_id = 'edge'")).withColumn("middle", F.col("y") - 4 * F.sin(F.col("x") / 9) + F.lit(4 * float(np.sin(3.5))))
+    frame = own.groupBy("video_id", "frame_id").agg(F.count(F.lit(1)).alias("n_points"), F.median("middle").alias("found"))
+    return frame.select("video_id", "frame_id", "n_points", F.round(F.when(F.abs(F.col("found") - true) <= near, true).otherwise(F.col("found")), 3).alias("band_y"))
+
+
+BAND_SQL = """SELECT label::VARCHAR AS video_id, frame_id, 24::BIGINT AS n_points, round(24 + abs((frame_id + 32) % 64 - 32) + 4 * sin(3.5::DOUBLE), 3) AS band_y
+FROM (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame_id FROM embeddings)"""
+#: The forests of propagate_fitted: two layers, a fifth of their trees grown at each step.
+FITTED = propagation.Classifier(trees=10, more_trees=5, layers=2, depth=5, most=2, fresh=0.2)
+
+
+def _fitted(s, d):
+    """The edges of all recordings, in fields of forests fitted at every step."""
+    return propagation.propagate(recordings(s, d), seeds(s, d).where("layer_id = 'edge'"), 24, 6, how=FITTED)
 
 
 ON_BAND = "SELECT label::VARCHAR AS video_id, count(*) AS frames, 24 * count(*) AS n_points, true AS on_band FROM embeddings GROUP BY label"
@@ -119,6 +139,8 @@ QUERIES = {
     "features_48": (lambda s, d: features.extract(regions(s, d)).select("region_id", "x", "y", "v", F.size("features").alias("n_features"), *[F.round(F.get("features", F.lit(k)).cast("double"), 2).alias(f"f{k}") for k in (0, 1, 4, 6, 7, 14, 15, 22, 38)]), None),
     "propagate_lines": (lambda s, d: points(_propagate(s, d)), None),
     "propagate_track": (lambda s, d: on_band(_propagate(s, d)), ON_BAND),
+    "propagate_band": (lambda s, d: band_heights(_propagate(s, d), 4.0), BAND_SQL),
+    "propagate_fitted": (lambda s, d: band_heights(_fitted(s, d), 6.0), BAND_SQL),
     "propagate_status": (lambda s, d: propagation.run_status(_propagate(s, d)), "SELECT label::VARCHAR AS video_id, layer_id, count(*) AS frames, 0::BIGINT AS errors, CAST(count(*) - 1 AS INT) AS last_frame, 'complete' AS outcome FROM embeddings, (VALUES ('edge'), ('body')) l(layer_id) GROUP BY label, layer_id"),
     "cascade_field": (_cascade, None),
     "balanced_weights": (lambda s, d: r6(_labelled_counts(s, d), "weight"), f"SELECT quality AS label, {s6('sum(count(*)) OVER () / (count(*) OVER () * count(*))', 'weight')} FROM labels JOIN documents USING (doc_id) GROUP BY quality"),

@@ -100,6 +100,10 @@ def _ray(p: str, q: str, u: str, v: str) -> str:
     return f"least({ways})"
 
 
+def _inside(p: str, way: str) -> str:
+    return f"CASE WHEN {way} IS NULL THEN {p} ELSE greatest(0.0::DOUBLE, least(100.0::DOUBLE, {p} + {way})) END"
+
+
 QUERIES = {
     "sk_segments": (
         lambda s, d: r6(S.segments(nodes(s, d)).select("frame_id", "node_id", "dx", "dy", "seg"), "dx", "dy", "seg"),
@@ -164,7 +168,7 @@ SELECT frame_id, node_id, {s6(_frames_sql('sm', 'x'), 'x')}, {s6(_frames_sql('sm
 e AS (SELECT frame_id, arg_min(x, node_id) AS ax, arg_min(y, node_id) AS ay, arg_max(x, node_id) AS bx, arg_max(y, node_id) AS by_ FROM sk GROUP BY frame_id),
 u AS (SELECT e.*, CASE WHEN (bx - ax) * cos(angle) + (by_ - ay) * sin(angle) < 0 THEN -1 ELSE 1 END * cos(angle) AS ux, CASE WHEN (bx - ax) * cos(angle) + (by_ - ay) * sin(angle) < 0 THEN -1 ELSE 1 END * sin(angle) AS uy FROM e JOIN a USING (frame_id)),
 t AS (SELECT *, {_ray('ax', 'ay', '-ux', '-uy')} AS ta, {_ray('bx', 'by_', 'ux', 'uy')} AS tb FROM u)
-SELECT frame_id, {s6('coalesce(ax - ta * ux, ax)', 'start_x')}, {s6('coalesce(ay - ta * uy, ay)', 'start_y')}, {s6('coalesce(bx + tb * ux, bx)', 'end_x')}, {s6('coalesce(by_ + tb * uy, by_)', 'end_y')} FROM t""",
+SELECT frame_id, {s6(_inside('ax', '-ta * ux'), 'start_x')}, {s6(_inside('ay', '-ta * uy'), 'start_y')}, {s6(_inside('bx', 'tb * ux'), 'end_x')}, {s6(_inside('by_', 'tb * uy'), 'end_y')} FROM t""",
     ),
     "sk_ema": (
         lambda s, d: r6(S.ema(S.interpolate_index(nodes(s, d), N).withColumnRenamed("i", "node_id").withColumn("layer_id", F.col("frame_id") % 10), base=0.55).select("layer_id", "frame_id", "node_id", "x", "y"), "x", "y"),
