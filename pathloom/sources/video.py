@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.names import IMAGE_EXTENSIONS, base_name, frame_number, is_image
 from pathloom.schemas import FRAMES
+from pathloom.shared import streamed
+from pathloom.sources.hdf5 import read_hdf5
 from pathloom.sources.images import decode
 
 _NAMES = ["video_id", "frame_id", "height", "width", "dtype", "data"]
@@ -68,13 +70,13 @@ def stack_frames(spark: SparkSession, path: str, video_id: str = "video") -> Dat
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FRAMES)
 
 
-def _by_index(spark: SparkSession, n: int, video_id: str, read) -> DataFrame:
+def _by_index(spark: SparkSession, start: int, end: int, video_id: str, read) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in b.column(0).to_pylist():
                 yield _batch([_row(video_id, k, read(k))])
 
-    return spark.range(n).mapInArrow(run, FRAMES)
+    return spark.range(start, end).mapInArrow(run, FRAMES)
 
 
 def _plane(raw: np.ndarray) -> np.ndarray:
@@ -85,21 +87,9 @@ def _plane(raw: np.ndarray) -> np.ndarray:
     return raw
 
 
-def hdf5_frames(spark: SparkSession, path: str, key: str | None = None, video_id: str = "video") -> DataFrame:
-    """Frames of an HDF5 dataset (its first one without a key). Needs h5py on all machines and a path that they share."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise RuntimeError("reading HDF5 needs h5py; convert the recording to Parquet frames instead") from e
-    with h5py.File(path, "r", locking=False) as f:
-        key = key or next(iter(f))
-        n = len(f[key])
-
-    def read(k: int) -> np.ndarray:
-        with h5py.File(path, "r", locking=False) as f:
-            return f[key][k]
-
-    return _by_index(spark, n, video_id, read)
+def hdf5_frames(spark: SparkSession, path: str, key: str | None = None, video_id: str = "video", start: int = 0, end: int | None = None) -> DataFrame:
+    """Frames start..end - 1 of an HDF5 dataset (its first one without a key); see ``sources.hdf5``."""
+    return read_hdf5(spark, path, key, video_id, start, end)
 
 
 def nd2_frames(spark: SparkSession, path: str, video_id: str = "video", start: int = 0, end: int | None = None) -> DataFrame:
@@ -118,7 +108,7 @@ def nd2_frames(spark: SparkSession, path: str, video_id: str = "video", start: i
         with nd2.ND2File(path) as f:
             return _plane(f.read_frame(k))
 
-    return _by_index(spark, end, video_id, read).where(F.col("frame_id") >= start)
+    return _by_index(spark, start, end, video_id, read)
 
 
 def read_video(spark: SparkSession, path: str, video_id: str = "video") -> DataFrame:
@@ -175,8 +165,16 @@ def as_array(row: dict) -> np.ndarray:
 
 
 def packed(pixels: DataFrame, width: int, height: int, video_id: str = "video") -> DataFrame:
-    """Frames of 8-bit gray pixel rows; missing pixels are 0. Built by expressions: a frame's values in order as hex digits."""
-    places = F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).cast("int"), F.col("v").cast("int"))))
-    own = pixels.groupBy("frame_id").agg(places.alias("m"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("m", i), F.lit(0))), 2, "0"))
-    return own.select(F.lit(video_id).alias("video_id"), F.col("frame_id").cast("int").alias("frame_id"), F.lit(height).alias("height"), F.lit(width).alias("width"), F.lit("uint8").alias("dtype"), F.unhex(F.array_join(values, "")).alias("data"))
+    """Frames of 8-bit gray pixel rows ``(frame_id, x, y, v)``; missing pixels are 0, of equal places the last counts. A task holds one frame."""
+    inside = (F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)
+    own = pixels.where(inside).select(F.col("frame_id").cast("int").alias("frame_id"), (F.col("y").cast("long") * width + F.col("x")).alias("place"), F.col("v").cast("short").alias("v"))
+    dealt = own.repartition("frame_id").sortWithinPartitions("frame_id", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, rows in streamed(batches, 1):
+            image = np.zeros(height * width, np.uint8)
+            for b in rows:
+                image[b.column(1).to_numpy()] = b.column(2).to_numpy()
+            yield _batch([_row(video_id, first.column(0)[0].as_py(), image.reshape(height, width))])
+
+    return dealt.mapInArrow(run, FRAMES)

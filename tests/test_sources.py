@@ -1,12 +1,13 @@
 """Image codecs, folders, stacks and tables by round trips."""
 
+import struct
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.sources import images, tables, video
+from pathloom.sources import hdf5, images, tables, video
 
 
 def sample(dtype, shape=(7, 5)):
@@ -80,10 +81,119 @@ def test_stack_pixels_and_packing(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(frame_id), EqualTo(frame_id,1)]" in plan
 
 
+def test_packing_of_large_frames_fills_gaps_and_ignores_what_lies_outside(spark):
+    px = spark.range(512 * 512).selectExpr("3 as frame_id", "cast(id % 512 as int) as x", "cast(id div 512 as int) as y", "cast((id * 7) % 256 as int) as v")
+    px = px.where("x % 5 <> 0").union(spark.createDataFrame([(3, -1, 0, 9), (3, 512, 0, 9), (9, 0, 0, 200)], "frame_id int, x int, y int, v int"))
+    got = {r["frame_id"]: video.as_array(r.asDict()) for r in video.packed(px, 512, 512).collect()}
+    want = (np.arange(512 * 512) * 7 % 256).astype(np.uint8).reshape(512, 512)
+    want[:, ::5] = 0
+    assert (got[3] == want).all() and got[9][0, 0] == 200 and got[9].sum() == 200
+
+
 def test_recordings_without_a_reader_are_a_clear_error(spark):
-    for name in ("a.h5", "a.nd2"):
-        with pytest.raises(RuntimeError, match="Parquet"):
-            video.read_video(spark, name)
+    with pytest.raises(RuntimeError, match="Parquet"):
+        video.read_video(spark, "a.nd2")
+
+
+def test_hdf5_round_trip_by_recording(spark, tmp_path):
+    """Frames of several recordings, written by tasks and read back byte for byte, whole, by ranges and by pushed filters."""
+    rng = np.random.default_rng(4)
+    rows = [(v, k + 10, 6, 9, kind, bytearray(rng.integers(0, 200, (6, 9)).astype(kind).tobytes())) for v, n, kind in (("a", 150, "uint8"), ("b", 3, "uint16"), ("c", 1, "int32")) for k in range(n)]
+    df = spark.createDataFrame(rows, "video_id string, frame_id int, height int, width int, dtype string, data binary").repartition(5)
+    hdf5.write_hdf5(df, str(tmp_path), key="frames")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.h5", "b.h5", "c.h5"]
+    want = {(r[0], r[1] - 10): (r[2], r[3], r[4], bytes(r[5])) for r in rows}
+    seen = lambda d: {(r["video_id"], r["frame_id"]): (r["height"], r["width"], r["dtype"], bytes(r["data"])) for r in d.collect()}
+    got = hdf5.read_hdf5(spark, ",".join(str(tmp_path / n) for n in ("a.h5", "b.h5", "c.h5")))
+    assert seen(got) == want and got.rdd.getNumPartitions() == 5
+    assert seen(hdf5.read_hdf5(spark, f"file://{tmp_path}/a.h5", "frames", start=60, end=70)) == {k: v for k, v in want.items() if k[0] == "a" and 60 <= k[1] < 70}
+    assert video.read_video(spark, str(tmp_path / "b.h5")).count() == 3
+    assert hdf5.read_hdf5(spark, str(tmp_path / "a.h5"), start=9, end=9).count() == 0
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = hdf5.read_hdf5(spark, str(tmp_path / "a.h5")).where("frame_id >= 5 and frame_id < 8 and video_id = 'a'")
+        assert {k[1] for k in seen(pushed)} == {5, 6, 7} and pushed.rdd.getNumPartitions() == 1
+        assert hdf5.read_hdf5(spark, str(tmp_path / "a.h5")).where("frame_id = 149").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(Exception, match="no dataset"):
+        hdf5.read_hdf5(spark, str(tmp_path / "a.h5"), "other").count()
+    ragged = spark.createDataFrame([("d", 0, 1, 2, "uint8", bytearray(2)), ("d", 1, 2, 1, "uint8", bytearray(2))], df.schema)
+    with pytest.raises(Exception, match="differ in size"):
+        hdf5.write_hdf5(ragged, str(tmp_path))
+    assert not (tmp_path / "d.h5").exists()
+
+
+def test_hdf5_index_of_many_chunks(tmp_path):
+    """Three levels of the chunk index; a range reads its own part of it only."""
+    path = str(tmp_path / "m.h5")
+    out = hdf5.Writer(open(path, "wb"), "x" * 40, "uint16", 1, 2, 1)
+    for k in range(5000):
+        out.append(zlib.compress(np.array([k, 2 * k % 65536], np.uint16).tobytes(), 1))
+    out.close()
+    out.f.close()
+    with hdf5.opened(path) as f:
+        file = hdf5.Reader(f)
+        d = file.dataset("x" * 40)
+        assert d.shape == (5000, 1, 2) and list(file.names()) == ["x" * 40]
+        assert [c[0][0] for c in file.chunks(d, 4090, 4100)] == list(range(4090, 4100))
+        assert [int(a[0, 0]) for a in file.frames(d, 0, 5000)] == list(range(5000))
+
+
+def built(path, layout, dtype=b"\x10\x00\x00\x00\x02\x00\x00\x00\x00\x00\x10\x00", shape=(5, 5, 7), filters=None):
+    """A file whose layout message is made by ``layout(put)``; it has two datasets and a header that goes on elsewhere."""
+    out = hdf5.Writer(open(path, "wb"), "frames", "uint16", *shape[1:], 1)
+    more = [(hdf5.FILTERS, filters)] if filters else []
+    space = struct.pack("<BBB5x3Q", 1, 3, 0, *shape)
+    rest = out.put(b"".join(struct.pack("<HHB3x", k, len(x) + -len(x) % 8, 0) + x + bytes(-len(x) % 8) for k, x in [(hdf5.LAYOUT, layout(out.put)), *more]))
+    size = out.f.tell() - rest
+    dataset = out.header([(hdf5.SPACE, space), (hdf5.TYPE, dtype), (hdf5.CONTINUED, struct.pack("<QQ", rest, size))])
+    out.f.seek(dataset + 2)
+    out.f.write(struct.pack("<H", 4 + len(more)))
+    out.f.seek(0, 2)
+    heap = out.put(struct.pack("<4sB3xQQQ", b"HEAP", 0, 24, 1, out.put(bytes(8) + b"frames\0\0" + b"other\0\0\0")))
+    leaf = out.put(struct.pack("<4sBxHQQ24xQQ24x", b"SNOD", 1, 2, 8, dataset, 16, dataset).ljust(328, b"\0"))
+    tree = out.put(struct.pack("<4sBBHQQQQQ", b"TREE", 0, 0, 1, hdf5.UNDEFINED, hdf5.UNDEFINED, 0, leaf, 16).ljust(544, b"\0"))
+    root = out.header([(hdf5.TABLE, struct.pack("<QQ", tree, heap))])
+    out.f.seek(0)
+    out.f.write(hdf5.SIGNATURE + struct.pack("<8BHHIQQQQ", 0, 0, 0, 0, 0, 8, 8, 0, 4, 16, 0, 0, hdf5.UNDEFINED, 0, hdf5.UNDEFINED) + struct.pack("<QQ24x", 0, root))
+    out.f.close()
+
+
+def test_hdf5_in_one_piece_and_in_tiles_with_filters(spark, tmp_path):
+    image = np.random.default_rng(1).integers(0, 60000, (5, 5, 7)).astype("<u2")
+    one, tiled = str(tmp_path / "one.h5"), str(tmp_path / "tiled.h5")
+    built(one, lambda put: struct.pack("<BBQQ", 3, 1, put(image.tobytes()), image.nbytes))
+
+    def tiles(put):
+        """Chunks of (2, 3, 4), shuffled, deflated and with a checksum; one is stored as it is, one is missing."""
+        entries = []
+        for f in range(0, 5, 2):
+            for y in range(0, 5, 3):
+                for x in range(0, 7, 4):
+                    own = np.zeros((2, 3, 4), "<u2")
+                    part = image[f : f + 2, y : y + 3, x : x + 4]
+                    own[: part.shape[0], : part.shape[1], : part.shape[2]] = part
+                    if (f, y, x) == (2, 3, 4):
+                        continue
+                    plain = (f, y, x) == (0, 0, 4)
+                    data = own.tobytes() if plain else zlib.compress(own.view(np.uint8).reshape(-1, 2).T.tobytes()) + b"sum4"
+                    entries.append(struct.pack("<II4QQ", len(data), 7 if plain else 0, f, y, x, 0, put(data)))
+        node = struct.pack("<4sBBHQQ", b"TREE", 1, 0, len(entries), hdf5.UNDEFINED, hdf5.UNDEFINED) + b"".join(entries) + struct.pack("<II4Q", 0, 0, 6, 0, 0, 0)
+        return struct.pack("<BBBQ4I", 3, 2, 4, put(node), 2, 3, 4, 2)
+
+    filters = struct.pack("<BB6x", 1, 3) + struct.pack("<HHHHI4x", 2, 0, 1, 1, 2) + struct.pack("<HHHH8sI4x", 1, 8, 1, 1, b"deflate\0", 4) + struct.pack("<HHHH", 3, 0, 0, 0)
+    built(tiled, tiles, filters=filters)
+    gap = image.copy()
+    gap[2:4, 3:, 4:] = 0
+    for path, want in ((one, image), (tiled, gap)):
+        for key in (None, "frames", "other"):
+            got = {r["frame_id"]: video.as_array(r.asDict()) for r in hdf5.read_hdf5(spark, path, key).collect()}
+            assert sorted(got) == list(range(5)) and all((got[k] == want[k]).all() for k in got)
+        assert [r["frame_id"] for r in hdf5.read_hdf5(spark, path, start=1, end=4).orderBy("frame_id").collect()] == [1, 2, 3]
+    with pytest.raises(Exception, match="not an HDF5 file"):
+        (tmp_path / "no.h5").write_bytes(bytes(200))
+        hdf5.read_hdf5(spark, str(tmp_path / "no.h5")).count()
 
 
 def test_masks_are_written_in_the_layer_colour_and_read_back(spark, tmp_path):
