@@ -53,8 +53,9 @@ NAVIGATION = [
     "accueil", "connexion", "se connecter", "s'inscrire", "s'abonner", "lire la suite", "page suivante", "page précédente", "aller au contenu", "haut de page",
     "inicio", "menú", "iniciar sesión", "registrarse", "suscribirse", "leer más", "página siguiente", "página anterior", "saltar al contenido", "volver arriba",
 ]
-_BOUND = rb"[0-9a-z\x80-\xff]"
-_PHRASES = [(re.compile(b"(?<!" + _BOUND + b")" + re.escape(x.encode()) + (b"(?!" + _BOUND + b")" if x[-1].isalpha() else b"")), len(x.split())) for x in BOILERPLATE]
+_PHRASES = [(x.encode(), len(x.split()), x[-1].isalpha()) for x in BOILERPLATE]
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(48, 58), *range(97, 123), *range(0x80, 0x100)]] = True
 _GAP = rb"(?:[\t-\r .:>|/*-]|\xc2[\xb7\xbb])"
 _ENTRY = b"(?:" + b"|".join(re.escape(x.encode()) for x in sorted(NAVIGATION, key=len, reverse=True)) + b")"
 MENU = re.compile(_GAP + b"*" + _ENTRY + b"(?:" + _GAP + b"+" + _ENTRY + b")*" + _GAP + b"*")
@@ -99,11 +100,15 @@ def counts(scan: Scan) -> dict[str, np.ndarray]:
 def phrase_words(scan: Scan, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each line the words of listed phrases in it, whole words only, and whether it starts with one."""
     known, leads = np.zeros(len(start), np.int64), np.zeros(len(start), bool)
-    for phrase, words_in in _PHRASES:
-        for m in phrase.finditer(raw):
-            i = np.searchsorted(end, m.start())
-            known[i] += words_in
-            leads[i] |= scan.gap[start[i] : m.start()].all()
+    for phrase, words_in, bound in _PHRASES:
+        at = raw.find(phrase)
+        while at >= 0:
+            after = at + len(phrase)
+            if not (at and _IN_WORD[raw[at - 1]]) and not (bound and _IN_WORD[raw[after]]):  # a line feed ends every text
+                i = np.searchsorted(end, at)
+                known[i] += words_in
+                leads[i] |= scan.gap[start[i] : at].all()
+            at = raw.find(phrase, after)
     return known, leads
 
 
