@@ -1,13 +1,10 @@
-"""A cascade of conformal forests over samples, by Spark's own tree learners.
+"""A cascade of conformal forests over samples: Spark's own random forests, and extremely randomised trees (``extra_trees``).
 
-Each layer has two random forests and two forests of random cuts. The latter stand in for extremely randomised trees, which
-Spark has no class for: each feature is replaced by the number of its randomly drawn cut points below the value, so a split can
-fall at those places only, and every tree sees all rows. A layer's outputs, filtered by uncertainty, are features of the next.
+Each layer has two forests of each kind. A layer's outputs, filtered by uncertainty, are features of the next.
 """
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -16,18 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators import conformal as C
+from pathloom.operators import extra_trees
+from pathloom.operators.forests import Forest
 from pathloom.shared import written
 
-SEEDS = (10, 20, 30, 44)
-DEPTH, TREES, MORE_TREES, LAYERS, CUTS = 7, 50, 20, 5, 16
+#: Seeds of the random forests and of the extremely randomised ones.
+SEEDS, EXTRA_SEEDS = (10, 20), (30, 44)
+DEPTH, TREES, MORE_TREES, LAYERS = 7, 50, 20, 5
 
 
 @dataclass
 class Layer:
-    """Fitted forests with their cut points (None: random forest), the filtered outputs, and each class's forest weights."""
+    """Fitted forests, the filtered outputs, and each class's forest weights."""
 
-    models: list[RandomForestClassificationModel]
-    cuts: list[list[list[float]] | None]
+    models: list[RandomForestClassificationModel | Forest]
     filtered: set[tuple[int, int]] = field(default_factory=set)
     weights: DataFrame | None = None
     calibration: DataFrame | None = None
@@ -43,40 +42,33 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", w)
 
 
-def random_cuts(df: DataFrame, width: int, seed: int, n: int = CUTS) -> list[list[float]]:
-    """For each feature n points drawn evenly between its extremes."""
-    ends = df.agg(*[f(F.get("features", F.lit(i))).alias(f"{n_}{i}") for i in range(width) for n_, f in (("lo", F.min), ("hi", F.max))]).first()
-    rng = random.Random(seed)
-    return [sorted(rng.uniform(ends[f"lo{i}"] or 0.0, ends[f"hi{i}"] or 0.0) for _ in range(n)) for i in range(width)]
-
-
-def _vector(cuts: list[list[float]] | None):
-    if cuts is None:
-        return array_to_vector(F.col("features").cast("array<double>"))
-    table = F.array(*[F.array(*[F.lit(float(c)) for c in own]) for own in cuts])
-    return array_to_vector(F.zip_with("features", table, lambda x, own: F.size(F.filter(own, lambda c: c < x)).cast("double")))
+def _with_shares(df: DataFrame, model: RandomForestClassificationModel | Forest, shares: list[str]) -> DataFrame:
+    """``df`` with the model's shares of both labels; a forest that knows one label gives 0 for the other."""
+    if isinstance(model, Forest):
+        df = df.withColumn(shares[1], extra_trees.probability(model, F.col("features")))
+        return df.withColumn(shares[0], 1.0 - F.col(shares[1]))
+    df = model.transform(df.withColumn("_x", array_to_vector(F.col("features").cast("array<double>"))))
+    p = vector_to_array("probability")
+    return df.withColumns({n: F.coalesce(F.get(p, F.lit(y)), F.lit(0.0)) for y, n in enumerate(shares)}).drop("_x", "rawPrediction", "probability", "prediction")
 
 
 def probabilities(df: DataFrame, layer: Layer, *keep: str) -> DataFrame:
     """(forest, sample_id, p0, p1, keep...) for each forest; a forest that knows one class gives 0 for the other."""
     out = None
     for t, model in enumerate(layer.models):
-        own = model.transform(df.withColumn("_x", _vector(layer.cuts[t])))
-        p = vector_to_array("probability")
-        rows = own.select(F.lit(t).alias("forest"), "sample_id", F.coalesce(F.get(p, F.lit(0)), F.lit(0.0)).alias("p0"), F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)).alias("p1"), *keep)
+        rows = _with_shares(df, model, ["p0", "p1"]).select(F.lit(t).alias("forest"), "sample_id", "p0", "p1", *keep)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def augmented(df: DataFrame, layer: Layer) -> DataFrame:
     """``df(sample_id, base, features, ...)`` whose features are the base ones and the layer's filtered outputs."""
+    outs = []
     for t, model in enumerate(layer.models):
-        df = model.transform(df.withColumn("_x", _vector(layer.cuts[t])))
-        p = vector_to_array("probability")
-        own = [F.lit(0.0) if (t, y) in layer.filtered else F.coalesce(F.get(p, F.lit(y)), F.lit(0.0)) for y in (0, 1)]
-        df = df.withColumn(f"_o{t}", F.array(*own)).drop("_x", "rawPrediction", "probability", "prediction")
-    outs = [f"_o{t}" for t in range(len(layer.models))]
-    return df.withColumn("features", F.concat(F.col("base").cast("array<double>"), *outs)).drop(*outs)
+        own = [f"_o{t}0", f"_o{t}1"]
+        df = _with_shares(df, model, own)
+        outs += [F.lit(0.0) if (t, y) in layer.filtered else F.col(n) for y, n in enumerate(own)]
+    return df.withColumn("features", F.concat(F.col("base").cast("array<double>"), F.array(*outs))).drop(*[f"_o{t}{y}" for t in range(len(layer.models)) for y in (0, 1)])
 
 
 def fit_layer(df: DataFrame, trees: int, depth: int = DEPTH, tau: float | None = None) -> Layer | None:
@@ -84,14 +76,15 @@ def fit_layer(df: DataFrame, trees: int, depth: int = DEPTH, tau: float | None =
     if df.select("label").distinct().count() < 2:
         return None
     df = written(C.stratified_split(C.upsample_minority(df, ["sample_id"]).select("sample_id", "features", "label"), ["sample_id"], [("train", 0.8), ("calibrate", 0.1), ("validate", 0.1)]), "split")
-    train = balanced(df.where("split = 'train'"))
-    width = train.select(F.size("features")).first()[0]
-    layer = Layer([], [])
-    for t, seed in enumerate(SEEDS):
-        cuts = random_cuts(train, width, seed) if t >= 2 else None
-        forest = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, bootstrap=t < 2, featureSubsetStrategy="sqrt")
-        layer.models.append(forest.fit(train.withColumn("_x", _vector(cuts)).withColumn("label", F.col("label").cast("double"))))
-        layer.cuts.append(cuts)
+    train = df.where("split = 'train'")
+    held = {r["label"]: r["n"] for r in C.class_counts(train).collect()}
+    weights = tuple(sum(held.values()) / (2.0 * max(held.get(y, 0), 1)) for y in (0, 1))
+    weighted = train.withColumn("weight", F.when(F.col("label") == 1, weights[1]).otherwise(weights[0])).withColumn("_x", array_to_vector(F.col("features").cast("array<double>")))
+    layer = Layer([])
+    for seed in SEEDS:
+        forest = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt")
+        layer.models.append(forest.fit(weighted.withColumn("label", F.col("label").cast("double"))))
+    layer.models += extra_trees.grow(train, trees, depth, EXTRA_SEEDS, weights)
     scored = written(C.long_scores(probabilities(df.where("split <> 'train'"), layer, "label", "split"), "label", "split"), "scored")
     layer.calibration = scored.where("split = 'calibrate'").select("forest", "label", "y", "score")
     p = C.p_values(scored.where("split = 'validate'"), layer.calibration, tau)

@@ -72,7 +72,7 @@ def cdum(p: DataFrame, lam: float = LAMBDA, epsilon: float = EPSILON) -> DataFra
 def lower_percentile(values: Column, q: float) -> Column:
     """The q-th share's value of an aggregated column by the 'lower' rule: element floor(q * (n - 1)) of the sorted values.
 
-    For groups of a bounded size (a layer's forests)."""
+    For groups of a bounded size (a layer's forests); ``ranking.lower_percentiles`` takes groups of any size."""
     every = F.array_sort(F.collect_list(values))
     return F.element_at(every, F.floor(F.lit(q) * (F.size(every) - 1)).cast("int") + 1)
 

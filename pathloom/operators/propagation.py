@@ -159,15 +159,16 @@ def _smooth(points: np.ndarray) -> np.ndarray:
 
 
 def extend_tips(points: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The line with a point at the border beyond each end, along its principal axis."""
+    """The line with a point at the border beyond each end, along its principal axis; an end on the border already is its own."""
     c = points - points.mean(0)
     axis = np.linalg.svd(c, full_matrices=False)[2][0]
     if (points[-1] - points[0]) @ axis < 0:
         axis = -axis
-    def border(p, u):
-        ways = [(e - p[k]) / u[k] for k, size in ((0, width), (1, height)) if u[k] for e in (0, size - 1)]
-        ways = [t for t in ways if t > 1e-5]
-        return np.clip(p + u * min(ways), 0, [width - 1, height - 1]) if ways else p
+
+    def border(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        ways = [max(0.0, ((size - 1 if u[k] > 0 else 0) - p[k]) / u[k]) for k, size in ((0, width), (1, height)) if u[k]]
+        return np.clip(p + u * min(ways, default=0.0), 0, [width - 1, height - 1])
+
     return np.concatenate([[border(points[0], -axis)], points, [border(points[-1], axis)]])
 
 

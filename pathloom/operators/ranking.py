@@ -67,3 +67,33 @@ def score_counts(scores: DataFrame, keys: list[str], weights: dict[str, Column],
     ranked = own.withColumns({f"less_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in weights})
     out = ranked.join(offsets, [*keys, "_bucket"])
     return out.select(*keys, score, *weights, *[(F.col(f"less_{n}") + F.col(f"_before_{n}")).alias(f"less_{n}") for n in weights])
+
+
+def lower_percentiles(df: DataFrame, keys: list[str], value: str, q: float, buckets: int = BUCKETS, most: int = 1_000_000) -> DataFrame:
+    """``(keys, value)``: of each key's values, nulls left out, the one at place floor(q * (n - 1)) of their order, q in [0, 1].
+
+    Equal values are added up first. Each round cuts the range that holds the place into ``buckets`` by value, and keeps one of them, until it has
+    ``most`` distinct values at most; only these are ordered in a task, so a key may have any share of the rows. Keys with no value drop out.
+    """
+    own = written(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "distinct-values")
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    kept = [f"_k{i}" for i in range(len(keys))]
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.lit(True))
+    inside = F.count(F.lit(1)).alias("_c")
+    state = own.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), inside)
+    state = state.select(*named, F.floor(F.lit(q) * (F.col("_all") - 1)).alias("_place"), "_lo", "_hi", "_c")
+    while True:
+        state = written(state, "percentile-range")
+        rows = own.join(state, on).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        if state.where(F.col("_c") > most).isEmpty():
+            break
+        wide = F.col("_hi") / 2 - F.col("_lo") / 2  # halves, as the difference of two doubles may be none
+        bucket = F.when(wide > 0, F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / wide * buckets), F.lit(buckets - 1))).otherwise(0)
+        sums = rows.groupBy(*kept, "_place", bucket.alias("_bucket")).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), inside)
+        w = Window.partitionBy(*kept).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        here = (F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_n"))
+        state = sums.where(here).select(*kept, (F.col("_place") - F.col("_before")).alias("_place"), "_lo", "_hi", "_c")
+    w = Window.partitionBy(*kept).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.withColumn("_upto", F.sum("_n").over(w))
+    return upto.where(F.col("_upto") > F.col("_place")).groupBy(*keys).agg(F.min("_v").alias(value))

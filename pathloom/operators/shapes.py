@@ -6,12 +6,17 @@ steps, a polygon row its spans, a point its search steps.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathloom.operators.pixels import boundary, close_open, column_line, gradient, grown_runs, runs
 from pathloom.operators.sequences import convolve, gauss, moving_average, normals
+from pathloom.shared import streamed
 
 KEYS = ("frame_id",)
 
@@ -123,29 +128,49 @@ def grow_area(mask: DataFrame, field: DataFrame, target: DataFrame, width: int,
     """Grows each frame's foreground by the plus shape until its area reaches ``share`` of target(keys, area).
 
     Growth goes to pixels with p >= least_p; a round in which it gains nothing grows freely. A frame stops at its target or
-    after ``rounds``. A round writes only the pixels that it adds, so the plan stays a union of written tables; the driver sees
-    whether there are any.
+    after ``rounds``; one without a target, or with one of 0, stays. Masks, fields and targets are dealt by frame in one exchange, and a task grows one frame
+    at a time, streaming its rows, so it holds a few images of a frame's size. The result has the mask's own places.
     """
-    from pathloom.shared import written
-
-    on = [*keys, "x", "y"]
-    allowed = field.where(F.col("p") >= least_p).select(*on)
-    offsets = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
-    now = written(mask.where("v > 0").select(*on), "grow")
+    n, on = len(keys), [*keys, "kind", "place", "v"]
+    place = (F.col("y").cast("long") * width + F.col("x")).alias("place")
+    inside = (F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)
+    rows = target.select(*keys, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("place"), F.col("area").cast("double").alias("v"))
+    rows = rows.union(field.where(inside & (F.col("p") >= least_p)).select(*keys, F.lit(1), place, F.lit(1.0)))
+    rows = rows.union(mask.where(inside).select(*keys, F.lit(2), place, F.coalesce("v", F.lit(0)).cast("double"))).toDF(*on)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in keys}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, parts in streamed(batches, n):
+            allowed, now, own, area = np.zeros(height * width, bool), np.zeros(height * width, bool), [], 0.0
+            for b in parts:
+                kind, at, v = (b.column(n + k).to_numpy() for k in range(3))
+                area = max(area, v[kind == 0].max(initial=0.0))
+                allowed[at[kind == 1]] = True
+                now[at[(kind == 2) & (v > 0)]] = True
+                own.append(at[kind == 2])
+            at = np.concatenate(own)
+            grown = _grown(now.reshape(height, width), allowed.reshape(height, width), area, share, rounds).ravel()
+            named = [first.column(k).take(pa.array(np.zeros(len(at), np.int64))) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array((at % width).astype(np.int64)), pa.array((at // width).astype(np.int64)), pa.array(np.where(grown[at], 255, 0).astype(np.int32))], [*keys, "x", "y", "v"])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "place")
+    return dealt.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", x long, y long, v int")
+
+
+def _grown(now: np.ndarray, allowed: np.ndarray, area: float, share: float, rounds: int) -> np.ndarray:
     for _ in range(rounds):
-        area = now.groupBy(*keys).agg(F.count(F.lit(1)).alias("_a"))
-        open_ = area.join(target, list(keys)).where((F.col("area") > 0) & (F.col("_a") < F.col("area") * share)).select(*keys)
-        own = now.join(open_, list(keys), "left_semi")
-        near = own.select(*on, F.explode(offsets).alias("o")).select(*keys, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-        fresh = near.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).distinct().join(now, on, "left_anti")
-        # a frame with an allowed neighbour takes those, another one takes all
-        marked = fresh.join(allowed.withColumn("_good", F.lit(1)), on, "left")
-        some = F.max("_good").over(Window.partitionBy(*keys))
-        step = written(marked.withColumn("_some", some).where("_good is not null or _some is null").select(*on), "grow")
-        if step.isEmpty():
+        if not 0 < area or now.sum() >= area * share:
+            break
+        wide = now.copy()
+        wide[1:] |= now[:-1]
+        wide[:-1] |= now[1:]
+        wide[:, 1:] |= now[:, :-1]
+        wide[:, :-1] |= now[:, 1:]
+        fresh = wide & ~now
+        if not fresh.any():
             break
-        now = now.union(step)
-    return mask.select(*on).join(now.withColumn("v", F.lit(255)), on, "left").select(*on, F.coalesce("v", F.lit(0)).alias("v"))
+        now = now | (fresh & allowed if (fresh & allowed).any() else fresh)
+    return now
 
 
 # --- search along normals ---

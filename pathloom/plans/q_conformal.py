@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.operators import conformal as C
+from pathloom.operators.ranking import lower_percentiles
 from pathloom.plans.adapters import samples, table, with_
 from pathloom.plans.q_sequences import r6, s6
 
@@ -80,6 +81,10 @@ SELECT forest, y, {s6('norm', 'norm')}, {s6('threshold', 'threshold')}, norm > t
         lambda s, d: table(s, d, "nation").groupBy("n_regionkey").agg(C.lower_percentile(F.col("n_nationkey"), 0.6).alias("p60")),
         "SELECT n_regionkey, l[CAST(floor(0.6::DOUBLE * (len(l) - 1)) AS BIGINT) + 1] AS p60 FROM (SELECT n_regionkey, list_sort(list(n_nationkey)) AS l FROM nation GROUP BY n_regionkey)",
     ),
+    "conf_lower_pct_large": (
+        lambda s, d: lower_percentiles(table(s, d, "events"), ["event_type"], "value", 0.9),
+        "SELECT event_type, l[CAST(floor(0.9::DOUBLE * (len(l) - 1)) AS BIGINT) + 1] AS value FROM (SELECT event_type, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY event_type)",
+    ),
     "conf_field": (
         lambda s, d: r6(_field(s, d), "field").select("sample_id", "field"),
         f"""{WEIGHTS}, ag AS (SELECT sample_id, sum(p * weight) AS p FROM pv JOIN wt ON pv.forest = wt.forest AND pv.y = wt.y WHERE part = 2 AND pv.y = 1 GROUP BY sample_id),

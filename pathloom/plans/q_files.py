@@ -38,7 +38,14 @@ def poi_events(s, d):
 
 
 def clicks(s, d):
-    return s.range(40).select((F.col("id") % 10).alias("track"), F.col("id").alias("click"), (F.col("id") * 1.5).alias("cx"), (F.col("id") * 2.0 - 30.0).alias("cy"))
+    """A click for each customer, on the track of its number."""
+    k = F.col("c_custkey")
+    return table(s, d, "customer").select(k.alias("track"), k.alias("click"), (k % 64 * 1.5).alias("cx"), (k % 50 * 2.0 - 30.0).alias("cy"))
+
+
+def wanted(s, d):
+    """The frame numbers of all upper masks."""
+    return files(s, d, "u").select(frame_number(F.col("name")).alias("frame_id")).distinct()
 
 
 FOLD = """WITH RECURSIVE e AS (SELECT conv_id AS layer_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE turn % 5 WHEN 3 THEN 'undo' WHEN 4 THEN 'redo' ELSE 'edit' END AS op, length(text)::BIGINT AS v FROM conversations),
@@ -61,12 +68,12 @@ QUERIES = {
     "mask_dedupe_first": (lambda s, d: X.one_per_frame(files(s, d, "d"), "first"), f"{with_('fd')} SELECT {FRAME.format('name')} AS frame_id, min(name) AS name FROM fd GROUP BY 1"),
     "mask_dedupe_last": (lambda s, d: X.one_per_frame(files(s, d, "d"), "last"), f"{with_('fd')} SELECT {FRAME.format('name')} AS frame_id, max(name) AS name FROM fd GROUP BY 1"),
     "mask_lookup": (
-        lambda s, d: X.lookup(files(s, d, "l"), s.range(0, 300).select(F.col("id").alias("frame_id"))),
-        f"{with_('fl')}, f AS (SELECT {FRAME.format('name')} AS frame_id, min(name) AS name FROM fl GROUP BY 1) SELECT i AS frame_id, name FROM range(300) t(i) LEFT JOIN f ON f.frame_id = i",
+        lambda s, d: X.lookup(files(s, d, "l"), wanted(s, d)),
+        f"{with_('fl', 'fu')}, f AS (SELECT {FRAME.format('name')} AS frame_id, min(name) AS name FROM fl GROUP BY 1) SELECT i AS frame_id, f.name FROM (SELECT DISTINCT {FRAME.format('name')} AS i FROM fu) LEFT JOIN f ON f.frame_id = i",
     ),
     "mask_lookup_either": (
-        lambda s, d: X.lookup_either(files(s, d, "l"), files(s, d, "u"), s.range(0, 300).select(F.col("id").alias("frame_id"))),
-        f"{with_('fl', 'fu')}, f AS (SELECT {FRAME.format('name')} AS frame_id, min(name) AS name FROM fl GROUP BY 1), g AS (SELECT {FRAME.format('name')} AS frame_id, min(name) AS name FROM fu GROUP BY 1) SELECT i AS frame_id, coalesce(f.name, g.name) AS name, f.name IS NOT NULL AS from_output FROM range(300) t(i) LEFT JOIN f ON f.frame_id = i LEFT JOIN g ON g.frame_id = i",
+        lambda s, d: X.lookup_either(files(s, d, "l"), files(s, d, "u"), wanted(s, d)),
+        f"{with_('fl', 'fu')}, f AS (SELECT {FRAME.format('name')} AS frame_id, min(name) AS name FROM fl GROUP BY 1), g AS (SELECT {FRAME.format('name')} AS frame_id, min(name) AS name FROM fu GROUP BY 1) SELECT i AS frame_id, coalesce(f.name, g.name) AS name, f.name IS NOT NULL AS from_output FROM (SELECT DISTINCT {FRAME.format('name')} AS i FROM fu) LEFT JOIN f ON f.frame_id = i LEFT JOIN g ON g.frame_id = i",
     ),
     "mask_zip_join": (
         lambda s, d: X.pair_by_position(files(s, d, "u"), files(s, d, "l")),
@@ -78,8 +85,8 @@ QUERIES = {
     ),
     "mask_mirror": (lambda s, d: X.missing_files(files(s, d, "u"), files(s, d, "u").where(frame_number(F.col("name")) % 3 == 0)), f"{with_('fu')} SELECT name FROM fu WHERE {FRAME.format('name')} % 3 <> 0"),
     "mask_blank": (
-        lambda s, d: X.blank_frames(s.range(10).select(F.concat(F.col("id").cast("string"), F.lit(".png")).alias("name")), 5, 20),
-        "SELECT i AS frame_id, i || '.png' AS name FROM range(10, 21) t(i)",
+        lambda s, d: X.blank_frames(table(s, d, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".png")).alias("name")), 0, table(s, d, "orders").agg(F.max("o_orderkey")).first()[0] + 20),
+        "SELECT i AS frame_id, i || '.png' AS name FROM range(0, (SELECT max(o_orderkey) FROM orders) + 21) t(i) WHERE i NOT IN (SELECT o_orderkey FROM orders)",
     ),
     "mask_common_frames": (
         lambda s, d: X.common_frames(layers(s, d)),
@@ -142,14 +149,14 @@ QUERIES = {
     "poi_nearest": (
         lambda s, d: r6(K.nearest_points(track(s, d), clicks(s, d)), "d2").select("track", "click", "d2", "Frame"),
         f"""{with_('tr')}, g AS (SELECT track, greatest(max("Frame") - min("Frame"), 1e-9) AS rx, greatest(max("Longitudinal") - min("Longitudinal"), 1e-9) AS ry FROM tr GROUP BY track),
-c AS (SELECT i % 10 AS track, i AS click, i * 1.5::DOUBLE AS cx, i * 2.0::DOUBLE - 30 AS cy FROM range(40) t(i)),
+c AS (SELECT c_custkey AS track, c_custkey AS click, c_custkey % 64 * 1.5::DOUBLE AS cx, c_custkey % 50 * 2.0::DOUBLE - 30 AS cy FROM customer),
 q AS (SELECT track, click, "Frame" AS f, (("Frame" - cx) / rx) * (("Frame" - cx) / rx) + (("Longitudinal" - cy) / ry) * (("Longitudinal" - cy) / ry) AS d2 FROM tr JOIN g USING (track) JOIN c USING (track))
 SELECT track, click, {s6('min(d2)', 'd2')}, arg_min(f, (d2, f)) AS "Frame" FROM q GROUP BY track, click""",
     ),
     "poi_fold_undo": (lambda s, d: K.session(poi_events(s, d)).select("session", "seq"), POI_FOLD),
     "poi_collect": (
-        lambda s, d: K.collected((track(s, d).where("track = 1"), "a.csv"), (track(s, d).where("track = 2"), "b.csv"), (track(s, d).where("track = 1"), "a.csv")).dropDuplicates(),
-        f"{with_('tr')} SELECT *, CASE WHEN track = 1 THEN 'a.csv' ELSE 'b.csv' END AS source_file FROM tr WHERE track IN (1, 2)",
+        lambda s, d: K.collected((track(s, d).where("track % 2 = 0"), "a.csv"), (track(s, d).where("track % 2 <> 0"), "b.csv"), (track(s, d).where("track % 2 = 0"), "a.csv")).dropDuplicates(),
+        f"{with_('tr')} SELECT *, CASE WHEN track % 2 = 0 THEN 'a.csv' ELSE 'b.csv' END AS source_file FROM tr",
     ),
     "inversion_map": (
         lambda s, d: K.inversion(table(s, d, "region").select(F.col("r_name").alias("path")), table(s, d, "region").where("r_regionkey = 2").select(F.col("r_name").alias("path"), F.lit(False).alias("invert"))),

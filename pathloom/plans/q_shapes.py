@@ -163,7 +163,25 @@ def _fields(s, d):
     return f.where("x % 2 = 0"), f.withColumn("p", 1.0 - F.col("p")).where("y % 3 = 0")
 
 
+def _grown(s, d):
+    """Areas grown from bright pixels to targets of 12 to 51 pixels, over pixels of middle brightness first."""
+    t = tiles(s, d)
+    target = table(s, d, "embeddings").select(F.col("vec_id").alias("frame_id"), (F.col("vec_id") % 40 + 12).alias("area"))
+    return G.grow_area(t.select("frame_id", "x", "y", (F.col("v") > 148).cast("int").alias("v")), t.select("frame_id", "x", "y", (F.col("v") / 255.0).alias("p")), target, SIDE, SIDE, least_p=0.5)
+
+
+GROWN = f"""WITH RECURSIVE {with_('tile')[5:]}, st AS (SELECT frame_id, list(y * 8 + x) FILTER (WHERE v > 148) AS px, list(y * 8 + x) FILTER (WHERE v / 255.0::DOUBLE >= 0.5) AS ok, frame_id % 40 + 12 AS goal FROM tile GROUP BY frame_id),
+run AS (
+  SELECT frame_id, 0 AS i, coalesce(px, []) AS px, coalesce(ok, []) AS ok, goal FROM st
+  UNION ALL
+  SELECT frame_id, i + 1, list_concat(px, CASE WHEN len(list_intersect(fresh, ok)) > 0 THEN list_intersect(fresh, ok) ELSE fresh END), ok, goal
+  FROM (SELECT *, list_filter(list_distinct(flatten(list_transform(px, lambda c: list_filter([CASE WHEN c % 8 < 7 THEN c + 1 ELSE -1 END, CASE WHEN c % 8 > 0 THEN c - 1 ELSE -1 END, c + 8, c - 8], lambda e: e BETWEEN 0 AND 63)))), lambda e: NOT list_contains(px, e)) AS fresh
+        FROM run WHERE i < 25 AND len(px) < goal * 0.8::DOUBLE) WHERE len(fresh) > 0
+), fin AS (SELECT frame_id, arg_max(px, i) AS px FROM run GROUP BY frame_id)
+SELECT frame_id, x, y, CASE WHEN list_contains(px, y * 8 + x) THEN 255 ELSE 0 END AS v FROM tile JOIN fin USING (frame_id)"""
+
 QUERIES = {
+    "grow_area": (_grown, GROWN),
     "line_raster": (lambda s, d: G.raster_line(shape_points(s, d), 100, 100), f"WITH {SP}, {_raster('rl', False)} SELECT * FROM rl WHERE x >= 0 AND y >= 0"),
     "polygon_fill": (lambda s, d: G.fill_polygon(shape_points(s, d), SIDE, SIDE), f"{FILL} SELECT frame_id, x, y FROM fp"),
     "mode_hole_fill": _mode("hole_fill"),

@@ -18,6 +18,7 @@ from pathloom.schemas import FRAMES
 from pathloom.shared import streamed
 from pathloom.sources.hdf5 import read_hdf5
 from pathloom.sources.images import decode
+from pathloom.sources.nd2 import read_nd2
 
 _NAMES = ["video_id", "frame_id", "height", "width", "dtype", "data"]
 _TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
@@ -70,45 +71,14 @@ def stack_frames(spark: SparkSession, path: str, video_id: str = "video") -> Dat
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FRAMES)
 
 
-def _by_index(spark: SparkSession, start: int, end: int, video_id: str, read) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                yield _batch([_row(video_id, k, read(k))])
-
-    return spark.range(start, end).mapInArrow(run, FRAMES)
-
-
-def _plane(raw: np.ndarray) -> np.ndarray:
-    """The first plane of further axes."""
-    raw = np.squeeze(raw)
-    while raw.ndim > 2:
-        raw = raw[0]
-    return raw
-
-
 def hdf5_frames(spark: SparkSession, path: str, key: str | None = None, video_id: str = "video", start: int = 0, end: int | None = None) -> DataFrame:
     """Frames start..end - 1 of an HDF5 dataset (its first one without a key); see ``sources.hdf5``."""
     return read_hdf5(spark, path, key, video_id, start, end)
 
 
 def nd2_frames(spark: SparkSession, path: str, video_id: str = "video", start: int = 0, end: int | None = None) -> DataFrame:
-    """Frames of an ND2 recording, the first channel and plane. Needs the nd2 package on all machines and a path that they share."""
-    try:
-        import nd2
-    except ImportError as e:
-        raise RuntimeError("reading ND2 needs the nd2 package; convert the recording to Parquet frames instead") from e
-    with nd2.ND2File(path) as f:
-        n = f.sizes.get("T", f.shape[0])
-    start, end = max(0, start), n if end is None else min(end, n)
-    if end <= start:
-        raise ValueError(f"empty frame range {start}..{end}")
-
-    def read(k: int) -> np.ndarray:
-        with nd2.ND2File(path) as f:
-            return _plane(f.read_frame(k))
-
-    return _by_index(spark, start, end, video_id, read)
+    """Frames start..end - 1 of an ND2 recording, the first channel and plane; see ``sources.nd2``."""
+    return read_nd2(spark, path, video_id, start, end)
 
 
 def read_video(spark: SparkSession, path: str, video_id: str = "video") -> DataFrame:

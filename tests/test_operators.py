@@ -164,6 +164,55 @@ def test_area_growth_reaches_its_target_and_keeps_to_likely_pixels(spark):
     assert lit(shapes.grow_area(some, likely, enough, 9, 9)) == {(4, 4)}
 
 
+def plain_growth(now, allowed, goal, width, height, rounds=25):
+    """Growth by the plus shape, pixel by pixel over sets."""
+    for _ in range(rounds):
+        if not goal or len(now) >= 0.8 * goal:
+            break
+        fresh = {(x + a, y + b) for x, y in now for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)) if 0 <= x + a < width and 0 <= y + b < height} - now
+        if not fresh:
+            break
+        now = now | (fresh & allowed or fresh)
+    return now
+
+
+def test_area_growth_equals_growth_over_sets_in_one_exchange(spark):
+    rng = np.random.default_rng(3)
+    seeds, fields, goals, want = [], [], [], {}
+    for f in range(40):
+        w, h = 11, 8
+        now = {(int(x), int(y)) for x, y in zip(rng.integers(0, w, f % 4), rng.integers(0, h, f % 4))}
+        p = rng.random((h, w))
+        seeds += [(f, x, y, 255 if (x, y) in now else None) for x in range(w) for y in range(h)]
+        fields += [(f, x, y, float(p[y, x])) for x in range(w) for y in range(h)]
+        goal = int(rng.integers(0, 90))
+        goals += [(f, goal)] if f % 5 else []
+        want[f] = plain_growth(now, {(x, y) for x in range(w) for y in range(h) if p[y, x] >= 0.4}, goal if f % 5 else 0, w, h)
+    make = lambda rows, last: spark.createDataFrame(rows, f"frame_id long, {last}")
+    out = shapes.grow_area(make(seeds, "x long, y long, v int"), make(fields, "x long, y long, p double"), make(goals, "area long"), 11, 8, least_p=0.4)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["frame_id"], set()).update([(r["x"], r["y"])] if r["v"] == 255 else [])
+    assert got == want
+
+
+@pytest.mark.parametrize("buckets,most", [(4096, 10**6), (2, 1), (3, 4)])
+def test_lower_percentiles_of_groups_of_any_size(spark, buckets, most):
+    """A key with most rows, ties, one value, nulls and extremes; many rounds with few buckets give the same."""
+    rng = np.random.default_rng(7)
+    rows = [("hot", float(v)) for v in rng.normal(size=900) * 10.0 ** rng.integers(-8, 9, 900)] + [("ties", float(v)) for v in rng.integers(0, 4, 60)]
+    rows += [("one", 5.0), ("none", None), ("hot", None), ("far", -1.7e308), ("far", 1.7e308), ("far", 0.0), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.0, 0.37, 1.0):
+        got = {r["k"]: r["v"] for r in ranking.lower_percentiles(df, ["k"], "v", q, buckets, most).collect()}
+        want = {}
+        for key in {k for k, v in rows if v is not None}:
+            own = sorted(v for k, v in rows if k == key and v is not None)
+            want[key] = own[int(np.floor(q * (len(own) - 1)))]
+        assert got == want
+
+
 def test_centreline_of_straight_walls_and_of_a_narrow_mask(spark):
     wall = lambda n, y: spark.createDataFrame([(0, x, float(y)) for x in range(n)], "frame_id long, x long, y double")
     got = centerline.centerline(wall(64, 9), wall(64, 20), 100, width=64, height=32).orderBy("node_id").collect()

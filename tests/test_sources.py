@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.sources import hdf5, images, tables, video
+from pathloom.sources import hdf5, images, nd2, tables, video
 
 
 def sample(dtype, shape=(7, 5)):
@@ -90,9 +90,69 @@ def test_packing_of_large_frames_fills_gaps_and_ignores_what_lies_outside(spark)
     assert (got[3] == want).all() and got[9][0, 0] == 200 and got[9].sum() == 200
 
 
-def test_recordings_without_a_reader_are_a_clear_error(spark):
-    with pytest.raises(RuntimeError, match="Parquet"):
-        video.read_video(spark, "a.nd2")
+def lv(value, name):
+    """A binary variant of a dict, a number or a text."""
+    head = lambda kind: bytes([kind, len(name) + 1]) + (name + "\0").encode("utf-16-le")
+    if isinstance(value, dict):
+        items = b"".join(lv(v, k) for k, v in value.items())
+        return head(11) + struct.pack("<IQ", len(value), len(head(11)) + 12 + len(items)) + items + bytes(8 * len(value))
+    if isinstance(value, str):
+        return head(8) + (value + "\0").encode("utf-16-le")
+    return head(6) + struct.pack("<d", value) if isinstance(value, float) else head(3) + struct.pack("<I", value)
+
+
+def built_nd2(path, images, loops, compression=2, pad=0):
+    """``images``: sequences of (height, width, components); ``loops``: counts, the outermost first."""
+    out, places = open(path, "wb"), []
+
+    def chunk(name, data):
+        places.append((name, out.tell(), len(data)))
+        out.write(struct.pack("<IIQ", nd2.CHUNK, len(name) + 5, len(data)) + name + bytes(5) + data)
+
+    chunk(b"ND2 FILE SIGNATURE CHUNK NAME01!", b"Ver3.0")
+    h, w, parts = images[0].shape
+    bits = 8 * images[0].itemsize
+    chunk(b"ImageAttributesLV!", lv({"uiWidth": w, "uiWidthBytes": w * parts * bits // 8 + pad, "uiHeight": h, "uiComp": parts, "uiBpcInMemory": bits, "uiSequenceCount": len(images), "note": "text", "dScale": 0.5, "eCompression": compression}, "SLxImageAttributes"))
+    level = {}
+    for kind, n in reversed(list(zip((1, 4, 2), loops))):
+        level = {"eType": kind, "uLoopPars": {"uiCount": n, "dStep": 1.5}, **({"ppNextLevelEx": {"i0000000000": level}} if level else {})}
+    if level:
+        chunk(b"ImageMetadataLV!", lv(level, "SLxExperiment"))
+    for k, image in enumerate(images):
+        rows = np.concatenate([image.reshape(h, -1).view(np.uint8), np.full((h, pad), 9, np.uint8)], 1).tobytes()
+        chunk(b"ImageDataSeq|%d!" % k, struct.pack("<d", k / 9) + (zlib.compress(rows) if compression == 0 else rows))
+    at = out.tell()
+    data = b"".join(n + struct.pack("<QQ", a, s) for n, a, s in places) + nd2.MAP + struct.pack("<QQ", 0, 0)
+    out.write(struct.pack("<IIQ", nd2.CHUNK, 32, len(data)) + b"ND2 FILEMAP SIGNATURE NAME 0001!" + data + nd2.MAP + struct.pack("<Q", at))
+    out.close()
+
+
+@pytest.mark.parametrize("dtype,loops,compression,pad,parts", [("uint16", (6,), 2, 4, 1), ("uint16", (3, 2), 0, 0, 3), ("uint8", (), 2, 1, 2), ("uint8", (2, 3, 1), 2, 0, 1)])
+def test_nd2_frames_are_planned_by_range(spark, tmp_path, dtype, loops, compression, pad, parts):
+    """The first component and plane of each frame; only the frames asked for are planned."""
+    rng, path = np.random.default_rng(2), str(tmp_path / "rec.nd2")
+    images = [rng.integers(0, 255, (5, 6, parts)).astype(dtype) for _ in range(6)]
+    built_nd2(path, images, loops, compression, pad)
+    n = loops[0] if loops else 6
+    want = [images[k * (6 // n)][:, :, 0] for k in range(n)]
+    got = {r["frame_id"]: (r["video_id"], video.as_array(r.asDict())) for r in nd2.read_nd2(spark, path).collect()}
+    assert sorted(got) == list(range(n)) and all(v == "rec" and (a == want[k]).all() for k, (v, a) in got.items())
+    assert [r["frame_id"] for r in video.nd2_frames(spark, path, start=1, end=2).collect()] == [1]
+    assert [len(p.places) for p in nd2.Scan({"path": path, "start": "1", "end": "99", "framesPerTask": "2"}).partitions()] == [2] * ((n - 1) // 2) + [1] * ((n - 1) % 2)
+    assert video.read_video(spark, path).count() == n
+
+
+def test_nd2_errors_are_clear(spark, tmp_path):
+    path = str(tmp_path / "a.nd2")
+    built_nd2(path, [np.zeros((2, 2, 1), np.uint8)], (1,), compression=1)
+    with pytest.raises(Exception, match="lossy"):
+        nd2.read_nd2(spark, path).count()
+    built_nd2(path, [np.zeros((2, 2, 1), np.uint8)], (1,))
+    with pytest.raises(Exception, match="empty frame range"):
+        nd2.read_nd2(spark, path, start=4, end=3).count()
+    open(path, "wb").write(bytes(100))
+    with pytest.raises(Exception, match="not an ND2 file"):
+        nd2.read_nd2(spark, path).count()
 
 
 def test_hdf5_round_trip_by_recording(spark, tmp_path):
