@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +109,8 @@ def track(one: np.ndarray, two: np.ndarray, points: np.ndarray) -> tuple[np.ndar
 
     The others move by the median of those (by that of all where none is).
     """
+    if not (np.isfinite(one).all() and np.isfinite(two).all()):
+        raise ValueError("a frame holds values that are not finite")
     a, b = _small(one), _small(two)
     p = points / SHRINK
     to, ok = sparse_flow(a, b, p)
@@ -444,14 +447,15 @@ class Follower:
         return out
 
 
-def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int = 12, batch: int = 5, how: Classifier | None = None, again: Resample = resample) -> DataFrame:
+def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int = 12, batch: int = 5, how: Classifier | None = None, again: Resample = resample, stop: str | None = None) -> DataFrame:
     """Lines of every frame after a layer's seed: (video_id, layer_id, frame_id, status, strokes).
 
     ``frames(video_id, frame_id, height, width, data)`` are 8-bit gray; ``seeds(video_id, layer_id, frame_id, edge_mode, pts)`` are the
     guide at a layer's first frame. A frame that can't be read, or a step that fails, carries the last line forward with its error as
     status; other layers go on. Lines are refined in the inverse gray value, or, with ``how``, in fields of forests that each step fits on
     the frame before it and up to ``how.most`` earlier ones; where nothing can be fitted it is the inverse gray value around the line.
-    ``again(points, n, closed)`` resamples a line after each step.
+    ``again(points, n, closed)`` resamples a line after each step. ``stop`` names a file that all machines reach (``request_stop`` makes it): tasks look for it
+    before each batch, and once it is there they do no more; what was done is kept, and ``run_status`` with a plan says stopped.
     """
     own = frames.select("video_id", "frame_id", "height", "width", "data").join(
         seeds.select("video_id", "layer_id", F.col("frame_id").alias("seed_frame"), "edge_mode", "pts"), "video_id",
@@ -468,11 +472,16 @@ def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
         arrow = pa.schema([("video_id", pa.string()), ("layer_id", pa.string()), ("frame_id", pa.int32()), ("status", pa.string()), ("strokes", pa.list_(pa.struct([("type", pa.string()), ("edge_mode", pa.string()), ("pts", pa.list_(point))])))])
-        key, follower, held = None, None, []
+        key, follower, held, halted = None, None, [], False
 
         def flush() -> list[dict]:
+            nonlocal halted
             if not held:
                 return []
+            halted = halted or (stop is not None and stop_requested(stop))
+            if halted:
+                held.clear()
+                return []
             try:
                 lines, status = follower.batch([g for _, g in held]), "ok"
             except Exception as e:  # one layer's failure is a status of its rows
@@ -493,12 +502,12 @@ def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int
                 readable = data is not None and len(data) == r["height"] * r["width"]
                 gray = np.frombuffer(data, np.uint8).reshape(r["height"], r["width"]).astype(float) if readable else None
                 if follower is None:
-                    if gray is not None and r["pts"]:
+                    if gray is not None and r["pts"] and not halted:
                         follower = Follower(r["edge_mode"], points, reach, how, again)
                         out.append(emit(r, follower.start(gray, np.array([(p["x"], p["y"]) for p in r["pts"]], float)), "seed"))
                 elif gray is None:
                     out += flush()
-                    out.append(emit(r, follower.points, "failed: unreadable frame"))
+                    out += [] if halted else [emit(r, follower.points, "failed: unreadable frame")]
                 else:
                     held.append((r, gray))
                     if len(held) == batch:
@@ -512,6 +521,21 @@ def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int
     return dealt.mapInArrow(run, schema)
 
 
+def _at(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+
+
+def request_stop(path: str) -> None:
+    """Makes the file that running tasks look for."""
+    fs, name = _at(path)
+    fs.open_output_stream(name).close()
+
+
+def stop_requested(path: str) -> bool:
+    fs, name = _at(path)
+    return fs.get_file_info(name).type != pafs.FileType.NotFound
+
+
 def run_status(timeline: DataFrame, planned: DataFrame | None = None) -> DataFrame:
     """Each layer's outcome: frames, failures, and stopped (short of ``planned(video_id, layer_id, last_planned)``), the number of errors,
     or complete. A planned layer without rows is stopped with no frames."""

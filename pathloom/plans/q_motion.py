@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql.window import Window
 from pathloom.operators import cascade, features, pixels, propagation
 from pathloom.plans.adapters import samples, table, tiles
 from pathloom.plans.q_sequences import r6, s6
+from pathloom.shared import new_path
 from pathloom.streaming import follow
 
 #: Side of a frame.
@@ -119,20 +119,17 @@ def _labelled_counts(s, d):
 
 def _stream(s, d):
     """Running bounds of a stream of the tiles' values, all that there is of it."""
-    name = f"bounds_{uuid.uuid4().hex}"
-    source = s.readStream.schema(table(s, d, "embeddings").schema).parquet(_folder(s, d))
+    folder = new_path(s, "stream")  # a stream reads folders; a single file is copied into one
+    table(s, d, "embeddings").write.parquet(f"{folder}/source")
+    source = s.readStream.schema(table(s, d, "embeddings").schema).parquet(f"{folder}/source")
     px = source.select(F.col("label").alias("video_id"), F.explode("embedding").alias("e")).select("video_id", F.floor((F.col("e").cast("double") + 1) * 127.5).alias("v"))
-    follow.running_bounds(px).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
+    bounds = follow.running_bounds(px)
 
+    def keep(df, _) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/bounds")
 
-def _folder(s, d):
-    """The embeddings as a folder of files, which a stream reads; a single file is rewritten as one."""
-    from pathloom.shared import shared_dir
-
-    path = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    table(s, d, "embeddings").write.parquet(path)
-    return path
+    bounds.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(bounds.schema).parquet(f"{folder}/bounds")
 
 
 QUERIES = {

@@ -22,9 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that what was computed is computed once and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag) + "/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

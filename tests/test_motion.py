@@ -316,3 +316,26 @@ def test_correlation_by_a_product_equals_that_by_shifts():
         for taps in (np.array([1.0, 2, 1]), rng.normal(size=15)):
             for axis in (0, 1):
                 assert np.allclose(features.correlate(x, taps, axis), features._correlate(x, taps, axis))
+
+
+def test_a_run_stops_between_batches_and_keeps_what_is_done(spark, tmp_path):
+    """A stop that is asked for during the second batch ends the run after it; one asked for before lets only the seed through."""
+    kind = "video_id string, layer_id string, frame_id int, edge_mode string, pts array<struct<x:double,y:double>>"
+    seeds = spark.createDataFrame([("v", "edge", 0, "upper_left", [(2.0, 24.0), (60.0, 24.0)])], kind)
+    flag = str(tmp_path / "stop")
+    calls = []
+
+    def again(points, n, closed):
+        calls.append(1)
+        if len(calls) == 20:  # the first batch takes 1 + 5 + 5 + 2 * 5 of them
+            propagation.request_stop(flag)
+        return propagation.resample(points, n, closed)
+
+    whole = {r["frame_id"]: r["strokes"] for r in propagation.propagate(frames(spark, 18), seeds, 20, 6).collect()}
+    out = spark.createDataFrame(propagation.propagate(frames(spark, 18), seeds, 20, 6, again=again, stop=flag).collect())
+    done = {r["frame_id"]: r["strokes"] for r in out.collect()}
+    assert sorted(done) == list(range(len(done))) and 6 <= len(done) < 18 and (len(done) - 1) % 5 == 0
+    assert all(done[f] == whole[f] for f in done)
+    plan = spark.createDataFrame([("v", "edge", 17)], "video_id string, layer_id string, last_planned int")
+    assert propagation.run_status(out, plan).first()["outcome"] == "stopped"
+    assert [r["status"] for r in propagation.propagate(frames(spark, 18), seeds, 20, 6, stop=f"file://{flag}").collect()] == ["seed"]
