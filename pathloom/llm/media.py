@@ -26,6 +26,8 @@ TENSOR, OVERLAP = 64, 16
 #: Energy, in units of a text's own mean level, at which a segment begins, and under which it ends.
 HIGH, LOW = 1.15, 0.95
 _ALIGN = 64
+#: Steps of a log-mel value of 1.
+MEL_STEPS = 16_384
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -127,15 +129,17 @@ def segments(energy: np.ndarray, high: float = HIGH, low: float = LOW) -> list[t
 def features(media: bytes) -> dict:
     """Tensors (count, TENSOR, BANDS) of log-mel frames with the span of each in seconds, and segments in seconds.
 
-    The last tensor is filled with the log-mel value of silence.
+    Values are rounded to 1 / MEL_STEPS, so that they don't depend on a machine's order of sums. The last tensor is filled with the
+    log-mel value of silence.
     """
     rate, raw = stored_samples(media)
     x = resample((np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128)
     rate = rate * UP // DOWN
     mel, energy = log_mel(x, rate)
+    mel = np.rint(mel * MEL_STEPS) / np.float32(MEL_STEPS)
     step = TENSOR - OVERLAP
     starts = np.arange(0, max(1, len(mel) - OVERLAP), step)
-    full = np.pad(mel, ((0, int(starts[-1]) + TENSOR - len(mel)), (0, 0)), constant_values=np.float32(np.log(1e-6))) if starts[-1] + TENSOR > len(mel) else mel
+    full = np.pad(mel, ((0, int(starts[-1]) + TENSOR - len(mel)), (0, 0)), constant_values=np.rint(np.log(1e-6) * MEL_STEPS) / MEL_STEPS) if starts[-1] + TENSOR > len(mel) else mel
     tensors = np.lib.stride_tricks.sliding_window_view(full, TENSOR, axis=0)[starts].transpose(0, 2, 1)
     second = HOP / rate
     return {
@@ -175,11 +179,11 @@ def summary(found: dict) -> str:
 SCHEMA = "doc_id long, media binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, log_mel binary, segments array<struct<start_s:double,end_s:double>>"
 
 
-def audio(docs: DataFrame, keep: bool = True) -> DataFrame:
+def audio(docs: DataFrame, keep: bool = True, tensors_too: bool = True) -> DataFrame:
     """``docs(doc_id, text)`` -> the stored media of each row, what is read back from it, and its features.
 
-    With ``keep`` the stored form, the tensors (an Arrow stream, see ``read_tensors``) and the segments are columns
-    too; else they are null. A null text counts as empty: 64 zero bytes. Equal texts give equal values. Repeated rows are
+    With ``keep`` the stored form is a column, else null; with ``tensors_too`` the tensors with their spans are (an Arrow stream, see ``read_tensors``),
+    else they are not built and null. A null text counts as empty: 64 zero bytes. Equal texts give equal values. Repeated rows are
     kept, a null doc_id is passed through, an empty table gives an empty result, other columns are ignored.
     """
 
@@ -190,8 +194,8 @@ def audio(docs: DataFrame, keep: bool = True) -> DataFrame:
             media = store(raw)
             back = stored_samples(media)[1]
             found = features(media)
-            tensors = tensor_column(found)
-            rows.append((doc, media if keep else None, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary(found) + f";mel_crc32={zlib.crc32(np.rint(found['mel'] * 16384).astype('<i4').tobytes())}", tensors if keep else None, [{"start_s": a, "end_s": b} for a, b in found["segments"]] if keep else None))
+            tensors = tensor_column(found) if tensors_too else None
+            rows.append((doc, media if keep else None, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary(found) + f";mel_crc32={zlib.crc32(np.rint(found['mel'] * MEL_STEPS).astype('<i4').tobytes())}", tensors, [{"start_s": a, "end_s": b} for a, b in found["segments"]]))
             if len(rows) == 64:
                 yield _batch(rows)
                 rows = []
@@ -209,4 +213,4 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio(table(spark, sf_dir, "documents"), keep=False).drop("media", "log_mel", "segments")
+    return audio(table(spark, sf_dir, "documents"), keep=False).drop("media")

@@ -45,6 +45,38 @@ def test_a_tone_falls_in_its_band():
     assert means == sorted(means) and len(set(means)) == 4
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 1000])
+def test_log_mel_equals_sums_frame_by_frame(n):
+    """Each frame's spectrum by its own sums of sines, each band by its own triangle."""
+    x, rate = np.random.default_rng(n).normal(size=n).astype(np.float32), 8000
+    got, energy = media.log_mel(x, rate)
+    frames = max(1, -(-max(0, n - media.FRAME) // media.HOP) + 1)
+    padded = np.concatenate([x, np.zeros(frames * media.HOP + media.FRAME)]).astype(float)
+    k = np.arange(media.FRAME)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * k / media.FRAME)
+    to_mel, of_mel = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [of_mel(to_mel(rate / 2) * b / (media.BANDS + 1)) for b in range(media.BANDS + 2)]
+    assert got.shape == (frames, media.BANDS)
+    for i in range(frames):
+        own = padded[i * media.HOP : i * media.HOP + media.FRAME]
+        assert energy[i] == pytest.approx((own**2).mean(), rel=1e-5, abs=1e-12)
+        power = [abs((own * hann * np.exp(-2j * np.pi * b * k / media.FRAME)).sum()) ** 2 for b in range(media.FRAME // 2 + 1)]
+        for b in range(media.BANDS):
+            low, mid, high = edges[b : b + 3]
+            total = sum(p * max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid))) for f, p in ((j * rate / media.FRAME, p) for j, p in enumerate(power)))
+            assert got[i, b] == pytest.approx(np.log(total + 1e-6), abs=2e-3)
+
+
+def test_the_query_returns_tensors_with_spans_and_segments(spark, sf):
+    rows = media.op8(spark, sf).limit(20).collect()
+    for r in rows:
+        t = media.read_tensors(bytes(r["log_mel"]))
+        assert t.column("log_mel").type == media.TENSOR_TYPE and t.num_rows >= 1
+        assert t.column("start_s")[0].as_py() == 0 and all(s["start_s"] < s["end_s"] for s in r["segments"])
+        values = np.array(t.column("log_mel").combine_chunks().storage.flatten()) * media.MEL_STEPS
+        assert np.allclose(values, np.rint(values), atol=0.05)
+
+
 def test_segments_equal_a_plain_state_machine():
     e = np.random.default_rng(2).gamma(2, 1, 400)
     mean, on, want, at = e.mean(), False, [], 0
