@@ -462,7 +462,8 @@ def propagate(frames: DataFrame, seeds: DataFrame, points: int = 60, reach: int
     ).where("frame_id >= seed_frame")
     # a seed's points travel with its own frame only
     own = own.withColumn("pts", F.when(F.col("frame_id") == F.col("seed_frame"), F.col("pts")))
-    dealt = own.repartition("video_id", "layer_id").sortWithinPartitions("video_id", "layer_id", "frame_id")
+    # a number of its own, as small tables would be joined into one task, and the work is in the steps and not in the bytes
+    dealt = own.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id", "layer_id").sortWithinPartitions("video_id", "layer_id", "frame_id")
     schema = "video_id string, " + TIMELINE.replace("strokes", "status string, strokes", 1)
 
     def emit(r: dict, line: np.ndarray, status: str) -> dict:
