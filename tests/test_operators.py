@@ -46,6 +46,11 @@ def test_degenerate_lines(spark):
     assert sequences.resample_open(line(spark, []).where("false"), 3).count() == 0
 
 
+def test_a_last_step_below_the_lengths_rounding_loses_no_point(spark):
+    df = line(spark, [(0, 0), (110.25000000001064, 0), (110.25000000001064, 2.0**-47)])
+    assert [r["i"] for r in sequences.resample_open(df, 20).orderBy("i").collect()] == list(range(20))
+
+
 def test_smoothing_keeps_constants_and_short_histories(spark):
     flat = line(spark, [(i, 2.0) for i in range(12)])
     assert all(abs(r["y"] - 2) < 1e-12 for r in sequences.smooth(flat, ["y"], 1.2).collect())
