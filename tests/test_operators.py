@@ -51,6 +51,11 @@ def test_a_last_step_below_the_lengths_rounding_loses_no_point(spark):
     assert [r["i"] for r in sequences.resample_open(df, 20).orderBy("i").collect()] == list(range(20))
 
 
+def test_resampling_sorts_a_lines_nodes_once(spark):
+    plan = sequences.resample_open(line(spark, [(0, 0), (3, 0)]), 4)._jdf.queryExecution().executedPlan().toString()
+    assert sum(s.lstrip(" :+-*(0123456789)").startswith("Sort [") for s in plan.split("== Initial Plan ==")[0].splitlines()) == 1
+
+
 def test_smoothing_keeps_constants_and_short_histories(spark):
     flat = line(spark, [(i, 2.0) for i in range(12)])
     assert all(abs(r["y"] - 2) < 1e-12 for r in sequences.smooth(flat, ["y"], 1.2).collect())
