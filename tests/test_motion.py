@@ -297,6 +297,18 @@ def test_forests_that_go_on_follow_a_band_at_less_cost(spark):
     assert np.median(off) < 3.5 and max(off) < 13, off
 
 
+def test_points_of_which_none_is_found_again_stay():
+    """The next frame is another one altogether: every move is refuted on the way back, and their median would carry the line off."""
+    rng = np.random.default_rng(3)
+    line = np.stack([np.linspace(2, 61, 12).round(), np.full(12, 30.0)], 1)
+    for _ in range(20):
+        other = features.blur(rng.random((64, 64)) * 255, 6.0)
+        moved, good = propagation.track(band(4).astype(float), 128 + (other - other.mean()) * 8, line)
+        if not good.any():
+            break
+    assert not good.any() and (moved == line).all()
+
+
 def test_windows_beyond_the_frame_tell_nothing_and_tips_stay_inside():
     """A band near the lower border, where most of each window lies outside, is still followed; points that are not finite stay."""
     line = np.stack([np.linspace(2, 61, 12), np.full(12, 24.0 + 34)], 1)
