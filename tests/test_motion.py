@@ -297,6 +297,14 @@ def test_forests_that_go_on_follow_a_band_at_less_cost(spark):
     assert np.median(off) < 3.5 and max(off) < 13, off
 
 
+def test_layers_seldom_share_a_task(spark, sf):
+    from pyspark.sql import functions as F
+
+    timeline = propagation.propagate(q_motion.recordings(spark, sf).where("frame_id < 2"), q_motion.seeds(spark, sf), 24, 6)
+    tasks = timeline.select("video_id", "layer_id", F.spark_partition_id().alias("task")).distinct().groupBy("task").count()
+    assert tasks.agg(F.sum("count"), F.max("count")).first()[0] == 20 and tasks.count() >= 17
+
+
 def test_points_of_which_none_is_found_again_stay():
     """The next frame is another one altogether: every move is refuted on the way back, and their median would carry the line off."""
     rng = np.random.default_rng(3)
