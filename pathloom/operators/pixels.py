@@ -184,8 +184,8 @@ def runs(df: DataFrame, keys=KEYS) -> DataFrame:
     return own.withColumn("_run", F.col("x") - rank).groupBy(*keys, "y", "fg", "_run").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_run")
 
 
-def grown_runs(own: DataFrame, radii: dict[str, tuple[bool, int]], width: int, height: int, keys=KEYS) -> DataFrame:
-    """For each name the pixels within its radius of foreground (True) or background (False) runs: (keys, name, y, a, b), merged runs.
+def widened_runs(own: DataFrame, radii: dict[str, tuple[bool, int]], width: int, height: int, keys=KEYS) -> DataFrame:
+    """For each name the runs that its radius makes of foreground (True) or background (False) runs: (keys, name, y, a, b), overlapping.
 
     A run yields 2 r + 1 rows, its own widened by the disc's width at each distance, and not each pixel's disc.
     """
@@ -193,7 +193,12 @@ def grown_runs(own: DataFrame, radii: dict[str, tuple[bool, int]], width: int, h
     steps = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("fg"), F.lit(d).alias("dy"), F.lit(w).alias("wide")) for n, f, d, w in rows])
     spread = own.select(*keys, "y", "a", "b", F.explode(F.filter(steps, lambda s: s["fg"] == F.col("fg"))).alias("s"))
     spread = spread.select(*keys, "s.name", (F.col("y") + F.col("s.dy")).cast("long").alias("y"), F.greatest(F.col("a") - F.col("s.wide"), F.lit(0)).alias("a"), F.least(F.col("b") + F.col("s.wide"), F.lit(width - 1)).alias("b"))
-    spread = spread.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("a") <= F.col("b")))
+    return spread.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("a") <= F.col("b")))
+
+
+def grown_runs(own: DataFrame, radii: dict[str, tuple[bool, int]], width: int, height: int, keys=KEYS) -> DataFrame:
+    """For each name the pixels within its radius of foreground (True) or background (False) runs: (keys, name, y, a, b), merged runs."""
+    spread = widened_runs(own, radii, width, height, keys)
     w = Window.partitionBy(*keys, "name", "y").orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col("a") > reach + 1), 1).otherwise(0)

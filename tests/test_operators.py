@@ -56,6 +56,11 @@ def test_resampling_sorts_a_lines_nodes_once(spark):
     assert sum(s.lstrip(" :+-*(0123456789)").startswith("Sort [") for s in plan.split("== Initial Plan ==")[0].splitlines()) == 1
 
 
+def test_boundary_bands_lay_no_runs_out_in_pixels(spark):
+    plan = shapes.boundary_bands(mask(spark, ["....", ".##.", "...."]), 4, 3, 1, least=3)._jdf.queryExecution().executedPlan().toString()
+    assert "explode(sequence(" not in plan
+
+
 def test_smoothing_keeps_constants_and_short_histories(spark):
     flat = line(spark, [(i, 2.0) for i in range(12)])
     assert all(abs(r["y"] - 2) < 1e-12 for r in sequences.smooth(flat, ["y"], 1.2).collect())
