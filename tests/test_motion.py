@@ -87,6 +87,49 @@ def test_a_small_region_gives_no_rows(spark):
     assert [(r["region_id"], r["count"]) for r in got] == [(2, 10 * 14)]
 
 
+def test_regions_worked_as_a_stack_have_the_features_of_single_ones(spark):
+    """Regions of several sizes, with and without a frame before, some cut by the frame's border, in one batch of ninety."""
+    rng = np.random.default_rng(8)
+    boxes, rows, want = [(3, 35, 5, 37), (-4, 28, 0, 32), (0, 9, 30, 40), (20, 50, 10, 60)], [], {}
+    for i in range(90):
+        y0, y1, x0, x1 = boxes[i % 4]
+        gray, before = (np.clip(texture(k, -k, 48) + rng.normal(size=(48, 48)) * 5, 0, 255).astype(np.uint8)[:, :44].copy() for k in (i % 7, i % 7 + 1))
+        rows.append((i, 48, 44, bytearray(gray.tobytes()), None if i % 5 == 0 else bytearray(before.tobytes()), y0, y1, x0, x1))
+        own = (max(0, y0), min(48, y1), max(0, x0), min(44, x1))
+        ys, xs = np.mgrid[own[0] : own[1], own[2] : own[3]]
+        f = features.region_features(gray, None if i % 5 == 0 else before, own)
+        want |= {(i, int(x), int(y)): (int(gray[y, x]), z) for x, y, z in zip(xs.ravel(), ys.ravel(), f)}
+    df = spark.createDataFrame(rows, "region_id long, height int, width int, data binary, before binary, ymin int, ymax int, xmin int, xmax int").coalesce(1)
+    got = features.extract(df).collect()
+    assert len(got) == len(want)
+    for r in got:
+        v, f = want.pop((r["region_id"], r["x"], r["y"]))
+        assert r["v"] == v and np.allclose(r["features"], f, rtol=1e-5, atol=1e-5)
+
+
+def test_regions_are_dealt_to_all_tasks_whatever_their_recording(spark, tmp_path):
+    """Two recordings gave two tasks; every region still has its own frame and the one before."""
+    d = embeddings(spark, tmp_path, 240, 2)
+    found = q_motion.regions(spark, d).withColumn("task", F.spark_partition_id())
+    counts = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert sum(counts) == 240 and max(counts) <= 240 / 5
+    frames = {(int(r["video_id"]) << 32) + r["frame_id"]: bytes(r["data"]) for r in q_motion.recordings(spark, d).collect()}
+    rows = found.collect()
+    assert {r["region_id"] for r in rows} == set(frames)
+    for r in rows:
+        assert bytes(r["data"]) == frames[r["region_id"]]
+        assert (r["before"] and bytes(r["before"])) == (frames[r["region_id"] - 1] if r["region_id"] % 2**32 else None)
+
+
+def test_hundredths_are_the_rounded_floats(spark):
+    rng = np.random.default_rng(2)
+    values = [0.0, -0.0, 0.125, -0.125, 0.375, 2.675, -2.675, 0.005, -0.005, 0.004999, -1e-30, 1e-30, 254.995, 65535.125, -65535.375, 1.5e7]
+    values += [float(v) for v in np.concatenate([rng.normal(size=4000) * 10.0 ** rng.integers(-4, 6, 4000), rng.integers(-40000, 40000, 4000) / 8]).astype(np.float32)]
+    df = spark.createDataFrame([(v,) for v in values], "v float").select("v", q_motion.hundredths(F.col("v")).alias("got"), F.round(F.col("v").cast("double"), 2).alias("want"))
+    assert df.where("got != want OR got IS NULL OR want IS NULL").count() == 0
+    assert not any(math.copysign(1, r["got"]) < 0 for r in df.where("got = 0").collect())
+
+
 def test_resampling_matches_the_rows_form(spark):
     from pathloom.operators.sequences import resample_open
 
