@@ -54,16 +54,33 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of a written table above which no join with it is a broadcast.
+BROADCAST_BYTES = 1 << 20
+
+
+def exchanged(df: DataFrame, path: str) -> DataFrame:
+    """``df``, the table at ``path``, whose joins are by exchanges if its files hold more than BROADCAST_BYTES.
+
+    Spark would judge by its files alone whether it fits the driver; ids and sizes take a few bytes there and thirty or more in a
+    broadcast's hash table, so what the driver holds would grow with the input.
+    """
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return df.hint("merge") if held > BROADCAST_BYTES else df
+
+
 class Scratch:
     """Shared tables of one operator, dropped together when what was made of them is written elsewhere."""
 
-    def __init__(self):
+    def __init__(self, plain_joins: bool = False):
         self.paths: list[str] = []
+        self.plain_joins = plain_joins
 
     def table(self, df: DataFrame, tag: str) -> DataFrame:
         out, path = shared_table(df, tag)
         self.paths.append(path)
-        return out
+        return exchanged(out, path) if self.plain_joins else out
 
     def drop(self, spark: SparkSession) -> None:
         for path in self.paths:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Scratch, drop_path, shared_table
+from pathloom.llm.common import Scratch, drop_path, exchanged, shared_table
 
 
 def _large(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
@@ -24,7 +24,9 @@ def _large(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
         return e, False
     # edges are (u, v) with u > v: those of v's larger neighbours
     moved = e.join(between, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"))
-    return scratch.table(moved.distinct(), "components-large"), True
+    out, path = shared_table(moved.distinct(), "components-large")  # may be joined with a broadcast of few nodes
+    scratch.paths.append(path)
+    return out, True
 
 
 def _small(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
@@ -47,7 +49,7 @@ def components(edges: DataFrame, owner: Scratch | None = None) -> DataFrame:
     spark = edges.sparkSession
     now, path = shared_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     while True:
-        scratch = Scratch()
+        scratch = Scratch(plain_joins=True)
         large, one = _large(now, scratch)
         then, two = _small(large, scratch)
         if one or two:
@@ -58,6 +60,7 @@ def components(edges: DataFrame, owner: Scratch | None = None) -> DataFrame:
         if not one and not two:
             if owner:
                 owner.paths.append(path)
+                now = exchanged(now, path) if owner.plain_joins else now
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -69,17 +72,17 @@ def keep_first(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataF
     text one stays, the least in JSON form. Rows with a null doc_id stay. Only ids that lose a row are written and joined.
     """
     key = docs["doc_id"].cast("long")
-    repeated, _ = shared_table(docs.where(key.isNotNull()).groupBy(key.alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-ids")
+    repeated, path = shared_table(docs.where(key.isNotNull()).groupBy(key.alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-ids")
     several = not repeated.isEmpty()
     rows = docs.select(key.alias("key"), F.struct("*").alias("row"))
     if several:
         own = F.xxhash64("row.text")
-        low, _ = shared_table(rows.join(repeated, F.col("key") == F.col("id"), "left_semi").groupBy(F.col("key").alias("id")).agg(F.min(own).alias("low")), "repeated-least")
+        low, path = shared_table(rows.join(exchanged(repeated, path), F.col("key") == F.col("id"), "left_semi").groupBy(F.col("key").alias("id")).agg(F.min(own).alias("low")), "repeated-least")
         other = F.shiftrightunsigned(F.xxhash64("key", own), 2).bitwiseOR(F.lit(1 << 62))
-        rows = rows.join(low, F.col("key") == F.col("id"), "left").select(F.when(own > F.col("low"), other).otherwise(F.col("key")).alias("key"), "row", F.col("low").isNotNull().alias("again"))
+        rows = rows.join(exchanged(low, path), F.col("key") == F.col("id"), "left").select(F.when(own > F.col("low"), other).otherwise(F.col("key")).alias("key"), "row", F.col("low").isNotNull().alias("again"))
     found = find(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
-    loses, _ = shared_table(found.where("component_id <> doc_id").select(F.col("doc_id").alias("lost")).distinct(), "duplicates")
-    out = rows.join(loses, F.col("key") == F.col("lost"), "left_anti")
+    loses, path = shared_table(found.where("component_id <> doc_id").select(F.col("doc_id").alias("lost")).distinct(), "duplicates")
+    out = rows.join(exchanged(loses, path), F.col("key") == F.col("lost"), "left_anti")
     if several:
         once = out.where("again").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
         out = out.where("not again").select("row").union(once.select("row"))

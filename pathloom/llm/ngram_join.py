@@ -240,7 +240,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     as one document. A null doc_id links with nothing and has a null component_id. Other columns are ignored.
     """
     p, q = percent, 100
-    spark, scratch = docs.sparkSession, Scratch()
+    spark, scratch = docs.sparkSession, Scratch(plain_joins=True)
 
     def profile(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()

@@ -5,9 +5,10 @@ import random
 import numpy as np
 import pytest
 from helpers import jaccard_components, prose
+from pyspark.sql import functions as F
 
-from pathloom.llm import ngram_join
-from pathloom.llm.components import components
+from pathloom.llm import common, ngram_join
+from pathloom.llm.components import components, keep_first
 
 
 def corpus(seed, n=160):
@@ -207,3 +208,36 @@ def test_deduplication_keeps_every_text_of_a_repeated_id(spark):
     assert len(got) == len(set(got))
     kept = {t for i, t in got if i is not None}
     assert {c, d, "", None} <= kept and sum(t == a for i, t in got if i) == 1 and sum(t in (b, b + " end") for t in kept) == 1 and (None, a) in got
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Ids take few bytes in files: 700,000 of them are under Spark's threshold for a broadcast, and ten times that in the driver."""
+    docs = spark.range(700_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    kept = keep_first(docs, lambda d: d.select("doc_id", F.lit(0).cast("long").alias("component_id")))
+    assert "Broadcast" not in plan_of(kept)
+    assert kept.count() == 1
+    few = keep_first(docs, lambda d: d.select("doc_id", F.when(F.col("doc_id") < 5, 0).otherwise(F.col("doc_id")).alias("component_id")))
+    assert "BroadcastHashJoin" in plan_of(few)
+    assert few.count() == 700_000 - 4
+
+
+def test_no_join_of_op6_broadcasts_a_large_table(spark, sf, monkeypatch):
+    """With tables taken as large from the first byte, the only broadcasts are bit tables, which are asked for."""
+    plans, write = [], common.shared_table
+
+    def noted(df, tag):
+        plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, tag)
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "shared_table", noted)
+    docs = common.table(spark, sf, "documents")
+    found = ngram_join.jaccard_components(docs).collect()
+    joins = [line for tag, plan in plans if tag in ("ngram-member", "ngram-texts", "ngram-columns", "ngram-blocks") for line in plan.splitlines() if "Join" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
+    monkeypatch.undo()
+    assert sorted(found) == sorted(ngram_join.jaccard_components(docs).collect())
