@@ -402,3 +402,32 @@ def test_a_run_stops_between_batches_and_keeps_what_is_done(spark, tmp_path):
     plan = spark.createDataFrame([("v", "edge", 17)], "video_id string, layer_id string, last_planned int")
     assert propagation.run_status(out, plan).first()["outcome"] == "stopped"
     assert [r["status"] for r in propagation.propagate(frames(spark, 18), seeds, 20, 6, stop=f"file://{flag}").collect()] == ["seed"]
+
+
+@pytest.mark.parametrize("shape", [(16, 16), (8, 8), (4, 4), (5, 20), (21, 9), (1, 1), (13, 2)])
+def test_points_on_small_images_move_as_by_their_windows(shape):
+    """Points within, on the border, beyond it and far off, with moves that stay near, leave the image or oscillate."""
+    rng = np.random.default_rng(sum(shape))
+    for k in range(6):
+        one, two = (propagation.Level.of(rng.random(shape) * 200) for _ in range(2))
+        if k > 2:
+            two = propagation.Level.of(np.roll(one.wide[0, 22:-22, 22:-22], (k - 3, 1), (0, 1)))
+        at = np.concatenate([rng.uniform(-3, max(shape) + 3, (20, 2)), rng.integers(0, max(shape), (8, 2)), rng.uniform(-40, 60, (6, 2)), [[0, 0], [shape[1] - 1, shape[0] - 1], [-11, 3], [shape[1] + 10, 0]]])
+        move = rng.normal(0, [0.1, 3, 30][k % 3], at.shape)
+        (found, solid), (moved, there) = propagation._whole_moves(one, two, at, move), propagation._window_moves(one, two, at, move)
+        assert (solid == there).all()
+        assert np.allclose(found, moved, rtol=1e-6, atol=1e-5)
+
+
+def test_small_frames_need_no_windows(monkeypatch):
+    """Tracking on a frame of 64 x 64 cuts no window of its own for a point; that was most of a step's time."""
+    monkeypatch.setattr(propagation, "_window_moves", None)
+    rng = np.random.default_rng(2)
+    one, two = (np.frombuffer(q_motion.drawn(k, rng.uniform(-0.3, 0.3, 64).tolist()), np.uint8).reshape(64, 64).astype(float) for k in (8, 9))
+    x = np.linspace(4, 58, 12)
+    points = np.stack([x, 32 + 4 * np.sin(x / 9)], 1)
+    moved, good = propagation.track(one, two, points)
+    monkeypatch.undo()
+    monkeypatch.setattr(propagation, "_whole_moves", propagation._window_moves)
+    again, fine = propagation.track(one, two, points)
+    assert good.any() and (moved == again).all() and (good == fine).all()
