@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import cascade, features, propagation
+from pathloom.operators import cascade, features, forests, propagation
 from pathloom.plans import q_motion
 from pathloom.streaming import follow
 
@@ -431,3 +431,33 @@ def test_small_frames_need_no_windows(monkeypatch):
     monkeypatch.setattr(propagation, "_whole_moves", propagation._window_moves)
     again, fine = propagation.track(one, two, points)
     assert good.any() and (moved == again).all() and (good == fine).all()
+
+
+def test_trees_cut_the_same_rows_whatever_is_worked_at_a_time(monkeypatch):
+    """A node takes the best of its tries, which are summed over runs of its rows: every node's share is that of its rows."""
+    rng = np.random.default_rng(5)
+    x, y, weight = rng.random((300, 9)), rng.random(300) < 0.4, rng.random(300) + 0.5
+    trees = []
+    for size in (1, 60_000):
+        monkeypatch.setattr(forests, "TOGETHER", size)
+        trees.append(forests.grow(x, y.astype(int), weight, 4, 4, 11, False, 3))
+    assert all((getattr(trees[0], k) == getattr(trees[1], k)).all() for k in ("feature", "cut", "share"))
+    for at, share in zip(trees[0].last(x), trees[0].share):
+        node = np.zeros(300, int)
+        for _ in range(4):
+            k = [a.tolist() for a in (trees[0].feature, trees[0].cut)]
+            tree = [s.tolist() for s in trees[0].share].index(share.tolist())
+            node = 2 * node + 1 + np.array([v[k[0][tree][i]] > k[1][tree][i] for v, i in zip(x, node)])
+        assert (node - 15 == at).all()
+        assert np.allclose([weight[(at == m) & y].sum() / weight[at == m].sum() for m in np.unique(at)], share[np.unique(at)])
+
+
+def test_nothing_is_remembered_after_a_batchs_last_step(monkeypatch):
+    """Each direction of a batch of n frames keeps the first frame and n - 1 more; features after the last step served no fit."""
+    kept, keep = [], propagation.Memory.keep
+    monkeypatch.setattr(propagation.Memory, "keep", lambda self, *a: (kept.append(1), keep(self, *a)))
+    own = propagation.Follower("upper_left", 12, 6, q_motion.FITTED)
+    frames = [np.frombuffer(q_motion.drawn(k, [0.0] * 64), np.uint8).reshape(64, 64).astype(float) for k in range(4)]
+    own.start(frames[0], np.array([(float(x), 24 + 4 * np.sin(x / 9)) for x in (2, 16, 30, 44, 61)]))
+    own.batch(frames[1:])
+    assert len(kept) == 6
